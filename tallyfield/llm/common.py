@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,12 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, records: int = 2000) -> None:
-    """Bound what one Arrow batch holds: records and, for long texts, bytes."""
+    """Bound what one Arrow batch holds: records and, for long texts, bytes.
+
+    Workers on the driver's machine also get this package's folder on their path; a
+    cluster ships the package (``--py-files``).
+    """
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 

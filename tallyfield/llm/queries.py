@@ -29,3 +29,108 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyfield.llm.token_counts import count_tokens
 
     return count_tokens(table(spark, sf_dir, "documents"))
+
+
+@query
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfield.llm.mixing import mix_plan
+
+    return mix_plan(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "copies", "taken")
+
+
+ORACLE_SQL["op2_mix_sources"] = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS k
+  FROM documents),
+d2 AS (
+  SELECT *, size - size % CAST(pow(2, greatest(0, length(bin(size)) - 10)) AS BIGINT) AS class,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT)
+           % (64 * (1 + (SELECT count(*) FROM d) // 6400000)) AS salt
+  FROM d),
+s0 AS (SELECT k, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY k),
+s1 AS (SELECT *, CAST([5, 2, 1][CAST((row_number() OVER (ORDER BY k) - 1) % 3 + 1 AS INTEGER)] AS DOUBLE) AS w FROM s0),
+s2 AS (SELECT *, source_size / w AS fill FROM s1),
+s3 AS (
+  SELECT *, row_number() OVER f AS n,
+         CAST(1.5 AS DOUBLE) * CAST(sum(source_size) OVER () AS DOUBLE)
+           - CAST(2.0 AS DOUBLE) * CAST(coalesce(sum(source_size) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) AS rest,
+         sum(w) OVER () - coalesce(sum(w) OVER (f ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest_w
+  FROM s2 WINDOW f AS (ORDER BY fill, k)),
+lev AS (SELECT n AS ln, rest AS lrest, rest_w AS lw FROM s3
+        WHERE w * rest / rest_w <= CAST(2.0 AS DOUBLE) * source_size ORDER BY n LIMIT 1),
+t AS (SELECT k, source_size, CASE WHEN n >= ln THEN w * lrest / lw ELSE CAST(2.0 AS DOUBLE) * source_size END AS target FROM s3, lev),
+r AS (SELECT d2.*, source_size, target,
+             row_number() OVER (PARTITION BY d2.k ORDER BY class, salt, size, doc_id NULLS FIRST) AS r,
+             CAST('0x' || substr(md5('offset:' || d2.k), 1, 5) AS BIGINT) / CAST(1048576.0 AS DOUBLE) AS u
+      FROM d2 JOIN t ON d2.k = t.k),
+c AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(r * target / source_size + u) - floor((r - 1) * target / source_size + u) AS BIGINT) ELSE 0 END AS copies FROM r)
+SELECT doc_id, source, CAST(size AS BIGINT) AS size, source_size, CAST(target AS DOUBLE) AS target, copies, CAST(copies * size AS BIGINT) AS taken FROM c
+"""
+
+
+@query
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfield.llm.quality_rules import quality_rules
+
+    return quality_rules(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfield.llm.quality_rules import ablations, ledger
+
+    return ablations(ledger(table(spark, sf_dir, "documents")))
+
+
+_LEDGER_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT k, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words,
+             list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+pos AS (SELECT k, words, unnest(range(1, greatest(len(words) - 6, 1))) AS i FROM w),
+win AS (SELECT k, i, count(*) OVER (PARTITION BY k, words[i:i + 7]) AS c FROM pos),
+rep AS (SELECT k, i, lead(i) OVER (PARTITION BY k ORDER BY i) AS nx FROM win WHERE c > 1),
+cov AS (SELECT k, CAST(sum(least(8, coalesce(nx - i, 8))) AS BIGINT) AS n_repeat_words FROM rep GROUP BY k),
+m AS (SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words,
+             CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+             CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+             CAST(len(lines) AS BIGINT) AS n_lines,
+             CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+             coalesce(n_repeat_words, 0) AS n_repeat_words
+      FROM w LEFT JOIN cov USING (k)),
+led AS (SELECT *, CAST((CASE WHEN n_words < 20 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END)
+          + (CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END) + (CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 8 ELSE 0 END)
+          + (CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words) THEN 16 ELSE 0 END) AS BIGINT) AS fail_bits FROM m)
+"""
+ORACLE_SQL["op8_quality_rules"] = _LEDGER_SQL + "SELECT *, (fail_bits & 31) = 0 AS kept, (fail_bits & 3) <> 0 AS base_failed FROM led"
+ORACLE_SQL["op8_rule_ablations"] = _LEDGER_SQL + """,
+p(policy, mask, rule, bit) AS (VALUES ('base', 3, 'too_few_words', 1), ('base', 3, 'repeated_words', 2),
+  ('v1', 7, 'too_few_words', 1), ('v1', 7, 'repeated_words', 2), ('v1', 7, 'symbols', 4),
+  ('v2', 31, 'too_few_words', 1), ('v2', 31, 'repeated_words', 2), ('v2', 31, 'symbols', 4),
+  ('v2', 31, 'repeated_lines', 8), ('v2', 31, 'word_length', 16))
+SELECT policy, rule, count(*) AS n_docs, count(*) FILTER ((fail_bits & mask) <> 0) AS n_rejected,
+       count(*) FILTER ((fail_bits & mask & bit) <> 0) AS n_failing, count(*) FILTER ((fail_bits & mask) = bit) AS n_only
+FROM led, p GROUP BY policy, rule
+"""
+
+
+@query
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfield.llm.toxicity import fit, score_documents
+
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfield.llm.html_text import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfield.llm.warc import archive_round_trip
+
+    return archive_round_trip(table(spark, sf_dir, "pages"))
