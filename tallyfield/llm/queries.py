@@ -134,3 +134,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyfield.llm.warc import archive_round_trip
 
     return archive_round_trip(table(spark, sf_dir, "pages"))
+
+
+@query
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfield.llm.near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
