@@ -141,3 +141,10 @@ def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyfield.llm.near_dedup import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfield.llm.decontaminate import contaminated
+
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
