@@ -43,6 +43,7 @@ EDITS = 0.2  # edits of an item's words
 REPEATS = 32
 SAMPLED = 3
 LEAST_WORDS = 5
+WALKED = 20_000  # windows walked at a time
 MAX_ITEM_BYTES = 64 << 20
 SEED = np.uint64(0x51ED270B35AE2C11)
 PAD = np.uint64(0x2545F4914F6CDD1D)
@@ -74,28 +75,30 @@ def edit_distance_to_prefix(item: list, window: list, k: int) -> tuple[int, int]
     return row[best], best
 
 
-class Walk:
-    """One draw for items of W words: the places sampled from the embedding, and its bits."""
+class Walks:
+    """All draws for items of W words: their bits, and the places sampled from each."""
 
-    def __init__(self, width: int, draw: int):
-        self.salt = mix64(np.array([SEED + np.uint64(draw * 1_000_003 + width)], np.uint64))[0]
-        rng = np.random.default_rng([draw, width])
-        # places past the end of the walk's reach hold pads, so sample where words are
-        self.places = np.sort(rng.choice(max(1, int(1.8 * width)), min(SAMPLED, max(1, int(1.8 * width))), replace=False))
+    def __init__(self, width: int, draws: int):
+        self.salt = mix64(SEED + np.arange(draws, dtype=np.uint64) * np.uint64(1_000_003) + np.uint64(width))
+        reach = max(1, int(1.8 * width))  # later places mostly hold pads
+        self.rows = defaultdict(list)  # draws that sample a place
+        for r in range(draws):
+            for j in np.random.default_rng([r, width]).choice(reach, min(SAMPLED, reach), replace=False):
+                self.rows[int(j)].append(r)
 
     @np.errstate(over="ignore")
     def keys(self, h: np.ndarray, at: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Hash of the sampled places of the embeddings of h[a : b], for each a and b."""
-        key = np.full(len(at), self.salt)
-        pointer = np.zeros(len(at), np.int64)
-        sampled = set(self.places.tolist())
-        for j in range(int(self.places[-1]) + 1):
-            inside = at + pointer < stop
-            word = np.where(inside, h[np.minimum(at + pointer, len(h) - 1)], PAD)
-            if j in sampled:
-                key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + word)
-            bit = mix64(word ^ (self.salt + np.uint64(j) * np.uint64(0xD1B54A32D192ED03))) & np.uint64(1)
-            pointer += bit.astype(np.int64) * inside
+        """Per draw, the hash of the sampled places of the embedding of each h[a : b]."""
+        salt = self.salt[:, None]
+        key = np.repeat(salt, len(at), axis=1)
+        place = np.repeat(at[None, :], len(self.salt), axis=0)
+        h = np.append(h, PAD)
+        for j in range(max(self.rows) + 1):
+            word = np.where(place < stop, h.take(place), PAD)
+            if rows := self.rows.get(j):
+                key[rows] = mix64(key[rows] * np.uint64(0x9E3779B97F4A7C15) + word[rows])
+            bit = mix64(word ^ (salt + np.uint64(j) * np.uint64(0xD1B54A32D192ED03))) & np.uint64(1)
+            place = np.minimum(place + bit.view(np.int64), stop)
         return key
 
 
@@ -112,20 +115,21 @@ class Items:
                 self.words[len(self.ids)] = w
                 self.by_width[len(w)].append(len(self.ids))
                 self.ids.append(item_id)
-        self.tables: dict[int, list[tuple[Walk, dict[int, list[int]]]]] = {}
+        self.tables: dict[int, tuple[Walks, list[dict[int, list[int]]]]] = {}
         self.pairs: dict[int, np.ndarray] = {}
         self.seen = np.unique(np.concatenate([word_hashes(w) for w in self.words.values()])) if self.words else np.zeros(0, np.uint64)
         for width, members in self.by_width.items():
             hashes = [word_hashes(self.words[i]) for i in members]
             self.pairs[width] = np.unique(np.concatenate([pair_hashes(h[:-1], h[1:]) for h in hashes]))
             joined, first = np.concatenate(hashes), np.arange(len(members)) * width
-            draws = []
-            for r in range(REPEATS if width >= LEAST_WORDS else 1):
-                walk, table = Walk(width, r), defaultdict(list)
-                for i, key in zip(members, walk.keys(joined, first, first + width).tolist()):
+            walks = Walks(width, REPEATS if width >= LEAST_WORDS else 1)
+            tables: list[dict[int, list[int]]] = []
+            for row in walks.keys(joined, first, first + width).tolist():
+                table = defaultdict(list)
+                for i, key in zip(members, row):
                     table[key].append(i)
-                draws.append((walk, dict(table)))
-            self.tables[width] = draws
+                tables.append(dict(table))
+            self.tables[width] = walks, tables
 
     def edits(self, width: int) -> int:
         return int(EDITS * width) if width >= LEAST_WORDS else 0
@@ -143,7 +147,7 @@ class Items:
         some = np.flatnonzero(near[:-1] & near[1:] & (owner[:-1] == owner[1:]))
         pair = pair_hashes(h[some], h[some + 1])
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for width, draws in self.tables.items():
+        for width, (walks, tables) in self.tables.items():
             k = self.edits(width)
             least = width - 1 - 2 * k  # word pairs that a matching window shares
             if least >= 1:
@@ -162,10 +166,11 @@ class Items:
                 continue
             stops = np.minimum(at + width, bounds[1:][owner[at]])
             candidates: set[tuple[int, int]] = set()
-            for walk, table in draws:
-                keys = walk.keys(h, at, stops)
-                for j in np.flatnonzero(np.isin(keys, np.fromiter(table, np.uint64, len(table)))):
-                    candidates.update((int(at[j]), i) for i in table[int(keys[j])])
+            for some_at in range(0, len(at), WALKED):
+                starts = at[some_at : some_at + WALKED]
+                for keys, table in zip(walks.keys(h, starts, stops[some_at : some_at + WALKED]), tables):
+                    for j in np.flatnonzero(np.isin(keys, np.fromiter(table, np.uint64, len(table)))):
+                        candidates.update((int(starts[j]), i) for i in table[int(keys[j])])
             for a, i in candidates:
                 t = int(owner[a])
                 stop = min(a + width + k, int(bounds[t + 1]))
