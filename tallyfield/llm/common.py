@@ -59,6 +59,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def with_row_id(docs: DataFrame, name: str, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with a long column that tells its rows apart, the same at every reading.
+
+    The document ids serve if they do that; else rows are numbered in a staged copy.
+    """
+    n, distinct = docs.agg(F.count("*"), F.count_distinct(id_col)).first()
+    if n == distinct:
+        return docs.withColumn(name, F.col(id_col).cast("long"))
+    return staged(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def small_batches(spark: SparkSession, records: int = 2000) -> None:
     """Bound what one Arrow batch holds: records and, for long texts, bytes.
 

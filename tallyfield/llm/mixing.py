@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import WORD, staged
+from tallyfield.llm.common import WORD, staged, with_row_id
 
 GROUP_ROWS = 100_000  # rows that one window sorts, about, if every document has one size
 SALTS = 64
@@ -109,7 +109,7 @@ def mix_plan(docs: DataFrame, **kw) -> DataFrame:
 def mix_documents(docs: DataFrame, **kw) -> DataFrame:
     """``docs`` with each row as often as the mix takes it, and the columns of ``docs``."""
     name = "__mix_row"
-    held = staged(docs.withColumn(name, F.monotonically_increasing_id()), "mix-rows")
+    held = with_row_id(docs, name)
     plan = mixed(staged(document_sizes(held, "doc_id", "text", "source", name), "sizes"), **kw)
     taken = plan.where("copies > 0").select(name, "copies")
     out = held.join(taken, name)

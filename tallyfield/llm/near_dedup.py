@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import coded, mix64, small_batches, split_words, staged, string_array, text_or_empty, uniform
+from tallyfield.llm.common import coded, mix64, small_batches, split_words, staged, string_array, text_or_empty, uniform, with_row_id
 from tallyfield.llm.components import connected_components
 
 SHINGLE = 5
@@ -166,10 +166,11 @@ def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, K)
 
 
-def map_groups(df: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
+def map_groups(df: DataFrame, keys: list[str], work, schema: str, then: list[str] | None = None, dealt: bool = False) -> DataFrame:
     """Apply ``work`` to runs of whole groups, many small groups at a call.
 
-    Rows are dealt and sorted by the keys; ``work`` gets a batch whose groups are complete
+    Rows are dealt by the keys and sorted by them and ``then`` (or were so before, if
+    ``dealt``); ``work`` gets a batch whose groups are complete
     and the starts of its groups. The last group of a batch waits for the next batch, so no
     more than a batch and one group is held.
     """
@@ -195,7 +196,9 @@ def map_groups(df: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
             new |= x[1:] != x[:-1]
         return np.concatenate(([0], np.flatnonzero(new) + 1))
 
-    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    if not dealt:
+        df = df.repartition(*keys).sortWithinPartitions(*keys, *(then or []))
+    return df.mapInArrow(run, schema)
 
 
 def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
@@ -323,7 +326,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each class: that of the least doc_id (of equal ones any)."""
     row = "__dedup_row"
-    held = staged(docs.withColumn(row, F.monotonically_increasing_id()), "dedup-rows")
+    held = with_row_id(docs, row)
     # rows are told apart by their number, so repeated and null ids are fine
     numbered = held.select(F.col(row).alias("doc_id"), "text")
     classes = near_duplicates(numbered)

@@ -148,3 +148,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyfield.llm.decontaminate import contaminated
 
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfield.llm.repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")

@@ -121,13 +121,11 @@ def mine_terms(rows: DataFrame) -> list[str]:
             toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             pairs = np.unique(owner.astype(np.int64) * len(words) + codes)
             doc, code = pairs // len(words), pairs % len(words)
-            seen: dict[str, set] = {}
             yes: Counter = Counter()
             no: Counter = Counter()
             for d in range(len(toxic)):
                 keys = {k for c in code[np.searchsorted(doc, d) : np.searchsorted(doc, d, side="right")] if words[c] for k in keys_of(words[c])}
                 (yes if toxic[d] else no).update(keys)
-            del seen
             every = list(yes.keys() | no.keys())
             yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([yes[k] for k in every], pa.int64()), pa.array([no[k] for k in every], pa.int64())], ["term", "yes", "no"])
 
@@ -148,7 +146,7 @@ def sample_features(rows: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray,
                 lists = [x.tolist() for x in np.split(c, np.searchsorted(r, np.arange(1, batch.num_rows)))]
                 yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(lists, pa.list_(pa.int32()))], ["toxic", "f"])
 
-    got = rows.mapInArrow(features, "toxic boolean, f array<int>").orderBy("toxic", "f").collect()
+    got = sorted(rows.mapInArrow(features, "toxic boolean, f array<int>").collect())  # reruns agree
     row = np.repeat(np.arange(len(got)), [len(g.f) for g in got])
     col = np.fromiter((x for g in got for x in g.f), np.int64, len(row))
     return row, col, np.array([g.toxic for g in got], bool)
@@ -186,8 +184,6 @@ def label_model(row: np.ndarray, col: np.ndarray, y: np.ndarray, width: int, rou
 def correlations(row: np.ndarray, col: np.ndarray, post: np.ndarray, rates: np.ndarray, least: float = 0.2) -> np.ndarray:
     """Sum over the other voters of the correlation of residual votes, where it is clear."""
     width, n = len(rates), len(post)
-    expected = rates[:, 0].sum() if width == 0 else None
-    del expected
     order = np.argsort(row, kind="stable")
     r, c = row[order], col[order]
     both: Counter = Counter()
