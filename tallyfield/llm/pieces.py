@@ -3,38 +3,55 @@
 A byte-level BPE tokenizer never merges across pre-tokens, and no pre-token of the
 pattern it uses reaches over a single space whose neighbours are not white space:
 the space is the first character of the pre-token on its right. So a text cut before
-such spaces encodes to the concatenation of its pieces' encodings. Each distinct
-piece is encoded once by the library and then looked up. A text with any other
-space (doubled, next to a newline, at either end) is encoded whole.
+such spaces encodes to the concatenation of its pieces' encodings, and a piece to that
+of its pre-tokens'. Each distinct pre-token is merged once by the library; pieces and
+pre-tokens met before are looked up. A text with any other space (doubled, next to a
+newline, at either end) is encoded whole by the library.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 
-from tallyfield.llm.common import coded
 
 LONG = 64  # characters; longer pieces are encoded each time and not kept
-KEEP = 400_000  # pieces kept by a worker before the table starts anew
+KEEP = 800_000  # pieces, and pre-tokens, that a worker keeps before it starts anew
+# The pre-token pattern of the byte-level vocabulary (GPT-2's).
+PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_find = regex.compile(PATTERN).findall
 
 
-class PieceTable:
-    """Distinct pieces seen so far with the ids (or only the number of ids) of each."""
+def byte_alphabet() -> dict[int, str]:
+    """The printable character that stands for each byte in the vocabulary's strings."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
-    def __init__(self, encode: Callable[[list[str]], list], with_ids: bool, keep: int = KEEP):
-        self.encode, self.with_ids, self.keep = encode, with_ids, keep
-        self.clear()
 
-    def clear(self) -> None:
-        self.slot: dict[str, int] = {}
-        self.n = 0
+_ALPHABET = byte_alphabet()
+
+
+def spelled(text: str) -> str:
+    """A string's UTF-8 bytes in the alphabet of the vocabulary."""
+    if text.isascii() and text[1:].isalnum() and text[0] == " ":
+        return "Ġ" + text[1:]
+    return text.encode().decode("latin-1").translate(_ALPHABET)
+
+
+class Pool:
+    """Id lists (or only their lengths) by slot, in arrays that grow."""
+
+    def __init__(self, with_ids: bool):
+        self.with_ids = with_ids
+        self.n = self.used = 0
         self.lens = np.zeros(1024, np.int64)
         self.starts = np.zeros(1024, np.int64)
-        self.pool, self.used = np.zeros(4096, np.uint32), 0
+        self.ids = np.zeros(4096, np.uint32)
 
     def _room(self, name: str, need: int) -> None:
         old = getattr(self, name)
@@ -43,36 +60,105 @@ class PieceTable:
             new[: len(old)] = old
             setattr(self, name, new)
 
-    def slots(self, keys: list[str]) -> np.ndarray:
-        """Slot of each key; keys not met before are encoded in one call."""
-        new = [k for k in dict.fromkeys(keys) if k not in self.slot]
-        if new:
-            got = self.encode(new)
-            self._room("lens", self.n + len(new))
-            self._room("starts", self.n + len(new))
-            lens = np.fromiter(map(len, got), np.int64, len(got)) if self.with_ids else np.asarray(got, np.int64)
-            self.lens[self.n : self.n + len(new)] = lens
-            if self.with_ids:
-                total = int(lens.sum())
-                self._room("pool", self.used + total)
-                self.pool[self.used : self.used + total] = np.fromiter((i for ids in got for i in ids), np.uint32, total)
-                self.starts[self.n : self.n + len(new)] = self.used + np.cumsum(lens) - lens
-                self.used += total
-            for k in new:
-                self.slot[k] = self.n
-                self.n += 1
-        return np.fromiter(map(self.slot.__getitem__, keys), np.int64, len(keys))
+    def add(self, lens: np.ndarray, ids: np.ndarray | None) -> range:
+        first, k = self.n, len(lens)
+        self._room("lens", first + k)
+        self.lens[first : first + k] = lens
+        if self.with_ids:
+            self._room("starts", first + k)
+            self._room("ids", self.used + len(ids))
+            self.starts[first : first + k] = self.used + np.cumsum(lens) - lens
+            self.ids[self.used : self.used + len(ids)] = ids
+            self.used += len(ids)
+        self.n += k
+        return range(first, first + k)
+
+    def gather(self, slots: np.ndarray) -> np.ndarray:
+        lens = self.lens[slots]
+        ends = np.cumsum(lens)
+        total = int(ends[-1]) if len(ends) else 0
+        index = np.repeat((self.starts[slots] - (ends - lens)).astype(np.int32), lens)
+        index += np.arange(total, dtype=np.int32)
+        return self.ids.take(index)
+
+
+class PieceTable:
+    def __init__(self, tokenizer, with_ids: bool, proven: frozenset[str] = frozenset(), keep: int = KEEP):
+        self.tk, self.with_ids, self.proven, self.keep = tokenizer, with_ids, proven, keep
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.clear()
+
+    def clear(self) -> None:
+        self.inner: dict[str, int] = {}
+        self.first: dict[str, int] = {}
+        self.pieces = Pool(self.with_ids)
+        self.words: dict[str, int] = {}
+        self.parts = Pool(self.with_ids)
+
+    def whole(self, text: str) -> list[int]:
+        return self.tk.encode(text, add_special_tokens=False).ids
+
+    def _merge(self, words: list[str]) -> None:
+        """Put pre-tokens not met before into the table."""
+        model, lens, ids = self.tk.model, [], []
+        for w in words:
+            s = spelled(w)
+            if not self.with_ids:
+                lens.append(1 if s in self.proven else len(model.tokenize(s)))
+                continue
+            got = [t.id for t in model.tokenize(s)]
+            lens.append(len(got))
+            ids.extend(got)
+        at = self.parts.add(np.array(lens, np.int64), np.array(ids, np.uint32))
+        self.words.update(zip(words, at))
+
+    def _add(self, texts: list[str], keys: list[str], table: dict[str, int]) -> None:
+        # Beyond the Latin blocks the two libraries' character classes may differ by version.
+        joined = " ".join(texts)
+        if max(joined) < "ɐ" and not any(a in joined for a in self.added):
+            plain = [True] * len(texts)
+        else:
+            plain = [max(t) < "ɐ" and not any(a in t for a in self.added) for t in texts]
+        cut = [_find(t) if p else [t] for t, p in zip(texts, plain)]
+        flat = list(chain.from_iterable(c for c, p in zip(cut, plain) if p))
+        if len(self.words) > self.keep:
+            self.words, self.parts = {}, Pool(self.with_ids)
+        self._merge([w for w in dict.fromkeys(flat) if w not in self.words])
+        slots = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
+        owner = np.repeat(np.flatnonzero(plain), [len(c) for c, p in zip(cut, plain) if p])
+        lens = np.bincount(owner, weights=self.parts.lens[slots], minlength=len(texts)).astype(np.int64)
+        rest = [(i, self.whole(t)) for i, (t, p) in enumerate(zip(texts, plain)) if not p]
+        for i, x in rest:
+            lens[i] = len(x)
+        ids = None
+        if self.with_ids:
+            ids = np.empty(int(lens.sum()), np.uint32)
+            ids[np.repeat(np.array(plain, bool), lens)] = self.parts.gather(slots)
+            ends = np.cumsum(lens)
+            for i, x in rest:
+                ids[ends[i] - lens[i] : ends[i]] = x
+        table.update(zip(keys, self.pieces.add(lens, ids)))
+
+    def slots(self, keys: list[str], inner: bool) -> np.ndarray:
+        """Slot of each piece, as it is after a space or at the start of a text."""
+        table = self.inner if inner else self.first
+        at = np.fromiter(map(table.get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            words = list(dict.fromkeys(keys[i] for i in new))
+            for k in range(0, len(words), 20_000):
+                some = words[k : k + 20_000]
+                self._add([" " + w for w in some] if inner else some, some, table)
+            at[new] = [table[keys[i]] for i in new]
+        return at
 
     def after_batch(self) -> None:
         """Forget what is too long to keep, and everything once there is too much."""
-        if self.n > self.keep:
+        if self.pieces.n > self.keep:
             self.clear()
-        else:
-            for k in [k for k in self.slot if len(k) > LONG]:
-                del self.slot[k]
 
 
-def encode_batch(texts: pa.Array, table: PieceTable, whole: Callable[[list[str]], list]):
+def encode_batch(texts: pa.Array, table: PieceTable) -> tuple[np.ndarray, np.ndarray | None]:
     """Number of ids of each text and, if the table keeps ids, all ids in one array."""
     n = len(texts)
     if n == 0:
@@ -80,37 +166,36 @@ def encode_batch(texts: pa.Array, table: PieceTable, whole: Callable[[list[str]]
     parts = pc.split_pattern(texts, " ")
     bounds = parts.offsets.to_numpy().astype(np.int64)
     bounds = bounds - bounds[0]
-    codes, words = coded(parts.flatten())
-    odd = np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in words), bool, len(words))
-    plain = ~np.logical_or.reduceat(odd[codes], bounds[:-1]) if len(codes) else np.zeros(n, bool)
-
-    first = bounds[:-1][plain]
-    inner = np.repeat(plain, np.diff(bounds))
-    used = np.zeros(len(words), bool)
-    used[codes[inner]] = True
+    coding = parts.flatten().dictionary_encode()
+    codes, words = coding.indices.to_numpy(zero_copy_only=False), coding.dictionary
+    size = pc.binary_length(words)
+    odd = pc.or_(pc.or_(pc.equal(size, 0), pc.not_equal(size, pc.binary_length(pc.utf8_trim_whitespace(words)))), pc.greater(size, LONG))
+    odd = odd.to_numpy(zero_copy_only=False) | pc.match_substring_regex(words, r"^[\x1c-\x1f]|[\x1c-\x1f]$").to_numpy(zero_copy_only=False)
+    plain = ~np.logical_or.reduceat(odd[codes], bounds[:-1])
+    counts = np.diff(bounds)
+    inner = np.repeat(plain, counts)
+    words = words.to_pylist()
+    good = np.flatnonzero(~odd)
     slot_of = np.zeros(len(words), np.int64)
-    at = np.flatnonzero(used)
-    slot_of[at] = table.slots([" " + words[i] for i in at])
+    slot_of[good] = table.slots([words[i] for i in good], True)
     slots = slot_of[codes]
-    slots[first] = table.slots([words[i] for i in codes[first]])
+    first = bounds[:-1][plain]
+    slots[first] = table.slots([words[i] for i in codes[first]], False)
     slots = slots[inner]
-    piece_lens = table.lens[slots]
-    owner = np.repeat(np.arange(n), np.diff(bounds))[inner]
-    lens = np.bincount(owner, weights=piece_lens, minlength=n).astype(np.int64)
+    lens = np.zeros(n, np.int64)
+    if len(slots):
+        starts = np.cumsum(counts[plain]) - counts[plain]
+        lens[plain] = np.add.reduceat(table.pieces.lens[slots], starts)
     rest = np.flatnonzero(~plain)
-    encoded = whole([texts[int(i)].as_py() for i in rest]) if len(rest) else []
+    encoded = [table.whole(texts[int(i)].as_py()) for i in rest]
+    lens[rest] = [len(x) for x in encoded]
     if not table.with_ids:
-        lens[rest] = encoded
         return lens, None
-    lens[rest] = [len(x) for x in encoded]
+    if not len(rest):
+        return lens, table.pieces.gather(slots)
     ends = np.cumsum(lens)
     ids = np.empty(int(ends[-1]), np.uint32)
-    if len(slots):
-        total = int(piece_lens.sum())
-        before = np.cumsum(piece_lens) - piece_lens
-        source = np.repeat(table.starts[slots] - before, piece_lens) + np.arange(total)
-        target = np.repeat(plain, lens)
-        ids[target] = table.pool[source]
+    ids[np.repeat(plain, lens)] = table.pieces.gather(slots)
     for i, x in zip(rest, encoded):
         ids[ends[i] - lens[i] : ends[i]] = x
     return lens, ids

@@ -38,31 +38,12 @@ def proven_tokens(path: str) -> frozenset[str]:
     return frozenset(proven)
 
 
-class ShortcutCounter:
-    """Counts tokens of short strings: proven pre-tokens directly, the rest by merging."""
-
-    def __init__(self, path: str):
-        self.tk = _tokenizer(path)
-        self.proven = proven_tokens(path)
-        self.added = [t.content for t in self.tk.get_added_tokens_decoder().values()]
-        self.simple = self.tk.normalizer is None and type(self.tk.pre_tokenizer).__name__ == "ByteLevel"
-
-    def whole(self, texts: list[str]) -> list[int]:
-        return [self.one(t) for t in texts]
-
-    def one(self, text: str) -> int:
-        if not self.simple or any(a in text for a in self.added):
-            return len(self.tk.encode(text, add_special_tokens=False).ids)
-        n, proven, model = 0, self.proven, self.tk.model
-        for word, _ in self.tk.pre_tokenizer.pre_tokenize_str(text):
-            n += 1 if word in proven else len(model.tokenize(word))
-        return n
-
-
 @cache
-def _counter(path: str) -> tuple[ShortcutCounter, PieceTable]:
-    counter = ShortcutCounter(path)
-    return counter, PieceTable(counter.whole, with_ids=False)
+def _counting(path: str) -> PieceTable | None:
+    """The table of counts, or None for a tokenizer that isn't byte-level BPE."""
+    tk = _tokenizer(path)
+    simple = tk.normalizer is None and type(tk.pre_tokenizer).__name__ == "ByteLevel"
+    return PieceTable(tk, with_ids=False, proven=proven_tokens(path)) if simple else None
 
 
 def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -77,12 +58,12 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 512
             sp = sentencepiece.SentencePieceProcessor(model_file=path)
             counts = lambda texts: np.array([len(x) for x in sp.encode(texts.to_pylist(), num_threads=1)], np.int64)
         else:
-            counter, table = _counter(path)
+            table, tk = _counting(path), _tokenizer(path)
 
             def counts(texts):
-                if not counter.simple:
-                    return np.array(counter.whole(texts.to_pylist()), np.int64)
-                n, _ = encode_batch(texts, table, counter.whole)
+                if table is None:
+                    return np.array([len(x.ids) for x in tk.encode_batch(texts.to_pylist(), add_special_tokens=False)], np.int64)
+                n, _ = encode_batch(texts, table)
                 table.after_batch()
                 return n
 

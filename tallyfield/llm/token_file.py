@@ -55,8 +55,7 @@ def _tokenizer(path: str):
 
 @cache
 def _piece_table(path: str) -> PieceTable:
-    tk = _tokenizer(path)
-    return PieceTable(lambda keys: [x.ids for x in tk.encode_batch(keys, add_special_tokens=False)], with_ids=True)
+    return PieceTable(_tokenizer(path), with_ids=True)
 
 
 def write_token_file(docs: DataFrame, at: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
@@ -77,8 +76,7 @@ def write_token_file(docs: DataFrame, at: str, tokenizer: str, end_id: int, id_c
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         shard, attempt = context.partitionId(), context.taskAttemptId()
-        table, tk = _piece_table(tokenizer), _tokenizer(tokenizer)
-        whole = lambda texts: [tk.encode(t, add_special_tokens=False).ids for t in texts]
+        table = _piece_table(tokenizer)
         lens: list[np.ndarray] = []
         ids_of_docs: list[np.ndarray] = []
         nulls = n_ids = 0
@@ -90,7 +88,7 @@ def write_token_file(docs: DataFrame, at: str, tokenizer: str, end_id: int, id_c
                 system, path = open_fs(f"{at}/part-{shard:06d}.ids")
                 out = system.open_output_stream(f"{path}.{attempt}")
                 out.write(MAGIC)
-            n, ids = encode_batch(string_array(batch.column(1)), table, whole)
+            n, ids = encode_batch(string_array(batch.column(1)), table)
             table.after_batch()
             ends = np.cumsum(n)
             ids = np.insert(ids, ends, end_id)
