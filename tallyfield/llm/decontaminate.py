@@ -153,7 +153,7 @@ class Items:
             if least >= 1:
                 hits = some[np.isin(pair, self.pairs[width])]
                 reach = width + k - 2
-                first, last = hits[: len(hits) - least + 1], hits[least - 1 :]
+                first, last = hits[: max(0, len(hits) - least + 1)], hits[least - 1 :]
                 close = (last - first <= reach) & (owner[first] == owner[last])
                 first, last = first[close], last[close]
                 low = np.maximum(last - reach, bounds[owner[first]])
