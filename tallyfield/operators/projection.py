@@ -95,7 +95,7 @@ def shrunk_rate(events: str, exposure: str, by: str = "position") -> tuple[Colum
 def rate_sums(frame: DataFrame, features: list[str] = FEATURES) -> DataFrame:
     """Sufficient statistics of every (position, driver, stat) ridge in one aggregation."""
     xs = features
-    rows = F.array(*(F.struct(F.lit(v).alias("driver"), F.lit(s).alias("stat"), F.col(v).cast("double").alias("vol"), (F.col(s) / F.col(v)).alias("y")) for v, ss in RATES.items() for s in ss))
+    rows = F.array(*(F.struct(F.lit(v).alias("driver"), F.lit(s).alias("stat"), F.col(v).cast("double").alias("vol"), F.try_divide(F.col(s), F.col(v)).alias("y")) for v, ss in RATES.items() for s in ss))
     long = frame.select("position", *(F.coalesce(F.col(x), F.lit(0.0)).alias(x) for x in xs), F.explode(rows).alias("r")).where("r.vol > 0").select("position", "r.driver", "r.stat", "r.y", *xs)
     sums = [F.count("*").alias("n"), F.sum("y").alias("y")]
     sums += [F.sum(x).alias(f"s_{x}") for x in xs] + [F.sum(F.col(x) * F.col("y")).alias(f"y_{x}") for x in xs]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -24,3 +25,9 @@ def local_session(cpus: int | None = None, memory: str = "8g", **extra: str) ->
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def package_on_workers(spark: SparkSession) -> None:
+    """Put this package's folder on the path of Python workers on the driver's machine; a
+    cluster ships the package (``--py-files``)."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[1]))
