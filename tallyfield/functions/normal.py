@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -67,8 +68,6 @@ def cdf(z: Column) -> Column:
 
 def cdf_exact(z: Column) -> Column:
     """The same by the error function, in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def f(s: pd.Series) -> pd.Series:
         return s.map(lambda v: 0.5 * (1 + math.erf(v / math.sqrt(2))))

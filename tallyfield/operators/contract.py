@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfield.operators.ingest import DRIVE
+from tallyfield.operators.ingest import drive_window
 
 KEY = ["drive_id", "play_id"]
 
@@ -21,11 +21,11 @@ def violations(states: DataFrame, players: DataFrame, teams: DataFrame | None =
 
     ``states``: plays with next states. ``players``: universe with player_id.
     """
-    nxt = [F.col(f"n_{c}").eqNullSafe(F.lead(c).over(DRIVE)) for c in ("down", "ydstogo", "yardline_100")]
+    nxt = [F.col(f"n_{c}").eqNullSafe(F.lead(c).over(drive_window())) for c in ("down", "ydstogo", "yardline_100")]
     whole = Window.partitionBy("drive_id")
     checked = states.select(
         *KEY, "down", "ydstogo", "yardline_100", "off_team", "def_team", "off_players", "def_players", "terminal",
-        reduce(lambda a, b: a & b, nxt).alias("_next_ok"), F.lead("play_id").over(DRIVE).isNull().alias("_last"),
+        reduce(lambda a, b: a & b, nxt).alias("_next_ok"), F.lead("play_id").over(drive_window()).isNull().alias("_last"),
         F.count("*").over(Window.partitionBy(*KEY)).alias("_same"), F.sum(F.col("terminal").cast("int")).over(whole).alias("_ends"),
         F.min("drive_points").over(whole).alias("_least"), F.max("drive_points").over(whole).alias("_most"),
         F.min(F.struct("off_team", "def_team")).over(whole).alias("_t0"), F.max(F.struct("off_team", "def_team")).over(whole).alias("_t1"),

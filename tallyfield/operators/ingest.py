@@ -7,7 +7,13 @@ from pyspark.sql import functions as F
 
 from tallyfield.schemas import STATS
 
-DRIVE = Window.partitionBy("drive_id").orderBy("play_id")
+
+
+def drive_window():
+    """Plays of a drive in order."""
+    return Window.partitionBy("drive_id").orderBy("play_id")
+
+
 DRIVE_POINTS = {"Touchdown": 7, "Field goal": 3}
 NO_POINTS = ["Punt", "Turnover", "Turnover on downs", "Missed field goal", "End of half", "Opp touchdown", "Safety"]
 
@@ -45,10 +51,10 @@ def build_plays(raw: DataFrame, participation: DataFrame | None = None, semantic
 
 def with_next_state(plays: DataFrame) -> DataFrame:
     """State after each play within its drive; null and ``terminal`` on the last one."""
-    last = F.lead("play_id").over(DRIVE).isNull()
+    last = F.lead("play_id").over(drive_window()).isNull()
     return plays.withColumns(
         {
-            **{f"n_{c}": F.lead(c).over(DRIVE) for c in ("down", "ydstogo", "yardline_100")},
+            **{f"n_{c}": F.lead(c).over(drive_window()) for c in ("down", "ydstogo", "yardline_100")},
             "terminal": last,
             "terminal_value": F.when(last, F.col("drive_points")),
         }

@@ -377,7 +377,16 @@ def cells(spark, d):
     return h.where("season = 2023").withColumnRenamed("points", "actual").join(f.where("sd > 0"), "player_id")
 
 
-A, P, S = F.col("actual"), F.col("forecast"), F.col("sd")
+def A():  # columns can be made only once a session exists
+    return F.col("actual")
+
+
+def P():
+    return F.col("forecast")
+
+
+def S():
+    return F.col("sd")
 
 
 @query(with_("history", """SELECT coalesce(position, 'ALL') AS position, count(*) AS n, round(avg(abs(forecast - actual)), 6) AS mae, round(sqrt(avg(pow(forecast - actual, 2))), 6) AS rmse, round(avg(forecast - actual), 6) AS bias,
@@ -390,17 +399,17 @@ def e16_skill_report(spark, d):
 @query(with_("history", f"""SELECT position, round(avg(pow((actual - forecast) / sd, 2)), 6) AS nis, round(avg(CASE WHEN actual BETWEEN forecast - {normal.ppf(0.9)!r}::DOUBLE * sd AND forecast + {normal.ppf(0.9)!r}::DOUBLE * sd THEN 1.0::DOUBLE ELSE 0 END), 6) AS picp,
 round(2 * {normal.ppf(0.9)!r}::DOUBLE * avg(sd) / (max(actual) - min(actual)), 6) AS pinaw, round(avg(greatest(0.9::DOUBLE * (actual - forecast), -0.1::DOUBLE * (actual - forecast))), 6) AS pinball FROM c GROUP BY position""", CELL))
 def e5_calibration(spark, d):
-    return cells(spark, d).groupBy("position").agg(R(evaluation.nis(A, P, S * S), "nis"), R(evaluation.picp(A, P, S), "picp"), R(evaluation.pinaw(A, S), "pinaw"), R(evaluation.pinball(A, P, 0.9), "pinball"))
+    return cells(spark, d).groupBy("position").agg(R(evaluation.nis(A(), P(), S() * S()), "nis"), R(evaluation.picp(A(), P(), S()), "picp"), R(evaluation.pinaw(A(), S()), "pinaw"), R(evaluation.pinball(A(), P(), 0.9), "pinball"))
 
 
 @query(with_("history", f"SELECT player_id, week, round({normal.cdf_sql('((actual - forecast) / sd)')}, 5) AS pit FROM c", CELL))
 def e3_pit(spark, d):
-    return cells(spark, d).select("player_id", "week", F.round(evaluation.pit(A, P, S), 5).alias("pit"))
+    return cells(spark, d).select("player_id", "week", F.round(evaluation.pit(A(), P(), S()), 5).alias("pit"))
 
 
 @query(with_("history", f"""SELECT position, round(avg(sd * (z * (2 * u - 1) + 2 * exp(-z * z / 2) / sqrt(2 * pi()) - 1 / sqrt(pi()))), 5) AS crps FROM (SELECT *, {normal.cdf_sql('z')} AS u FROM (SELECT *, (actual - forecast) / sd AS z FROM c)) GROUP BY position""", CELL))
 def e4_crps(spark, d):
-    return cells(spark, d).groupBy("position").agg(F.round(F.avg(evaluation.crps(A, P, S)), 5).alias("crps"))
+    return cells(spark, d).groupBy("position").agg(F.round(F.avg(evaluation.crps(A(), P(), S())), 5).alias("crps"))
 
 
 @query(f"SELECT p, round({normal.ppf_sql('p')}, 6) AS z FROM (SELECT id / 1000.0::DOUBLE AS p FROM range(1, 1000) t(id))")
@@ -431,7 +440,7 @@ def t4_ndcg(spark, d):
 
 @query(with_("history", "SELECT player_id, week, round(CASE WHEN count(*) OVER w >= 20 THEN stddev_samp(forecast - actual) OVER w END, 6) AS prior_sd FROM c WINDOW w AS (PARTITION BY position ORDER BY week RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", CELL))
 def w8_earlier_spread(spark, d):
-    e = cells(spark, d).withColumn("err", P - A)
+    e = cells(spark, d).withColumn("err", P() - A())
     return evaluation.strictly_earlier_sd(e, "err", "week", ["position"]).select("player_id", "week", R("prior_sd"))
 
 
@@ -443,14 +452,14 @@ mm AS (SELECT rep, sum(s) / sum(n) AS mean FROM dr JOIN cl USING (i) GROUP BY re
 @query(with_("history", """SELECT round(point, 6) AS point, clusters, round(lower, 6) AS lower, round(upper, 6) AS upper, lower > 0 OR upper < 0 AS excludes_zero FROM
 (SELECT sum(s) / sum(n) AS point, count(*) AS clusters FROM cl), (SELECT quantile_cont(mean, 0.025) AS lower, quantile_cont(mean, 0.975) AS upper FROM mm)""", CELL, _BOOT))
 def e10_cluster_bootstrap(spark, d):
-    u = cells(spark, d).withColumn("m", F.abs(F.col("baseline") - A) - F.abs(P - A))
+    u = cells(spark, d).withColumn("m", F.abs(F.col("baseline") - A()) - F.abs(P() - A()))
     return evaluation.cluster_bootstrap(u, "m", ["week"]).select(R("point"), "clusters", R("lower"), R("upper"), "excludes_zero")
 
 
 @query(with_("history", "SELECT count(m) AS n, round(avg(m), 6) AS mean, round(avg(m) + 1.96::DOUBLE * stddev_samp(m) / sqrt(count(m)), 6) AS threshold FROM (SELECT (CASE WHEN CAST('0x' || substr(md5(player_id || '|' || week), 1, 2) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) * (abs(baseline - actual) - abs(forecast - actual)) AS m FROM c)", CELL))
 def e18_sign_flip_gate(spark, d):
     sign = F.when(F.conv(F.substring(F.md5(F.concat_ws("|", "player_id", F.col("week").cast("string"))), 1, 2), 16, 10).cast("long") % 2 == 0, 1).otherwise(-1)
-    u = cells(spark, d).withColumn("m", sign * (F.abs(F.col("baseline") - A) - F.abs(P - A)))
+    u = cells(spark, d).withColumn("m", sign * (F.abs(F.col("baseline") - A()) - F.abs(P() - A())))
     return evaluation.gate(u, "m").select("n", R("mean"), R("threshold"))
 
 
@@ -505,11 +514,11 @@ def qy6_latest_run(spark, d):
 
 @query(with_("history", """SELECT CASE WHEN grouping(week) = 1 THEN -1 ELSE week END AS week, CASE WHEN grouping(position) = 1 THEN 'ALL' ELSE position END AS position, count(*) AS n, round(avg(abs(forecast - actual)), 6) AS mae, round(sqrt(avg(pow(forecast - actual, 2))), 6) AS rmse FROM c GROUP BY GROUPING SETS ((week, position), (position), ())""", CELL))
 def qy9_scorecard(spark, d):
-    g = cells(spark, d).groupingSets([["week", "position"], ["position"], []], "week", "position").agg(F.grouping("week").alias("gw"), F.grouping("position").alias("gp"), F.count("*").alias("n"), R(evaluation.mae(P, A), "mae"), R(evaluation.rmse(P, A), "rmse"))
+    g = cells(spark, d).groupingSets([["week", "position"], ["position"], []], "week", "position").agg(F.grouping("week").alias("gw"), F.grouping("position").alias("gp"), F.count("*").alias("n"), R(evaluation.mae(P(), A()), "mae"), R(evaluation.rmse(P(), A()), "rmse"))
     return g.select(F.when(F.col("gw") == 1, -1).otherwise(F.col("week")).alias("week"), F.when(F.col("gp") == 1, "ALL").otherwise(F.col("position")).alias("position"), "n", "mae", "rmse")
 
 
 @query(with_("history", f"SELECT player_id, week, round(forecast - {normal.ppf(0.9)!r}::DOUBLE * sd, 6) AS low, round(forecast + {normal.ppf(0.9)!r}::DOUBLE * sd, 6) AS high FROM c", CELL))
 def qy13_bands(spark, d):
     z = normal.ppf(0.9)
-    return cells(spark, d).select("player_id", "week", R(P - S * z, "low"), R(P + S * z, "high"))
+    return cells(spark, d).select("player_id", "week", R(P() - S() * z, "low"), R(P() + S() * z, "high"))

@@ -104,7 +104,7 @@ def synthetic_world(spark: SparkSession, teams: int = 12, weeks: int = 14, drive
     m = teams - 1
     pair = F.expr(f"case when off = {m} then pmod(week * {(m + 1) // 2}, {m}) when pmod(week - off, {m}) = off then {m} else pmod(week - off, {m}) end").cast("int")
     games = games.withColumn("def", pair).withColumn("n", (2 + F.floor(8 * hash_uniform(seed, "n", F.col("week"), F.col("off"), F.col("drive")))).cast("int"))
-    p = games.withColumn("play_id", F.explode(F.sequence(F.lit(1), F.col("n"))).cast("long"))
+    p = games.withColumn("play_id", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n").cast("long"))))
     key = [F.col("week"), F.col("off"), F.col("drive"), F.col("play_id")]
     side = F.col("off") if defence_from == "offence" else F.col("def")
     off = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda r: F.concat(F.lit("o"), F.col("off").cast("string"), F.lit("_"), (r + F.when(hash_uniform(seed, "o", r, *key) < 0.8, 0).otherwise(4)).cast("string")))
