@@ -12,9 +12,10 @@ Equal texts are one node. Signatures are cut into bands; nodes that share a band
 candidates. Within a band bucket pairs are not enumerated into the plan: round one emits a
 spanning forest of the most similar pairs by signature, checked exactly (Jaccard similarity
 of the shingle sets, ``LEAST`` or more) on the texts, and components are formed. Round two
-takes only buckets whose nodes are still in different components and emits every pair across
-components whose signatures agree enough, so no link is lost to the forest. Buckets are
-worked in blocks of ``BLOCK`` nodes, in round two in pairs of blocks, so none is gathered.
+takes only families (nodes that buckets connect) that still hold several components and
+checks every pair across components whose signatures agree enough, so no link is lost to the
+forest; it returns only links that join components. Buckets are worked in blocks of ``BLOCK``
+nodes, families in pairs of blocks, so none is gathered.
 
 A pair of similarity 0.8 shares a band with probability 0.9996; signatures of such a pair
 agree below ``AGREE`` with probability under 1e-3.
@@ -233,19 +234,50 @@ def _forests(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
 
 
 def _across(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
-    """Pairs of each cell across components whose signatures agree enough."""
-    v, c, side, sig = t["v"].to_numpy(), t["c"].to_numpy(), t["side"].to_numpy().astype(bool), _signatures(t["sig"])
+    """Links of each cell across components: pairs whose signatures agree enough are checked
+    exactly, and a link found makes its components one for the rest of the cell."""
+    v, c, side = t["v"].to_numpy(), t["c"].to_numpy().copy(), t["side"].to_numpy().astype(bool)
+    sig = _signatures(t["sig"])
+    sets = [np.frombuffer(x, np.uint64) for x in t["hashes"].to_pylist()]
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
     a, b = [], []
     for s, e in zip(starts, np.append(starts[1:], t.num_rows)):
         left, right = s + np.flatnonzero(side[s:e]), s + np.flatnonzero(~side[s:e])
         for i in left:
             j = right[c[right] != c[i]]
-            j = j[(sig[j] == sig[i]).mean(axis=1) >= AGREE]
-            a.append(np.full(len(j), v[i]))
-            b.append(v[j])
+            # no pair whose sizes differ more than LEAST allows can be a link
+            j = j[np.minimum(sizes[j], sizes[i]) >= LEAST * np.maximum(sizes[j], sizes[i]) - 1e-9]
+            like = (sig[j] == sig[i]).mean(axis=1)
+            j = j[np.argsort(-like, kind="stable")[: int((like >= AGREE).sum())]]
+            for k in range(0, len(j), 64):
+                some = j[k : k + 64]
+                some = some[c[some] != c[i]]
+                if not len(some) or not sizes[i]:
+                    continue
+                at = np.cumsum(sizes[some]) - sizes[some]
+                both = np.add.reduceat(np.isin(np.concatenate([sets[x] for x in some]), sets[i]), at, dtype=np.int64)
+                for x in some[both * 1000 >= round(LEAST * 1000) * (sizes[some] + sizes[i] - both)]:
+                    if c[x] != c[i]:
+                        a.append(v[i : i + 1])
+                        b.append(v[x : x + 1])
+                        cell = c[s:e]
+                        cell[cell == c[x]] = c[i]
     return _pairs(a, b)
 
 
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(v, c, k, sig, text) rows with the text's shingle set in its place."""
+    for batch in batches:
+        n = batch.num_rows
+        h, who = shingle_hashes(string_array(batch.column("text")))
+        o = np.lexsort((h, who))
+        h, who = h[o], who[o]
+        keep = np.concatenate(([True], (h[1:] != h[:-1]) | (who[1:] != who[:-1]))) if len(h) else np.zeros(0, bool)
+        parts = np.split(h[keep], np.searchsorted(who[keep], np.arange(1, n))) if n else []
+        hashes = pa.array([x.tobytes() for x in parts], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("v"), batch.column("c"), batch.column("k"), batch.column("sig"), hashes], ["v", "c", "k", "sig", "hashes"])
+
+
 def similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """Of (a, b) pairs those whose texts have shingle sets of similarity LEAST or more.
 
@@ -301,19 +333,23 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = staged(similar_pairs(one, texts), "links")
     labels = connected_components(links)
 
-    # Round two: buckets that still hold several components, every pair across them.
+    # Round two: families (what band buckets connect) that still hold several components.
     label = F.coalesce("c", "v")
-    marked = members.select("key", "v").join(labels, "v", "left").select("key", "v", label.alias("c"))
-    parts = marked.groupBy("key", "c").agg(F.count("*").alias("m"))
-    mixed = parts.groupBy("key").agg(F.count("*").alias("k"), F.sum("m").alias("n"), F.max(F.struct("m", "c")).alias("big")).where("k > 1")
-    mixed = mixed.select("key", "n", F.col("big.c").alias("big"))
-    open_rows = marked.join(mixed, "key").join(sigs, "v").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    open_rows = open_rows.withColumn("own", own)
+    family = connected_components(members.select(F.col("v").alias("a"), F.col("center").alias("b")))
+    family = family.select("v", F.col("c").alias("k"))
+    marked = sigs.join(labels, "v", "left").select("v", "sig", label.alias("c")).join(family, "v", "left").withColumn("k", F.coalesce("k", "v"))
+    marked = staged(marked, "marked")
+    parts = marked.groupBy("k", "c").agg(F.count("*").alias("m"))
+    mixed = parts.groupBy("k").agg(F.count("*").alias("parts"), F.sum("m").alias("n"), F.max(F.struct("m", "c")).alias("big")).where("parts > 1")
+    mixed = mixed.select("k", "n", F.col("big.c").alias("big"))
+    rows = marked.join(mixed.select("k"), "k", "left_semi").join(texts, "v").select("v", "c", "k", "sig", "text")
+    rows = rows.mapInArrow(_hashed, "v long, c long, k long, sig binary, hashes binary").join(mixed, "k")
+    rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", own)
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = open_rows.where("c <> big").select("key", F.col("own").alias("i"), every.alias("j"), "v", "c", "sig", F.lit(True).alias("side"))
-    right = open_rows.select("key", every.alias("i"), F.col("own").alias("j"), "v", "c", "sig", F.lit(False).alias("side"))
-    two = map_groups(left.union(right), ["key", "i", "j"], _across, "a long, b long").distinct().join(one, ["a", "b"], "left_anti")
-    more = staged(similar_pairs(two, texts), "links-across")
+    side = lambda i, j, left: ["k", i.alias("i"), j.alias("j"), "v", "c", "sig", "hashes", F.lit(left).alias("side")]
+    cells = rows.where("c <> big").select(*side(F.col("own"), every, True)).union(rows.select(*side(every, F.col("own"), False)))
+    two = map_groups(cells, ["k", "i", "j"], _across, "a long, b long")
+    more = staged(two, "links-across")
     if not more.isEmpty():
         labels = connected_components(labels.select(F.col("v").alias("a"), F.col("c").alias("b")).union(more))
 
