@@ -111,6 +111,6 @@ def mix_documents(docs: DataFrame, **kw) -> DataFrame:
     name = "__mix_row"
     held = with_row_id(docs, name)
     plan = mixed(staged(document_sizes(held, "doc_id", "text", "source", name), "sizes"), **kw)
-    taken = plan.where("copies > 0").select(name, "copies")
+    taken = plan.where("copies > 0").select(name, F.col("copies").alias("__copies"))
     out = held.join(taken, name)
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
