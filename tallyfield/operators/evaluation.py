@@ -63,8 +63,9 @@ def average_rank(value: str, by: list[str]) -> Column:
 def spearman(df: DataFrame, pred: str, actual: str, by: list[str]) -> DataFrame:
     """Rank correlation per group: null under two rows, 0 without spread."""
     r = df.withColumns({"_p": average_rank(pred, by), "_a": average_rank(actual, by)})
-    g = r.groupBy(*by).agg(F.count("*").alias("n"), F.corr("_p", "_a").alias("c"))
-    return g.select(*by, "n", F.when(F.col("n") < 2, None).otherwise(F.coalesce(F.when(~F.isnan("c"), F.col("c")), F.lit(0.0))).alias("spearman"))
+    c = F.try_divide(F.covar_pop("_p", "_a"), F.stddev_pop("_p") * F.stddev_pop("_a"))
+    g = r.groupBy(*by).agg(F.count("*").alias("n"), c.alias("c"))
+    return g.select(*by, "n", F.when(F.col("n") < 2, None).otherwise(F.coalesce("c", F.lit(0.0))).alias("spearman"))
 
 
 def top_n_hits(df: DataFrame, pred: str, actual: str, n: int, by: list[str], key: str) -> DataFrame:

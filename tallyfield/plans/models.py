@@ -74,11 +74,11 @@ def q6_position_median(spark, d):
 
 
 @query(with_("history", """SELECT DISTINCT player_id FROM (
-SELECT player_id, rank() OVER (ORDER BY last_p DESC) AS a, rank() OVER (ORDER BY mean_p DESC) AS b FROM (SELECT player_id, max_by(points, week) AS last_p, avg(points) AS mean_p FROM history WHERE season = 2023 AND week < 7 GROUP BY player_id)) WHERE a <= 20 OR b <= 20"""))
+SELECT player_id, rank() OVER (ORDER BY last_p DESC) AS a, rank() OVER (ORDER BY mean_p DESC) AS b FROM (SELECT player_id, max_by(points, week) AS last_p, round(avg(points), 6) AS mean_p FROM history WHERE season = 2023 AND week < 7 GROUP BY player_id)) WHERE a <= 20 OR b <= 20"""))
 def t5_union_pool(spark, d):
     """Everyone in the top 20 of any source, ties included."""
     h = v.history(spark, d)
-    top = lambda f: f.withColumn("r", F.rank().over(Window.partitionBy(F.lit(0)).orderBy(F.col("forecast").desc()))).where("r <= 20").select("player_id")
+    top = lambda f: f.withColumn("r", F.rank().over(Window.partitionBy(F.lit(0)).orderBy(F.round("forecast", 6).desc()))).where("r <= 20").select("player_id")
     at = AsOf(2023, 7)
     return top(asof.persistence(h, at)).union(top(asof.season_to_date(h, at).select("player_id", "forecast"))).distinct()
 
@@ -366,14 +366,15 @@ def m21_stat_lines(spark, d):
 # --- evaluation --------------------------------------------------------------------------
 
 CELL = """c AS (SELECT h.player_id, h.position, h.season, h.week, h.points AS actual, f.forecast, f.sd, b.baseline FROM history h
- JOIN (SELECT player_id, avg(points) AS forecast, stddev_samp(points) AS sd FROM history WHERE season = 2022 GROUP BY 1) f USING (player_id)
+ JOIN (SELECT player_id, round(avg(points), 6) AS forecast, stddev_samp(points) AS sd FROM history WHERE season = 2022 GROUP BY 1) f USING (player_id)
  JOIN (SELECT player_id, max_by(points, week) AS baseline FROM history WHERE season = 2022 GROUP BY 1) b USING (player_id) WHERE h.season = 2023 AND f.sd > 0)"""
 
 
 def cells(spark, d):
-    """Forecast (last season's mean and spread), baseline (its last week) and outcome."""
+    """Forecast (last season's mean, rounded so that ties don't hang on the order of a sum, and
+    its spread), baseline (its last week) and outcome."""
     h = v.history(spark, d)
-    f = h.where("season = 2022").groupBy("player_id").agg(F.avg("points").alias("forecast"), F.stddev_samp("points").alias("sd"), F.max_by("points", "week").alias("baseline"))
+    f = h.where("season = 2022").groupBy("player_id").agg(R(F.avg("points"), "forecast"), F.stddev_samp("points").alias("sd"), F.max_by("points", "week").alias("baseline"))
     return h.where("season = 2023").withColumnRenamed("points", "actual").join(f.where("sd > 0"), "player_id")
 
 
