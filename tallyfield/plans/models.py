@@ -14,7 +14,7 @@ from tallyfield.views import with_
 
 AT = AsOf(2023, 7)
 MAY = "(season < 2023 OR (season = 2023 AND week <= 6))"
-R = lambda c, name=None: F.round(c, 6).alias(name or c)
+R = lambda c, name=None: F.round(c, 8).alias(name or c)
 
 
 def states(spark, d):
@@ -29,56 +29,56 @@ def valued(spark, d):
 # --- baselines ---------------------------------------------------------------------------
 
 
-@query(with_("history", "SELECT player_id, round(max_by(points, week), 6) AS forecast FROM history WHERE season = 2023 AND week < 7 GROUP BY player_id"))
+@query(with_("history", "SELECT player_id, round(max_by(points, week), 8) AS forecast FROM history WHERE season = 2023 AND week < 7 GROUP BY player_id"))
 def j17_persistence(spark, d):
     return asof.persistence(v.history(spark, d), AT).select("player_id", R("forecast"))
 
 
-@query(with_("history", """SELECT player_id, round(m, 6) AS forecast, round(CASE WHEN s > 0 THEN s ELSE p END, 6) AS sd FROM
+@query(with_("history", """SELECT player_id, round(m, 8) AS forecast, round(CASE WHEN s > 0 THEN s ELSE p END, 8) AS sd FROM
 (SELECT player_id, avg(points) AS m, stddev_samp(points) AS s FROM history WHERE season = 2023 AND week < 7 GROUP BY player_id),
 (SELECT stddev_samp(m) AS p FROM (SELECT avg(points) AS m FROM history WHERE season = 2023 AND week < 7 GROUP BY player_id))"""))
 def a11_season_to_date(spark, d):
     return asof.season_to_date(v.history(spark, d), AT).select("player_id", R("forecast"), R("sd"))
 
 
-@query(with_("history", "SELECT player_id, round(avg(points), 6) AS forecast FROM history WHERE season = 2022 GROUP BY player_id"))
+@query(with_("history", "SELECT player_id, round(avg(points), 8) AS forecast FROM history WHERE season = 2022 GROUP BY player_id"))
 def a12_last_season(spark, d):
     return asof.last_season(v.history(spark, d), AT).select("player_id", R("forecast"))
 
 
-@query(with_("history", "SELECT player_id, round(avg(points), 6) AS realised FROM history WHERE season = 2023 AND week >= 7 GROUP BY player_id"))
+@query(with_("history", "SELECT player_id, round(avg(points), 8) AS realised FROM history WHERE season = 2023 AND week >= 7 GROUP BY player_id"))
 def a13_rest_of_season(spark, d):
     return v.history(spark, d).where("season = 2023 and week >= 7").groupBy("player_id").agg(R(F.avg("points"), "realised"))
 
 
-@query(with_("history", "SELECT player_id, season, week, round(avg(points) OVER (PARTITION BY player_id ORDER BY season, week ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 6) AS rolling FROM history"))
+@query(with_("history", "SELECT player_id, season, week, round(avg(points) OVER (PARTITION BY player_id ORDER BY season, week ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING), 8) AS rolling FROM history"))
 def w11_rolling_average(spark, d):
     return asof.rolling_mean(v.history(spark, d)).select("player_id", "season", "week", R("rolling"))
 
 
-@query(with_("history", f"""SELECT player_id, round(sum(w * points) / sum(w), 6) AS forecast FROM (
+@query(with_("history", f"""SELECT player_id, round(sum(w * points) / sum(w), 8) AS forecast FROM (
 SELECT *, pow(0.9::DOUBLE, (2023 - season) * 18 + 7 - week) AS w FROM history WHERE {MAY}) GROUP BY player_id"""))
 def w12_recency_mean(spark, d):
     return asof.recency_mean(v.history(spark, d), AT).select("player_id", R("forecast"))
 
 
-@query(with_("history", """SELECT p.player_id, s.season, s.week, round(h.points, 6) AS points, h.points IS NOT NULL AS played
+@query(with_("history", """SELECT p.player_id, s.season, s.week, round(h.points, 8) AS points, h.points IS NOT NULL AS played
 FROM (SELECT DISTINCT player_id FROM history) p CROSS JOIN (SELECT DISTINCT season, week FROM history) s LEFT JOIN history h USING (player_id, season, week)"""))
 def j18_timeline(spark, d):
     return asof.densify(v.history(spark, d)).select("player_id", "season", "week", R("points"), "played")
 
 
-@query(with_("history", "SELECT position, round(median(points), 6) AS median FROM history WHERE season = 2022 GROUP BY position"))
+@query(with_("history", "SELECT position, round(median(points), 8) AS median FROM history WHERE season = 2022 GROUP BY position"))
 def q6_position_median(spark, d):
     return v.history(spark, d).where("season = 2022").groupBy("position").agg(R(F.expr("percentile(points, 0.5)"), "median"))
 
 
 @query(with_("history", """SELECT DISTINCT player_id FROM (
-SELECT player_id, rank() OVER (ORDER BY last_p DESC) AS a, rank() OVER (ORDER BY mean_p DESC) AS b FROM (SELECT player_id, max_by(points, week) AS last_p, round(avg(points), 6) AS mean_p FROM history WHERE season = 2023 AND week < 7 GROUP BY player_id)) WHERE a <= 20 OR b <= 20"""))
+SELECT player_id, rank() OVER (ORDER BY last_p DESC) AS a, rank() OVER (ORDER BY mean_p DESC) AS b FROM (SELECT player_id, max_by(points, week) AS last_p, round(avg(points), 8) AS mean_p FROM history WHERE season = 2023 AND week < 7 GROUP BY player_id)) WHERE a <= 20 OR b <= 20"""))
 def t5_union_pool(spark, d):
     """Everyone in the top 20 of any source, ties included."""
     h = v.history(spark, d)
-    top = lambda f: f.withColumn("r", F.rank().over(Window.partitionBy(F.lit(0)).orderBy(F.round("forecast", 6).desc()))).where("r <= 20").select("player_id")
+    top = lambda f: f.withColumn("r", F.rank().over(Window.partitionBy(F.lit(0)).orderBy(F.round("forecast", 8).desc()))).where("r <= 20").select("player_id")
     at = AsOf(2023, 7)
     return top(asof.persistence(h, at)).union(top(asof.season_to_date(h, at).select("player_id", "forecast"))).distinct()
 
@@ -99,7 +99,7 @@ GRAM = """gram AS (SELECT a.season, a.week, a.col AS i, b.col AS j, sum(a.val *
   UNION ALL SELECT t.season, t.week, t.col, NULL, sum(t.val * d.dv) FROM tri t JOIN dv d USING (drive_id, play_id) GROUP BY ALL)"""
 
 
-@query(with_("states", "SELECT bucket, round(value, 6) AS value, n FROM cells", CELLS))
+@query(with_("states", "SELECT bucket, round(value, 8) AS value, n FROM cells", CELLS))
 def m1_cell_values(spark, d):
     return attribution.cell_values(states(spark, d)).select("bucket", R("value"), "n")
 
@@ -112,7 +112,7 @@ def m1_boosted_values(spark, d):
     return model.transform(s).groupBy("down").agg(F.avg("prediction").alias("value"), F.count("*").alias("n"))
 
 
-@query(with_("states", "SELECT drive_id, play_id, round(dv, 6) AS dv FROM dv", CELLS, DV))
+@query(with_("states", "SELECT drive_id, play_id, round(dv, 8) AS dv FROM dv", CELLS, DV))
 def m2_play_values(spark, d):
     return valued(spark, d).select("drive_id", "play_id", R("dv"))
 
@@ -130,25 +130,25 @@ def m4_pair_support(spark, d):
     return attribution.pair_support(v.plays(spark, d), v.players(spark, d), least=5)
 
 
-@query(with_("states", "SELECT i, j, round(sum(v), 4) AS v FROM gram GROUP BY i, j", CELLS, DV, TRIPLETS, GRAM))
+@query(with_("states", "SELECT i, j, round(sum(v), 7) AS v FROM gram GROUP BY i, j", CELLS, DV, TRIPLETS, GRAM))
 def j14_gram(spark, d):
     g = attribution.gram_blocks(attribution.design(v.plays(spark, d), v.players(spark, d)), valued(spark, d), [])
-    return g.select("i", "j", F.round("v", 4).alias("v"))
+    return g.select("i", "j", F.round("v", 7).alias("v"))
 
 
-@query(with_("states", "SELECT season, week, count(*) AS n, round(sum(v), 3) AS total FROM gram GROUP BY ALL", CELLS, DV, TRIPLETS, GRAM))
+@query(with_("states", "SELECT season, week, count(*) AS n, round(sum(v), 6) AS total FROM gram GROUP BY ALL", CELLS, DV, TRIPLETS, GRAM))
 def m9_weekly_blocks(spark, d):
     g = attribution.gram_blocks(attribution.design(v.plays(spark, d), v.players(spark, d)), valued(spark, d))
-    return g.groupBy("season", "week").agg(F.count("*").alias("n"), F.round(F.sum("v"), 3).alias("total"))
+    return g.groupBy("season", "week").agg(F.count("*").alias("n"), F.round(F.sum("v"), 6).alias("total"))
 
 
-@query(with_("states", """SELECT season, week, i, j, round(v, 4) AS v FROM (SELECT season, week, i, j, sum(v) OVER (PARTITION BY i, j ORDER BY season, week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS v FROM gram WHERE i LIKE 'o:%') WHERE v IS NOT NULL""", CELLS, DV, TRIPLETS, GRAM))
+@query(with_("states", """SELECT season, week, i, j, round(v, 7) AS v FROM (SELECT season, week, i, j, sum(v) OVER (PARTITION BY i, j ORDER BY season, week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS v FROM gram WHERE i LIKE 'o:%') WHERE v IS NOT NULL""", CELLS, DV, TRIPLETS, GRAM))
 def e12_cumulative_blocks(spark, d):
     g = attribution.gram_blocks(attribution.design(v.plays(spark, d), v.players(spark, d)), valued(spark, d)).where(F.col("i").startswith("o:"))
-    return evaluation.cumulative_blocks(g).select("season", "week", "i", "j", F.round("v", 4).alias("v"))
+    return evaluation.cumulative_blocks(g).select("season", "week", "i", "j", F.round("v", 7).alias("v"))
 
 
-@query(with_("plays", """SELECT i, j, round(v, 6) AS v FROM (SELECT off_team AS team, avg(drive_points) AS s FROM plays GROUP BY 1),
+@query(with_("plays", """SELECT i, j, round(v, 8) AS v FROM (SELECT off_team AS team, avg(drive_points) AS s FROM plays GROUP BY 1),
   LATERAL (VALUES ('o:' || team, 'o:' || team, 40.0::DOUBLE), ('d:' || team, 'd:' || team, 40.0), ('d:' || team, 'o:' || team, 40.0), ('o:' || team, NULL, 40 * s), ('d:' || team, NULL, 40 * s)) e(i, j, v)"""))
 def m8_market_rows(spark, d):
     s = v.plays(spark, d).groupBy(F.col("off_team").alias("team")).agg(F.avg("drive_points").alias("strength"))
@@ -180,7 +180,7 @@ def m7_situation_ratings(spark, d):
     return spark.createDataFrame(out, "situation string, col string, rating double")
 
 
-@query(with_("plays players", """SELECT drive_id, play_id, round(sum(CASE WHEN side = 'o' THEN r ELSE 0 END), 6) AS off_sum, round(sum(CASE WHEN side = 'd' THEN r ELSE 0 END), 6) AS def_sum FROM (
+@query(with_("plays players", """SELECT drive_id, play_id, round(sum(CASE WHEN side = 'o' THEN r ELSE 0 END), 8) AS off_sum, round(sum(CASE WHEN side = 'd' THEN r ELSE 0 END), 8) AS def_sum FROM (
  SELECT drive_id, play_id, side, coalesce(CAST(substr(player_id, 2) AS BIGINT) % 7 / 10.0::DOUBLE, 0) AS r FROM (
   SELECT drive_id, play_id, 'o' AS side, unnest(off_players) AS player_id FROM plays UNION ALL SELECT drive_id, play_id, 'd', unnest(def_players) FROM plays)) GROUP BY ALL"""))
 def j15_onfield_sums(spark, d):
@@ -195,18 +195,18 @@ rest AS (SELECT p.cell, p.fold, CASE WHEN c.n > p.n THEN (c.s - p.s) / (c.n - p.
 resid AS (SELECT f.*, dv - g AS resid FROM fold f JOIN rest USING (cell, fold))"""
 
 
-@query(with_("states", "SELECT drive_id, play_id, CAST(fold AS INTEGER) AS fold, round(resid, 6) AS resid FROM resid", CELLS, DV, _RESID))
+@query(with_("states", "SELECT drive_id, play_id, CAST(fold AS INTEGER) AS fold, round(resid, 8) AS resid FROM resid", CELLS, DV, _RESID))
 def m10_context_residual(spark, d):
     return attribution.context_residual(valued(spark, d)).select("drive_id", "play_id", "fold", R("resid"))
 
 
-@query(with_("states", """SELECT player_id, season, week, round(avg(resid), 6) AS credit, count(*) AS snaps FROM (SELECT season, week, resid, unnest(list_distinct(off_players)) AS player_id FROM resid)
+@query(with_("states", """SELECT player_id, season, week, round(avg(resid), 8) AS credit, count(*) AS snaps FROM (SELECT season, week, resid, unnest(list_distinct(off_players)) AS player_id FROM resid)
 WHERE player_id IN (SELECT p FROM (SELECT unnest(list_distinct(off_players)) AS p FROM resid) GROUP BY p HAVING count(*) >= 20) GROUP BY ALL""", CELLS, DV, _RESID))
 def a7_weekly_credit(spark, d):
     return attribution.weekly_credit(attribution.context_residual(valued(spark, d))).select("player_id", "season", "week", R("credit"), "snaps")
 
 
-@query(with_("plays", """SELECT season, role, player_id, count(*) AS n, round(avg(yards), 6) AS credit FROM (
+@query(with_("plays", """SELECT season, role, player_id, count(*) AS n, round(avg(yards), 8) AS credit FROM (
  SELECT season, yards, 'carry' AS role, off_players[1] AS player_id FROM plays WHERE play_type = 'run' UNION ALL SELECT season, yards, 'dropback', off_players[1] FROM plays WHERE play_type = 'pass'
  UNION ALL SELECT season, yards, 'target', off_players[2] FROM plays WHERE play_type = 'pass') GROUP BY ALL"""))
 def q1_role_credit(spark, d):
@@ -306,19 +306,19 @@ tr AS (SELECT regr_slope(rating, feeder_sv) AS s, regr_intercept(rating, feeder_
 r2 AS (SELECT 1 - sum(pow(rating - i - s * feeder_sv, 2)) / sum(pow(rating - m, 2)) AS oos_r2 FROM sh, tr, (SELECT avg(rating) AS m FROM sh WHERE out) WHERE out)"""
 
 
-@query(with_("history", "SELECT round(slope, 6) AS slope, round(intercept, 6) AS intercept, round(oos_r2, 6) AS oos_r2, n_shared FROM eq, r2", FEEDER, _EQ))
+@query(with_("history", "SELECT round(slope, 8) AS slope, round(intercept, 8) AS intercept, round(oos_r2, 8) AS oos_r2, n_shared FROM eq, r2", FEEDER, _EQ))
 def m16_equivalency(spark, d):
     return projection.equivalency(feeder(spark, d), ratings(spark, d)).select(R("slope"), R("intercept"), R("oos_r2"), "n_shared")
 
 
 @query(with_("history", """SELECT player_id, position, round(0.5::DOUBLE + 0.25::DOUBLE * feeder_sv + CASE WHEN age < 24 THEN 0.05 WHEN age > 30 THEN -0.05 ELSE 0 END
-+ CASE WHEN draft = 0 THEN -0.03 WHEN draft = 1 THEN 0.08 WHEN draft <= 3 THEN 0.03 ELSE 0 END, 6) AS prior_mean,
++ CASE WHEN draft = 0 THEN -0.03 WHEN draft = 1 THEN 0.08 WHEN draft <= 3 THEN 0.03 ELSE 0 END, 8) AS prior_mean,
 CASE position WHEN 'QB' THEN 0.16 WHEN 'RB' THEN 0.07 WHEN 'WR' THEN 0.08 ELSE 0.06 END::DOUBLE AS prior_sd FROM feeder""", FEEDER))
 def m17_priors(spark, d):
     return projection.priors(feeder(spark, d), 0.25, 0.5, "age", "draft").select("player_id", "position", R("prior_mean"), "prior_sd")
 
 
-@query("""SELECT position, g AS games, round((1 / (sd * sd)) / (1 / (sd * sd) + g / 0.02::DOUBLE), 6) AS weight FROM (VALUES ('QB', 0.16::DOUBLE), ('RB', 0.07), ('WR', 0.08), ('TE', 0.06), ('DEF', 0.07)) p(position, sd), (VALUES (1), (2), (4), (6), (8), (12)) q(g)""")
+@query("""SELECT position, g AS games, round((1 / (sd * sd)) / (1 / (sd * sd) + g / 0.02::DOUBLE), 8) AS weight FROM (VALUES ('QB', 0.16::DOUBLE), ('RB', 0.07), ('WR', 0.08), ('TE', 0.06), ('DEF', 0.07)) p(position, sd), (VALUES (1), (2), (4), (6), (8), (12)) q(g)""")
 def m18_washout(spark, d):
     return projection.washout(spark, 0.02).select("position", "games", R("weight"))
 
@@ -328,12 +328,12 @@ lst AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER
 mn AS (SELECT position, {', '.join(f'avg({c}) AS m_{c}' for c in projection.VOLUME)} FROM lst GROUP BY position)"""
 
 
-@query(with_("player_stats", "SELECT player_id, position, games, " + ", ".join(f"round(games / (games + 8.0::DOUBLE) * {c} + (1 - games / (games + 8.0::DOUBLE)) * m_{c}, 6) AS {c}" for c in projection.VOLUME) + " FROM lst JOIN mn USING (position)", _VOL))
+@query(with_("player_stats", "SELECT player_id, position, games, " + ", ".join(f"round(games / (games + 8.0::DOUBLE) * {c} + (1 - games / (games + 8.0::DOUBLE)) * m_{c}, 8) AS {c}" for c in projection.VOLUME) + " FROM lst JOIN mn USING (position)", _VOL))
 def m19_volume(spark, d):
     return projection.volume(v.player_stats(spark, d), AT).select("player_id", "position", "games", *(R(c) for c in projection.VOLUME))
 
 
-@query(with_("history", "SELECT position, count(*) AS n, round(regr_slope(points, rating), 6) AS slope, round(regr_intercept(points, rating), 6) AS intercept FROM history JOIN rat USING (player_id) WHERE season = 2022 GROUP BY position HAVING count(*) >= 10 AND max(rating) > min(rating)", FEEDER))
+@query(with_("history", "SELECT position, count(*) AS n, round(regr_slope(points, rating), 8) AS slope, round(regr_intercept(points, rating), 8) AS intercept FROM history JOIN rat USING (player_id) WHERE season = 2022 GROUP BY position HAVING count(*) >= 10 AND max(rating) > min(rating)", FEEDER))
 def m23_points_map(spark, d):
     f = v.history(spark, d).where("season = 2022").join(ratings(spark, d), "player_id")
     return projection.points_map(f).select("position", "n", R("slope"), R("intercept"))
@@ -366,15 +366,14 @@ def m21_stat_lines(spark, d):
 # --- evaluation --------------------------------------------------------------------------
 
 CELL = """c AS (SELECT h.player_id, h.position, h.season, h.week, h.points AS actual, f.forecast, f.sd, b.baseline FROM history h
- JOIN (SELECT player_id, round(avg(points), 6) AS forecast, stddev_samp(points) AS sd FROM history WHERE season = 2022 GROUP BY 1) f USING (player_id)
+ JOIN (SELECT player_id, avg(points) AS forecast, stddev_samp(points) AS sd FROM history WHERE season = 2022 GROUP BY 1) f USING (player_id)
  JOIN (SELECT player_id, max_by(points, week) AS baseline FROM history WHERE season = 2022 GROUP BY 1) b USING (player_id) WHERE h.season = 2023 AND f.sd > 0)"""
 
 
 def cells(spark, d):
-    """Forecast (last season's mean, rounded so that ties don't hang on the order of a sum, and
-    its spread), baseline (its last week) and outcome."""
+    """Forecast (last season's mean and spread), baseline (its last week) and outcome."""
     h = v.history(spark, d)
-    f = h.where("season = 2022").groupBy("player_id").agg(R(F.avg("points"), "forecast"), F.stddev_samp("points").alias("sd"), F.max_by("points", "week").alias("baseline"))
+    f = h.where("season = 2022").groupBy("player_id").agg(F.avg("points").alias("forecast"), F.stddev_samp("points").alias("sd"), F.max_by("points", "week").alias("baseline"))
     return h.where("season = 2023").withColumnRenamed("points", "actual").join(f.where("sd > 0"), "player_id")
 
 
@@ -390,15 +389,15 @@ def S():
     return F.col("sd")
 
 
-@query(with_("history", """SELECT coalesce(position, 'ALL') AS position, count(*) AS n, round(avg(abs(forecast - actual)), 6) AS mae, round(sqrt(avg(pow(forecast - actual, 2))), 6) AS rmse, round(avg(forecast - actual), 6) AS bias,
-round(avg(abs(baseline - actual) - abs(forecast - actual)), 6) AS margin, round(1 - avg(abs(forecast - actual)) / avg(abs(baseline - actual)), 6) AS skill FROM c GROUP BY GROUPING SETS ((position), ())""", CELL))
+@query(with_("history", """SELECT coalesce(position, 'ALL') AS position, count(*) AS n, round(avg(abs(forecast - actual)), 8) AS mae, round(sqrt(avg(pow(forecast - actual, 2))), 8) AS rmse, round(avg(forecast - actual), 8) AS bias,
+round(avg(abs(baseline - actual) - abs(forecast - actual)), 8) AS margin, round(1 - avg(abs(forecast - actual)) / avg(abs(baseline - actual)), 8) AS skill FROM c GROUP BY GROUPING SETS ((position), ())""", CELL))
 def e16_skill_report(spark, d):
     r = evaluation.skill_report(cells(spark, d))
     return r.select("position", "n", *(R(c) for c in ("mae", "rmse", "bias", "margin", "skill")))
 
 
-@query(with_("history", f"""SELECT position, round(avg(pow((actual - forecast) / sd, 2)), 6) AS nis, round(avg(CASE WHEN actual BETWEEN forecast - {normal.ppf(0.9)!r}::DOUBLE * sd AND forecast + {normal.ppf(0.9)!r}::DOUBLE * sd THEN 1.0::DOUBLE ELSE 0 END), 6) AS picp,
-round(2 * {normal.ppf(0.9)!r}::DOUBLE * avg(sd) / (max(actual) - min(actual)), 6) AS pinaw, round(avg(greatest(0.9::DOUBLE * (actual - forecast), -0.1::DOUBLE * (actual - forecast))), 6) AS pinball FROM c GROUP BY position""", CELL))
+@query(with_("history", f"""SELECT position, round(avg(pow((actual - forecast) / sd, 2)), 8) AS nis, round(avg(CASE WHEN actual BETWEEN forecast - {normal.ppf(0.9)!r}::DOUBLE * sd AND forecast + {normal.ppf(0.9)!r}::DOUBLE * sd THEN 1.0::DOUBLE ELSE 0 END), 8) AS picp,
+round(2 * {normal.ppf(0.9)!r}::DOUBLE * avg(sd) / (max(actual) - min(actual)), 8) AS pinaw, round(avg(greatest(0.9::DOUBLE * (actual - forecast), -0.1::DOUBLE * (actual - forecast))), 8) AS pinball FROM c GROUP BY position""", CELL))
 def e5_calibration(spark, d):
     return cells(spark, d).groupBy("position").agg(R(evaluation.nis(A(), P(), S() * S()), "nis"), R(evaluation.picp(A(), P(), S()), "picp"), R(evaluation.pinaw(A(), S()), "pinaw"), R(evaluation.pinball(A(), P(), 0.9), "pinball"))
 
@@ -413,33 +412,38 @@ def e4_crps(spark, d):
     return cells(spark, d).groupBy("position").agg(F.round(F.avg(evaluation.crps(A(), P(), S())), 5).alias("crps"))
 
 
-@query(f"SELECT p, round({normal.ppf_sql('p')}, 6) AS z FROM (SELECT id / 1000.0::DOUBLE AS p FROM range(1, 1000) t(id))")
+@query(f"SELECT p, round({normal.ppf_sql('p')}, 8) AS z FROM (SELECT id / 1000.0::DOUBLE AS p FROM range(1, 1000) t(id))")
 def f_normal_quantile(spark, d):
     return spark.range(1, 1000).select((F.col("id") / 1000).alias("p")).select("p", R(normal.ppf_column(F.col("p")), "z"))
 
 
-_RANK = "rk AS (SELECT *, rank() OVER (PARTITION BY week ORDER BY forecast) + (count(*) OVER (PARTITION BY week, forecast) - 1) / 2.0 AS rp, rank() OVER (PARTITION BY week ORDER BY actual) + (count(*) OVER (PARTITION BY week, actual) - 1) / 2.0 AS ra FROM c)"
+def ranked_cells(spark, d):
+    """Cells whose forecasts are rounded, so that ties don't hang on the order of a sum."""
+    return cells(spark, d).withColumn("forecast", F.round("forecast", 6))
 
 
-@query(with_("history", "SELECT week, count(*) AS n, round(coalesce(corr(rp, ra), 0), 6) AS spearman FROM rk GROUP BY week", CELL, _RANK))
+_RANK = "rk AS (SELECT *, rank() OVER (PARTITION BY week ORDER BY forecast) + (count(*) OVER (PARTITION BY week, forecast) - 1) / 2.0 AS rp, rank() OVER (PARTITION BY week ORDER BY actual) + (count(*) OVER (PARTITION BY week, actual) - 1) / 2.0 AS ra FROM (SELECT * REPLACE (round(forecast, 6) AS forecast) FROM c))"
+
+
+@query(with_("history", "SELECT week, count(*) AS n, round(coalesce(corr(rp, ra), 0), 8) AS spearman FROM rk GROUP BY week", CELL, _RANK))
 def e7_spearman(spark, d):
-    return evaluation.spearman(cells(spark, d), "forecast", "actual", ["week"]).select("week", "n", R("spearman"))
+    return evaluation.spearman(ranked_cells(spark, d), "forecast", "actual", ["week"]).select("week", "n", R("spearman"))
 
 
-_TOP = "tp AS (SELECT *, row_number() OVER (PARTITION BY week ORDER BY forecast DESC, player_id) AS rp, row_number() OVER (PARTITION BY week ORDER BY actual DESC, player_id) AS ra FROM c)"
+_TOP = "tp AS (SELECT *, row_number() OVER (PARTITION BY week ORDER BY forecast DESC, player_id) AS rp, row_number() OVER (PARTITION BY week ORDER BY actual DESC, player_id) AS ra FROM (SELECT * REPLACE (round(forecast, 6) AS forecast) FROM c))"
 
 
-@query(with_("history", "SELECT week, round(count(*) FILTER (rp <= 10 AND ra <= 10) / least(10, count(*))::DOUBLE, 6) AS hit_rate FROM tp GROUP BY week", CELL, _TOP))
+@query(with_("history", "SELECT week, round(count(*) FILTER (rp <= 10 AND ra <= 10) / least(10, count(*))::DOUBLE, 8) AS hit_rate FROM tp GROUP BY week", CELL, _TOP))
 def t3_top_n(spark, d):
-    return evaluation.top_n_hits(cells(spark, d), "forecast", "actual", 10, ["week"], "player_id").select("week", R("hit_rate"))
+    return evaluation.top_n_hits(ranked_cells(spark, d), "forecast", "actual", 10, ["week"], "player_id").select("week", R("hit_rate"))
 
 
-@query(with_("history", "SELECT week, round(sum(CASE WHEN rp <= 10 THEN actual / log2(rp + 1) ELSE 0 END) / sum(CASE WHEN ra <= 10 THEN actual / log2(ra + 1) ELSE 0 END), 6) AS ndcg FROM tp GROUP BY week", CELL, _TOP))
+@query(with_("history", "SELECT week, round(sum(CASE WHEN rp <= 10 THEN actual / log2(rp + 1) ELSE 0 END) / sum(CASE WHEN ra <= 10 THEN actual / log2(ra + 1) ELSE 0 END), 8) AS ndcg FROM tp GROUP BY week", CELL, _TOP))
 def t4_ndcg(spark, d):
-    return evaluation.ndcg(cells(spark, d), "forecast", "actual", 10, ["week"], "player_id").select("week", R("ndcg"))
+    return evaluation.ndcg(ranked_cells(spark, d), "forecast", "actual", 10, ["week"], "player_id").select("week", R("ndcg"))
 
 
-@query(with_("history", "SELECT player_id, week, round(CASE WHEN count(*) OVER w >= 20 THEN stddev_samp(forecast - actual) OVER w END, 6) AS prior_sd FROM c WINDOW w AS (PARTITION BY position ORDER BY week RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", CELL))
+@query(with_("history", "SELECT player_id, week, round(CASE WHEN count(*) OVER w >= 20 THEN stddev_samp(forecast - actual) OVER w END, 8) AS prior_sd FROM c WINDOW w AS (PARTITION BY position ORDER BY week RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)", CELL))
 def w8_earlier_spread(spark, d):
     e = cells(spark, d).withColumn("err", P() - A())
     return evaluation.strictly_earlier_sd(e, "err", "week", ["position"]).select("player_id", "week", R("prior_sd"))
@@ -450,14 +454,14 @@ dr AS (SELECT rep, CAST('0x' || substr(md5('boot|' || rep || '|' || i), 1, 12) A
 mm AS (SELECT rep, sum(s) / sum(n) AS mean FROM dr JOIN cl USING (i) GROUP BY rep)"""
 
 
-@query(with_("history", """SELECT round(point, 6) AS point, clusters, round(lower, 6) AS lower, round(upper, 6) AS upper, lower > 0 OR upper < 0 AS excludes_zero FROM
+@query(with_("history", """SELECT round(point, 8) AS point, clusters, round(lower, 8) AS lower, round(upper, 8) AS upper, lower > 0 OR upper < 0 AS excludes_zero FROM
 (SELECT sum(s) / sum(n) AS point, count(*) AS clusters FROM cl), (SELECT quantile_cont(mean, 0.025) AS lower, quantile_cont(mean, 0.975) AS upper FROM mm)""", CELL, _BOOT))
 def e10_cluster_bootstrap(spark, d):
     u = cells(spark, d).withColumn("m", F.abs(F.col("baseline") - A()) - F.abs(P() - A()))
     return evaluation.cluster_bootstrap(u, "m", ["week"]).select(R("point"), "clusters", R("lower"), R("upper"), "excludes_zero")
 
 
-@query(with_("history", "SELECT count(m) AS n, round(avg(m), 6) AS mean, round(avg(m) + 1.96::DOUBLE * stddev_samp(m) / sqrt(count(m)), 6) AS threshold FROM (SELECT (CASE WHEN CAST('0x' || substr(md5(player_id || '|' || week), 1, 2) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) * (abs(baseline - actual) - abs(forecast - actual)) AS m FROM c)", CELL))
+@query(with_("history", "SELECT count(m) AS n, round(avg(m), 8) AS mean, round(avg(m) + 1.96::DOUBLE * stddev_samp(m) / sqrt(count(m)), 8) AS threshold FROM (SELECT (CASE WHEN CAST('0x' || substr(md5(player_id || '|' || week), 1, 2) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) * (abs(baseline - actual) - abs(forecast - actual)) AS m FROM c)", CELL))
 def e18_sign_flip_gate(spark, d):
     sign = F.when(F.conv(F.substring(F.md5(F.concat_ws("|", "player_id", F.col("week").cast("string"))), 1, 2), 16, 10).cast("long") % 2 == 0, 1).otherwise(-1)
     u = cells(spark, d).withColumn("m", sign * (F.abs(F.col("baseline") - A()) - F.abs(P() - A())))
@@ -476,25 +480,25 @@ def e12_walk_forward(spark, d):
 # --- read-only views ---------------------------------------------------------------------
 
 
-@query(with_("history", "SELECT position, player_id, round(points, 6) AS points FROM (SELECT *, row_number() OVER (PARTITION BY position ORDER BY points DESC, player_id) AS r FROM history WHERE season = 2023 AND week = 6) WHERE r BETWEEN 3 AND 7"))
+@query(with_("history", "SELECT position, player_id, round(points, 8) AS points FROM (SELECT *, row_number() OVER (PARTITION BY position ORDER BY points DESC, player_id) AS r FROM history WHERE season = 2023 AND week = 6) WHERE r BETWEEN 3 AND 7"))
 def qy1_week_board(spark, d):
     w = Window.partitionBy("position").orderBy(F.col("points").desc(), "player_id")
     return v.history(spark, d).where("season = 2023 and week = 6").withColumn("r", F.row_number().over(w)).where("r between 3 and 7").select("position", "player_id", R("points"))
 
 
-@query(with_("history", "SELECT player_id, season, week, round(points, 6) AS points FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY season DESC, week DESC) AS r FROM history WHERE season <= 2023) WHERE r <= 4"))
+@query(with_("history", "SELECT player_id, season, week, round(points, 8) AS points FROM (SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY season DESC, week DESC) AS r FROM history WHERE season <= 2023) WHERE r <= 4"))
 def qy2_recent_usage(spark, d):
     w = Window.partitionBy("player_id").orderBy(F.col("season").desc(), F.col("week").desc())
     return v.history(spark, d).where("season <= 2023").withColumn("r", F.row_number().over(w)).where("r <= 4").select("player_id", "season", "week", R("points"))
 
 
-@query(with_("history", "SELECT player_id, round(quantile_cont(points, 0.1), 6) AS q10, round(quantile_cont(points, 0.5), 6) AS q50, round(quantile_cont(points, 0.9), 6) AS q90, round(avg(CASE WHEN points > 25 THEN 1.0::DOUBLE ELSE 0 END), 6) AS boom FROM history GROUP BY player_id"))
+@query(with_("history", "SELECT player_id, round(quantile_cont(points, 0.1), 8) AS q10, round(quantile_cont(points, 0.5), 8) AS q50, round(quantile_cont(points, 0.9), 8) AS q90, round(avg(CASE WHEN points > 25 THEN 1.0::DOUBLE ELSE 0 END), 8) AS boom FROM history GROUP BY player_id"))
 def qy3_distribution(spark, d):
     q = lambda p, n: R(F.expr(f"percentile(points, {p})"), n)
     return v.history(spark, d).groupBy("player_id").agg(q(0.1, "q10"), q(0.5, "q50"), q(0.9, "q90"), R(F.avg((F.col("points") > 25).cast("double")), "boom"))
 
 
-@query(with_("history", "SELECT player_id, round(a.p, 6) AS before, round(b.p, 6) AS after, round(coalesce(b.p, 0) - coalesce(a.p, 0), 6) AS change FROM (SELECT player_id, avg(points) AS p FROM history WHERE season = 2022 GROUP BY 1) a FULL JOIN (SELECT player_id, avg(points) AS p FROM history WHERE season = 2023 GROUP BY 1) b USING (player_id)"))
+@query(with_("history", "SELECT player_id, round(a.p, 8) AS before, round(b.p, 8) AS after, round(coalesce(b.p, 0) - coalesce(a.p, 0), 8) AS change FROM (SELECT player_id, avg(points) AS p FROM history WHERE season = 2022 GROUP BY 1) a FULL JOIN (SELECT player_id, avg(points) AS p FROM history WHERE season = 2023 GROUP BY 1) b USING (player_id)"))
 def qy4_change_log(spark, d):
     m = lambda s, n: v.history(spark, d).where(f"season = {s}").groupBy("player_id").agg(F.avg("points").alias(n))
     j = m(2022, "before").join(m(2023, "after"), "player_id", "full")
@@ -513,13 +517,13 @@ def qy6_latest_run(spark, d):
     return v.read(spark, d, "events").groupBy(F.col("event_type").alias("source")).agg(last.alias("x")).select("source", "x.event_id", "x.user_id")
 
 
-@query(with_("history", """SELECT CASE WHEN grouping(week) = 1 THEN -1 ELSE week END AS week, CASE WHEN grouping(position) = 1 THEN 'ALL' ELSE position END AS position, count(*) AS n, round(avg(abs(forecast - actual)), 6) AS mae, round(sqrt(avg(pow(forecast - actual, 2))), 6) AS rmse FROM c GROUP BY GROUPING SETS ((week, position), (position), ())""", CELL))
+@query(with_("history", """SELECT CASE WHEN grouping(week) = 1 THEN -1 ELSE week END AS week, CASE WHEN grouping(position) = 1 THEN 'ALL' ELSE position END AS position, count(*) AS n, round(avg(abs(forecast - actual)), 8) AS mae, round(sqrt(avg(pow(forecast - actual, 2))), 8) AS rmse FROM c GROUP BY GROUPING SETS ((week, position), (position), ())""", CELL))
 def qy9_scorecard(spark, d):
     g = cells(spark, d).groupingSets([["week", "position"], ["position"], []], "week", "position").agg(F.grouping("week").alias("gw"), F.grouping("position").alias("gp"), F.count("*").alias("n"), R(evaluation.mae(P(), A()), "mae"), R(evaluation.rmse(P(), A()), "rmse"))
     return g.select(F.when(F.col("gw") == 1, -1).otherwise(F.col("week")).alias("week"), F.when(F.col("gp") == 1, "ALL").otherwise(F.col("position")).alias("position"), "n", "mae", "rmse")
 
 
-@query(with_("history", f"SELECT player_id, week, round(forecast - {normal.ppf(0.9)!r}::DOUBLE * sd, 6) AS low, round(forecast + {normal.ppf(0.9)!r}::DOUBLE * sd, 6) AS high FROM c", CELL))
+@query(with_("history", f"SELECT player_id, week, round(forecast - {normal.ppf(0.9)!r}::DOUBLE * sd, 8) AS low, round(forecast + {normal.ppf(0.9)!r}::DOUBLE * sd, 8) AS high FROM c", CELL))
 def qy13_bands(spark, d):
     z = normal.ppf(0.9)
     return cells(spark, d).select("player_id", "week", R(P() - S() * z, "low"), R(P() + S() * z, "high"))

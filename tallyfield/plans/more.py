@@ -14,7 +14,7 @@ from tallyfield.registry import query
 from tallyfield.sources import tables
 from tallyfield.views import with_
 
-R = lambda c, name=None: F.round(c, 6).alias(name or c)
+R = lambda c, name=None: F.round(c, 8).alias(name or c)
 
 
 @query("SELECT 'c' || c_custkey AS player_id, c_name AS name, CAST(c_nationkey AS VARCHAR) AS team FROM customer")
@@ -37,7 +37,7 @@ def p6_drive_id(spark, d):
     return o.groupBy(F.concat_ws("_", F.concat(F.lit("g"), F.expr("o_orderkey div 8")), (F.col("o_orderkey") % 8).cast("double").cast("bigint").cast("string")).alias("drive_id")).agg(F.count("*").alias("n"))
 
 
-@query(with_("plays", "SELECT season, week, off_team AS team, round(avg(drive_points), 6) AS strength FROM plays WHERE season < 1998 OR (season = 1998 AND week <= 6) GROUP BY ALL"))
+@query(with_("plays", "SELECT season, week, off_team AS team, round(avg(drive_points), 8) AS strength FROM plays WHERE season < 1998 OR (season = 1998 AND week <= 6) GROUP BY ALL"))
 def p9_asof_market(spark, d):
     """Pre-game facts count up to the week itself."""
     m = v.plays(spark, d).groupBy("season", "week", F.col("off_team").alias("team")).agg(R(F.avg("drive_points"), "strength"))
@@ -96,19 +96,19 @@ def j11_coaching_changes(spark, d):
     return v.players(spark, d).join(changes, "team").where(hit).select("player_id").distinct()
 
 
-@query(with_("player_stats", "SELECT position, round(avg(t), 6) AS targets_pg FROM (SELECT position, player_id, sum(targets) / count(DISTINCT week)::DOUBLE AS t FROM player_stats WHERE season = 2022 GROUP BY ALL) GROUP BY position"))
+@query(with_("player_stats", "SELECT position, round(avg(t), 8) AS targets_pg FROM (SELECT position, player_id, sum(targets) / count(DISTINCT week)::DOUBLE AS t FROM player_stats WHERE season = 2022 GROUP BY ALL) GROUP BY position"))
 def a10_position_means(spark, d):
     g = v.player_stats(spark, d).where("season = 2022").groupBy("position", "player_id").agg((F.sum("targets") / F.count_distinct("week")).alias("t"))
     return g.groupBy("position").agg(R(F.avg("t"), "targets_pg"))
 
 
-@query(with_("plays players", "SELECT team, round(count(*) FILTER (t2 = def_team) / count(*)::DOUBLE, 6) AS share FROM (SELECT def_team AS team, def_team, p.team AS t2 FROM (SELECT def_team, unnest(def_players) AS player_id FROM plays) JOIN players p USING (player_id)) GROUP BY team"))
+@query(with_("plays players", "SELECT team, round(count(*) FILTER (t2 = def_team) / count(*)::DOUBLE, 8) AS share FROM (SELECT def_team AS team, def_team, p.team AS t2 FROM (SELECT def_team, unnest(def_players) AS player_id FROM plays) JOIN players p USING (player_id)) GROUP BY team"))
 def a20_defender_team_share(spark, d):
     e = v.plays(spark, d).select("def_team", F.explode("def_players").alias("player_id")).join(v.players(spark, d).select("player_id", F.col("team").alias("t2")), "player_id")
     return e.groupBy(F.col("def_team").alias("team")).agg(R(F.avg((F.col("t2") == F.col("def_team")).cast("double")), "share"))
 
 
-@query(with_("history", "SELECT player_id, min_by(season * 100 + week, points - prev) AS slot, round(min(points - prev), 6) AS drop FROM (SELECT *, lag(points) OVER (PARTITION BY player_id ORDER BY season, week) AS prev FROM history) WHERE prev IS NOT NULL GROUP BY player_id HAVING count(DISTINCT points - prev) = count(*)"))
+@query(with_("history", "SELECT player_id, min_by(season * 100 + week, points - prev) AS slot, round(min(points - prev), 8) AS drop FROM (SELECT *, lag(points) OVER (PARTITION BY player_id ORDER BY season, week) AS prev FROM history) WHERE prev IS NOT NULL GROUP BY player_id HAVING count(DISTINCT points - prev) = count(*)"))
 def w10_steepest_drop(spark, d):
     w = Window.partitionBy("player_id").orderBy("season", "week")
     h = v.history(spark, d).withColumn("step", F.col("points") - F.lag("points").over(w)).where("step is not null")
@@ -130,11 +130,11 @@ def u5_top_intersection(spark, d):
     return top(1).intersect(top(2))
 
 
-@query(with_("player_stats", "SELECT format, count(*) AS n, CAST(sum(tier) AS BIGINT) AS tier_sum, round(sum(vor), 4) AS vor_sum FROM (SELECT format, vor, sum(cut) OVER (PARTITION BY format ORDER BY rank) + 1 AS tier FROM (SELECT *, CASE WHEN (pv - vor) / CASE WHEN pv = 0 THEN 1.0 ELSE abs(pv) END > CAST(0.1 AS DOUBLE) THEN 1 ELSE 0 END AS cut FROM (SELECT *, lag(vor) OVER (PARTITION BY format ORDER BY rank) AS pv FROM ranked))) GROUP BY format", _TOTALS, _POOL, _VOR))
+@query(with_("player_stats", "SELECT format, count(*) AS n, CAST(sum(tier) AS BIGINT) AS tier_sum, round(sum(vor), 7) AS vor_sum FROM (SELECT format, vor, sum(cut) OVER (PARTITION BY format ORDER BY rank) + 1 AS tier FROM (SELECT *, CASE WHEN (pv - vor) / CASE WHEN pv = 0 THEN 1.0 ELSE abs(pv) END > CAST(0.1 AS DOUBLE) THEN 1 ELSE 0 END AS cut FROM (SELECT *, lag(vor) OVER (PARTITION BY format ORDER BY rank) AS pv FROM ranked))) GROUP BY format", _TOTALS, _POOL, _VOR))
 def d3_valuation_run(spark, d):
     """Season totals, three formats, values, ranks and tiers in one plan."""
     t = valuation.tiers(valuation.value_over_replacement(pool(spark, d), {"QB": 1, "RB": 2, "WR": 2, "TE": 1, "FLEX": 1}, 12, ["format"]), by=["format"])
-    return t.groupBy("format").agg(F.count("*").alias("n"), F.sum("tier").alias("tier_sum"), F.round(F.sum("vor"), 4).alias("vor_sum"))
+    return t.groupBy("format").agg(F.count("*").alias("n"), F.sum("tier").alias("tier_sum"), F.round(F.sum("vor"), 6).alias("vor_sum"))
 
 
 @query()
@@ -148,18 +148,18 @@ def d8_matchup_grades(spark, d):
 _T2 = "t2 AS (SELECT season, week, def_team, avg(yards) AS grade, avg(drive_points) AS allowed FROM plays GROUP BY ALL), rk AS (SELECT *, rank() OVER (PARTITION BY season, week ORDER BY grade) + (count(*) OVER (PARTITION BY season, week, grade) - 1) / 2.0 AS a, rank() OVER (PARTITION BY season, week ORDER BY allowed) + (count(*) OVER (PARTITION BY season, week, allowed) - 1) / 2.0 AS b FROM t2)"
 
 
-@query(with_("plays", "SELECT season, week, count(*) AS n, round(CASE WHEN stddev_pop(a) * stddev_pop(b) = 0 THEN 0 ELSE corr(a, b) END, 6) AS spearman FROM rk GROUP BY ALL HAVING count(*) >= 6", _T2))
+@query(with_("plays", "SELECT season, week, count(*) AS n, round(CASE WHEN stddev_pop(a) * stddev_pop(b) = 0 THEN 0 ELSE corr(a, b) END, 8) AS spearman FROM rk GROUP BY ALL HAVING count(*) >= 6", _T2))
 def e17_grade_report(spark, d):
     """Rank agreement of a defence's grade with the points it allowed, six teams a week or more."""
     t = v.plays(spark, d).groupBy("season", "week", "def_team").agg(F.avg("yards").alias("grade"), F.avg("drive_points").alias("allowed"))
     return evaluation.spearman(t, "grade", "allowed", ["season", "week"]).where("n >= 6").select("season", "week", "n", R("spearman"))
 
 
-@query(with_("states", "SELECT i, round(sum(v), 4) AS v FROM gram WHERE j IS NULL AND (season < 1997 OR (season = 1997 AND week <= 5)) GROUP BY i", CELLS, DV, TRIPLETS, GRAM))
+@query(with_("states", "SELECT i, round(sum(v), 7) AS v FROM gram WHERE j IS NULL AND (season < 1997 OR (season = 1997 AND week <= 5)) GROUP BY i", CELLS, DV, TRIPLETS, GRAM))
 def e13_origin_sums(spark, d):
     """X'y at an origin, from the blocks of earlier slots."""
     g = attribution.gram_blocks(attribution.design(v.plays(spark, d), v.players(spark, d)), valued(spark, d))
-    return g.where(AsOf(1997, 6).outcome & F.col("j").isNull()).groupBy("i").agg(F.round(F.sum("v"), 4).alias("v"))
+    return g.where(AsOf(1997, 6).outcome & F.col("j").isNull()).groupBy("i").agg(F.round(F.sum("v"), 7).alias("v"))
 
 
 @query("SELECT event_type AS job, count(*) AS n, max(event_id) AS last FROM events WHERE value > 20 GROUP BY 1")
@@ -197,7 +197,7 @@ def qy12_player_ratings(spark, d):
     return usage.join(talent, "player_id", "full")
 
 
-@query(with_("history", "SELECT h.player_id, h.season, h.week, round(h.points, 6) AS points FROM history h WHERE NOT (h.season = 2023 AND h.week = 3) UNION ALL SELECT player_id, season, week, round(points + 1, 6) FROM history WHERE season = 2023 AND week = 3"))
+@query(with_("history", "SELECT h.player_id, h.season, h.week, round(h.points, 8) AS points FROM history h WHERE NOT (h.season = 2023 AND h.week = 3) UNION ALL SELECT player_id, season, week, round(points + 1, 8) FROM history WHERE season = 2023 AND week = 3"))
 def k7_corrected_week(spark, d):
     """A corrected week replaces its rows; running it twice changes nothing more."""
     h = v.history(spark, d).select("player_id", "season", "week", "points")

@@ -64,9 +64,9 @@ def k4_upsert_known_stats(spark, d):
     return v.player_stats(spark, d).join(known, "player_id", "left_semi").select("player_id", "season", "week", "targets")
 
 
-@query(with_("plays", "SELECT def_team AS team, p.position, round(avg(yards), 6) AS grade FROM plays, (VALUES ('QB'), ('RB'), ('WR'), ('TE')) p(position) GROUP BY ALL"))
+@query(with_("plays", "SELECT def_team AS team, p.position, round(avg(yards), 8) AS grade FROM plays, (VALUES ('QB'), ('RB'), ('WR'), ('TE')) p(position) GROUP BY ALL"))
 def k5_grade_fanout(spark, d):
-    g = v.plays(spark, d).groupBy(F.col("def_team").alias("team")).agg(F.round(F.avg("yards"), 6).alias("grade"))
+    g = v.plays(spark, d).groupBy(F.col("def_team").alias("team")).agg(F.round(F.avg("yards"), 8).alias("grade"))
     return g.select("team", F.explode(F.array(*map(F.lit, ("QB", "RB", "WR", "TE")))).alias("position"), "grade")
 
 
@@ -121,12 +121,12 @@ def p5_drive_points(spark, d):
     return v.raw_pbp(spark, d).groupBy("drive_id", ingest.drive_points(F.col("result"), "corrected").alias("drive_points")).agg(F.count("*").alias("n"))
 
 
-@query(with_("plays", """SELECT situation, down, count(*) AS n, round(avg(drive_points), 6) AS mean_points FROM (
+@query(with_("plays", """SELECT situation, down, count(*) AS n, round(avg(drive_points), 8) AS mean_points FROM (
   SELECT *, unnest(list_filter([CASE WHEN yardline_100 <= 20 THEN 'red_zone' END, CASE WHEN (down = 3 AND ydstogo >= 7) OR down = 4 THEN 'passing_downs' END,
     CASE WHEN down <= 2 AND ydstogo <= 4 THEN 'rushing_downs' END, CASE WHEN clock <= 120 THEN 'two_minute' END], lambda x: x IS NOT NULL)) AS situation FROM plays) GROUP BY ALL"""))
 def p7_situations(spark, d):
     s = ingest.situations(v.plays(spark, d))
-    return s.groupBy("situation", "down").agg(F.count("*").alias("n"), F.round(F.avg("drive_points"), 6).alias("mean_points"))
+    return s.groupBy("situation", "down").agg(F.count("*").alias("n"), F.round(F.avg("drive_points"), 8).alias("mean_points"))
 
 
 @query(with_("plays", f"SELECT season, week, count(*) AS n FROM plays WHERE {BEFORE} GROUP BY ALL"))
@@ -286,9 +286,9 @@ def valued(spark, d):
     return valuation.value_over_replacement(pool(spark, d), SLOTS, 12, ["format"])
 
 
-@query(with_("player_stats", "SELECT format, player_id, position, projected_points, round(replacement, 6) AS replacement, round(vor, 6) AS vor, rank FROM ranked", _TOTALS, _POOL, _VOR))
+@query(with_("player_stats", "SELECT format, player_id, position, projected_points, round(replacement, 8) AS replacement, round(vor, 8) AS vor, rank FROM ranked", _TOTALS, _POOL, _VOR))
 def d1_value_over_replacement(spark, d):
-    return valued(spark, d).select("format", "player_id", "position", "projected_points", F.round("replacement", 6).alias("replacement"), F.round("vor", 6).alias("vor"), "rank")
+    return valued(spark, d).select("format", "player_id", "position", "projected_points", F.round("replacement", 8).alias("replacement"), F.round("vor", 8).alias("vor"), "rank")
 
 
 @query(with_("player_stats", """SELECT format, player_id, rank, CAST(sum(cut) OVER (PARTITION BY format ORDER BY rank) + 1 AS BIGINT) AS tier FROM (
@@ -327,7 +327,7 @@ def d6_lineup(spark, d):
     return valuation.lineup(roster(spark, d), SLOTS, ["season", "week", "roster"]).select("season", "week", "roster", "player_id")
 
 
-@query(with_("history", """SELECT season, count(*) AS n, round(avg(margin), 6) AS margin, round(avg(CASE WHEN margin > 0 THEN 1.0::DOUBLE WHEN margin = 0 THEN 0.5 ELSE 0 END), 6) AS win_rate FROM (
+@query(with_("history", """SELECT season, count(*) AS n, round(avg(margin), 8) AS margin, round(avg(CASE WHEN margin > 0 THEN 1.0::DOUBLE WHEN margin = 0 THEN 0.5 ELSE 0 END), 8) AS win_rate FROM (
   SELECT season, week, roster, sum(projection) - sum(CASE WHEN dedicated THEN projection ELSE 0 END) AS margin FROM starters GROUP BY ALL) GROUP BY season""", _ROSTER))
 def d7_weekly_margin(spark, d):
     """Margin of the lineup with FLEX over the one without, and its win rate."""
@@ -336,7 +336,7 @@ def d7_weekly_margin(spark, d):
     full = valuation.lineup(r, SLOTS, by).groupBy(*by).agg(F.sum("projection").alias("a"))
     base = valuation.lineup(r, {k: n for k, n in SLOTS.items() if k != "FLEX"}, by).groupBy(*by).agg(F.sum("projection").alias("b"))
     m = full.join(base, by, "left").withColumn("m", F.col("a") - F.coalesce("b", F.lit(0.0)))
-    return m.groupBy("season").agg(F.count("*").alias("n"), F.round(F.avg("m"), 6).alias("margin"), F.round(F.avg(F.when(F.col("m") > 1e-9, 1.0).when(F.abs("m") <= 1e-9, 0.5).otherwise(0.0)), 6).alias("win_rate"))
+    return m.groupBy("season").agg(F.count("*").alias("n"), F.round(F.avg("m"), 8).alias("margin"), F.round(F.avg(F.when(F.col("m") > 1e-9, 1.0).when(F.abs("m") <= 1e-9, 0.5).otherwise(0.0)), 8).alias("win_rate"))
 
 
 @query(with_("player_stats", """SELECT count(*) FILTER (rank <= 5) AS in_top, count(*) FILTER (rank > 24) AS too_low, count(*) FILTER (rank IS NULL) AS missing,
