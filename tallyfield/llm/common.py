@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import numpy as np
@@ -70,7 +72,45 @@ def with_row_id(docs: DataFrame, name: str, id_col: str = "doc_id") -> DataFrame
     return staged(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
-def small_batches(spark: SparkSession, records: int = 2000) -> None:
+_HELD: dict = {}
+
+
+def held(key: object, make: Callable[[], object]):
+    """What a worker keeps from one task to the next: one thing, the last asked for."""
+    if key not in _HELD:
+        let_go()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
+def let_go() -> None:
+    """Drop what other operators' tasks left in this worker, and give its memory back."""
+    _HELD.clear()
+    trim()
+
+
+def trim() -> None:
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def task(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """A batch function that begins and ends without memory of other work in its worker."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go()
+        try:
+            yield from work(batches)
+        finally:
+            trim()
+
+    return run
+
+
+def small_batches(spark: SparkSession, records: int = 2000, megabytes: int = 16) -> None:
     """Bound what one Arrow batch holds: records and, for long texts, bytes.
 
     Workers on the driver's machine also get this package's folder on their path; a
@@ -78,7 +118,7 @@ def small_batches(spark: SparkSession, records: int = 2000) -> None:
     """
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[2]))
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(records))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(megabytes << 20))
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:

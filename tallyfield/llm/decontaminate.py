@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import coded, mix64, small_batches, split_words, string_array, text_or_empty
+from tallyfield.llm.common import coded, mix64, small_batches, split_words, string_array, task, text_or_empty
 
 EDITS = 0.2  # edits of an item's words
 REPEATS = 32
@@ -207,7 +207,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "first_word", "n_words", "edits"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(search, "doc_id long, item_id long, first_word long, n_words long, edits long")
+    return rows.mapInArrow(task(search), "doc_id long, item_id long, first_word long, n_words long, edits long")
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -222,4 +222,4 @@ def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             clean[[t for t, *_ in items.matches(string_array(batch.column(at)))]] = False
             yield batch.filter(pa.array(clean))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(task(keep), docs.schema)

@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import coded, mix64, small_batches, split_words, staged, string_array, text_or_empty, uniform, with_row_id
+from tallyfield.llm.common import coded, mix64, small_batches, split_words, staged, string_array, task, text_or_empty, uniform, with_row_id
 from tallyfield.llm.components import connected_components
 
 SHINGLE = 5
@@ -160,20 +160,20 @@ def signature_rows(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), bands, pa.array([x.tobytes() for x in small], pa.binary())], ["doc_id", "t", "bands", "sig"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text_or_empty().cast("binary"))).alias("t"), text_or_empty().alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, t binary, bands array<long>, sig binary")
+    return rows.mapInArrow(task(sign), "doc_id long, t binary, bands array<long>, sig binary")
 
 
 def _signatures(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, K)
 
 
-def map_groups(df: DataFrame, keys: list[str], work, schema: str, then: list[str] | None = None, dealt: bool = False) -> DataFrame:
+def map_groups(df: DataFrame, keys: list[str], work, schema: str, then: list[str] | None = None, dealt: bool = False, rows: int = 0) -> DataFrame:
     """Apply ``work`` to runs of whole groups, many small groups at a call.
 
     Rows are dealt by the keys and sorted by them and ``then`` (or were so before, if
-    ``dealt``); ``work`` gets a batch whose groups are complete
-    and the starts of its groups. The last group of a batch waits for the next batch, so no
-    more than a batch and one group is held.
+    ``dealt``); ``work`` gets at least ``rows`` rows whose groups are complete, and the
+    starts of the groups. The last group waits for the next batch, so no more than that, a
+    batch and one group is held.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,14 +181,15 @@ def map_groups(df: DataFrame, keys: list[str], work, schema: str, then: list[str
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = t if held is None else pa.concat_tables([held, t])
-            if not t.num_rows:
+            if t.num_rows <= rows:
+                held = t
                 continue
             starts = group_starts(t)
             if len(starts) > 1:
                 yield work(t.slice(0, int(starts[-1])).combine_chunks(), starts[:-1])
             held = t.slice(int(starts[-1]))
-        if held is not None:
-            yield work(held.combine_chunks(), np.zeros(1, np.int64))
+        if held is not None and held.num_rows:
+            yield work(held.combine_chunks(), group_starts(held))
 
     def group_starts(t: pa.Table) -> np.ndarray:
         new = np.zeros(t.num_rows - 1, bool)
@@ -199,7 +200,7 @@ def map_groups(df: DataFrame, keys: list[str], work, schema: str, then: list[str
 
     if not dealt:
         df = df.repartition(*keys).sortWithinPartitions(*keys, *(then or []))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(task(run), schema)
 
 
 def _pairs(a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
@@ -303,7 +304,7 @@ def similar_pairs(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 good[i] = both_n > 0 and both_n * 1000 >= round(LEAST * 1000) * (len(x) + len(y) - both_n)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(good))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(task(check), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -343,7 +344,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     mixed = parts.groupBy("k").agg(F.count("*").alias("parts"), F.sum("m").alias("n"), F.max(F.struct("m", "c")).alias("big")).where("parts > 1")
     mixed = mixed.select("k", "n", F.col("big.c").alias("big"))
     rows = marked.join(mixed.select("k"), "k", "left_semi").join(texts, "v").select("v", "c", "k", "sig", "text")
-    rows = rows.mapInArrow(_hashed, "v long, c long, k long, sig binary, hashes binary").join(mixed, "k")
+    rows = rows.mapInArrow(task(_hashed), "v long, c long, k long, sig binary, hashes binary").join(mixed, "k")
     rows = rows.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("own", own)
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     side = lambda i, j, left: ["k", i.alias("i"), j.alias("j"), "v", "c", "sig", "hashes", F.lit(left).alias("side")]

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import small_batches, string_array, text_or_empty
+from tallyfield.llm.common import held, small_batches, string_array, text_or_empty
 from tallyfield.llm.pieces import PieceTable, encode_batch
 from tallyfield.llm.token_file import _tokenizer, vocabulary_path
 
@@ -38,12 +38,11 @@ def proven_tokens(path: str) -> frozenset[str]:
     return frozenset(proven)
 
 
-@cache
 def _counting(path: str) -> PieceTable | None:
     """The table of counts, or None for a tokenizer that isn't byte-level BPE."""
     tk = _tokenizer(path)
     simple = tk.normalizer is None and type(tk.pre_tokenizer).__name__ == "ByteLevel"
-    return PieceTable(tk, with_ids=False, proven=proven_tokens(path)) if simple else None
+    return held(("counts", path), lambda: PieceTable(tk, with_ids=False, proven=proven_tokens(path))) if simple else None
 
 
 def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import fresh_dir, open_fs, small_batches, string_array, text_or_empty
+from tallyfield.llm.common import fresh_dir, held, open_fs, small_batches, string_array, text_or_empty, trim
 from tallyfield.llm.elias_fano import EliasFano
 from tallyfield.llm.pieces import PieceTable, encode_batch
 
@@ -53,9 +53,8 @@ def _tokenizer(path: str):
     return tk
 
 
-@cache
 def _piece_table(path: str) -> PieceTable:
-    return PieceTable(_tokenizer(path), with_ids=True)
+    return held(("ids", path), lambda: PieceTable(_tokenizer(path), with_ids=True))
 
 
 def write_token_file(docs: DataFrame, at: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> list[dict]:
@@ -109,6 +108,7 @@ def write_token_file(docs: DataFrame, at: str, tokenizer: str, end_id: int, id_c
         out.write(bounds + names + footer + struct.pack("<I", len(footer)) + MAGIC)
         out.close()
         system.move(f"{path}.{attempt}", path)
+        trim()
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "docs": pa.array([n_docs], pa.int64()), "ids": pa.array([n_ids], pa.int64())})
 
     rows = sorted(ordered.mapInArrow(write, "shard int, docs long, ids long").collect())

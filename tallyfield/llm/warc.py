@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import fresh_dir, open_fs, small_batches, text_or_empty
+from tallyfield.llm.common import fresh_dir, open_fs, small_batches, task, text_or_empty
 
 FILE_BYTES = 64 << 20
 SPLIT_BYTES = 8 << 20
@@ -124,7 +124,7 @@ def write_archives(pages: DataFrame, at: str, least_bytes: int = 0, compress: bo
             f, b, r = zip(*done)
             yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(b, pa.int64()), pa.array(r, pa.int64())], ["file", "bytes", "records"])
 
-    rows = plan_records(pages, least_bytes).mapInArrow(write, "file string, bytes long, records long").collect()
+    rows = plan_records(pages, least_bytes).mapInArrow(task(write), "file string, bytes long, records long").collect()
     return [r.asDict() for r in sorted(rows)]
 
 
@@ -223,7 +223,7 @@ def read_archives(spark: SparkSession, files: list[dict], with_payload: bool = F
                 rows.append({k: rec[k] for k in names})
         return pa.Table.from_pylist(rows, arrow)
 
-    found = spark.createDataFrame(splits, "file string, bytes long, start long").repartition(len(splits)).mapInArrow(scan, "file string, size long, start long, next long")
+    found = spark.createDataFrame(splits, "file string, bytes long, start long").repartition(len(splits)).mapInArrow(task(scan), "file string, size long, start long, next long")
     return found.groupBy("file").applyInArrow(chain, schema)
 
 
