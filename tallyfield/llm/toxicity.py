@@ -1,7 +1,7 @@
 """Toxicity by weak supervision.
 
 1. Lexicon voters are mined from labelled rows: lower-case words and word beginnings of 4
-   to 6 letters that stand far more often in toxic rows. Pattern voters look at the form of
+   to 7 letters that stand far more often in toxic rows. Pattern voters look at the form of
    a text. The annotators' labels are one more voter.
 2. A generative model (two classes; each voter fires with its own rate in each class) is
    fitted by EM. Correlations are estimated from the residual covariance of the votes given
@@ -23,6 +23,7 @@ empty result.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -33,13 +34,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import coded, small_batches, staged, string_array, text_or_empty
+from tallyfield.llm.common import coded, small_batches, staged, string_array, task, text_or_empty
 
 MAX_ROWS = 30_000  # labelled rows learnt from, at most
 MAX_TERMS = 3_000  # lexicon voters, at most
 MIN_ROWS = 3  # toxic rows that a term must stand in
-MIN_PRECISION = 0.6
+MIN_PRECISION = 0.9
+BEGINNINGS = (4, 5, 6, 7)  # letters
 THRESHOLD = 0.7
+LABEL_RATES = (0.003, 0.99)  # prior: how often annotators mark clean and toxic texts
 # Patterns of form: name, expression, matches per 100 words from which it votes.
 PATTERNS: list[tuple[str, str, float]] = [
     ("shouting", r"\b\p{Lu}{4,}\b", 5.0),
@@ -58,7 +61,7 @@ class Model:
 
 def keys_of(word: str) -> list[str]:
     """A word as a feature and its beginnings."""
-    return [word, *(word[:k] + "~" for k in (4, 5, 6) if len(word) > k)]
+    return [word, *(word[:k] + "~" for k in BEGINNINGS if len(word) > k)]
 
 
 def batch_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
@@ -129,10 +132,16 @@ def mine_terms(rows: DataFrame) -> list[str]:
             every = list(yes.keys() | no.keys())
             yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), pa.array([yes[k] for k in every], pa.int64()), pa.array([no[k] for k in every], pa.int64())], ["term", "yes", "no"])
 
-    counts = rows.mapInArrow(count, "term string, yes long, no long").groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
-    precision = (F.col("yes") + 0.5) / (F.col("yes") + F.col("no") + 1.0)
-    best = counts.where((F.col("yes") >= MIN_ROWS) & (precision >= MIN_PRECISION))
-    best = best.orderBy((F.col("yes") * F.log(precision / (1 - precision))).desc(), "term").limit(MAX_TERMS)
+    counts = rows.mapInArrow(task(count), "term string, yes long, no long").groupBy("term").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    counts = staged(counts.where(F.col("yes") >= MIN_ROWS), "toxic-terms")
+    # Of so many terms some stand in toxic rows by chance; what is kept tells more than that.
+    n, share = counts.count(), rows.agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    if not n or not 0 < share < 1:
+        return []
+    p = F.col("yes") / (F.col("yes") + F.col("no"))
+    gain = F.col("yes") * F.log(p / share) + F.when(p < 1, F.col("no") * F.log((1 - p) / (1 - share))).otherwise(0.0)
+    best = counts.where((p >= MIN_PRECISION) & (gain > math.log(n)))
+    best = best.orderBy(gain.desc(), "term").limit(MAX_TERMS)
     return [r.term for r in best.select("term").collect()]
 
 
@@ -146,7 +155,7 @@ def sample_features(rows: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray,
                 lists = [x.tolist() for x in np.split(c, np.searchsorted(r, np.arange(1, batch.num_rows)))]
                 yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(lists, pa.list_(pa.int32()))], ["toxic", "f"])
 
-    got = sorted(rows.mapInArrow(features, "toxic boolean, f array<int>").collect())  # reruns agree
+    got = sorted(rows.mapInArrow(task(features), "toxic boolean, f array<int>").collect())  # reruns agree
     row = np.repeat(np.arange(len(got)), [len(g.f) for g in got])
     col = np.fromiter((x for g in got for x in g.f), np.int64, len(row))
     return row, col, np.array([g.toxic for g in got], bool)
@@ -155,12 +164,14 @@ def sample_features(rows: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray,
 def label_model(row: np.ndarray, col: np.ndarray, y: np.ndarray, width: int, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
     """Posterior of the toxic class for each row, and the rates (width + 1, 2) of the voters.
 
-    The last voter is the label. Rows without a vote keep the label's evidence and the
-    silence of the others.
+    The last voter is the label; the others abstain where they don't fire. What keeps the classes in their places: the class balance is
+    that of the labels, and the annotators' rates have a prior (LABEL_RATES) that weighs nine
+    times the data.
     """
     n = len(y)
+    share = y.mean()
     rates = np.empty((width + 1, 2))
-    post = np.where(y, 0.95, 0.05)
+    post = np.where(y, 0.95, 0.02)
     scale = np.ones(width)
     for step in range(rounds):
         on = np.array([1 - post, post])
@@ -168,14 +179,13 @@ def label_model(row: np.ndarray, col: np.ndarray, y: np.ndarray, width: int, rou
         for c in (0, 1):
             fired = np.bincount(col, weights=on[c][row], minlength=width)
             rates[:width, c] = (fired + 0.1) / (total[c] + 1.0)
-            rates[width, c] = ((on[c] * y).sum() + 0.5) / (total[c] + 1.0)
+            rates[width, c] = ((on[c] * y).sum() / max(total[c], 1e-9) + 9 * LABEL_RATES[c]) / 10
         rates = np.clip(rates, 1e-6, 1 - 1e-6)
         if step % 8 == 4:
             scale = 1.0 / (1.0 + correlations(row, col, post, rates[:width]))
         fire = np.log(rates[:, 1] / rates[:, 0])
         calm = np.log((1 - rates[:, 1]) / (1 - rates[:, 0]))
-        logit = np.log(total[1] / max(total[0], 1e-9)) + (scale * calm[:width]).sum()
-        logit = logit + np.bincount(row, weights=(scale * (fire - calm)[:width])[col], minlength=n)
+        logit = np.log(share / (1 - share)) + np.bincount(row, weights=(scale * fire[:width])[col], minlength=n)
         logit += np.where(y, fire[width], calm[width])
         post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
     return post, rates
@@ -202,29 +212,52 @@ def correlations(row: np.ndarray, col: np.ndarray, post: np.ndarray, rates: np.n
     return out
 
 
-def linear_classifier(row: np.ndarray, col: np.ndarray, post: np.ndarray, width: int, l2: float = 0.02, rounds: int = 600) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels, accelerated gradient, no regularised intercept."""
+def linear_classifier(row: np.ndarray, col: np.ndarray, post: np.ndarray, width: int, l2: float = 0.5, rounds: int = 30) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels, by Newton steps with conjugate gradients.
+
+    The rows of the rarer class weigh as much as the others together.
+    """
     n = len(post)
     share = min(max(post.mean(), 1e-4), 1 - 1e-4)
-    w, b = np.zeros(width), np.log(share / (1 - share))
-    vw, vb = w.copy(), b
-    step = 4.0 / max(1.0, np.bincount(row, minlength=n).max() + 1.0)
-    per = n * max(share, 0.01)
-    for k in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, weights=vw[col], minlength=n) + vb, -30, 30)))
-        err = p - post
-        # the gradient is scaled by the rarer class, so few toxic rows still move the weights
-        gw = np.bincount(col, weights=err[row], minlength=width) / per + l2 * vw / per
-        gb = err.sum() / per
-        new_w, new_b = vw - step * share * 4 * gw, vb - step * share * 4 * gb
-        m = k / (k + 3.0)
-        vw, vb = new_w + m * (new_w - w), new_b + m * (new_b - b)
-        w, b = new_w, new_b
+    weight = post * (0.5 / share) + (1 - post) * (0.5 / (1 - share))
+    times = lambda w, b: np.bincount(row, weights=w[col], minlength=n) + b
+    back = lambda r: (np.bincount(col, weights=r[row], minlength=width), r.sum())
+    loss = lambda w, b, z: (weight * (np.logaddexp(0, z) - post * z)).sum() + l2 / 2 * (w @ w)
+    w, b = np.zeros(width), 0.0
+    z = times(w, b)
+    now = loss(w, b, z)
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+        gw, gb = back(weight * (p - post))
+        gw += l2 * w
+        if max(np.abs(gw).max(initial=0), abs(gb)) < 1e-6 * n:
+            break
+        h = weight * p * (1 - p) + 1e-9
+        dw, db, rw, rb = np.zeros(width), 0.0, -gw, -gb
+        qw, qb, rr = rw.copy(), rb, rw @ rw + rb * rb
+        for _ in range(60):
+            hw, hb = back(h * times(qw, qb))
+            hw += l2 * qw
+            a = rr / (qw @ hw + qb * hb)
+            dw, db, rw, rb = dw + a * qw, db + a * qb, rw - a * hw, rb - a * hb
+            new = rw @ rw + rb * rb
+            if new < 1e-8 * (gw @ gw + gb * gb):
+                break
+            qw, qb, rr = rw + new / rr * qw, rb + new / rr * qb, new
+        step = 1.0
+        while step > 1e-4:
+            z2 = times(w + step * dw, b + step * db)
+            if (then := loss(w + step * dw, b + step * db, z2)) < now:
+                break
+            step /= 2
+        else:
+            break
+        w, b, z, now = w + step * dw, b + step * db, z2, then
     return w, float(b)
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1000, 6)
     rows = staged(training_rows(docs, labels), "toxic-sample")
     terms = {t: i for i, t in enumerate(mine_terms(rows))}
     row, col, y = sample_features(rows, terms)
@@ -248,7 +281,7 @@ def batch_scores(texts: pa.Array, model: Model) -> np.ndarray:
 
 def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 1000, 6)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,7 +290,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
 
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held.alias("held_out"), text_or_empty().alias("text"))
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(task(score), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -269,4 +302,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
         for batch in batches:
             yield batch.filter(pa.array(batch_scores(string_array(batch.column(at)), model) < threshold))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return docs.mapInArrow(task(keep), docs.schema)
