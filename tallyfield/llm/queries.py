@@ -77,7 +77,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def op8_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyfield.llm.quality_rules import ablations, ledger
 
     return ablations(ledger(table(spark, sf_dir, "documents")))
@@ -103,7 +103,7 @@ led AS (SELECT *, CAST((CASE WHEN n_words < 20 THEN 1 ELSE 0 END) + (CASE WHEN 1
           + (CASE WHEN n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 20 * n_words) THEN 16 ELSE 0 END) AS BIGINT) AS fail_bits FROM m)
 """
 ORACLE_SQL["op8_quality_rules"] = _LEDGER_SQL + "SELECT *, (fail_bits & 31) = 0 AS kept, (fail_bits & 3) <> 0 AS base_failed FROM led"
-ORACLE_SQL["op8_rule_ablations"] = _LEDGER_SQL + """,
+ORACLE_SQL["quality_rule_ablations"] = _LEDGER_SQL + """,
 p(policy, mask, rule, bit) AS (VALUES ('base', 3, 'too_few_words', 1), ('base', 3, 'repeated_words', 2),
   ('v1', 7, 'too_few_words', 1), ('v1', 7, 'repeated_words', 2), ('v1', 7, 'symbols', 4),
   ('v2', 31, 'too_few_words', 1), ('v2', 31, 'repeated_words', 2), ('v2', 31, 'symbols', 4),
