@@ -11,6 +11,7 @@ newline, at either end) is encoded whole by the library.
 
 from __future__ import annotations
 
+import gc
 from itertools import chain, repeat
 
 import numpy as np
@@ -26,6 +27,16 @@ PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|
 _find = regex.compile(PATTERN).findall
 
 
+def pre_tokens(piece: str) -> list[str]:
+    """Pre-tokens of a piece that may begin with a space; plain words without the pattern."""
+    word = piece[1:] if piece[:1] == " " else piece
+    if word.isalpha():
+        return [piece]
+    if word[-1:] in (",", ".") and word[:-1].isalpha():
+        return [piece[:-1], word[-1]]
+    return _find(piece)
+
+
 def byte_alphabet() -> dict[int, str]:
     """The printable character that stands for each byte in the vocabulary's strings."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -119,7 +130,7 @@ class PieceTable:
             plain = [True] * len(texts)
         else:
             plain = [max(t) < "ɐ" and not any(a in t for a in self.added) for t in texts]
-        cut = [_find(t) if p else [t] for t, p in zip(texts, plain)]
+        cut = [pre_tokens(t) if p else [t] for t, p in zip(texts, plain)]
         flat = list(chain.from_iterable(c for c, p in zip(cut, plain) if p))
         if len(self.words) > self.keep:
             self.words, self.parts = {}, Pool(self.with_ids)
@@ -160,9 +171,19 @@ class PieceTable:
 
 def encode_batch(texts: pa.Array, table: PieceTable) -> tuple[np.ndarray, np.ndarray | None]:
     """Number of ids of each text and, if the table keeps ids, all ids in one array."""
-    n = len(texts)
-    if n == 0:
+    if not len(texts):
         return np.zeros(0, np.int64), np.zeros(0, np.uint32)
+    collecting = gc.isenabled()
+    gc.disable()  # many small lists and no cycles among them
+    try:
+        return _encode_batch(texts, table)
+    finally:
+        if collecting:
+            gc.enable()
+
+
+def _encode_batch(texts: pa.Array, table: PieceTable) -> tuple[np.ndarray, np.ndarray | None]:
+    n = len(texts)
     parts = pc.split_pattern(texts, " ")
     bounds = parts.offsets.to_numpy().astype(np.int64)
     bounds = bounds - bounds[0]
