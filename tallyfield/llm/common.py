@@ -55,10 +55,15 @@ def drop_dir(spark: SparkSession, at: str) -> None:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: the lineage is cut, the
     work is done once, and a lost executor costs a reread instead of a recompute."""
+    return staged_at(df, name)[0]
+
+
+def staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """The same, and the folder, for tables that can go before the session ends."""
     spark = df.sparkSession
-    at = fresh_dir(spark, name) + "/table"
-    df.write.parquet(at)
-    return spark.read.schema(df.schema).parquet(at)
+    at = fresh_dir(spark, name)
+    df.write.parquet(at + "/table")
+    return spark.read.schema(df.schema).parquet(at + "/table"), at
 
 
 def with_row_id(docs: DataFrame, name: str, id_col: str = "doc_id") -> DataFrame:

@@ -34,14 +34,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import mix64, small_batches, staged, string_array, text_or_empty
+from tallyfield.llm.common import drop_dir, mix64, small_batches, staged, staged_at, string_array, task, text_or_empty
 from tallyfield.llm.near_dedup import map_groups
 from tallyfield.llm.suffix_groups import suffix_arrays
 
 LENGTH = 100
 GRAM = 32
+NEAR = (LENGTH - GRAM) // 2
 CHAIN = 4096  # longest string that suffix sorting takes
-TOGETHER = 3 << 20  # bytes of strings sorted at a time
+TOGETHER = 1 << 20  # bytes of strings sorted at a time
+BLOCK = 8  # bytes of a symbol behind the anchor
 _SEED = np.arange(1, 300, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 TABLE = mix64(_SEED[:256])
 STEP = mix64(_SEED[256:272]) | np.uint64(1)
@@ -68,11 +70,17 @@ def window_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def units_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Key, digest of the bytes, text, first place in the text and windows of every unit."""
+    """Key, digest of the bytes, text, first place in the text, windows, and hashes of what
+    stands left and right of the least gram, of every unit.
+
+    A window reaches NEAR bytes past its least gram on one side at least, so two equal ones
+    have the left or the right hash in common. A side cut short by the text has a hash of
+    its place.
+    """
     n = len(data) - LENGTH + 1
     empty = np.zeros(0, np.int64)
     if n <= 0:
-        return empty, empty, empty, empty, empty
+        return (empty,) * 7
     h = mix64(gram_hashes(data, (GRAM,))[GRAM])
     # the place in the low bits: the leftmost of equal grams is the least
     low = np.uint64((1 << len(h).bit_length()) - 1)
@@ -85,7 +93,7 @@ def units_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     owner = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))[:n]
     at = np.flatnonzero(np.arange(n) + LENGTH <= bounds[owner + 1])
     if not len(at):
-        return empty, empty, empty, empty, empty
+        return (empty,) * 7
     gram, own = (least[at] & low).view(np.int64), owner[at]
     first = np.flatnonzero(np.concatenate(([True], (gram[1:] != gram[:-1]) | (own[1:] != own[:-1]))))
     windows = np.diff(np.append(first, len(at)))
@@ -96,7 +104,11 @@ def units_of(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(TABLE[data] * powers[:-1], out=sums[1:])
     digest = mix64((sums[start + windows + LENGTH - 1] - sums[start]) * powers[len(data) - start] + windows.astype(np.uint64))
-    return h[gram[first]].view(np.int64), digest.view(np.int64), own[first], start - bounds[own[first]], windows
+    x, own = gram[first], own[first]
+    apart = mix64(start.astype(np.uint64) + digest)
+    left = np.where(x - NEAR >= bounds[own], h[np.maximum(x - NEAR, 0)], apart)
+    right = np.where(x + NEAR + GRAM <= bounds[own + 1], h[np.minimum(x + NEAR, len(h) - 1)], ~apart)
+    return h[x].view(np.int64), digest.view(np.int64), own, start - bounds[own], windows, left.astype(np.uint16).view(np.int16), right.astype(np.uint16).view(np.int16)
 
 
 def merged(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -114,12 +126,13 @@ def merged(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
     return row[at], start[at], far[np.append(at[1:], len(row)) - 1]
 
 
-_FIELDS = ["key", "digest", "row", "start", "windows"]
-_UNIT = "key long, digest long, row long, start int, windows int"
+_FIELDS = ["key", "digest", "row", "start", "windows", "left", "right"]
+_UNIT = "key long, digest long, row long, start int, windows int, left short, right short"
 
 
 def _batch(columns: list[np.ndarray]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+    columns = [*columns, *([np.zeros(len(columns[0]), np.int16)] * (len(_FIELDS) - len(columns)))]
+    kinds = [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.int16()] * 2
     return pa.RecordBatch.from_arrays([pa.array(c.astype(k.to_pandas_dtype())) for c, k in zip(columns, kinds)], _FIELDS)
 
 
@@ -134,12 +147,12 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = rows[o]
         bounds = np.concatenate(([0], np.cumsum(pc.binary_length(texts).to_numpy()))).astype(np.int64)
         data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[: bounds[-1]] if bounds[-1] else np.zeros(0, np.uint8)
-        key, digest, own, start, windows = units_of(data, bounds)
+        key, digest, own, start, windows, left, right = units_of(data, bounds)
         o = np.lexsort((digest, key))  # stable, so the earliest of equal units leads
         k, d = key[o], digest[o]
         lead = np.concatenate(([True], (k[1:] != k[:-1]) | (d[1:] != d[:-1]))) if len(o) else np.zeros(0, bool)
         u = o[lead]
-        yield _batch([key[u], digest[u], rows[own[u]], start[u], windows[u]])
+        yield _batch([key[u], digest[u], rows[own[u]], start[u], windows[u], left[u], right[u]])
         w = o[~lead]
         r, a, b = merged(rows[own[w]], start[w], start[w] + windows[w] + LENGTH - 1)
         yield _batch([mix64(r.view(np.uint64)).view(np.int64), np.zeros(len(r), np.int64), r, a, a - b])
@@ -147,41 +160,58 @@ def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _under_key(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
     """Of units under their keys: covered spans, and units that must be compared."""
-    key, digest, row, start, windows = (t[c].to_numpy() for c in _FIELDS)
-    span = windows < 0
-    key, digest, row, start, windows = (x[~span] for x in (key, digest, row, start, windows))
+    span = t["windows"].to_numpy() < 0
+    key, digest, row, start, windows, left, right = (t[c].to_numpy()[~span] for c in _FIELDS)
     new_key = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.zeros(0, bool)
     lead = new_key | np.concatenate(([True], digest[1:] != digest[:-1])) if len(key) else new_key
     no = np.cumsum(new_key) - 1
     many = np.bincount(no[lead])[no] > 1 if len(key) else new_key
-    need = lead & many
+    need = np.flatnonzero(lead & many)
+    close = np.zeros(len(need), bool)  # the left or the right hash occurs twice under the key
+    for side in (left[need], right[need]):
+        o = np.lexsort((side, no[need]))
+        same = (side[o][1:] == side[o][:-1]) & (no[need][o][1:] == no[need][o][:-1])
+        close[o[1:][same]] = close[o[:-1][same]] = True
+    need = need[close]
     r = np.concatenate((t["row"].to_numpy()[span], row[~lead]))
     a = np.concatenate((t["start"].to_numpy()[span], start[~lead])).astype(np.int64)
     b = np.concatenate((t["start"].to_numpy()[span] - t["windows"].to_numpy()[span], start[~lead] + windows[~lead] + LENGTH - 1)).astype(np.int64)
     r, a, b = merged(r, a, b)
-    return _batch([np.concatenate((key[need], np.zeros(len(r), np.int64))), np.zeros(int(need.sum()) + len(r), np.int64), np.concatenate((row[need], r)), np.concatenate((start[need], a)), np.concatenate((windows[need], a - b))])
+    return _batch([np.concatenate((key[need], np.zeros(len(r), np.int64))), np.zeros(len(need) + len(r), np.int64), np.concatenate((row[need], r)), np.concatenate((start[need], a)), np.concatenate((windows[need], a - b))])
+
+
+def _lists(column: pa.Array, *fields: str) -> tuple[np.ndarray, ...]:
+    """Sizes of a column's lists of structs, and the fields of all their elements."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = column.flatten()
+    return sizes, *(flat.field(f).to_numpy(zero_copy_only=False).astype(np.int64) for f in fields)
 
 
 def _bytes_of_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column("text").cast(pa.large_binary()).to_pylist()
-        keys, rows, starts, sizes, data = [], [], [], [], []
-        for row, text, units in zip(batch.column("row").to_pylist(), texts, batch.column("units").to_pylist()):
-            for u in units:
-                keys.append(u["key"])
-                rows.append(row)
-                starts.append(u["start"])
-                sizes.append(u["windows"])
-                data.append(text[u["start"] : u["start"] + u["windows"] + LENGTH - 1])
-        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(rows, pa.int64()), pa.array(starts, pa.int32()), pa.array(sizes, pa.int32()), pa.array(data, pa.binary())], ["key", "row", "start", "windows", "bytes"])
-
-
-def repeated_windows(data: np.ndarray, unit_at: np.ndarray, windows: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Places in ``data`` of windows that equal an earlier window of their group.
-
-    Units stand in order, group by group; unit i has the bytes from unit_at[i] and so many
+        if not batch.num_rows:
+            continue
+        texts = string_array(batch.column("text"))
+        bounds = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+        data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+        sizes, key, start, windows = _lists(batch.column("units"), "key", "start", "windows")
+        row = np.repeat(batch.column("row").to_numpy(), sizes)
+        length = windows + LENGTH - 1
+        ends = np.cumsum(length)
+        index = np.repeat((np.repeat(bounds[:-1], sizes) + start - (ends - length)).astype(np.int32), length)
+        index += np.arange(len(index), dtype=np.int32)
+        offsets = np.concatenate(([0], ends)).astype(np.int32)
+        out = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(offsets), pa.py_buffer(data.take(index))])
+        yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(row), pa.array(start, pa.int32()), pa.array(windows, pa.int32()), out], ["key", "row", "start", "windows", "bytes"])
+
+
+def repeated_windows(data: np.ndarray, unit_at: np.ndarray, windows: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Places in ``data`` of windows that equal an earlier window under their key.
+
+    Units stand in order, key by key; unit i has the bytes from unit_at[i] and so many
     windows.
     """
+    group = np.cumsum(np.concatenate(([0], key[1:] != key[:-1]))) if len(key) else key
     none = np.zeros(0, np.int64)
     if not len(unit_at) or len(data) < LENGTH:
         return none
@@ -211,6 +241,14 @@ def repeated_windows(data: np.ndarray, unit_at: np.ndarray, windows: np.ndarray,
     length = windows + LENGTH - 1
     chain_bytes = np.bincount(chain[inside], weights=length[inside] + 1, minlength=len(unit_at)).astype(np.int64)
     long = inside & (chain_bytes[chain] > CHAIN)
+    # the anchor of a unit: the first place from its last window on with the key's gram
+    g = mix64(gram_hashes(data, (GRAM,))[GRAM])
+    hit = np.flatnonzero(g == np.repeat(key.view(np.uint64), length)[: len(g)])
+    of = np.searchsorted(unit_at, hit, side="right") - 1
+    good = hit - unit_at[of] >= windows[of] - 1
+    anchor = np.zeros(len(unit_at), np.int64)
+    of, at_first = np.unique(of[good], return_index=True)
+    anchor[of] = hit[good][at_first] - unit_at[of]
     out = [_by_window(data, at[long[unit]], chain[unit][long[unit]], h[long[unit]])]
     todo = np.flatnonzero(inside & ~long)
     todo = todo[np.lexsort((todo, chain[todo], chain_bytes[chain[todo]]))]  # strings of like length together
@@ -223,7 +261,7 @@ def repeated_windows(data: np.ndarray, unit_at: np.ndarray, windows: np.ndarray,
         while stop < len(head) and ends[head[stop] - 1] - began < TOGETHER:
             stop += 1
         last = head[stop] if stop < len(head) else len(todo)
-        out.append(_by_suffixes(data, todo[head[cut] : last], unit_at, windows, chain))
+        out.append(_by_suffixes(data, todo[head[cut] : last], unit_at, anchor, windows, chain))
         cut = stop
     return np.concatenate(out)
 
@@ -235,27 +273,54 @@ def _rows_equal(view: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _by_suffixes(data: np.ndarray, units: np.ndarray, unit_at: np.ndarray, windows: np.ndarray, chain: np.ndarray) -> np.ndarray:
+def _symbols(data: np.ndarray, start: np.ndarray, anchor: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of units in a row, and how many each has: bytes up to the anchor, then blocks.
+
+    Windows start at or before the anchor, so only bytes up to there are symbols of their
+    own. The anchor's gram and each BLOCK bytes behind it are one symbol, whose number goes
+    by the order of the bytes. Equal windows have the anchor at the same place, so they are
+    cut alike; one that ends inside a block shares the block's first bytes, and strings that
+    do stand together in that order. 0 parts the units.
+    """
+    tail = length - anchor - GRAM
+    blocks = -(-tail // BLOCK)
+    n = anchor + 1 + blocks + 1
+    first = np.cumsum(n) - n
+    out = np.zeros(int(n.sum()), np.int64)
+    head = np.arange(int(anchor.sum())) - np.repeat(np.cumsum(anchor) - anchor, anchor)
+    out[head + np.repeat(first, anchor)] = data[head + np.repeat(start, anchor)].astype(np.int64) + 1
+    grams = np.lib.stride_tricks.sliding_window_view(data, GRAM)[start + anchor].copy().view(f"S{GRAM}").ravel()
+    out[first + anchor] = np.unique(grams, return_inverse=True)[1] + 257
+    shift = len(grams) + 257
+    no = np.arange(int(blocks.sum())) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    at = np.repeat(start + anchor + GRAM, blocks) + no * BLOCK
+    stop = np.repeat(start + length, blocks)
+    value = np.zeros(len(at), np.uint64)
+    for k in range(BLOCK):  # big-endian, short blocks padded
+        inside = at + k < stop
+        value = (value << np.uint64(8)) | np.where(inside, data[np.minimum(at + k, len(data) - 1)], 0).astype(np.uint64)
+    out[np.repeat(first + anchor + 1, blocks) + no] = np.unique(value, return_inverse=True)[1] + shift
+    return out, n
+
+
+def _by_suffixes(data: np.ndarray, units: np.ndarray, unit_at: np.ndarray, anchor: np.ndarray, windows: np.ndarray, chain: np.ndarray) -> np.ndarray:
     """Repeats among chained units, from the suffix arrays of the chains."""
-    length = windows[units] + LENGTH - 1
-    source = np.repeat(unit_at[units] - (np.cumsum(length) - length), length) + np.arange(int(length.sum()))
-    symbols = np.zeros(len(source) + len(units), np.int64)  # 0 parts the units
-    spread = np.arange(len(source)) + np.repeat(np.arange(len(units)), length)
-    symbols[spread] = data[source].astype(np.int64) + 1
+    w = windows[units]
+    symbols, n = _symbols(data, unit_at[units], anchor[units], w + LENGTH - 1)
     head = np.flatnonzero(np.concatenate(([True], chain[units][1:] != chain[units][:-1])))
-    sizes = np.add.reduceat(length + 1, head)
-    order = suffix_arrays(symbols, sizes)
+    order = suffix_arrays(symbols, np.add.reduceat(n, head))
     # places in data of suffixes that start a window, in suffix order
+    inner = np.arange(int(w.sum())) - np.repeat(np.cumsum(w) - w, w)
+    begins = np.repeat(np.cumsum(n) - n, w) + inner
     where = np.full(len(symbols), -1, np.int64)
-    where[spread] = source
-    begins = np.zeros(len(symbols), bool)
-    first = np.cumsum(length + 1) - (length + 1)
-    begins[np.repeat(first - (np.cumsum(windows[units]) - windows[units]), windows[units]) + np.arange(int(windows[units].sum()))] = True
-    order = order[begins[order]]
-    string = np.repeat(np.arange(len(sizes)), sizes)[order]
+    where[begins] = np.repeat(unit_at[units], w) + inner
+    string = np.zeros(len(symbols), np.int64)
+    string[(np.cumsum(n) - n)[head[1:]]] = 1
+    string = np.cumsum(string)
+    order = order[where[order] >= 0]
     place = where[order]
     view = np.lib.stride_tricks.sliding_window_view(data, LENGTH)
-    equal = (string[1:] == string[:-1]) & _rows_equal(view, place[1:], place[:-1])
+    equal = (string[order[1:]] == string[order[:-1]]) & _rows_equal(view, place[1:], place[:-1])
     run = np.concatenate(([0], np.cumsum(~equal)))
     least = np.full(run[-1] + 1, np.iinfo(np.int64).max)
     np.minimum.at(least, run, place)
@@ -284,13 +349,13 @@ def _by_window(data: np.ndarray, at: np.ndarray, chain: np.ndarray, h: np.ndarra
 
 def _compare(t: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
     row, start, windows = t["row"].to_numpy(), t["start"].to_numpy().astype(np.int64), t["windows"].to_numpy().astype(np.int64)
-    group = np.zeros(t.num_rows, np.int64)
-    group[starts[1:]] = 1
-    group = np.cumsum(group)
-    data = np.frombuffer(b"".join(t["bytes"].to_pylist()), np.uint8)
+    column = t["bytes"].combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
     length = windows + LENGTH - 1
     unit_at = np.cumsum(length) - length
-    again = repeated_windows(data, unit_at, windows, group)
+    again = repeated_windows(data, unit_at, windows, t["key"].to_numpy())
     unit = np.searchsorted(unit_at, again, side="right") - 1
     a = start[unit] + again - unit_at[unit]
     r, a, b = merged(row[unit], a, a + LENGTH)
@@ -308,16 +373,18 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def repeated_spans(rows: DataFrame) -> DataFrame:
-    """(row, a, b): half-open byte spans that repeat earlier text; they may overlap."""
+    """(row, a, b): half-open byte spans that repeat earlier text, staged; they may overlap."""
     small_batches(rows.sparkSession)
-    units = rows.select("row", "text").mapInArrow(_units, _UNIT)
+    units = rows.select("row", "text").mapInArrow(task(_units), _UNIT)
     dealt = units.repartition("key").sortWithinPartitions("key", "digest", "row", "start")
-    seen = staged(map_sorted(dealt, ["key"], _under_key, _UNIT), "units")
+    seen, at = staged_at(map_sorted(dealt, ["key"], _under_key, _UNIT), "units")
     spans = seen.where("windows < 0").select("row", F.col("start").alias("a"), (F.col("start") - F.col("windows")).alias("b"))
     need = seen.where("windows >= 0").groupBy("row").agg(F.collect_list(F.struct("key", "start", "windows")).alias("units"))
-    with_bytes = rows.select("row", "text").join(need, "row").mapInArrow(_bytes_of_units, "key long, row long, start int, windows int, bytes binary")
-    compared = map_groups(with_bytes, ["key"], _compare, "row long, a int, b int", ["row", "start"])
-    return spans.union(compared)
+    with_bytes = rows.select("row", "text").join(need, "row").mapInArrow(task(_bytes_of_units), "key long, row long, start int, windows int, bytes binary")
+    compared = map_groups(with_bytes, ["key"], _compare, "row long, a int, b int", ["row", "start"], rows=15_000)
+    spans = staged(spans.union(compared), "spans")
+    drop_dir(rows.sparkSession, at)
+    return spans
 
 
 def map_sorted(df: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
@@ -327,24 +394,26 @@ def map_sorted(df: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the text that is left."""
     rows = numbered(docs)
-    spans = staged(repeated_spans(rows), "spans").groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    spans = repeated_spans(rows).groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for text, found in zip(batch.column("text").cast(pa.large_binary()).to_pylist(), batch.column("spans").to_pylist()):
-                a = np.array([x["a"] for x in found or ()], np.int64)
-                b = np.array([x["b"] for x in found or ()], np.int64)
-                _, a, b = merged(np.zeros(len(a), np.int64), a, b)
+            sizes, a, b = _lists(batch.column("spans"), "a", "b")
+            row, a, b = merged(np.repeat(np.arange(batch.num_rows), sizes), a, b)
+            cuts = np.searchsorted(row, np.arange(batch.num_rows + 1)).tolist()
+            spans = list(zip(a.tolist(), b.tolist()))
+            for i, text in enumerate(batch.column("text").cast(pa.large_binary()).to_pylist()):
+                mine = spans[cuts[i] : cuts[i + 1]]
                 kept, at = [], 0
-                for x, y in zip(a.tolist(), b.tolist()):
+                for x, y in mine:
                     kept.append(text[at:x])
                     at = y
                 kept = b"".join([*kept, text[at:]])
-                for c, x in zip(out, (len(text), len(text) - len(kept), len(a), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace"))):
+                for c, x in zip(out, (len(text), len(text) - len(kept), len(mine), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace"))):
                     c.append(x)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(out, kinds))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     whole = rows.join(spans, "row", "left").select("doc_id", "text", "spans")
-    return whole.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
+    return whole.mapInArrow(task(cut), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")

@@ -20,7 +20,10 @@ import numpy as np
 
 def _spans(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The numbers start, start + 1, ... of every span, in a row."""
-    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+    ends = np.cumsum(sizes)
+    out = np.repeat((starts - (ends - sizes)).astype(np.int32), sizes)
+    out += np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32)
+    return out
 
 
 def suffix_arrays(symbols: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -44,23 +47,25 @@ def suffix_arrays(symbols: np.ndarray, lens: np.ndarray) -> np.ndarray:
     sid = np.repeat(np.arange(n_strings), size)
 
     order = np.argsort(sid * (int(text.max()) + 1) + text, kind="stable")
-    place = np.empty(total, np.int64)
-    place[order] = np.arange(total)
+    order = order.astype(np.int32)
+    place = np.empty(total, np.int32)
+    place[order] = np.arange(total, dtype=np.int32)
     s, t = sid[order], text[order]
     new = np.concatenate(([True], (s[1:] != s[:-1]) | (t[1:] != t[:-1])))
-    starts = np.flatnonzero(new)
-    group = np.empty(total, np.int64)
+    starts = np.flatnonzero(new).astype(np.int32)
+    group = np.empty(total, np.int32)
     group[order] = starts[np.cumsum(new) - 1]
-    count = np.zeros(total + 1, np.int64)
+    count = np.zeros(total + 1, np.int32)
     count[starts] = np.diff(np.append(starts, total))
-    depth = np.zeros(total, np.int64)
+    depth = np.zeros(total, np.int32)
     depth[starts] = 1
-    prev = np.arange(total) - 1
+    prev = np.arange(total, dtype=np.int32) - np.int32(1)
     prev[base] = -1
     moved = np.zeros(total, bool)
 
     # phase one
-    end = base + size
+    end = (base + size).astype(np.int32)
+    base = base.astype(np.int32)
     act = np.flatnonzero(lens > 0)
     while len(act):
         e = end[act]
@@ -106,16 +111,16 @@ def suffix_arrays(symbols: np.ndarray, lens: np.ndarray) -> np.ndarray:
         act = act[top > base[act] + 1]
 
     # phase two
-    out = np.full(total + 1, -1, np.int64)
-    free = np.arange(total + 1)
+    out = np.full(total + 1, -1, np.int32)
+    free = np.arange(total + 1, dtype=np.int32)
     placed = np.zeros(total + 1, bool)
     placed[-1] = True  # no suffix: prev and left neighbour of the first lead here
     out[base] = mark
     placed[mark] = True
-    stop = base + size
+    stop = (base + size).astype(np.int32)
     act = np.flatnonzero(lens > 0)
     r = base[act].copy()
-    s = mark[act] - 1
+    s = (mark[act] - 1).astype(np.int32)
     low, high = base[act], stop[act]
     while len(r):
         can = np.flatnonzero(~placed[s])
