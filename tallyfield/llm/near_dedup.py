@@ -1,12 +1,13 @@
 """Near-duplicate documents by DartMinHash signatures, banded joining and exact checks.
 
-A document is the weighted set of its shingles of five words; a shingle's weight is
-1 + ln(times it occurs). Every element has a stream of darts, fixed by its hash: for each
-unit of weight and each unit of rank, a Poisson(1) number of them at hashed places. A
-document owns the darts that fall below its weight and below a rank bound of about
-(K ln K + 2K) / total weight; each dart belongs to one of K coordinates, and the earliest
-dart of a coordinate is its signature there (a coordinate left empty doubles the bound).
-Two documents agree in a coordinate with the weighted Jaccard similarity as probability.
+A document is the set of its shingles of five words, each of weight 1 however often it
+occurs, so signatures follow the similarity that defines a link. Every element has a stream of
+darts, fixed by its hash: for each unit of weight and each unit of rank, a Poisson(1) number
+of them at hashed places. A document owns the darts that fall below its weight and below a
+rank bound of about (K ln K + 2K) / total weight; each dart belongs to one of K coordinates,
+and the earliest dart of a coordinate is its signature there (a coordinate left empty doubles
+the bound). Two documents agree in a coordinate with their Jaccard similarity as probability.
+(``dart_signatures`` itself takes repeated elements too, as weights 1 + ln(times)).
 
 Equal texts are one node. Signatures are cut into bands; nodes that share a band are
 candidates. Within a band bucket pairs are not enumerated into the plan: round one emits a
@@ -75,6 +76,17 @@ def shingle_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, who
 
 
+def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text in rising order, and for each the index of its text."""
+    h, who = shingle_hashes(texts)
+    if not len(h):
+        return h, who
+    order = np.lexsort((h, who))
+    h, who = h[order], who[order]
+    keep = np.concatenate(([True], (h[1:] != h[:-1]) | (who[1:] != who[:-1])))
+    return h[keep], who[keep]
+
+
 def dart_signatures(h: np.ndarray, who: np.ndarray, n: int, k: int = K) -> np.ndarray:
     """(n, k) dart hashes; rows of texts without shingles are zero."""
     signature = np.zeros((n, k), np.uint64)
@@ -145,7 +157,7 @@ def signature_rows(docs: DataFrame) -> DataFrame:
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = string_array(batch.column(2))
-            h, who = shingle_hashes(texts)
+            h, who = shingle_sets(texts)
             sig = dart_signatures(h, who, len(texts))
             some = np.zeros(len(texts), bool)
             some[who] = True
@@ -270,11 +282,8 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(v, c, k, sig, text) rows with the text's shingle set in its place."""
     for batch in batches:
         n = batch.num_rows
-        h, who = shingle_hashes(string_array(batch.column("text")))
-        o = np.lexsort((h, who))
-        h, who = h[o], who[o]
-        keep = np.concatenate(([True], (h[1:] != h[:-1]) | (who[1:] != who[:-1]))) if len(h) else np.zeros(0, bool)
-        parts = np.split(h[keep], np.searchsorted(who[keep], np.arange(1, n))) if n else []
+        h, who = shingle_sets(string_array(batch.column("text")))
+        parts = np.split(h, np.searchsorted(who, np.arange(1, n))) if n else []
         hashes = pa.array([x.tobytes() for x in parts], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column("v"), batch.column("c"), batch.column("k"), batch.column("sig"), hashes], ["v", "c", "k", "sig", "hashes"])
 

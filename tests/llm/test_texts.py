@@ -68,6 +68,20 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, block):
     assert not wrong
 
 
+def test_near_duplicates_that_repeat_lines_differently(spark):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(30)]
+        line = [f"l{rng.randrange(10**6)}" for _ in range(10)]
+        for times in (1, 2, 8, 60):
+            rows.append((len(rows), " ".join(words + line * times)))
+    got = dict(near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    want = classes(rows)
+    assert len(set(want)) == 40
+    assert [got[i] for i, _ in rows] == want
+
+
 def test_near_duplicates_of_odd_rows(spark, odd, empty):
     got = sorted(map(tuple, near_duplicates(odd).collect()), key=str)
     rows = [(r.doc_id, r.text) for r in odd.collect()]
