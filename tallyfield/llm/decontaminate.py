@@ -1,22 +1,17 @@
-"""Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit distance.
+"""Benchmark decontamination by a lossless q-gram filter and exact edit distance.
 
-Strings are sequences of words. For an item of W words, windows of W words of a document are
-candidates at every word. A window and an item within ``k = floor(EDITS * W)`` word edits
-(insert, delete, replace) are a match.
+Strings are sequences of words. A passage of a document within ``k = floor(EDITS * W)`` word
+edits (insert, delete, replace) of an item of W words is a match; passages may start at every
+word and be up to k words longer or shorter than the item. Every match is found.
 
-Embedding. The CGK walk reads a string with a pointer: step j writes the word under the
-pointer and moves on by a random bit that depends on (j, word) alone; past the end it writes
-a pad. Two strings in edit distance d walk to embeddings of Hamming distance O(d^2), small
-in most walks, while different ones fall apart. Length 2 W is walked.
+Filter. By the q-gram lemma a passage within k edits keeps at least W - 1 - 2k of the item's
+W - 1 word pairs, within W + k words. Pairs of a document are looked up among those of all
+items; starts whose reach holds fewer pairs of an item than that are left out for the item,
+which loses nothing. Look-ups are spread out in runs of texts of about ``SPREAD`` rows.
 
-Search. Each of ``REPEATS`` draws walks anew with its own bits and samples ``SAMPLED`` places
-of the embedding; a window whose sampled words equal an item's is a candidate. Candidates are
-checked with the exact edit distance of the whole window; the item's passage may be longer or
-shorter than the window by its edits, so the best end within k words is taken.
-
-Windows that can't match are not walked: by the q-gram lemma a window within k edits shares
-at least W - 1 - 2k word pairs with the item, so it holds that many pairs that stand in some
-item of its length class (exact, nothing is lost).
+Check. From the starts left, the edit distance to every beginning of the text is had at once
+by bit-parallel dynamic programming (Myers) over the reversed words. Of an item's matches in a
+text that of the fewest edits, then the first, is reported.
 
 Benchmark items are a dimension: they are collected to the driver, at most ``MAX_ITEM_BYTES``
 of text (an error beyond that asks for several runs), and go to the tasks in their closure.
@@ -37,16 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import coded, mix64, small_batches, split_words, string_array, task, text_or_empty
+from tallyfield.llm.common import coded, small_batches, split_words, string_array, task, text_or_empty
 
 EDITS = 0.2  # edits of an item's words
-REPEATS = 32
-SAMPLED = 3
 LEAST_WORDS = 5
-WALKED = 20_000  # windows walked at a time
+SPREAD = 1_000_000  # (pair of a text, item) rows at a time
 MAX_ITEM_BYTES = 64 << 20
-SEED = np.uint64(0x51ED270B35AE2C11)
-PAD = np.uint64(0x2545F4914F6CDD1D)
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
@@ -75,65 +66,88 @@ def edit_distance_to_prefix(item: list, window: list, k: int) -> tuple[int, int]
     return row[best], best
 
 
-class Walks:
-    """All draws for items of W words: their bits, and the places sampled from each."""
-
-    def __init__(self, width: int, draws: int):
-        self.salt = mix64(SEED + np.arange(draws, dtype=np.uint64) * np.uint64(1_000_003) + np.uint64(width))
-        reach = max(1, int(1.8 * width))  # later places mostly hold pads
-        self.rows = defaultdict(list)  # draws that sample a place
-        for r in range(draws):
-            for j in np.random.default_rng([r, width]).choice(reach, min(SAMPLED, reach), replace=False):
-                self.rows[int(j)].append(r)
-
-    @np.errstate(over="ignore")
-    def keys(self, h: np.ndarray, at: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Per draw, the hash of the sampled places of the embedding of each h[a : b]."""
-        salt = self.salt[:, None]
-        key = np.repeat(salt, len(at), axis=1)
-        place = np.repeat(at[None, :], len(self.salt), axis=0)
-        h = np.append(h, PAD)
-        for j in range(max(self.rows) + 1):
-            word = np.where(place < stop, h.take(place), PAD)
-            if rows := self.rows.get(j):
-                key[rows] = mix64(key[rows] * np.uint64(0x9E3779B97F4A7C15) + word[rows])
-            bit = mix64(word ^ (salt + np.uint64(j) * np.uint64(0xD1B54A32D192ED03))) & np.uint64(1)
-            place = np.minimum(place + bit.view(np.int64), stop)
-        return key
+def distances_from(item: list, words: list) -> list[int]:
+    """For each start in ``words``, the least edits from ``item`` to a stretch from there on."""
+    m = len(item)
+    mask, last = (1 << m) - 1, 1 << (m - 1)
+    same: dict = defaultdict(int)
+    for j, w in enumerate(reversed(item)):
+        same[w] |= 1 << j
+    up, down, d = mask, 0, m  # cells one more, or one less, than the cell before
+    out = []
+    for w in reversed(words):
+        eq = same.get(w, 0)
+        v = eq | down
+        h = (((eq & up) + up) ^ up) | eq
+        right, left = down | ~(h | up), up & h
+        if right & last:
+            d += 1
+        elif left & last:
+            d -= 1
+        right, left = right << 1, left << 1
+        up, down = (left | ~(v | right)) & mask, right & v & mask
+        out.append(d)
+    return out[::-1]
 
 
 class Items:
-    """Benchmark items by length, with the keys of every draw."""
+    """Benchmark items, and which of them hold a word pair."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
-        self.words = {}
-        self.by_width: dict[int, list[int]] = defaultdict(list)
+        self.words: list[list[str]] = []
         self.ids = []
+        self.single: dict[int, list[int]] = defaultdict(list)  # items of one word, by its hash
+        pairs = []
         for item_id, text in items:
             w = split_words(pa.array([text or ""], pa.large_string()))[0].to_pylist()
             if w:
-                self.words[len(self.ids)] = w
-                self.by_width[len(w)].append(len(self.ids))
+                h = word_hashes(w)
+                if len(w) == 1:
+                    self.single[int(h[0])].append(len(self.ids))
+                pairs.append(np.unique(pair_hashes(h[:-1], h[1:])))
+                self.words.append(w)
                 self.ids.append(item_id)
-        self.tables: dict[int, tuple[Walks, list[dict[int, list[int]]]]] = {}
-        self.pairs: dict[int, np.ndarray] = {}
-        self.seen = np.unique(np.concatenate([word_hashes(w) for w in self.words.values()])) if self.words else np.zeros(0, np.uint64)
-        for width, members in self.by_width.items():
-            hashes = [word_hashes(self.words[i]) for i in members]
-            self.pairs[width] = np.unique(np.concatenate([pair_hashes(h[:-1], h[1:]) for h in hashes]))
-            joined, first = np.concatenate(hashes), np.arange(len(members)) * width
-            walks = Walks(width, REPEATS if width >= LEAST_WORDS else 1)
-            tables: list[dict[int, list[int]]] = []
-            for row in walks.keys(joined, first, first + width).tolist():
-                table = defaultdict(list)
-                for i, key in zip(members, row):
-                    table[key].append(i)
-                tables.append(dict(table))
-            self.tables[width] = walks, tables
+        self.seen = np.unique(word_hashes(sorted({x for w in self.words for x in w})))
+        self.width = np.fromiter(map(len, self.words), np.int64, len(self.words))
+        self.most = np.array([self.edits(int(w)) for w in self.width], np.int64)
+        pair = np.concatenate([np.zeros(0, np.uint64), *pairs])
+        holder = np.repeat(np.arange(len(pairs)), [len(x) for x in pairs])
+        order = np.argsort(pair, kind="stable")
+        self.holder = holder[order]
+        self.pairs, self.first = np.unique(pair[order], return_index=True)
+        self.holders = np.diff(np.append(self.first, len(pair)))
 
     def edits(self, width: int) -> int:
         return int(EDITS * width) if width >= LEAST_WORDS else 0
 
+    def starts(self, at: np.ndarray, pair: np.ndarray, owner: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, first start, last start) of what the filter leaves; ``at``: places of
+        the item pairs number ``pair``, in order."""
+        n = self.holders[pair]
+        total = np.cumsum(n)
+        text = owner[at]
+        new = np.flatnonzero(np.concatenate(([True], text[1:] != text[:-1]))) if len(at) else np.zeros(0, np.int64)
+        run = (total - n)[new] // SPREAD  # runs of whole texts
+        cuts = [*new[np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))], len(at)] if len(at) else []
+        for a, b in zip(cuts, cuts[1:]):
+            size = n[a:b]
+            here = np.repeat(at[a:b], size)
+            item = self.holder[np.repeat(self.first[pair[a:b]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+            whose = owner[here]
+            order = np.lexsort((here, item, whose))
+            here, item, whose = here[order], item[order], whose[order]
+            least = self.width[item] - 1 - 2 * self.most[item]  # pairs that a match keeps
+            reach = self.width[item] + self.most[item] - 2
+            end = np.arange(len(here)) + least - 1
+            inside = np.minimum(end, len(here) - 1)
+            good = (end < len(here)) & (whose[inside] == whose) & (item[inside] == item) & (here[inside] - here <= reach)
+            inside, high, item, whose, reach = inside[good], here[good], item[good], whose[good], reach[good]
+            if not len(high):
+                continue
+            low = np.maximum(here[inside] - reach, bounds[whose])
+            lead = np.flatnonzero(np.concatenate(([True], (whose[1:] != whose[:-1]) | (item[1:] != item[:-1]) | (low[1:] > high[:-1] + 1))))
+            yield from zip(whose[lead].tolist(), item[lead].tolist(), low[lead].tolist(), high[np.append(lead[1:], len(high)) - 1].tolist())
+
     def matches(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, words, edits) of the best match of each item in a text."""
         flat, bounds = split_words(texts)
@@ -144,41 +158,25 @@ class Items:
         h = own[codes]
         owner = np.repeat(np.arange(len(texts)), np.diff(bounds))
         near = np.isin(own, self.seen)[codes]  # words of some item
+        found: dict[tuple[int, int], tuple[int, int, int]] = {}
+        if self.single:
+            for a in np.flatnonzero(np.isin(own, np.fromiter(self.single, np.uint64, len(self.single)))[codes]).tolist():
+                for i in self.single[int(h[a])]:
+                    found.setdefault((int(owner[a]), i), (a, 1, 0))
         some = np.flatnonzero(near[:-1] & near[1:] & (owner[:-1] == owner[1:]))
         pair = pair_hashes(h[some], h[some + 1])
-        found: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for width, (walks, tables) in self.tables.items():
-            k = self.edits(width)
-            least = width - 1 - 2 * k  # word pairs that a matching window shares
-            if least >= 1:
-                hits = some[np.isin(pair, self.pairs[width])]
-                reach = width + k - 2
-                first, last = hits[: max(0, len(hits) - least + 1)], hits[least - 1 :]
-                close = (last - first <= reach) & (owner[first] == owner[last])
-                first, last = first[close], last[close]
-                low = np.maximum(last - reach, bounds[owner[first]])
-                sizes = first - low + 1
-                at = np.unique(np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum())))
-            else:
-                mine = word_hashes(sorted({w for i in self.by_width[width] for w in self.words[i]}))
-                at = np.flatnonzero(np.isin(own, mine)[codes])
-            if not len(at):
-                continue
-            stops = np.minimum(at + width, bounds[1:][owner[at]])
-            candidates: set[tuple[int, int]] = set()
-            for some_at in range(0, len(at), WALKED):
-                starts = at[some_at : some_at + WALKED]
-                for keys, table in zip(walks.keys(h, starts, stops[some_at : some_at + WALKED]), tables):
-                    for j in np.flatnonzero(np.isin(keys, np.fromiter(table, np.uint64, len(table)))):
-                        candidates.update((int(starts[j]), i) for i in table[int(keys[j])])
-            for a, i in candidates:
-                t = int(owner[a])
-                stop = min(a + width + k, int(bounds[t + 1]))
-                d, n = edit_distance_to_prefix(self.words[i], [words[c] for c in codes[a:stop]], k)
-                if d <= k:
-                    best = found.get((t, i))
-                    if best is None or (d, a) < (best[2], best[0]):
-                        found[t, i] = (a, n, d)
+        if len(self.pairs):
+            number = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            held = self.pairs[number] == pair
+            for t, i, low, high in self.starts(some[held], number[held], owner, bounds):
+                k, item = int(self.most[i]), self.words[i]
+                stop = min(high + len(item) + k, int(bounds[t + 1]))
+                part = [words[c] for c in codes[low:stop]]
+                d = distances_from(item, part)[: high - low + 1]
+                least = min(d)
+                a = low + d.index(least)
+                if least <= k and ((t, i) not in found or (least, a) < (found[t, i][2], found[t, i][0])):
+                    found[t, i] = (a, edit_distance_to_prefix(item, part[a - low : a - low + len(item) + k], k)[1], least)
         return [(t, i, a - int(bounds[t]), n, d) for (t, i), (a, n, d) in sorted(found.items())]
 
 

@@ -9,9 +9,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tallyfield.llm import near_dedup, repeats, toxicity
+from tallyfield.llm import decontaminate, near_dedup, repeats, toxicity
 from tallyfield.llm.components import connected_components
-from tallyfield.llm.decontaminate import contaminated, edit_distance_to_prefix, without_benchmark
+from tallyfield.llm.decontaminate import Items, contaminated, edit_distance_to_prefix, without_benchmark
 from tallyfield.llm.html_text import main_text
 from tallyfield.llm.near_dedup import dart_signatures, near_duplicates, one_of_each, shingle_hashes
 from tallyfield.llm.repeats import remove_repeats
@@ -259,6 +259,33 @@ def bench(spark):
     return [(i, " ".join(f"b{rng.randrange(900)}" for _ in range(n))) for i, n in enumerate([3, 8, 15, 30, 30, 50])]
 
 
+@pytest.mark.parametrize("width", [5, 9, 20, 40, 50, 59])
+@pytest.mark.parametrize("kind", ["delete", "block", "insert", "replace", "mixed"])
+def test_decontamination_at_the_full_bound(monkeypatch, kind, width):
+    monkeypatch.setattr(decontaminate, "SPREAD", 500, raising=False)
+    rng = random.Random(f"{kind}{width}")
+    items = [[f"b{rng.randrange(400)}" for _ in range(width)] for _ in range(5)]
+    texts, k = [], int(0.2 * width)
+    for n in range(60):
+        p = list(items[n % 5])
+        block = rng.randrange(width - k + 1)
+        for x in range(k):
+            how = rng.choice(["delete", "insert", "replace"]) if kind == "mixed" else kind
+            at = block if how == "block" else rng.randrange(len(p))
+            p[at : at + 1] = {"insert": [f"x{x}", *p[at : at + 1]], "replace": [f"x{x}"]}.get(how, [])
+        texts.append([f"b{rng.randrange(400)}" for _ in range(30)] + p + [f"t{rng.randrange(900)}" for _ in range(30)])
+    got = {(t, i): x for t, i, *x in Items([(i, " ".join(w)) for i, w in enumerate(items)]).matches(pa.array([" ".join(t) for t in texts], pa.large_string()))}
+    want = {}
+    for t, w in enumerate(texts):
+        for i, item in enumerate(items):
+            # least edits to any stretch from each start: the last row of the full table
+            d, a = min((min(levenshtein(item, w[a : a + width + k])), a) for a in range(len(w))) if t % 5 == i else (k + 1, 0)
+            if d <= k:
+                want[t, i] = d, a
+    assert len(want) == 60 and {x: (d, a) for x, (a, _, d) in got.items()} == want
+    assert all(levenshtein(items[i], texts[t][a : a + n])[-1] == d for (t, i), (a, n, d) in got.items())
+
+
 def test_decontamination_finds_edited_passages(spark, bench):
     rng = random.Random(4)
     rows, want = [], {}
