@@ -148,6 +148,13 @@ def e12_cumulative_blocks(spark, d):
     return evaluation.cumulative_blocks(g).select("season", "week", "i", "j", F.round("v", 7).alias("v"))
 
 
+@query()
+def e12_all_cumulative_blocks(spark, d):
+    """Sums before each slot over all (i, j): players, both sides' teams and X'y."""
+    g = attribution.gram_blocks(attribution.design(v.plays(spark, d), v.players(spark, d)), valued(spark, d))
+    return evaluation.cumulative_blocks(g).select("season", "week", "i", "j", F.round("v", 7).alias("v"))
+
+
 @query(with_("plays", """SELECT i, j, round(v, 8) AS v FROM (SELECT off_team AS team, avg(drive_points) AS s FROM plays GROUP BY 1),
   LATERAL (VALUES ('o:' || team, 'o:' || team, 40.0::DOUBLE), ('d:' || team, 'd:' || team, 40.0), ('d:' || team, 'o:' || team, 40.0), ('o:' || team, NULL, 40 * s), ('d:' || team, NULL, 40 * s)) e(i, j, v)"""))
 def m8_market_rows(spark, d):

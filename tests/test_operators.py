@@ -1,5 +1,7 @@
 """Properties of the operators on small fixtures."""
 
+from collections import defaultdict
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import functions as F
 from tallyfield import views
 from tallyfield.operators import asof, attribution, contract, evaluation, ingest, projection, statespace, valuation
 from tallyfield.operators.asof import AsOf, LeakageError
+from tallyfield.plans import models
 from tallyfield.sources import sinks, tables
 
 GAME = [
@@ -148,6 +151,33 @@ def test_gram_equals_dense_product_and_adds_up(spark):
     assert res < 1e-9 and np.allclose(cg, [beta[n] for n in names], atol=1e-6)
 
 
+def test_all_cumulative_blocks_by_brute_force(spark, sf):
+    plays = views.plays(spark, sf)
+    dv = {(r.drive_id, r.play_id): r.dv for r in models.valued(spark, sf).select("drive_id", "play_id", "dv").collect()}
+    per_play = defaultdict(dict)
+    known = {r.player_id for r in views.players(spark, sf).collect()}
+    for r in plays.collect():
+        x = per_play[r.season, r.week, r.drive_id, r.play_id]
+        for col, val in [*(("p:" + p, 1.0) for p in r.off_players if p in known), *(("p:" + p, -1.0) for p in r.def_players if p in known), ("o:" + r.off_team, 1.0), ("d:" + r.def_team, -1.0)]:
+            x[col] = x.get(col, 0.0) + val
+    blocks = defaultdict(dict)
+    for (season, week, drive, play), x in per_play.items():
+        for i, a in x.items():
+            for j, b in [*((j, b) for j, b in x.items() if i <= j), (None, dv[drive, play])]:
+                at = blocks[i, j]
+                at[season, week] = at.get((season, week), 0.0) + a * b
+    want = {}
+    for (i, j), at in blocks.items():
+        before = 0.0
+        for k, slot in enumerate(sorted(at)):
+            if k:
+                want[(*slot, i, j)] = before
+            before += at[slot]
+    got = {(r.season, r.week, r.i, r.j): r.v for r in models.e12_all_cumulative_blocks(spark, sf).collect()}
+    assert got.keys() == want.keys() and {k[2][0] for k in got} == {"p", "o", "d"} and any(k[3] is None for k in got)
+    assert max(abs(got[k] - want[k]) for k in got) < 1e-5
+
+
 def test_planted_abilities_are_recovered(spark):
     corr = []
     for seed in (1, 2, 3):
