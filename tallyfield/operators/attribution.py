@@ -102,14 +102,19 @@ def solve_ridge(gram: DataFrame, lam: float = 120.0, prior: dict[str, float] | N
     ``scale``: penalty factor of a column; team intercepts take 0.05 unless given.
     """
     rows = gram.groupBy("i", "j").agg(F.sum("v").alias("v")).collect()
-    names = sorted({r.i for r in rows})
+    return solve_system({(r.i, r.j): r.v for r in rows}, lam, prior, scale)
+
+
+def solve_system(sums: dict[tuple[str, str | None], float], lam: float = 120.0, prior: dict[str, float] | None = None, scale: dict[str, float] | None = None) -> dict[str, float]:
+    """The solve of ``solve_ridge`` for sums of the Gram matrix by (i, j)."""
+    names = sorted({i for i, _ in sums})
     at = {n: k for k, n in enumerate(names)}
     a, b = np.zeros((len(names), len(names))), np.zeros(len(names))
-    for r in rows:
-        if r.j is None:
-            b[at[r.i]] = r.v
+    for (i, j), v in sums.items():
+        if j is None:
+            b[at[i]] = v
         else:
-            a[at[r.i], at[r.j]] = a[at[r.j], at[r.i]] = r.v
+            a[at[i], at[j]] = a[at[j], at[i]] = v
     factor = lambda n: (scale or {}).get(n, 1.0 if n.startswith("p:") else 0.05)
     pen = lam * np.array([factor(n) for n in names])
     mean = np.array([(prior or {}).get(n, 0.0) for n in names])

@@ -131,17 +131,38 @@ def cumulative_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("v", F.sum("v").over(w)).where(F.col("v").isNotNull())
 
 
-def walk_forward(blocks: DataFrame, origins: list[tuple[int, int]], lam: float = 120.0, market: DataFrame | None = None) -> dict[tuple[int, int], dict[str, float]]:
-    """Ratings at each origin from the blocks of earlier slots alone."""
-    from tallyfield.operators.asof import AsOf
-    from tallyfield.operators.attribution import market_rows, solve_ridge
+def walk_forward(states: DataFrame, players: DataFrame, warmup_weeks: int = 4, lam: float = 120.0, market: DataFrame | None = None, origin_stride: int = 1) -> dict[tuple[int, int], dict[str, float]]:
+    """Ratings at every slot after the warm-up (every ``origin_stride``-th of them) from the
+    blocks of earlier slots alone.
 
+    Cell values are those of the warm-up's plays; a cell that the warm-up has not seen takes
+    the warm-up's mean. Blocks are made once and read in order of slots, so each is added once
+    and the driver holds the sums, a partition of blocks and the ratings.
+    """
+    from tallyfield.operators.attribution import STATE, cell_values, design, gram_blocks, market_rows, play_values, solve_system, state_bucket
+
+    if warmup_weeks < 1 or origin_stride < 1:
+        raise ValueError("warmup_weeks and origin_stride count from 1")
+    slots = sorted((r.season, r.week) for r in states.select("season", "week").distinct().collect())
+    if len(slots) <= warmup_weeks:
+        raise ValueError(f"{len(slots)} slots leave no origin after a warm-up of {warmup_weeks}")
+    season, week = slots[warmup_weeks]
+    warm = states.where((F.col("season") < season) | ((F.col("season") == season) & (F.col("week") < week)))
+    buckets = [states.select(state_bucket(*(F.col(n + c) for c in STATE)).alias("bucket")) for n in ("", "n_")]
+    mean = warm.agg(F.avg("drive_points")).first()[0]
+    values = buckets[0].union(buckets[1]).where("bucket is not null").distinct().join(cell_values(warm), "bucket", "left").withColumn("value", F.coalesce("value", F.lit(mean)))
+    rows = gram_blocks(design(states, players), play_values(states, values)).orderBy("season", "week", "i", "j").toLocalIterator()
+    sums: dict[tuple[str, str | None], float] = {}
+    if market is not None:
+        for r in market_rows(market).collect():
+            sums[r.i, r.j] = sums.get((r.i, r.j), 0.0) + r.v
     out = {}
-    for season, week in origins:
-        g = blocks.where(AsOf(season, week).outcome).select("i", "j", "v")
-        if market is not None:
-            g = g.unionByName(market_rows(market))
-        out[season, week] = solve_ridge(g, lam)
+    row = next(rows, None)
+    for slot in slots[warmup_weeks::origin_stride]:
+        while row is not None and (row.season, row.week) < slot:
+            sums[row.i, row.j] = sums.get((row.i, row.j), 0.0) + row.v
+            row = next(rows, None)
+        out[slot] = solve_system(sums, lam)
     return out
 
 

@@ -178,6 +178,43 @@ def test_all_cumulative_blocks_by_brute_force(spark, sf):
     assert max(abs(got[k] - want[k]) for k in got) < 1e-5
 
 
+def test_walk_forward_has_every_origin_and_looks_only_back(spark, sf):
+    got = defaultdict(dict)
+    for r in models.e12_walk_forward(spark, sf).collect():
+        got[r.season, r.week][r.col] = r.rating
+    s = models.states(spark, sf).persist()
+    players = views.players(spark, sf)
+    slots = sorted((r.season, r.week) for r in s.select("season", "week").distinct().collect())
+    assert len(slots) > 70 and sorted(got) == slots[4:]
+
+    # one origin from its own plays alone: values of the first four slots, one ridge solve
+    number = F.col("season") * 100 + F.col("week")
+    season, week = slots[40]
+    early = s.where(number < season * 100 + week)
+    first = s.where(number < slots[4][0] * 100 + slots[4][1]).collect()
+    bucket = lambda d, togo, line: (d, min(togo // 5, 9), line // 10)
+    cell = defaultdict(list)
+    for r in first:
+        cell[bucket(r.down, r.ydstogo, r.yardline_100)].append(r.drive_points)
+    mean = sum(r.drive_points for r in first) / len(first)
+    value = lambda *x: np.mean(cell[x]) if x in cell else mean
+    dv = []
+    for r in early.collect():
+        v0 = value(*bucket(r.down, r.ydstogo, r.yardline_100))
+        v1 = r.terminal_value if r.terminal else value(*bucket(r.n_down, r.n_ydstogo, r.n_yardline_100)) if r.n_down is not None else v0
+        dv.append((r.drive_id, r.play_id, float(v1 - v0)))
+    target = spark.createDataFrame(dv, "drive_id string, play_id long, dv double")
+    want = attribution.solve_ridge(attribution.gram_blocks(attribution.design(early, players), target, []))
+    assert want.keys() == got[season, week].keys()
+    assert max(abs(want[k] - got[season, week][k]) for k in want) < 1e-8
+
+    few = s.where(number <= slots[9][0] * 100 + slots[9][1])
+    assert list(evaluation.walk_forward(few, players, warmup_weeks=5, origin_stride=2)) == slots[5:10:2]
+    with pytest.raises(ValueError, match="no origin"):
+        evaluation.walk_forward(few, players, warmup_weeks=10)
+    s.unpersist()
+
+
 def test_planted_abilities_are_recovered(spark):
     corr = []
     for seed in (1, 2, 3):
