@@ -108,7 +108,7 @@ def m1_cell_values(spark, d):
 def m1_boosted_values(spark, d):
     """Boosted value surface: mean prediction by down."""
     s = states(spark, d)
-    model = attribution.fit_boosted_value(s, rounds=5)
+    model = attribution.fit_boosted_value(s, rounds=300)
     return model.transform(s).groupBy("down").agg(F.avg("prediction").alias("value"), F.count("*").alias("n"))
 
 
@@ -468,6 +468,13 @@ def e10_cluster_bootstrap(spark, d):
     return evaluation.cluster_bootstrap(u, "m", ["week"]).select(R("point"), "clusters", R("lower"), R("upper"), "excludes_zero")
 
 
+@query()
+def e10_cluster_bootstrap_10000(spark, d):
+    """The same interval from 10,000 replicates."""
+    u = cells(spark, d).withColumn("m", F.abs(F.col("baseline") - A()) - F.abs(P() - A()))
+    return evaluation.cluster_bootstrap(u, "m", ["week"], n=10_000).select(R("point"), "clusters", R("lower"), R("upper"), "excludes_zero")
+
+
 @query(with_("history", "SELECT count(m) AS n, round(avg(m), 8) AS mean, round(avg(m) + 1.96::DOUBLE * stddev_samp(m) / sqrt(count(m)), 8) AS threshold FROM (SELECT (CASE WHEN CAST('0x' || substr(md5(player_id || '|' || week), 1, 2) AS BIGINT) % 2 = 0 THEN 1 ELSE -1 END) * (abs(baseline - actual) - abs(forecast - actual)) AS m FROM c)", CELL))
 def e18_sign_flip_gate(spark, d):
     sign = F.when(F.conv(F.substring(F.md5(F.concat_ws("|", "player_id", F.col("week").cast("string"))), 1, 2), 16, 10).cast("long") % 2 == 0, 1).otherwise(-1)

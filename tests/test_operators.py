@@ -1,5 +1,6 @@
 """Properties of the operators on small fixtures."""
 
+import hashlib
 from collections import defaultdict
 
 import numpy as np
@@ -215,6 +216,25 @@ def test_walk_forward_has_every_origin_and_looks_only_back(spark, sf):
     s.unpersist()
 
 
+def test_boosted_query_asks_for_300_rounds(spark, sf, monkeypatch):
+    asked, fit = [], attribution.fit_boosted_value
+    monkeypatch.setattr(attribution, "fit_boosted_value", lambda s, rounds=40: asked.append(rounds) or fit(s, 1))
+    assert models.m1_boosted_values(spark, sf).count() == 4 and asked == [300]
+
+
+def test_bootstrap_of_10000_replicates_by_brute_force(spark, sf):
+    u = models.cells(spark, sf).select("week", (F.abs(F.col("baseline") - F.col("actual")) - F.abs(F.col("forecast") - F.col("actual"))).alias("m"))
+    weeks = defaultdict(list)
+    for r in u.collect():
+        weeks[r.week].append(r.m)
+    sums = np.array([(sum(weeks[w]), len(weeks[w])) for w in sorted(weeks)])
+    size = len(sums)
+    drawn = np.array([[int(hashlib.md5(f"boot|{rep}|{i}".encode()).hexdigest()[:12], 16) % size for i in range(size)] for rep in range(10_000)])
+    s, n = sums[drawn].sum(axis=1).T
+    got = models.e10_cluster_bootstrap_10000(spark, sf).first()
+    assert np.allclose((got.lower, got.upper), np.quantile(s / n, (0.025, 0.975)), atol=1e-7) and got.clusters == size
+
+
 def test_planted_abilities_are_recovered(spark):
     corr = []
     for seed in (1, 2, 3):
