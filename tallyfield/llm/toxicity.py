@@ -194,24 +194,47 @@ def label_model(row: np.ndarray, col: np.ndarray, y: np.ndarray, width: int, rou
 def correlations(row: np.ndarray, col: np.ndarray, post: np.ndarray, rates: np.ndarray, least: float = 0.2) -> np.ndarray:
     """Sum over the other voters of the correlation of residual votes, where it is clear."""
     width, n = len(rates), len(post)
-    order = np.argsort(row, kind="stable")
-    r, c = row[order], col[order]
-    both: Counter = Counter()
-    for votes in np.split(c, np.flatnonzero(np.diff(r)) + 1) if len(r) else []:
-        v = votes[:200]
-        both.update((int(a), int(b)) for i, a in enumerate(v) for b in v[i + 1 :])
+    both = votes_together(row, col, width)
     p1 = post.mean()
     var = n * (p1 * rates[:, 1] * (1 - rates[:, 1]) + (1 - p1) * rates[:, 0] * (1 - rates[:, 0]))
     out = np.zeros(width)
-    for (a, b), k in both.items():
-        cov = k - n * (p1 * rates[a, 1] * rates[b, 1] + (1 - p1) * rates[a, 0] * rates[b, 0])
-        rho = cov / np.sqrt(var[a] * var[b])
-        if rho >= least:
-            out[a] += min(rho, 1.0)
-            out[b] += min(rho, 1.0)
+    for a in range(0, width, 256):
+        some = slice(a, min(a + 256, width))
+        by_chance = n * (p1 * np.outer(rates[some, 1], rates[:, 1]) + (1 - p1) * np.outer(rates[some, 0], rates[:, 0]))
+        rho = (both[some] - by_chance) / np.sqrt(np.outer(var[some], var))
+        rho[np.arange(len(rho)), np.arange(a, a + len(rho))] = 0.0
+        out[some] = np.where(rho >= least, np.minimum(rho, 1.0), 0.0).sum(axis=1)
     return out
 
 
+def votes_together(row: np.ndarray, col: np.ndarray, width: int, few: int = 64) -> np.ndarray:
+    """(width, width) counts of the rows where two voters fire, all pairs of every row.
+
+    Pairs of rows with up to ``few`` votes are listed, the others multiplied out as blocks.
+    """
+    code = np.unique(row.astype(np.int64) * max(width, 1) + col)
+    r, c = code // max(width, 1), code % max(width, 1)
+    both = np.zeros((width, width), np.int32)
+    at = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1]))) if len(r) else np.zeros(0, np.int64)
+    size = np.diff(np.append(at, len(r)))
+    for m in np.unique(size[(size > 1) & (size <= few)]).tolist():
+        i, j = np.triu_indices(m, 1)
+        starts = at[size == m]
+        step = max(1, 2_000_000 // len(i))
+        for k in range(0, len(starts), step):
+            votes = c[starts[k : k + step, None] + np.arange(m)]
+            np.add.at(both.reshape(-1), (votes[:, i] * width + votes[:, j]).ravel(), 1)
+    both += both.T.copy()
+    many = np.flatnonzero(size > few)
+    for k in range(0, len(many), 512):
+        rows = many[k : k + 512]
+        fired = np.zeros((len(rows), width), np.float32)
+        for x, g in enumerate(rows):
+            fired[x, c[at[g] : at[g] + size[g]]] = 1.0
+        both += (fired.T @ fired).astype(np.int32)
+    return both
+
+
 def linear_classifier(row: np.ndarray, col: np.ndarray, post: np.ndarray, width: int, l2: float = 0.5, rounds: int = 30) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels, by Newton steps with conjugate gradients.
 

@@ -234,6 +234,22 @@ def test_toxicity_of_odd_rows(spark, odd, empty):
     assert toxicity.score_documents(empty, toxicity.fit(empty, none)).collect() == []
 
 
+def test_correlations_count_all_votes_of_a_row():
+    rng = np.random.default_rng(6)
+    fired = rng.random((400, 320)) < np.where(rng.random((400, 1)) < 0.3, 0.9, 0.02)
+    fired[:, 319] = fired[:, 318]  # a pair behind the first 200 votes of long rows
+    row, col = np.nonzero(fired)
+    assert (toxicity.votes_together(row, col, 320) - fired.T.astype(int) @ fired.astype(int))[~np.eye(320, dtype=bool)].any() == 0
+    rates = np.repeat(fired.mean(axis=0)[:, None], 2, axis=1).clip(1e-6, 1 - 1e-6)
+    want = np.zeros(320)
+    for a in range(320):
+        for b in range(320):
+            var = rates[[a, b], 0] * (1 - rates[[a, b], 0])
+            rho = ((fired[:, a] & fired[:, b]).mean() - rates[a, 0] * rates[b, 0]) / np.sqrt(var.prod())
+            want[a] += min(rho, 1.0) if a != b and rho >= 0.2 else 0.0
+    assert np.allclose(toxicity.correlations(row, col, np.full(400, 0.5), rates), want)
+
+
 def levenshtein(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
