@@ -1,17 +1,20 @@
 """Encode a batch of texts by looking up space-separated pieces.
 
-A byte-level BPE tokenizer never merges across pre-tokens, and no pre-token of the
-pattern it uses reaches over a single space whose neighbours are not white space:
-the space is the first character of the pre-token on its right. So a text cut before
-such spaces encodes to the concatenation of its pieces' encodings, and a piece to that
-of its pre-tokens'. Each distinct pre-token is merged once by the library; pieces and
-pre-tokens met before are looked up. A text with any other space (doubled, next to a
-newline, at either end) is encoded whole by the library.
+A byte-level BPE tokenizer never merges across pre-tokens, and a single space before a
+character that is not white space always begins a pre-token of the pattern it uses. So a text
+cut before such spaces encodes to the concatenation of its pieces' encodings, and a piece to
+that of its pre-tokens'. Each new pre-token is merged once by the library; pieces and
+pre-tokens met before are looked up in one table, which is bounded in bytes.
+
+A text is encoded whole by the library only if it holds a string of an added token, or a
+character that the library's pattern and ours class differently (each character is put to
+both once).
 """
 
 from __future__ import annotations
 
 import gc
+import re
 from itertools import chain, repeat
 
 import numpy as np
@@ -19,12 +22,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import regex
 
-
-LONG = 64  # characters; longer pieces are encoded each time and not kept
-KEEP = 800_000  # pieces, and pre-tokens, that a worker keeps before it starts anew
+LONG = 64  # bytes; longer pieces are cut each time and not kept
+KEEP_BYTES = 128 << 20  # of a worker's table, about
+ENTRY = 230  # bytes of an entry besides its string and ids: dictionary, numbers, string head
 # The pre-token pattern of the byte-level vocabulary (GPT-2's).
 PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _find = regex.compile(PATTERN).findall
+_cut = re.compile(r" (?=\S)").split
 
 
 def pre_tokens(piece: str) -> list[str]:
@@ -94,79 +98,128 @@ class Pool:
 
 
 class PieceTable:
-    def __init__(self, tokenizer, with_ids: bool, proven: frozenset[str] = frozenset(), keep: int = KEEP):
+    """Ids (or counts) of pieces and pre-tokens, each under its string with any leading space."""
+
+    def __init__(self, tokenizer, with_ids: bool, proven: frozenset[str] = frozenset(), keep: int = KEEP_BYTES):
         self.tk, self.with_ids, self.proven, self.keep = tokenizer, with_ids, proven, keep
         self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+        self.agreed, self.apart = set(map(chr, range(128))) - set("\x1c\x1d\x1e\x1f"), set("\x1c\x1d\x1e\x1f")
         self.clear()
 
     def clear(self) -> None:
-        self.inner: dict[str, int] = {}
-        self.first: dict[str, int] = {}
-        self.pieces = Pool(self.with_ids)
-        self.words: dict[str, int] = {}
-        self.parts = Pool(self.with_ids)
+        self.known: dict[str, int] = {}
+        self.pool = Pool(self.with_ids)
+        self.bytes = 0
+        self.batches = np.zeros(0, np.uint8)
 
     def whole(self, text: str) -> list[int]:
         return self.tk.encode(text, add_special_tokens=False).ids
 
+    def _agrees(self, c: str) -> bool:
+        """Whether the library's pattern and ours put a character in the same class."""
+        probe = f"a{c}1{c}!{c} {c}"
+        try:
+            theirs = [b - a for _, (a, b) in self.tk.pre_tokenizer.pre_tokenize_str(probe)]
+        except Exception:  # noqa: BLE001  a character the library can't take
+            return False
+        return theirs == [len(p) for p in _find(probe)]
+
+    def plain(self, text: str) -> bool:
+        """Whether a text may be cut: no added token in it, and only characters agreed on."""
+        new = set(text) - self.agreed
+        if new:
+            for c in new - self.apart:
+                (self.agreed if self._agrees(c) else self.apart).add(c)
+            if new & self.apart:
+                return False
+        return not any(a in text for a in self.added)
+
+    def _put(self, keys: list[str], lens: np.ndarray, ids: np.ndarray) -> None:
+        self.known.update(zip(keys, self.pool.add(lens, ids)))
+        self.bytes += ENTRY * len(keys) + sum(map(len, keys)) + 4 * len(ids)
+
     def _merge(self, words: list[str]) -> None:
         """Put pre-tokens not met before into the table."""
-        model, lens, ids = self.tk.model, [], []
+        tokenize, lens, ids = self.tk.model.tokenize, [], []
         for w in words:
             s = spelled(w)
             if not self.with_ids:
-                lens.append(1 if s in self.proven else len(model.tokenize(s)))
+                lens.append(1 if s in self.proven else len(tokenize(s)))
                 continue
-            got = [t.id for t in model.tokenize(s)]
+            got = [t.id for t in tokenize(s)]
             lens.append(len(got))
             ids.extend(got)
-        at = self.parts.add(np.array(lens, np.int64), np.array(ids, np.uint32))
-        self.words.update(zip(words, at))
-
-    def _add(self, texts: list[str], keys: list[str], table: dict[str, int]) -> None:
-        # Beyond the Latin blocks the two libraries' character classes may differ by version.
-        joined = " ".join(texts)
-        if max(joined) < "ɐ" and not any(a in joined for a in self.added):
-            plain = [True] * len(texts)
-        else:
-            plain = [max(t) < "ɐ" and not any(a in t for a in self.added) for t in texts]
-        cut = [pre_tokens(t) if p else [t] for t, p in zip(texts, plain)]
-        flat = list(chain.from_iterable(c for c, p in zip(cut, plain) if p))
-        if len(self.words) > self.keep:
-            self.words, self.parts = {}, Pool(self.with_ids)
-        self._merge([w for w in dict.fromkeys(flat) if w not in self.words])
-        slots = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
-        owner = np.repeat(np.flatnonzero(plain), [len(c) for c, p in zip(cut, plain) if p])
-        lens = np.bincount(owner, weights=self.parts.lens[slots], minlength=len(texts)).astype(np.int64)
-        rest = [(i, self.whole(t)) for i, (t, p) in enumerate(zip(texts, plain)) if not p]
-        for i, x in rest:
-            lens[i] = len(x)
-        ids = None
-        if self.with_ids:
-            ids = np.empty(int(lens.sum()), np.uint32)
-            ids[np.repeat(np.array(plain, bool), lens)] = self.parts.gather(slots)
-            ends = np.cumsum(lens)
-            for i, x in rest:
-                ids[ends[i] - lens[i] : ends[i]] = x
-        table.update(zip(keys, self.pieces.add(lens, ids)))
-
-    def slots(self, keys: list[str], inner: bool) -> np.ndarray:
-        """Slot of each piece, as it is after a space or at the start of a text."""
-        table = self.inner if inner else self.first
-        at = np.fromiter(map(table.get, keys, repeat(-1)), np.int64, len(keys))
+        self._put(words, np.array(lens, np.int64), np.array(ids, np.uint32))
+
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths and ids of pieces by their pre-tokens."""
+        cut = [pre_tokens(p) for p in pieces]
+        flat = list(chain.from_iterable(cut))
+        self._merge([w for w in dict.fromkeys(flat) if w not in self.known])
+        slots = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        owner = np.repeat(np.arange(len(pieces)), [len(c) for c in cut])
+        lens = np.bincount(owner, weights=self.pool.lens[slots], minlength=len(pieces)).astype(np.int64)
+        return lens, self.pool.gather(slots) if self.with_ids else np.zeros(0, np.uint32)
+
+    def slots(self, pieces: list[str]) -> np.ndarray:
+        """Slot of each piece of plain texts."""
+        at = np.fromiter(map(self.known.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = np.flatnonzero(at < 0)
         if len(new):
-            words = list(dict.fromkeys(keys[i] for i in new))
+            words = list(dict.fromkeys(pieces[i] for i in new))
             for k in range(0, len(words), 20_000):
                 some = words[k : k + 20_000]
-                self._add([" " + w for w in some] if inner else some, some, table)
-            at[new] = [table[keys[i]] for i in new]
+                single = [w for w in some if (w[1:] if w[0] == " " else w).isalpha()]
+                self._merge(single)
+                rest = [w for w in some if w not in self.known]
+                self._put(rest, *self._encode_pieces(rest))
+            at[new] = [self.known[pieces[i]] for i in new]
         return at
 
-    def after_batch(self) -> None:
-        """Forget what is too long to keep, and everything once there is too much."""
-        if self.pieces.n > self.keep:
-            self.clear()
+    def cut_text(self, text: str) -> tuple[int, np.ndarray]:
+        """Number of ids and ids of one plain text of any spacing; long pieces aren't kept."""
+        first, *rest = _cut(text)
+        pieces = [*([first] if first else []), *(" " + p for p in rest)]
+        if not pieces:
+            return 0, np.zeros(0, np.uint32)
+        short = [len(p) <= LONG for p in pieces]
+        self.slots([p for p, s in zip(pieces, short) if s])
+        n, parts = 0, []
+        for p, s in zip(pieces, short):
+            if s:
+                slot = self.known[p]
+                n += int(self.pool.lens[slot])
+                if self.with_ids:
+                    at = self.pool.starts[slot]
+                    parts.append(self.pool.ids[at : at + self.pool.lens[slot]])
+            else:
+                for w in pre_tokens(p):
+                    got = self.tk.model.tokenize(spelled(w)) if len(w) > LONG or w not in self.known else None
+                    if got is None:
+                        slot = self.known[w]
+                        n += int(self.pool.lens[slot])
+                        parts.append(self.pool.ids[self.pool.starts[slot] : self.pool.starts[slot] + self.pool.lens[slot]] if self.with_ids else [])
+                    else:
+                        n += len(got)
+                        parts.append([t.id for t in got])
+        return n, np.concatenate([np.zeros(0, np.uint32), *parts]) if self.with_ids else np.zeros(0, np.uint32)
+
+    def after_batch(self, used: np.ndarray) -> None:
+        """Count the batches that use an entry; once there is too much, the rarest go."""
+        self.batches = np.append(self.batches, np.zeros(self.pool.n - len(self.batches), np.uint8))
+        mark = np.zeros(self.pool.n, bool)
+        mark[used] = True
+        self.batches[mark & (self.batches < 255)] += 1
+        if self.bytes <= self.keep:
+            return
+        old, pool, batches = self.known, self.pool, self.batches
+        self.clear()
+        counts = np.bincount(batches, minlength=256)
+        least = int(np.flatnonzero(counts[::-1].cumsum()[::-1] * (ENTRY + 20) <= self.keep // 2)[0]) if counts[255] * (ENTRY + 20) <= self.keep // 2 else 256
+        keys = [k for k, slot in old.items() if batches[slot] >= max(least, 2)]
+        slots = np.fromiter(map(old.__getitem__, keys), np.int64, len(keys))
+        self._put(keys, pool.lens[slots], pool.gather(slots) if self.with_ids else np.zeros(0, np.uint32))
+        self.batches = np.ones(len(keys), np.uint8)
 
 
 def encode_batch(texts: pa.Array, table: PieceTable) -> tuple[np.ndarray, np.ndarray | None]:
@@ -190,33 +243,52 @@ def _encode_batch(texts: pa.Array, table: PieceTable) -> tuple[np.ndarray, np.nd
     coding = parts.flatten().dictionary_encode()
     codes, words = coding.indices.to_numpy(zero_copy_only=False), coding.dictionary
     size = pc.binary_length(words)
+    # an empty part, or white space at its end, is a space that doesn't stand alone
     odd = pc.or_(pc.or_(pc.equal(size, 0), pc.not_equal(size, pc.binary_length(pc.utf8_trim_whitespace(words)))), pc.greater(size, LONG))
-    odd = odd.to_numpy(zero_copy_only=False) | pc.match_substring_regex(words, r"^[\x1c-\x1f]|[\x1c-\x1f]$").to_numpy(zero_copy_only=False)
+    odd = odd.to_numpy(zero_copy_only=False).copy()
+    words = words.to_numpy(zero_copy_only=False).tolist()
+    good = np.flatnonzero(~odd)
+    some = [words[i] for i in good]
+    if not table.plain(" ".join(some)):
+        odd[good] = [not table.plain(w) for w in some]
+    # an added token that holds a space shows only in the text
+    spaced = [a for a in table.added if " " in a]
     plain = ~np.logical_or.reduceat(odd[codes], bounds[:-1])
+    for a in spaced:
+        plain &= ~pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
     counts = np.diff(bounds)
     inner = np.repeat(plain, counts)
-    words = words.to_pylist()
     good = np.flatnonzero(~odd)
     slot_of = np.zeros(len(words), np.int64)
-    slot_of[good] = table.slots([words[i] for i in good], True)
+    slot_of[good] = table.slots([" " + words[i] for i in good])
     slots = slot_of[codes]
     first = bounds[:-1][plain]
-    slots[first] = table.slots([words[i] for i in codes[first]], False)
+    slots[first] = table.slots([words[i] for i in codes[first]])
     slots = slots[inner]
     lens = np.zeros(n, np.int64)
     if len(slots):
         starts = np.cumsum(counts[plain]) - counts[plain]
-        lens[plain] = np.add.reduceat(table.pieces.lens[slots], starts)
+        lens[plain] = np.add.reduceat(table.pool.lens[slots], starts)
     rest = np.flatnonzero(~plain)
-    encoded = [table.whole(texts[int(i)].as_py()) for i in rest]
-    lens[rest] = [len(x) for x in encoded]
-    if not table.with_ids:
-        return lens, None
-    if not len(rest):
-        return lens, table.pieces.gather(slots)
-    ends = np.cumsum(lens)
-    ids = np.empty(int(ends[-1]), np.uint32)
-    ids[np.repeat(plain, lens)] = table.pieces.gather(slots)
-    for i, x in zip(rest, encoded):
-        ids[ends[i] - lens[i] : ends[i]] = x
+    encoded: list = []
+    for i in rest:
+        text = texts[int(i)].as_py()
+        if table.plain(text):
+            k, x = table.cut_text(text)
+        else:
+            x = table.whole(text)
+            k = len(x)
+        lens[i] = k
+        encoded.append(x)
+    ids = None
+    if table.with_ids:
+        ids = table.pool.gather(slots)
+        if len(rest):
+            ends = np.cumsum(lens)
+            every = np.empty(int(ends[-1]), np.uint32)
+            every[np.repeat(plain, lens)] = ids
+            for i, x in zip(rest, encoded):
+                every[ends[i] - lens[i] : ends[i]] = x
+            ids = every
+    table.after_batch(slots)
     return lens, ids

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import held, small_batches, string_array, text_or_empty
+from tallyfield.llm.common import held, small_batches, string_array, task, text_or_empty
 from tallyfield.llm.pieces import PieceTable, encode_batch
 from tallyfield.llm.token_file import _tokenizer, vocabulary_path
 
@@ -48,7 +48,7 @@ def _counting(path: str) -> PieceTable | None:
 def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes, n_tokens and whether n_tokens is over ``limit``, per document."""
     path = tokenizer or vocabulary_path()
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, 2000, 8)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path.endswith(".model"):
@@ -62,9 +62,7 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 512
             def counts(texts):
                 if table is None:
                     return np.array([len(x.ids) for x in tk.encode_batch(texts.to_pylist(), add_special_tokens=False)], np.int64)
-                n, _ = encode_batch(texts, table)
-                table.after_batch()
-                return n
+                return encode_batch(texts, table)[0]
 
         for batch in batches:
             texts = string_array(batch.column(1))
@@ -73,4 +71,4 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None, limit: int = 512
             yield pa.RecordBatch.from_arrays([batch.column(0), size, pa.array(n, pa.int64()), pa.array(n > limit)], ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    return rows.mapInArrow(count, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(task(count), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

@@ -1,5 +1,8 @@
 """Token ids as binary shards: one concatenated id array, Elias-Fano document bounds.
 
+Readers hold a shard's Elias-Fano bytes and select the bounds of some documents at a time;
+no table of offsets is built.
+
 A shard holds the documents of one range of ids, ascending:
 
     magic | ids, little-endian, 2 bytes where the vocabulary allows, else 4
@@ -11,8 +14,8 @@ renamed, so a task that is run again leaves the same bytes. The manifest (one li
 shard) is all that the driver holds.
 
 Nulls and odd input: a null text counts as empty and yields only the end id; a null
-document id comes first and is read back as null; repeated ids are kept, ordered by text;
-an empty table gives no shards and an empty result; other columns are ignored.
+document id comes first and is read back as null; repeated ids are kept, ordered by text; a
+very long text is read and encoded by itself; an empty table gives no shards and an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,12 +32,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import fresh_dir, held, open_fs, small_batches, string_array, text_or_empty, trim
+from tallyfield.llm.common import fresh_dir, held, open_fs, small_batches, string_array, task, text_or_empty
 from tallyfield.llm.elias_fano import EliasFano
 from tallyfield.llm.pieces import PieceTable, encode_batch
 
 MAGIC = b"IDSHARD1"
-SLICE = 1 << 20  # ids read at a time
+SLICE = 1 << 20  # ids read at a time, or one document's
+SELECTED = 4096  # bounds selected at a time
 
 
 def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
@@ -64,11 +68,11 @@ def write_token_file(docs: DataFrame, at: str, tokenizer: str, end_id: int, id_c
     before the shard.
     """
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 2000, 8)
     width = 2 if max(end_id + 1, _tokenizer(tokenizer).get_vocab_size()) <= 1 << 16 else 4
     ordered = (
         docs.select(F.col(id_col).cast("long").alias("id"), text_or_empty(text_col).alias("text"))
-        .repartitionByRange("id")
+        .repartitionByRange("id", F.substring("text", 1, 32))  # rows of one id, or of none, needn't share a shard
         .sortWithinPartitions("id", "text")
     )
 
@@ -88,7 +92,6 @@ def write_token_file(docs: DataFrame, at: str, tokenizer: str, end_id: int, id_c
                 out = system.open_output_stream(f"{path}.{attempt}")
                 out.write(MAGIC)
             n, ids = encode_batch(string_array(batch.column(1)), table)
-            table.after_batch()
             ends = np.cumsum(n)
             ids = np.insert(ids, ends, end_id)
             out.write(ids.astype(f"<u{width}").tobytes())
@@ -108,10 +111,9 @@ def write_token_file(docs: DataFrame, at: str, tokenizer: str, end_id: int, id_c
         out.write(bounds + names + footer + struct.pack("<I", len(footer)) + MAGIC)
         out.close()
         system.move(f"{path}.{attempt}", path)
-        trim()
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "docs": pa.array([n_docs], pa.int64()), "ids": pa.array([n_ids], pa.int64())})
 
-    rows = sorted(ordered.mapInArrow(write, "shard int, docs long, ids long").collect())
+    rows = sorted(ordered.mapInArrow(task(write), "shard int, docs long, ids long").collect())
     manifest, before = [], 0
     for r in rows:
         manifest.append({"file": f"{at}/part-{r.shard:06d}.ids", "docs": r.docs, "ids": r.ids, "before": before})
@@ -144,8 +146,12 @@ class Shard:
         start, stop = self.bounds.select(np.array([i, i + 1]))
         return self.ids(int(start), int(stop))
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.meta["nulls"] + (self.names.all() + self.meta["least"]).tolist()
+    def doc_ids(self, low: int, high: int) -> pa.Array:
+        """Document ids of the documents low, ..., high - 1 of the shard, by selection."""
+        nulls = self.meta["nulls"]
+        first = min(max(low, nulls), high)
+        some = self.names.select(np.arange(first - nulls, high - nulls)) if first < high else np.zeros(0, np.int64)
+        return pa.concat_arrays([pa.nulls(first - low, pa.int64()), pa.array(some + self.meta["least"], pa.int64())])
 
 
 def read_token_file(spark: SparkSession, manifest: list[dict]) -> DataFrame:
@@ -155,21 +161,23 @@ def read_token_file(spark: SparkSession, manifest: list[dict]) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 shard = Shard(row["file"])
-                bounds, names = shard.bounds.all(), shard.doc_ids()
-                i = 0
-                while i < len(names):
-                    j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + SLICE, side="right")) - 1)
-                    ids = shard.ids(int(bounds[i]), int(bounds[j])).astype("<u4")
-                    cut = bounds[i : j + 1] - bounds[i]
-                    crc = [zlib.crc32(ids[cut[k] : cut[k + 1]].tobytes()) for k in range(j - i)]
-                    yield pa.RecordBatch.from_pydict({"doc_id": pa.array(names[i:j], pa.int64()), "start": pa.array(bounds[i:j] + row["before"], pa.int64()), "n_tokens": pa.array(np.diff(cut), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
-                    i = j
+                for low in range(0, shard.meta["docs"], SELECTED):
+                    high = min(low + SELECTED, shard.meta["docs"])
+                    bounds, names = shard.bounds.select(np.arange(low, high + 1)), shard.doc_ids(low, high)
+                    i = 0
+                    while i < high - low:
+                        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + SLICE, side="right")) - 1)
+                        ids = shard.ids(int(bounds[i]), int(bounds[j])).astype("<u4")
+                        cut = bounds[i : j + 1] - bounds[i]
+                        crc = [zlib.crc32(ids[cut[k] : cut[k + 1]].tobytes()) for k in range(j - i)]
+                        yield pa.RecordBatch.from_pydict({"doc_id": names.slice(i, j - i), "start": pa.array(bounds[i:j] + row["before"], pa.int64()), "n_tokens": pa.array(np.diff(cut), pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+                        i = j
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not manifest:
         return spark.createDataFrame([], schema)
     shards = spark.createDataFrame([(m["file"], m["before"]) for m in manifest], "file string, before long")
-    return shards.repartition(len(manifest)).mapInArrow(read, schema)
+    return shards.repartition(len(manifest)).mapInArrow(task(read), schema)
 
 
 def token_file(docs: DataFrame, tokenizer: str | None = None, end_id: int = 2, at: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
