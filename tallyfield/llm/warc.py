@@ -11,13 +11,13 @@ Reading. Tasks take byte ranges of the files and report every offset that looks
 record's start, with the offset at which its record would end: the length field of the gzip
 header, or the Content-Length of a plain header. The look of a start can occur inside a
 payload, so per file pointer jumping from offset 0 marks what is reachable in a chain of
-records; all other candidates are dropped. The chain must end at the end of the file. Only
-reached records are parsed, and payload digests are computed again.
+records; all other candidates are dropped. The chain must end at the end of the file. Reached
+records are dealt by byte range again and parsed, and payload digests are computed again.
 
 Nulls and odd input: a null html counts as empty; equal ids with equal payloads are all
 responses, as they are the largest of their group; a page without an id refers to the
-largest id of its group, if one has any; an empty table gives no file and no rows; other
-columns are ignored.
+largest id of its group, if one has any; an empty table gives no file and no rows; a very
+long page is one record, held by its task alone; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -211,20 +211,31 @@ def read_archives(spark: SparkSession, files: list[dict], with_payload: bool = F
 
     def chain(found: pa.Table) -> pa.Table:
         found = found.sort_by("start")
-        file, size = found["file"][0].as_py(), found["size"][0].as_py()
-        starts, nexts = found["start"].to_numpy(), found["next"].to_numpy()
-        keep = reachable(starts, nexts, size)
-        system, path = open_fs(file)
-        rows = []
-        with system.open_input_file(path) as f:
-            for s, e in zip(starts[keep].tolist(), nexts[keep].tolist()):
-                data = f.read_at(e - s, s)
+        keep = reachable(found["start"].to_numpy(), found["next"].to_numpy(), found["size"][0].as_py())
+        return found.select(["file", "start", "next"]).filter(pa.array(keep))
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        opened: tuple[str, object] = ("", None)
+        for batch in batches:
+            rows, held = [], 0
+            for file, s, e in zip(*(c.to_pylist() for c in batch.columns)):
+                if opened[0] != file:
+                    system, path = open_fs(file)
+                    opened = (file, system.open_input_file(path))
+                data = opened[1].read_at(e - s, s)
                 rec = parse_record(zlib.decompress(data, 31) if file.endswith(".gz") else data)
                 rows.append({k: rec[k] for k in names})
-        return pa.Table.from_pylist(rows, arrow)
+                held += rec["payload_bytes"] if with_payload else 0
+                if held > split_bytes:
+                    yield pa.RecordBatch.from_pylist(rows, arrow)
+                    rows, held = [], 0
+            yield pa.RecordBatch.from_pylist(rows, arrow)
 
     found = spark.createDataFrame(splits, "file string, bytes long, start long").repartition(len(splits)).mapInArrow(task(scan), "file string, size long, start long, next long")
-    return found.groupBy("file").applyInArrow(chain, schema)
+    # numbers of partitions by bytes: rows are few and small, what they point at is not
+    kept = found.repartition(len(files), "file").groupBy("file").applyInArrow(chain, "file string, start long, next long")
+    kept = kept.repartition(len(splits), "file", F.expr(f"start div {split_bytes}")).sortWithinPartitions("file", "start")
+    return kept.mapInArrow(task(parse), schema)
 
 
 def archive_round_trip(pages: DataFrame, least_bytes: int = 0, compress: bool = True, at: str | None = None) -> DataFrame:
