@@ -1,30 +1,43 @@
-"""Benchmark decontamination by a lossless q-gram filter and exact edit distance.
+"""Benchmark decontamination by CGK embedding, bit-sampling LSH and exact edit distance.
 
 Strings are sequences of words. A passage of a document within ``k = floor(EDITS * W)`` word
 edits (insert, delete, replace) of an item of W words is a match; passages may start at every
-word and be up to k words longer or shorter than the item. Every match is found.
+word and be up to k words longer or shorter than the item.
 
-Filter. By the q-gram lemma a passage within k edits keeps at least W - 1 - 2k of the item's
-W - 1 word pairs, within W + k words. Pairs of a document are looked up among those of all
-items; starts whose reach holds fewer pairs of an item than that are left out for the item,
-which loses nothing. Look-ups are spread out in runs of texts of about ``SPREAD`` rows.
+Windows. By the q-gram lemma a match keeps at least W - 1 - 2k of the item's W - 1 word pairs,
+within W + k words. Only windows at starts with so many pairs of an item in reach are embedded
+for it, which loses nothing. Pairs are looked up in runs of texts of about ``SPREAD`` rows.
 
-Check. From the starts left, the edit distance to every beginning of the text is had at once
-by bit-parallel dynamic programming (Myers) over the reversed words. Of an item's matches in a
-text that of the fewest edits, then the first, is reported.
+Embedding. The CGK walk reads a string with a pointer: step j writes the word under the
+pointer and moves on by a random bit that depends on (j, word) alone; past the end it writes
+a pad. Two strings in edit distance d walk to embeddings of Hamming distance O(d^2), small
+in most walks, while different ones fall apart.
 
-Benchmark items are a dimension: they are collected to the driver, at most ``MAX_ITEM_BYTES``
-of text (an error beyond that asks for several runs), and go to the tasks in their closure.
+Search. Each draw walks item-sized windows and items anew with its own bits and samples
+``SAMPLED`` places of the embedding; a stretch of starts is a candidate for an item once one of
+its windows equals the item in the sampled places of one draw. ``draws`` gives their number by
+length so that at the full bound of edits a passage is found with ``RECALL`` at least, whatever
+the kind of edits (a test holds deletions, one deleted block, insertions, replacements and a
+mix to it). Draws go in rounds; what is found early is walked no more.
+
+Check. From all starts of a candidate the edit distance to every beginning of the text is had
+at once by bit-parallel dynamic programming (Myers) over the reversed words. Of an item's
+matches in a text that of the fewest edits, then the first, is reported.
+
+Benchmark items are read by the driver in parts of about ``PART_BYTES`` of text, each broadcast
+by itself; a larger benchmark takes several passes over the documents.
 
 Nulls and odd input: null or empty texts and items match nothing; items shorter than
 ``LEAST_WORDS`` words are matched whole, without edits; equal items are reported each; repeated
-rows are reported each; empty tables give an empty result; other columns are ignored.
+rows are reported each; a very long text is one row of a batch, searched whole; empty tables
+give an empty result; other columns are ignored, or kept as they are by ``without_benchmark``.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,12 +45,18 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import coded, small_batches, split_words, string_array, task, text_or_empty
+from tallyfield.llm.common import coded, mix64, small_batches, split_words, staged, string_array, task, text_or_empty
 
 EDITS = 0.2  # edits of an item's words
 LEAST_WORDS = 5
 SPREAD = 1_000_000  # (pair of a text, item) rows at a time
-MAX_ITEM_BYTES = 64 << 20
+SAMPLED = 2
+RECALL = 0.999
+ROUND = 16  # draws between two looks at what is found
+WALKED = 20_000  # windows walked at a time
+PART_BYTES = 16 << 20
+SEED = np.uint64(0x51ED270B35AE2C11)
+PAD = np.uint64(0x2545F4914F6CDD1D)
 
 
 def word_hashes(words: list[str]) -> np.ndarray:
@@ -90,11 +109,84 @@ def distances_from(item: list, words: list) -> list[int]:
     return out[::-1]
 
 
+def draws(width: int) -> int:
+    """Draws that reach RECALL for items of so many words, in whole rounds."""
+    return ROUND * (4 + width // 20) if width >= LEAST_WORDS else 1
+
+
+class Walks:
+    """Some draws for items of one length: their bits, and the places sampled from each."""
+
+    def __init__(self, width: int, first: int, last: int):
+        which = np.arange(first, last)
+        self.salt = mix64(SEED + which.astype(np.uint64) * np.uint64(1_000_003) + np.uint64(width))
+        reach = max(1, int(1.5 * width))  # later places mostly hold pads
+        self.rows = defaultdict(list)  # draws that sample a place
+        for r in which.tolist():
+            for j in np.random.default_rng([r, width]).choice(reach, min(SAMPLED, reach), replace=False):
+                self.rows[int(j)].append(r - first)
+
+    @np.errstate(over="ignore")
+    def keys(self, h: np.ndarray, at: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Per draw, the hash of the sampled places of the embedding of each h[a : b]."""
+        salt = self.salt[:, None]
+        key = np.repeat(salt, len(at), axis=1)
+        place = np.repeat(at[None, :], len(self.salt), axis=0)
+        h = np.append(h, PAD)
+        for j in range(max(self.rows) + 1):
+            word = np.where(place < stop, h.take(place), PAD)
+            if rows := self.rows.get(j):
+                key[rows] = mix64(key[rows] * np.uint64(0x9E3779B97F4A7C15) + word[rows])
+            bit = mix64(word ^ (salt + np.uint64(j) * np.uint64(0xD1B54A32D192ED03))) & np.uint64(1)
+            place = np.minimum(place + bit.view(np.int64), stop)
+        return key
+
+
+@cache
+def walks(width: int, first: int, last: int) -> Walks:
+    return Walks(width, first, last)
+
+
+def sampled_alike(h: np.ndarray, bounds: np.ndarray, stretches: list[tuple[int, int, int, int]], items: dict[int, np.ndarray]) -> list[tuple[int, int, int, int]]:
+    """Of (text, item, first start, last start) those where a window and the item agree in the
+    sampled places of some draw."""
+    out: list[tuple[int, int, int, int]] = []
+    by_width: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
+    for x in stretches:
+        by_width[len(items[x[1]])].append(x)
+    for width, todo in by_width.items():
+        n = draws(width)
+        for first in range(0, n, ROUND):
+            w = walks(width, first, min(first + ROUND, n))
+            left: list[tuple[int, int, int, int]] = []
+            while todo:
+                some, size = [], 0
+                while todo and (not some or size < WALKED):
+                    some.append(todo.pop())
+                    size += some[-1][3] - some[-1][2] + 1
+                text, item, low, high = (np.array(x, np.int64) for x in zip(*some))
+                sizes = high - low + 1
+                at = np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(size)
+                mine = w.keys(h, at, np.minimum(at + width, np.repeat(bounds[text + 1], sizes)))
+                which, code = np.unique(item, return_inverse=True)
+                begin = np.arange(len(which)) * width
+                theirs = w.keys(np.concatenate([items[int(i)] for i in which]), begin, begin + width)
+                same = (mine == theirs[:, np.repeat(code, sizes)]).any(axis=0)
+                hit = np.logical_or.reduceat(same, np.cumsum(sizes) - sizes)
+                for x, good in zip(some, hit.tolist()):
+                    (out if good else left).append(x)
+            todo = left
+            if not todo:
+                break
+    return out
+
+
 class Items:
     """Benchmark items, and which of them hold a word pair."""
 
     def __init__(self, items: list[tuple[int | None, str]]):
         self.words: list[list[str]] = []
+        self.hashes: list[np.ndarray] = []
         self.ids = []
         self.single: dict[int, list[int]] = defaultdict(list)  # items of one word, by its hash
         pairs = []
@@ -106,6 +198,7 @@ class Items:
                     self.single[int(h[0])].append(len(self.ids))
                 pairs.append(np.unique(pair_hashes(h[:-1], h[1:])))
                 self.words.append(w)
+                self.hashes.append(h)
                 self.ids.append(item_id)
         self.seen = np.unique(word_hashes(sorted({x for w in self.words for x in w})))
         self.width = np.fromiter(map(len, self.words), np.int64, len(self.words))
@@ -168,7 +261,9 @@ class Items:
         if len(self.pairs):
             number = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
             held = self.pairs[number] == pair
-            for t, i, low, high in self.starts(some[held], number[held], owner, bounds):
+            stretches = list(self.starts(some[held], number[held], owner, bounds))
+            hashes = {i: self.hashes[i] for _, i, _, _ in stretches}
+            for t, i, low, high in sampled_alike(h, bounds, stretches, hashes):
                 k, item = int(self.most[i]), self.words[i]
                 stop = min(high + len(item) + k, int(bounds[t + 1]))
                 part = [words[c] for c in codes[low:stop]]
@@ -184,40 +279,60 @@ def pair_hashes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return a * np.uint64(0x9E3779B97F4A7C15) + b
 
 
-def load_items(benchmark: DataFrame) -> Items:
-    rows = benchmark.select(F.col("item_id").cast("long"), text_or_empty().alias("text"))
+def load_items(benchmark: DataFrame) -> Iterator[Items]:
+    """The items, in parts of about PART_BYTES of text."""
+    rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > MAX_ITEM_BYTES:
-        raise ValueError(f"benchmark items of {size} bytes; run in parts of {MAX_ITEM_BYTES}")
-    return Items(sorted((tuple(r) for r in rows.collect()), key=str))
+    parts = -(-size // PART_BYTES)
+    for p in range(parts):
+        some = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p) if parts > 1 else rows
+        yield Items(sorted((tuple(r) for r in some.collect()), key=str))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, first_word, n_words and edits of each item found in a document."""
-    small_batches(docs.sparkSession)
-    items = load_items(benchmark)
+    spark = docs.sparkSession
+    small_batches(spark)
+    schema = "doc_id long, item_id long, first_word long, n_words long, edits long"
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column(0)
-            rows = [(ids[t].as_py(), items.ids[i], a, n, d) for t, i, a, n, d in items.matches(string_array(batch.column(1)))]
-            columns = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "first_word", "n_words", "edits"])
+    def found(items: Items) -> DataFrame:
+        held = spark.sparkContext.broadcast(items)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(task(search), "doc_id long, item_id long, first_word long, n_words long, edits long")
+        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = held.value
+            for batch in batches:
+                ids = batch.column(0)
+                rows = [(ids[t].as_py(), items.ids[i], a, n, d) for t, i, a, n, d in items.matches(string_array(batch.column(1)))]
+                columns = list(zip(*rows)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "item_id", "first_word", "n_words", "edits"])
+
+        return rows.mapInArrow(task(search), schema)
+
+    out = None
+    for items in load_items(benchmark):
+        out = found(items) if out is None else out.union(found(items))
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark item; every column as it was."""
-    small_batches(docs.sparkSession)
-    items = load_items(benchmark)
+    spark = docs.sparkSession
+    small_batches(spark)
     at = docs.columns.index("text")
 
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            clean = np.ones(batch.num_rows, bool)
-            clean[[t for t, *_ in items.matches(string_array(batch.column(at)))]] = False
-            yield batch.filter(pa.array(clean))
+    def cleaned(docs: DataFrame, items: Items) -> DataFrame:
+        held = spark.sparkContext.broadcast(items)
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            items = held.value
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[t for t, *_ in items.matches(string_array(batch.column(at)))]] = False
+                yield batch.filter(pa.array(clean))
+
+        return docs.mapInArrow(task(keep), docs.schema)
 
-    return docs.mapInArrow(task(keep), docs.schema)
+    for n, items in enumerate(load_items(benchmark)):
+        docs = cleaned(staged(docs, "decontaminated") if n else docs, items)
+    return docs

@@ -302,6 +302,35 @@ def test_decontamination_at_the_full_bound(monkeypatch, kind, width):
     assert all(levenshtein(items[i], texts[t][a : a + n])[-1] == d for (t, i), (a, n, d) in got.items())
 
 
+def test_draws_reach_their_recall():
+    """Of edited passages with 20 % of words changed, how many does one of the draws bring up?"""
+    rng = np.random.default_rng(8)
+    for width in (15, 30, 59, 90):
+        found = n = 0
+        for kind in ("delete", "insert", "replace"):
+            for _ in range(40):
+                item = rng.integers(0, 2**62, width).astype(np.uint64)
+                p = item.tolist()
+                for _ in range(int(decontaminate.EDITS * width)):
+                    at = int(rng.integers(len(p)))
+                    p[at : at + 1] = {"delete": [], "insert": [int(rng.integers(2**62)), p[at]], "replace": [int(rng.integers(2**62))]}[kind]
+                h = np.concatenate((rng.integers(0, 2**62, 20), p, rng.integers(0, 2**62, 60))).astype(np.uint64)
+                found += len(decontaminate.sampled_alike(h, np.array([0, len(h)]), [(0, 0, 14, 26)], {0: item}))
+                n += 1
+        assert found >= decontaminate.RECALL * n - 1, (width, found, n)
+
+
+def test_large_benchmarks_go_in_parts(spark, monkeypatch):
+    rng = random.Random(9)
+    items = [(i, " ".join(f"b{rng.randrange(900)}" for _ in range(20))) for i in range(30)]
+    docs = spark.createDataFrame([(i, f"some words {t} and more") for i, t in items] + [(99, "clean words only in this one")], "doc_id long, text string")
+    b = spark.createDataFrame(items, "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "PART_BYTES", 1000)
+    assert len(list(decontaminate.load_items(b))) > 1
+    assert sorted((r.doc_id, r.item_id) for r in contaminated(docs, b).collect()) == [(i, i) for i, _ in items]
+    assert [r.doc_id for r in without_benchmark(docs, b).collect()] == [99]
+
+
 def test_decontamination_finds_edited_passages(spark, bench):
     rng = random.Random(4)
     rows, want = [], {}
