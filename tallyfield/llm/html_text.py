@@ -2,15 +2,25 @@
 
 For every node of the page's tree the density is its characters per tag, adjusted by the
 share of link characters and link tags in it and in the body. A node's density sum adds up
-the densities of its children. The node with the largest sum is found; the smallest density
+the densities of its children; formatting elements are part of their block and stand for the
+blocks in them. The node with the largest sum is found; the smallest density
 on its path to the body is the threshold; wherever a node reaches the threshold, the
-subtree with the largest sum below it is main text. An enclosing ``article`` (else
-``main``) is taken as a whole. Elements that never hold an article's text (menus, forms,
-scripts, page headers and footers, adverts, notices, comments) go before.
+subtree with the largest sum below it is marked. The lowest node that holds all marks is main
+text, unless that is the body itself: then the marked subtrees are, each by itself. Where a
+section, or a child of an article or main element, is chosen, its parent is taken, as other
+parts may be too short to be marked. Headings that stand before a chosen subtree, beside it or
+beside what holds it, belong to it.
+
+Elements that never hold an article's text (menus, forms, scripts, page headers and footers,
+adverts, notices, comments) are not measured: by their tag, or by a token of their class, id or
+role whose last word, but for words like "box" or "list", is one of ``NOISE``. One that holds
+a main element, an article or a first heading is a frame round the page and stays, unless
+it is about comments; where nothing else has text, what holds the densest node stays.
 
 Nulls and odd input: a null or empty page, and a page without text, give an empty string;
-unclosed and stray tags follow HTML's rules for implied ends; repeated rows are kept; an
-empty table gives an empty result; other columns are ignored.
+unclosed and stray tags follow HTML's rules for implied ends; a very long or deep page is read
+whole, without recursion; repeated rows are kept; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +49,7 @@ DROP = frozenset(
     "script style title textarea xmp iframe noembed noframes noscript template svg math canvas object audio video head "
     "nav footer aside form button select input label fieldset menu dialog".split()
 )
+FRAMING = frozenset({"form", "fieldset", "aside", "nav"})  # of these, such as hold a page's heading are kept
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
     "h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split()
@@ -55,46 +66,68 @@ ENDS: dict[str, tuple[frozenset[str], frozenset[str]]] = {
     "th": (frozenset({"td", "th"}), frozenset({"tr", "table"})),
     "option": (frozenset({"option"}), frozenset({"select"})),
 }
-# Words of a class, id or role that mark a part of the page as no article text.
+# Last words of a class, id or role token that mark a part of the page as no article text.
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar "
     "breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe "
-    "subscription signup login search share sharing social comment comments commentlist disqus respond reply replies related "
-    "recommended recommendations pagination pager toolbar widget complementary contentinfo".split()
+    "subscription signup login search share sharing social related recommended recommendations pagination pager toolbar widget "
+    "widgets complementary contentinfo".split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
 HEADS = frozenset({"header", "masthead", "banner"})
+# Words that may follow those in a token, and words that make a token speak of something else.
+BOXES = frozenset("area bar block box buttons column container content form group icons inner item items links list panel posts section slot unit wrap wrapper".split())
+ABOUT = frozenset("has with no without is not hide show".split())
+FRAMES = frozenset({"article", "main", "h1"})
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup header".split())
 SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
     __slots__ = ("tag", "parent", "items", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total", "holds")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool):
+    def __init__(self, tag: str, parent: Node | None, noise: str):
         self.tag, self.parent, self.noise, self.items = tag, parent, noise, []
-        self.holds = False  # an article or main stands below
+        self.holds = False  # a main element, an article or a first heading stands below
 
 
-def is_noise(tag: str, attrs: str, in_article: bool) -> bool:
+def token_kind(token: str, in_article: bool) -> str:
+    """"comments" or "noise" if a class token says so, else an empty string."""
+    words = [w.lower() for w in SPLIT.split(token) if w]
+    if not words or words[0] in ABOUT:
+        return ""
+    while len(words) > 1 and words[-1] in BOXES:
+        words.pop()
+    if words[-1] in COMMENTS:
+        return "comments"
+    return "noise" if words[-1] in NOISE or not in_article and words[-1] in HEADS else ""
+
+
+def noise_kind(tag: str, attrs: str, in_article: bool) -> str:
+    """Why an element is no article text: "never", "frame" (if it may be one round the page),
+    "comments", or an empty string if it is."""
     if tag in DROP:
-        return True
+        return "frame" if tag in FRAMING else "never"
     if tag == "header" and not in_article:
-        return True
-    if tag in ("html", "body", "article", "main") or not attrs:
-        return False
+        return "frame"
+    if tag in ("html", "body", "main") or not attrs:
+        return ""
     for m in ATTR.finditer(attrs):
         name = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+            return "never"
         if name in ("class", "id", "role"):
-            words = {w.lower() for w in SPLIT.split(value)}
-            if words & NOISE or not in_article and words & HEADS:
-                return True
-    return False
+            kinds = {token_kind(t, in_article) for t in value.split()}
+            if "comments" in kinds:
+                return "comments"
+            if "noise" in kinds and tag != "article":
+                return "frame"
+    return ""
 
 
 def parse(page: str) -> Node:
-    root = Node("html", None, False)
+    root = Node("html", None, "")
     stack = [root]
     articles = 0  # open article or main elements
     at, size = 0, len(page)
@@ -143,7 +176,7 @@ def parse(page: str) -> Node:
                     break
             if cut:
                 pop_to(cut)
-        node = Node(tag, stack[-1], is_noise(tag, attrs, articles > 0))
+        node = Node(tag, stack[-1], noise_kind(tag, attrs, articles > 0))
         stack[-1].items.append(node)
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK and tag not in RAW:
             continue
@@ -153,6 +186,7 @@ def parse(page: str) -> Node:
             continue
         if tag in ("article", "main"):
             articles += 1
+        if tag in FRAMES:
             up = node.parent
             while up is not None and not up.holds:
                 up.holds = True
@@ -161,9 +195,13 @@ def parse(page: str) -> Node:
     return root
 
 
+def dropped(node: Node) -> bool:
+    return bool(node.noise) and not (node.noise == "frame" and node.holds)
+
+
 def kept_children(node: Node) -> list[Node]:
-    """Child elements that may hold text; a noisy one stays if an article is inside it."""
-    return [x for x in node.items if not isinstance(x, str) and not (x.noise and not x.holds)]
+    """Child elements that may hold article text."""
+    return [x for x in node.items if not isinstance(x, str) and not dropped(x)]
 
 
 def measure(root: Node) -> list[Node]:
@@ -191,29 +229,20 @@ def measure(root: Node) -> list[Node]:
             continue
         base = math.log(c * lc / max(c - lc, 1) + body_lc * c / body_c + math.e)
         n.density = c / t * math.log(max(c / max(lc, 1) * t / max(lt, 1), 1.0)) / max(base, 1e-9)
-    for n in order:
-        n.total = sum(c.density for c in kept_children(n))
+    for n in reversed(order):
+        n.total = sum(c.density if c.tag in BLOCK else c.total for c in kept_children(n))
     return order
 
 
-def main_nodes(root: Node) -> list[Node]:
-    """Subtrees of main text, in page order and not inside each other."""
-    order = measure(root)
-    if root.chars == 0:
-        return []
+def marked_nodes(root: Node, order: list[Node]) -> list[Node]:
+    """Subtrees that the threshold marks, in page order and not inside each other."""
     best = max(order, key=lambda n: n.total)
     if best.total == 0:
         best = max(order, key=lambda n: n.density)
-    up: Node | None = best
-    whole = None
-    threshold = math.inf
+    threshold, up = math.inf, best
     while up is not None:
         threshold = min(threshold, up.density)
-        if up.tag == "article" or up.tag == "main" and (whole is None or whole.tag != "article"):
-            whole = whole if whole is not None and whole.tag == "article" else up
         up = up.parent
-    if whole is not None:
-        return [whole]
     top: dict[int, Node] = {}  # the node of the largest sum in each subtree
     for n in reversed(order):
         t = n
@@ -232,6 +261,76 @@ def main_nodes(root: Node) -> list[Node]:
     return out
 
 
+def path_of(node: Node) -> list[Node]:
+    """The node's ancestors and itself, from the root."""
+    path = [node]
+    while path[-1].parent is not None:
+        path.append(path[-1].parent)
+    return path[::-1]
+
+
+def widened(node: Node) -> Node:
+    """A part of an article: the chosen section's parent, and the article or main round that."""
+    while node.parent is not None and node.parent.parent is not None and (node.tag == "section" or node.parent.tag in ("article", "main")):
+        node = node.parent
+    return node
+
+
+def main_nodes(root: Node) -> list[Node]:
+    """Subtrees of main text, in page order and not inside each other."""
+    order = measure(root)
+    if root.chars == 0:
+        open_densest(root)
+        order = measure(root)
+        if root.chars == 0:
+            return []
+    marked = marked_nodes(root, order)
+    shared = path_of(marked[0])
+    for n in marked[1:]:
+        shared = [a for a, b in zip(shared, path_of(n)) if a is b]
+    chosen = [widened(n) for n in (marked if shared[-1] is root else [shared[-1]])]
+    # headings before a chosen subtree, beside it or beside what holds it
+    taken = {id(n) for n in chosen}
+    heads: set[int] = set()
+    for n in chosen:
+        path = path_of(n)
+        for up, child in zip(path, path[1:]):
+            for x in up.items:
+                if x is child:
+                    break
+                if not isinstance(x, str) and x.tag in HEADINGS and not dropped(x) and x.link_chars * 2 <= x.chars:
+                    heads.add(id(x))
+    out, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        if id(n) in taken or id(n) in heads:
+            out.append(n)
+        else:
+            todo.extend(reversed(kept_children(n)))
+    return out
+
+
+def open_densest(root: Node) -> None:
+    """Where all text is in elements that don't count: let in those round the densest node of
+    them, but for what never holds text."""
+    closed, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        for x in n.items:
+            if not isinstance(x, str) and x.noise != "never":
+                todo.append(x)
+                if dropped(x):
+                    closed.append(x)
+    kinds = [x.noise for x in closed]
+    for x in closed:
+        x.noise = ""
+    order = measure(root)
+    best = max(order, key=lambda n: n.total or n.density)
+    kept = {id(x) for x in path_of(best)}
+    for x, kind in zip(closed, kinds):
+        x.noise = "" if id(x) in kept and x.tag not in ("nav", "aside") else kind
+
+
 def blocks(node: Node) -> list[str]:
     out: list[str] = []
     run: list[str] = []
@@ -249,7 +348,7 @@ def blocks(node: Node) -> list[str]:
             flush()
         elif isinstance(x, str):
             run.append(x)
-        elif x.noise and not x.holds:
+        elif dropped(x):
             if x.tag in BLOCK:
                 flush()
         elif x.tag == "br":

@@ -385,6 +385,73 @@ def test_main_text(body):
     assert main_text(page(body)).split("\n\n") == WANT
 
 
+SHORT = "Short one."
+
+
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        (f"<div class='layout has-sidebar'><div class=content><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div></div><footer>x</footer>", "TLL"),
+        (f"<div>Site</div><form id='aspnetForm'><div><h1>T</h1><p>{LONG}</p><p>{LONG}</p></div><input></form><footer>x</footer>", "TLL"),
+        (f"<form id='aspnetForm'><div><p>{LONG}</p><p>{LONG}</p></div><input></form>", "LL"),
+        (f"<article><h1>T</h1><p>{LONG}</p><div class='social-history'><p>{LONG}</p></div><section id='search-methods'><p>{SHORT}</p></section></article>", "TLLS"),
+        (f"<article><header><h1>T</h1></header><div class='body'><p>{LONG}</p><p>{SHORT}</p></div></article><div class='related-posts'><p>{LONG}</p></div>", "TLS"),
+        (f"<main><h1>T</h1><section><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></section><section><p>{SHORT}</p></section></main>", "TLLLS"),
+        (f"<article><p>{LONG}</p></article><article><p>{LONG}</p><p>{SHORT}</p></article>", "LLS"),
+        (f"<div class='comments'><p>{LONG * 4}</p></div><article><h1>T</h1><p>{LONG}</p></article>", "TL"),
+    ],
+)
+def test_frames_and_class_words(body, want):
+    names = {"T": "T", LONG.strip(): "L", SHORT: "S"}
+    assert "".join(names.get(b, "?") for b in main_text(page(body)).split("\n\n")) == want
+
+
+def test_threshold_marks_what_the_definition_says(sf):
+    """Densities, sums and marks of real pages against a plain recursion over the tree."""
+    import math
+
+    import pyarrow.parquet as pq
+
+    from tallyfield.llm import html_text
+
+    by_threshold = 0
+    for html in pq.read_table(f"{sf}/pages.parquet")["html"].to_pylist()[:120]:
+        root = html_text.parse(html)
+        order = html_text.measure(root)
+        marked = html_text.marked_nodes(root, order)
+
+        def counts(n):
+            c, t, lc, lt = sum(len(" ".join(x.split())) for x in n.items if isinstance(x, str)), 0, 0, 0
+            for k in html_text.kept_children(n):
+                kc, kt, klc, klt = counts(k)
+                c, t, lc, lt = c + kc, t + kt + 1, lc + klc, lt + klt + (k.tag == "a")
+            return c, t, c if n.tag == "a" else lc, lt
+
+        body = counts(root)
+
+        def density(n):
+            c, t, lc, lt = counts(n)
+            if not c:
+                return 0.0
+            base = math.log(c * lc / max(c - lc, 1) + body[2] * c / max(body[0], 1) + math.e)
+            return c / max(t, 1) * math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1.0)) / base
+
+        def total(n):
+            return sum(density(k) if k.tag in html_text.BLOCK else total(k) for k in html_text.kept_children(n))
+
+        totals = {id(n): total(n) for n in order}
+        assert all(math.isclose(n.density, density(n), rel_tol=1e-9) and math.isclose(n.total, totals[id(n)], rel_tol=1e-9) for n in order)
+        best = max(order, key=lambda n: totals[id(n)])
+        threshold = min(density(n) for n in html_text.path_of(best)) if totals[id(best)] else 0
+        below = lambda n: [n, *(x for k in html_text.kept_children(n) for x in below(k))]
+        if totals[id(best)]:
+            want = {id(max(below(n), key=lambda x: totals[id(x)])) for n in order if n.chars and density(n) >= threshold}
+            outer = [n for n in order if id(n) in want and not any(id(a) in want for a in html_text.path_of(n)[:-1])]
+            assert {id(n) for n in outer} == {id(n) for n in marked}
+            by_threshold += 1
+    assert by_threshold > 110
+
+
 def test_pages_without_text(spark):
     from tallyfield.llm.html_text import extract_pages
 
