@@ -1,24 +1,29 @@
 """Toxicity by weak supervision.
 
 1. Lexicon voters are mined from labelled rows: lower-case words and word beginnings of 4
-   to 7 letters that stand far more often in toxic rows. Pattern voters look at the form of
-   a text. The annotators' labels are one more voter.
+   to 7 letters that stand more often in toxic rows than chance explains. Pattern voters look
+   at the form of a text; one more votes where no term does. The annotators' labels are a voter
+   like the others.
 2. A generative model (two classes; each voter fires with its own rate in each class) is
-   fitted by EM. Correlations are estimated from the residual covariance of the votes given
-   the posterior; a voter's evidence is divided by one plus its correlations, so that a word
-   and its own beginning don't count as two witnesses.
-3. A linear classifier (logistic, L2) on the same features learns the posterior labels and
-   scores every document.
+   fitted by EM. A label that the other voters contradict is overruled as far as the estimated
+   accuracies say; the labels' own is taken from the lexicon voters that agree best with them.
+   Correlations are estimated from the residual covariance of the votes given the posterior; a
+   vote's evidence is divided by one plus its voter's correlations with those that fire in the
+   same text, so that a word and its own beginning don't count as two witnesses.
+3. A linear classifier (logistic, L2) on the lexicon and pattern features learns the posterior
+   labels and scores every document.
 
 Only labelled rows with crc32(doc_id as text) mod 3 other than 1 are learnt from, at most
-``MAX_ROWS`` of them in order of a hash: the bounded sample that the fit needs. Terms are
-counted in Spark; the driver gets the best ``MAX_TERMS`` terms and, for each sampled row,
-which of them it holds. Labels, language, source and id are not features.
+``MAX_ROWS`` ids of them in order of a hash, one row an id: the bounded sample that the fit
+needs. Terms are counted in Spark; the driver gets the terms of that sample that pass, and for
+each row which of them it holds. Labels, language, source and id are not features.
 
 Nulls and odd input: a null text counts as empty and is scored by the intercept; rows with a
-null label or id are not learnt from; with no labelled row of either class every score is the
-share of toxic rows (0 without rows); repeated rows are scored alike; an empty table gives an
-empty result.
+null label or id are not learnt from; an id with several labels is toxic if one says so, and
+one with several texts is learnt from the first in order; with no labelled row of either class
+every score is the share of toxic rows (0 without rows); repeated rows are scored alike; a very
+long text is scored whole; an empty table gives an empty result; other columns, whatever their
+names, are ignored or, by ``without_toxic``, kept as they are.
 """
 
 from __future__ import annotations
@@ -36,13 +41,12 @@ from pyspark.sql import functions as F
 
 from tallyfield.llm.common import coded, small_batches, staged, string_array, task, text_or_empty
 
-MAX_ROWS = 30_000  # labelled rows learnt from, at most
-MAX_TERMS = 3_000  # lexicon voters, at most
+MAX_ROWS = 30_000  # labelled ids learnt from, at most
 MIN_ROWS = 3  # toxic rows that a term must stand in
-MIN_PRECISION = 0.9
+STRONG = 20  # strongest terms, by whose precision that of the others is judged
+MIN_PRECISION = 0.9  # of a term, over that of the strongest
 BEGINNINGS = (4, 5, 6, 7)  # letters
 THRESHOLD = 0.7
-LABEL_RATES = (0.003, 0.99)  # prior: how often annotators mark clean and toxic texts
 # Patterns of form: name, expression, matches per 100 words from which it votes.
 PATTERNS: list[tuple[str, str, float]] = [
     ("shouting", r"\b\p{Lu}{4,}\b", 5.0),
@@ -101,16 +105,18 @@ def batch_features(texts: pa.Array, terms: dict[str, int]) -> tuple[np.ndarray,
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Sampled (text, toxic) rows; the sample of ids is small enough to broadcast."""
+    """Sampled (text, toxic) rows, one an id; the sample of ids is small enough to broadcast."""
     held = F.crc32(F.col("doc_id").cast("string")) % 3 == 1
     marks = (
         labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held)
-        .select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") != 0).alias("toxic"))
-        .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id", "toxic")
+        .groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+        .agg(F.max(F.col("toxic") != 0).alias("toxic"))
+        .orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id")
         .limit(MAX_ROWS)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return texts.join(F.broadcast(marks), "doc_id").select("text", "toxic")
+    found = texts.join(F.broadcast(marks), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")).select("text", "toxic")
 
 
 def mine_terms(rows: DataFrame) -> list[str]:
@@ -140,9 +146,11 @@ def mine_terms(rows: DataFrame) -> list[str]:
         return []
     p = F.col("yes") / (F.col("yes") + F.col("no"))
     gain = F.col("yes") * F.log(p / share) + F.when(p < 1, F.col("no") * F.log((1 - p) / (1 - share))).otherwise(0.0)
-    best = counts.where((p >= MIN_PRECISION) & (gain > math.log(n)))
-    best = best.orderBy(gain.desc(), "term").limit(MAX_TERMS)
-    return [r.term for r in best.select("term").collect()]
+    strong = counts.orderBy(gain.desc(), "term").limit(STRONG).agg(F.sum("yes") / F.sum(F.col("yes") + F.col("no"))).first()[0]
+    # where labels err, so do they on the strongest terms
+    best = counts.where((p >= MIN_PRECISION * strong) & (gain > math.log(n))).select("term", F.round(gain, 6).alias("gain"))
+    # of the bounded sample, so it is a bounded list
+    return [r.term for r in sorted(best.collect(), key=lambda r: (-r.gain, r.term))]
 
 
 def sample_features(rows: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -161,78 +169,100 @@ def sample_features(rows: DataFrame, terms: dict[str, int]) -> tuple[np.ndarray,
     return row, col, np.array([g.toxic for g in got], bool)
 
 
-def label_model(row: np.ndarray, col: np.ndarray, y: np.ndarray, width: int, rounds: int = 25) -> tuple[np.ndarray, np.ndarray]:
-    """Posterior of the toxic class for each row, and the rates (width + 1, 2) of the voters.
+def label_model(row: np.ndarray, col: np.ndarray, y: np.ndarray, width: int, lexicon: int, rounds: int = 60) -> tuple[np.ndarray, np.ndarray]:
+    """Posterior of the toxic class for each row, and the rates (width + 2, 2) of the voters.
 
-    The last voter is the label; the others abstain where they don't fire. What keeps the classes in their places: the class balance is
-    that of the labels, and the annotators' rates have a prior (LABEL_RATES) that weighs nine
-    times the data.
+    The last two voters are silence (no lexicon voter, the first ``lexicon`` ones, fires) and
+    the label; all but the label abstain where they don't fire. Labels give the voters' first
+    rates; class balance and rates are then estimated.
     """
     n = len(y)
-    share = y.mean()
-    rates = np.empty((width + 1, 2))
-    post = np.where(y, 0.95, 0.02)
-    scale = np.ones(width)
+    silent = np.bincount(row[col < lexicon], minlength=n) == 0
+    rates = np.empty((width + 2, 2))
+    error = label_error(row, col, y, lexicon)
+    rates[width + 1] = error, 1 - error
+    share = float(y.mean())
+    post = y.astype(np.float64)
+    scale = np.ones(len(row))
     for step in range(rounds):
         on = np.array([1 - post, post])
         total = on.sum(axis=1)
         for c in (0, 1):
             fired = np.bincount(col, weights=on[c][row], minlength=width)
             rates[:width, c] = (fired + 0.1) / (total[c] + 1.0)
-            rates[width, c] = ((on[c] * y).sum() / max(total[c], 1e-9) + 9 * LABEL_RATES[c]) / 10
+            rates[width, c] = ((on[c] * silent).sum() + 0.5) / (total[c] + 1.0)
         rates = np.clip(rates, 1e-6, 1 - 1e-6)
-        if step % 8 == 4:
-            scale = 1.0 / (1.0 + correlations(row, col, post, rates[:width]))
+        if step % 8 == 0:
+            scale = 1.0 / (1.0 + redundancy(row, col, post, rates[:width]))
         fire = np.log(rates[:, 1] / rates[:, 0])
-        calm = np.log((1 - rates[:, 1]) / (1 - rates[:, 0]))
-        logit = np.log(share / (1 - share)) + np.bincount(row, weights=(scale * fire[:width])[col], minlength=n)
-        logit += np.where(y, fire[width], calm[width])
-        post = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        logit = np.log(share / (1 - share)) + np.bincount(row, weights=scale * fire[col], minlength=n)
+        logit += np.where(silent, fire[width], 0.0)
+        new = 1 / (1 + np.exp(-np.clip(logit + np.where(y, 1, -1) * np.log((1 - error) / error), -30, 30)))
+        share = min(max((float(new.sum()) + 1.0) / (n + 2.0), 1e-4), 0.5)
+        moved = float(np.abs(new - post).max())
+        post = new
+        if moved < 1e-4 and step > 8:
+            break
     return post, rates
 
 
-def correlations(row: np.ndarray, col: np.ndarray, post: np.ndarray, rates: np.ndarray, least: float = 0.2) -> np.ndarray:
-    """Sum over the other voters of the correlation of residual votes, where it is clear."""
+def label_error(row: np.ndarray, col: np.ndarray, y: np.ndarray, lexicon: int) -> float:
+    """How often labels err, taken as the same for both classes: the share of labels against it
+    of the median lexicon voter (by votes). A voter's own false votes are in its share too, so
+    the better half of the voters is what tells."""
+    fires = np.bincount(col[col < lexicon], minlength=lexicon)[:lexicon].astype(float)
+    if not fires.sum():
+        return 0.05
+    against = np.bincount(col[col < lexicon], weights=~y[row[col < lexicon]], minlength=lexicon)[:lexicon] / np.maximum(fires, 1)
+    order = np.argsort(against, kind="stable")
+    at = int(np.searchsorted(np.cumsum(fires[order]), fires.sum() / 2))
+    return float(np.clip(against[order[at]], 0.005, 0.45))
+
+
+def redundancy(row: np.ndarray, col: np.ndarray, post: np.ndarray, rates: np.ndarray, least: float = 0.2) -> np.ndarray:
+    """Of every vote, the sum of its voter's correlations with the others that fire in its row.
+
+    Correlations are of the votes' residuals given the class, where they are clear. Votes must
+    be distinct and in order of row.
+    """
     width, n = len(rates), len(post)
-    both = votes_together(row, col, width)
     p1 = post.mean()
     var = n * (p1 * rates[:, 1] * (1 - rates[:, 1]) + (1 - p1) * rates[:, 0] * (1 - rates[:, 0]))
-    out = np.zeros(width)
-    for a in range(0, width, 256):
-        some = slice(a, min(a + 256, width))
+    out = np.zeros(len(row))
+    for a, both in votes_together(row, col, width):
+        some = slice(a, a + len(both))
         by_chance = n * (p1 * np.outer(rates[some, 1], rates[:, 1]) + (1 - p1) * np.outer(rates[some, 0], rates[:, 0]))
-        rho = (both[some] - by_chance) / np.sqrt(np.outer(var[some], var))
+        rho = (both - by_chance) / np.sqrt(np.outer(var[some], var))
         rho[np.arange(len(rho)), np.arange(a, a + len(rho))] = 0.0
-        out[some] = np.where(rho >= least, np.minimum(rho, 1.0), 0.0).sum(axis=1)
+        rho = np.where(rho >= least, np.minimum(rho, 1.0), 0.0).T.astype(np.float32)
+        in_row = np.zeros((n, rho.shape[1]), np.float32)
+        for k in range(0, len(row), 50_000):
+            r = row[k : k + 50_000]
+            at = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+            in_row[r[at]] += np.add.reduceat(rho[col[k : k + 50_000]], at, axis=0)
+        mine = np.flatnonzero((col >= a) & (col < a + len(both)))
+        out[mine] = in_row[row[mine], col[mine] - a]
     return out
 
 
-def votes_together(row: np.ndarray, col: np.ndarray, width: int, few: int = 64) -> np.ndarray:
-    """(width, width) counts of the rows where two voters fire, all pairs of every row.
-
-    Pairs of rows with up to ``few`` votes are listed, the others multiplied out as blocks.
-    """
+def votes_together(row: np.ndarray, col: np.ndarray, width: int, block: int = 128) -> Iterator[tuple[int, np.ndarray]]:
+    """Blocks (first voter, (voters, width) counts) of the rows where two voters fire: all pairs
+    of every row, with no more held than a block of voters."""
     code = np.unique(row.astype(np.int64) * max(width, 1) + col)
-    r, c = code // max(width, 1), code % max(width, 1)
-    both = np.zeros((width, width), np.int32)
-    at = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1]))) if len(r) else np.zeros(0, np.int64)
-    size = np.diff(np.append(at, len(r)))
-    for m in np.unique(size[(size > 1) & (size <= few)]).tolist():
-        i, j = np.triu_indices(m, 1)
-        starts = at[size == m]
-        step = max(1, 2_000_000 // len(i))
-        for k in range(0, len(starts), step):
-            votes = c[starts[k : k + step, None] + np.arange(m)]
-            np.add.at(both.reshape(-1), (votes[:, i] * width + votes[:, j]).ravel(), 1)
-    both += both.T.copy()
-    many = np.flatnonzero(size > few)
-    for k in range(0, len(many), 512):
-        rows = many[k : k + 512]
-        fired = np.zeros((len(rows), width), np.float32)
-        for x, g in enumerate(rows):
-            fired[x, c[at[g] : at[g] + size[g]]] = 1.0
-        both += (fired.T @ fired).astype(np.int32)
-    return both
+    row, col = code // max(width, 1), code % max(width, 1)
+    order = np.argsort(col, kind="stable")
+    row, col = row[order], col[order]
+    n = int(row.max()) + 1 if len(row) else 0
+    for a in range(0, width, block):
+        mine = slice(*np.searchsorted(col, [a, a + block]))
+        fired = np.zeros((n, min(block, width - a)), np.float32)
+        fired[row[mine], col[mine] - a] = 1.0
+        both = np.zeros((width, fired.shape[1]), np.float32)
+        for k in range(0, len(row), 50_000):
+            c = col[k : k + 50_000]
+            at = np.flatnonzero(np.concatenate(([True], c[1:] != c[:-1])))
+            both[c[at]] += np.add.reduceat(fired[row[k : k + 50_000]], at, axis=0)
+        yield a, both.T
 
 
 def linear_classifier(row: np.ndarray, col: np.ndarray, post: np.ndarray, width: int, l2: float = 0.5, rounds: int = 30) -> tuple[np.ndarray, float]:
@@ -288,7 +318,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if not len(y) or y.all() or not y.any():
         share = float(y.mean()) if len(y) else 0.0
         return Model({}, np.zeros(len(PATTERNS)), 30.0 if share == 1 else -30.0)
-    post, rates = label_model(row, col, y, width)
+    post, rates = label_model(row, col, y, width, len(terms))
     w, b = linear_classifier(row, col, post, width)
     names = [*terms, *(p[0] for p in PATTERNS)]
     return Model(terms, w, b, {k: (float(rates[i, 1]), float(rates[i, 0])) for i, k in enumerate(names)})
