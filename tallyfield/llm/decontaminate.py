@@ -6,7 +6,8 @@ word and be up to k words longer or shorter than the item.
 
 Windows. By the q-gram lemma a match keeps at least W - 1 - 2k of the item's W - 1 word pairs,
 within W + k words. Only windows at starts with so many pairs of an item in reach are embedded
-for it, which loses nothing. Pairs are looked up in runs of texts of about ``SPREAD`` rows.
+for it, which loses nothing; of those, the ones that put a pair where the item has it, as others
+are out of step with the item from the first word on. Pairs are looked up in runs of texts of about ``SPREAD`` rows.
 
 Embedding. The CGK walk reads a string with a pointer: step j writes the word under the
 pointer and moves on by a random bit that depends on (j, word) alone; past the end it writes
@@ -128,11 +129,11 @@ class Walks:
 
     @np.errstate(over="ignore")
     def keys(self, h: np.ndarray, at: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Per draw, the hash of the sampled places of the embedding of each h[a : b]."""
+        """Per draw, the hash of the sampled places of the embedding of each h[a : b]; h ends in
+        a pad."""
         salt = self.salt[:, None]
         key = np.repeat(salt, len(at), axis=1)
         place = np.repeat(at[None, :], len(self.salt), axis=0)
-        h = np.append(h, PAD)
         for j in range(max(self.rows) + 1):
             word = np.where(place < stop, h.take(place), PAD)
             if rows := self.rows.get(j):
@@ -147,31 +148,33 @@ def walks(width: int, first: int, last: int) -> Walks:
     return Walks(width, first, last)
 
 
-def sampled_alike(h: np.ndarray, bounds: np.ndarray, stretches: list[tuple[int, int, int, int]], items: dict[int, np.ndarray]) -> list[tuple[int, int, int, int]]:
-    """Of (text, item, first start, last start) those where a window and the item agree in the
-    sampled places of some draw."""
-    out: list[tuple[int, int, int, int]] = []
-    by_width: dict[int, list[tuple[int, int, int, int]]] = defaultdict(list)
+Stretch = tuple[int, int, int, int, np.ndarray]  # text, item, first and last start, starts of windows
+
+
+def sampled_alike(h: np.ndarray, bounds: np.ndarray, stretches: list[Stretch], items: dict[int, np.ndarray]) -> list[Stretch]:
+    """Those where a window and the item agree in the sampled places of some draw."""
+    out: list[Stretch] = []
+    h = np.append(h, PAD)
+    by_width: dict[int, list[Stretch]] = defaultdict(list)
     for x in stretches:
         by_width[len(items[x[1]])].append(x)
     for width, todo in by_width.items():
         n = draws(width)
         for first in range(0, n, ROUND):
             w = walks(width, first, min(first + ROUND, n))
-            left: list[tuple[int, int, int, int]] = []
+            left: list[Stretch] = []
             while todo:
                 some, size = [], 0
                 while todo and (not some or size < WALKED):
                     some.append(todo.pop())
-                    size += some[-1][3] - some[-1][2] + 1
-                text, item, low, high = (np.array(x, np.int64) for x in zip(*some))
-                sizes = high - low + 1
-                at = np.repeat(low - (np.cumsum(sizes) - sizes), sizes) + np.arange(size)
-                mine = w.keys(h, at, np.minimum(at + width, np.repeat(bounds[text + 1], sizes)))
-                which, code = np.unique(item, return_inverse=True)
+                    size += len(some[-1][4])
+                sizes = np.array([len(x[4]) for x in some])
+                at = np.concatenate([x[4] for x in some])
+                stop = np.minimum(at + width, np.repeat(bounds[[x[0] + 1 for x in some]], sizes))
+                which, code = np.unique([x[1] for x in some], return_inverse=True)
                 begin = np.arange(len(which)) * width
-                theirs = w.keys(np.concatenate([items[int(i)] for i in which]), begin, begin + width)
-                same = (mine == theirs[:, np.repeat(code, sizes)]).any(axis=0)
+                theirs = w.keys(np.concatenate([*(items[int(i)] for i in which), [PAD]]), begin, begin + width)
+                same = (w.keys(h, at, stop) == theirs[:, np.repeat(code, sizes)]).any(axis=0)
                 hit = np.logical_or.reduceat(same, np.cumsum(sizes) - sizes)
                 for x, good in zip(some, hit.tolist()):
                     (out if good else left).append(x)
@@ -189,14 +192,16 @@ class Items:
         self.hashes: list[np.ndarray] = []
         self.ids = []
         self.single: dict[int, list[int]] = defaultdict(list)  # items of one word, by its hash
-        pairs = []
+        pairs, places = [], []
         for item_id, text in items:
             w = split_words(pa.array([text or ""], pa.large_string()))[0].to_pylist()
             if w:
                 h = word_hashes(w)
                 if len(w) == 1:
                     self.single[int(h[0])].append(len(self.ids))
-                pairs.append(np.unique(pair_hashes(h[:-1], h[1:])))
+                distinct, where = np.unique(pair_hashes(h[:-1], h[1:]), return_index=True)
+                pairs.append(distinct)
+                places.append(where)
                 self.words.append(w)
                 self.hashes.append(h)
                 self.ids.append(item_id)
@@ -207,15 +212,18 @@ class Items:
         holder = np.repeat(np.arange(len(pairs)), [len(x) for x in pairs])
         order = np.argsort(pair, kind="stable")
         self.holder = holder[order]
+        self.place = np.concatenate([np.zeros(0, np.int64), *places])[order]  # of the pair in the item
         self.pairs, self.first = np.unique(pair[order], return_index=True)
         self.holders = np.diff(np.append(self.first, len(pair)))
 
     def edits(self, width: int) -> int:
         return int(EDITS * width) if width >= LEAST_WORDS else 0
 
-    def starts(self, at: np.ndarray, pair: np.ndarray, owner: np.ndarray, bounds: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(text, item, first start, last start) of what the filter leaves; ``at``: places of
-        the item pairs number ``pair``, in order."""
+    def starts(self, at: np.ndarray, pair: np.ndarray, owner: np.ndarray, bounds: np.ndarray) -> Iterator[Stretch]:
+        """What the filter leaves; ``at``: places of the item pairs number ``pair``, in order.
+
+        A stretch's windows start where the item would if one of its pairs were in its place.
+        """
         n = self.holders[pair]
         total = np.cumsum(n)
         text = owner[at]
@@ -225,21 +233,24 @@ class Items:
         for a, b in zip(cuts, cuts[1:]):
             size = n[a:b]
             here = np.repeat(at[a:b], size)
-            item = self.holder[np.repeat(self.first[pair[a:b]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
-            whose = owner[here]
+            entry = np.repeat(self.first[pair[a:b]] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+            item, place, whose = self.holder[entry], self.place[entry], owner[here]
             order = np.lexsort((here, item, whose))
-            here, item, whose = here[order], item[order], whose[order]
+            here, item, whose, begin = here[order], item[order], whose[order], (here - place)[order]
             least = self.width[item] - 1 - 2 * self.most[item]  # pairs that a match keeps
             reach = self.width[item] + self.most[item] - 2
             end = np.arange(len(here)) + least - 1
             inside = np.minimum(end, len(here) - 1)
             good = (end < len(here)) & (whose[inside] == whose) & (item[inside] == item) & (here[inside] - here <= reach)
+            begun = np.flatnonzero(good)
             inside, high, item, whose, reach = inside[good], here[good], item[good], whose[good], reach[good]
             if not len(high):
                 continue
             low = np.maximum(here[inside] - reach, bounds[whose])
             lead = np.flatnonzero(np.concatenate(([True], (whose[1:] != whose[:-1]) | (item[1:] != item[:-1]) | (low[1:] > high[:-1] + 1))))
-            yield from zip(whose[lead].tolist(), item[lead].tolist(), low[lead].tolist(), high[np.append(lead[1:], len(high)) - 1].tolist())
+            last = np.append(lead[1:], len(high)) - 1
+            for t, i, x, y, p, q in zip(whose[lead].tolist(), item[lead].tolist(), low[lead].tolist(), high[last].tolist(), begun[lead].tolist(), inside[last].tolist()):
+                yield t, i, x, y, np.unique(np.clip(begin[p : q + 1], x, y))
 
     def matches(self, texts: pa.Array) -> list[tuple[int, int, int, int, int]]:
         """(text, item, first word, words, edits) of the best match of each item in a text."""
@@ -262,8 +273,8 @@ class Items:
             number = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
             held = self.pairs[number] == pair
             stretches = list(self.starts(some[held], number[held], owner, bounds))
-            hashes = {i: self.hashes[i] for _, i, _, _ in stretches}
-            for t, i, low, high in sampled_alike(h, bounds, stretches, hashes):
+            hashes = {x[1]: self.hashes[x[1]] for x in stretches}
+            for t, i, low, high, _ in sampled_alike(h, bounds, stretches, hashes):
                 k, item = int(self.most[i]), self.words[i]
                 stop = min(high + len(item) + k, int(bounds[t + 1]))
                 part = [words[c] for c in codes[low:stop]]

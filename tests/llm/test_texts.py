@@ -337,7 +337,10 @@ def test_draws_reach_their_recall():
                     at = int(rng.integers(len(p)))
                     p[at : at + 1] = {"delete": [], "insert": [int(rng.integers(2**62)), p[at]], "replace": [int(rng.integers(2**62))]}[kind]
                 h = np.concatenate((rng.integers(0, 2**62, 20), p, rng.integers(0, 2**62, 60))).astype(np.uint64)
-                found += len(decontaminate.sampled_alike(h, np.array([0, len(h)]), [(0, 0, 14, 26)], {0: item}))
+                where = {x: i for i, x in enumerate(item.tolist())}
+                starts = {i - where[x] for i, x in enumerate(h.tolist()) if x in where and where.get(h[i + 1]) == where[x] + 1}
+                stretch = (0, 0, 0, len(h) - 1, np.array(sorted(max(x, 0) for x in starts)))
+                found += len(decontaminate.sampled_alike(h, np.array([0, len(h)]), [stretch], {0: item}))
                 n += 1
         assert found >= decontaminate.RECALL * n - 1, (width, found, n)
 
