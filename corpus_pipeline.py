@@ -1,4 +1,11 @@
-"""A corpus pipeline of five operators: filter, deduplicate, decontaminate, mix, encode."""
+"""A corpus pipeline of five operators: filter, deduplicate, decontaminate, mix, encode.
+
+Nulls and odd input: a null text goes through as an empty one (all empty texts are one group
+of copies, of which one stays; size 0 in the mix; only the end id in the token file); rows with
+a null or repeated id are rows of their own, and a null source is a source; very long texts are
+taken whole by each stage; columns beside those of ``documents``, whatever their names, come
+through all stages but the last; empty tables give empty results.
+"""
 
 from __future__ import annotations
 

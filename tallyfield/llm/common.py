@@ -26,11 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """URI of the folder that the driver and every executor share.
 
-    ``spark.checkpoint.dir`` names it; where that is unset (tests, a laptop) a
-    temporary folder is chosen once and stored in the session.
+    ``spark.checkpoint.dir`` names it. Where that is unset, a local session (tests, a laptop)
+    gets a temporary folder, chosen once and stored in it; a cluster is refused, as its
+    executors would not share one.
     """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tallyfield.scratch.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tallyfield-")
         spark.conf.set("tallyfield.scratch.dir", at)
     return at.rstrip("/")
@@ -66,15 +69,26 @@ def staged_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(at + "/table"), at
 
 
-def with_row_id(docs: DataFrame, name: str, id_col: str = "doc_id") -> DataFrame:
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def with_row_id(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with a long column that tells its rows apart, the same at every reading.
 
-    The document ids serve if they do that; else rows are numbered in a staged copy.
+    The document ids serve if they do that; else rows are numbered in a staged copy, in order
+    of id and text, so rows whose numbers depend on chance are equal in both.
     """
     n, distinct = docs.agg(F.count("*"), F.count_distinct(id_col)).first()
     if n == distinct:
         return docs.withColumn(name, F.col(id_col).cast("long"))
-    return staged(docs.withColumn(name, F.monotonically_increasing_id()), "rows")
+    order = [F.col(id_col).cast("long"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))]
+    ordered = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    return staged(ordered.withColumn(name, F.monotonically_increasing_id()), "rows")
 
 
 _HELD: dict = {}

@@ -3,6 +3,10 @@
 No step gathers a component: a step is an aggregation (the least neighbour of each node) and
 a join back on the node, both of which Spark can split. Each step writes its edges to the
 shared folder.
+
+Nulls and odd input: edges with a null end, self-links and repeats are as if they weren't there;
+an empty table gives an empty result; columns other than a and b are ignored. Steps go on until
+labels settle (their number grows with the logarithm of the longest path).
 """
 
 from __future__ import annotations
@@ -32,14 +36,15 @@ def _small_star(e: DataFrame) -> DataFrame:
     return linked.union(least.select("a", F.col("m").alias("b")))
 
 
-def connected_components(edges: DataFrame, max_steps: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(a, b) long edges in; one row (v, c) per node that is not the least of its
     component, c being the least. Self-links and repeats are fine."""
     spark = edges.sparkSession
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    e = edges.where("a <> b")  # nulls go, too
+    e = e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     kept: list[str] = []
     before = None
-    for _ in range(max_steps):
+    while True:
         e = _small_star(_large_star(e)).where("a <> b").distinct()
         at = fresh_dir(spark, "components")
         e.write.parquet(at + "/edges")
@@ -52,4 +57,3 @@ def connected_components(edges: DataFrame, max_steps: int = 40) -> DataFrame:
         if now == before:
             return e.select(F.col("a").alias("v"), F.col("b").alias("c"))
         before = now
-    raise RuntimeError("components did not settle")

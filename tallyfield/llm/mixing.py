@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import WORD, staged, with_row_id
+from tallyfield.llm.common import WORD, staged, unused, with_row_id
 
 GROUP_ROWS = 100_000  # rows that one window sorts, about, if every document has one size
 SALTS = 64
@@ -61,10 +61,12 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, cap
     return s.select("k", "source_size", target.cast("double").alias("target"))
 
 
-def mixed(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0) -> DataFrame:
+def mixed(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, cap: float = 2.0, tie: str | None = None) -> DataFrame:
     """Add source_size, target, copies and taken to rows of (doc_id, source, size).
 
-    Other columns of ``rows`` pass through; ``rows`` should be cheap to read twice.
+    Other columns of ``rows`` pass through, but for k, class, salt, r and base, which are this
+    function's own; rows of one size and id go by ``tie``. ``rows`` should be cheap to read
+    twice.
     """
     n = rows.count()
     salts = SALTS * (1 + n // (SALTS * GROUP_ROWS))
@@ -86,7 +88,7 @@ def mixed(rows: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float =
     targets = source_targets(rows.groupBy("k").agg(F.sum("size").alias("source_size")), weights, share, cap)
     bases = bases.join(targets, "k")
 
-    own = Window.partitionBy("k", "class", "salt").orderBy("size", F.col("doc_id").asc_nulls_first())
+    own = Window.partitionBy("k", "class", "salt").orderBy("size", F.col("doc_id").asc_nulls_first(), *([tie] if tie else []))
     rows = rows.withColumn("r", F.row_number().over(own)).join(bases, ["k", "class", "salt"])
     u = digits(F.concat(F.lit("offset:"), "k"), 5) / F.lit(1048576.0)
     upto = lambda r: F.floor(r * F.col("target") / F.col("source_size") + u)
@@ -108,9 +110,9 @@ def mix_plan(docs: DataFrame, **kw) -> DataFrame:
 
 def mix_documents(docs: DataFrame, **kw) -> DataFrame:
     """``docs`` with each row as often as the mix takes it, and the columns of ``docs``."""
-    name = "__mix_row"
+    name, copies, copy = (unused(docs, x) for x in ("__mix_row", "__mix_copies", "__mix_copy"))
     held = with_row_id(docs, name)
-    plan = mixed(staged(document_sizes(held, "doc_id", "text", "source", name), "sizes"), **kw)
-    taken = plan.where("copies > 0").select(name, F.col("copies").alias("__copies"))
+    plan = mixed(staged(document_sizes(held, "doc_id", "text", "source", name), "sizes"), tie=name, **kw)
+    taken = plan.where("copies > 0").select(name, F.col("copies").alias(copies))
     out = held.join(taken, name)
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    return out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)

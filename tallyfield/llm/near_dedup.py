@@ -24,7 +24,8 @@ agree below ``AGREE`` with probability under 1e-3.
 Nulls and odd input: a null text counts as empty; equal texts, empty ones too, are one class;
 a text of one to four words has one shingle, all of it; a document's class is the least
 doc_id of it, null only if it has none; repeated rows get a row each; an empty table gives an
-empty result; other columns are ignored.
+empty result; a very long text is one node like any other, its shingles all counted; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.llm.common import coded, mix64, small_batches, split_words, staged, string_array, task, text_or_empty, uniform, with_row_id
+from tallyfield.llm.common import coded, mix64, small_batches, split_words, staged, string_array, task, text_or_empty, uniform, unused, with_row_id
 from tallyfield.llm.components import connected_components
 
 SHINGLE = 5
@@ -370,8 +371,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each class: that of the least doc_id (of equal ones any)."""
-    row = "__dedup_row"
+    """``docs`` with one row of each class: that of the least doc_id (of equal ones the first by
+    digest of the text); every column as it was."""
+    row = unused(docs, "__dedup_row")
     held = with_row_id(docs, row)
     # rows are told apart by their number, so repeated and null ids are fine
     numbered = held.select(F.col(row).alias("doc_id"), "text")

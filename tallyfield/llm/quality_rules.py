@@ -5,7 +5,8 @@ of the rules that reject; verdicts under any policy, and what each rule rejects
 from the stored bits without looking at a text again.
 
 A null text counts as empty: it has no words and fails the rule for short texts. Null ids
-and repeated rows keep a row each; an empty table gives an empty ledger.
+and repeated rows keep a row each; a very long text is measured whole by its task; other
+columns, whatever their names, are ignored; an empty table gives an empty ledger.
 """
 
 from __future__ import annotations

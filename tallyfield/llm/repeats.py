@@ -5,13 +5,15 @@ document of a smaller id or in the same one; all strings are judged on the input
 
 Dealing. A window (a string of LENGTH bytes) is filed under the least hash of its 32-byte
 grams, so equal windows meet under one key. Neighbouring windows with the same least gram
-form a unit; no two of them are equal, or that gram's place in them would be. Units of equal bytes are one: within a batch before the shuffle, then under the key, all but
-the first are covered. Only keys with units of different bytes go on, as bytes of the units.
+form a unit; no two of them are equal, or that gram's place in them would be. Units of one key
+and one 64-bit digest of their bytes are taken as equal (with the key, 128 bits): within a
+batch before the shuffle, then under the key, all but the first are covered without being
+sorted. Only keys with units of different digests go on, as bytes of the units.
 
 Sorting. Units of a key that share the hash of some window are chained into strings, in
 document order, and suffix arrays of many such strings are built together by linear grouping
 (``suffix_groups``). Among suffixes that start windows, equal windows stand next to each
-other; bytes are compared, so no hash decides. All but the first of a run are repeats. Strings
+other, and their bytes are compared. All but the first of a run are repeats. Strings
 over ``CHAIN`` bytes (one string takes as many steps as it has groups) are instead split by
 window: windows are sorted by hash and compared byte by byte, which is as exact.
 
