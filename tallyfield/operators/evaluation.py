@@ -164,10 +164,3 @@ def walk_forward(states: DataFrame, players: DataFrame, warmup_weeks: int = 4, l
             row = next(rows, None)
         out[slot] = solve_system(sums, lam)
     return out
-
-
-def verdict(weekly: float, weekly_low: float, ros: float, ros_low: float) -> str:
-    """SHIP if both margins clear zero with their intervals, FALLBACK if one point is below."""
-    if weekly_low > 0 and ros_low > 0:
-        return "SHIP"
-    return "FALLBACK" if min(weekly, ros) <= 0 else "INCONCLUSIVE"

@@ -5,13 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_ALL, _SKILL = ("QB", "RB", "WR", "TE"), ("RB", "WR", "TE")
-# component, positions that may have it, unit
+_ALL, _QB, _SKILL = ("QB", "RB", "WR", "TE"), ("QB",), ("RB", "WR", "TE")
+# Component, positions that may have it, unit; in the contract's order.
 COMPONENTS: list[tuple[str, tuple[str, ...], str]] = [
-    ("pass_attempts", ("QB",), "count"), ("completions", ("QB",), "count"), ("passing_yards", ("QB",), "yards"), ("passing_tds", ("QB",), "count"), ("interceptions", ("QB",), "count"), ("sacks", ("QB",), "count"),
-    ("rush_attempts", _ALL, "count"), ("rushing_yards", _ALL, "yards"), ("rushing_tds", _ALL, "count"), ("targets", _SKILL, "count"), ("receptions", _SKILL, "count"), ("receiving_yards", _SKILL, "yards"), ("receiving_tds", _SKILL, "count"),
-    ("fumbles_lost", _ALL, "count"), ("two_point_conversions", _ALL, "count"), ("snaps", _ALL, "count"), ("routes", _SKILL, "count"), ("dropbacks", ("QB",), "count"),
-]
+    ("active_probability", _ALL, "probability"),
+    ("start_probability", _QB, "probability"),
+    ("offensive_snap_share", _SKILL, "share"),
+    ("pass_attempts", _QB, "count"),
+    ("completions", _QB, "count"),
+    ("passing_yards", _QB, "yards"),
+    ("passing_tds", _QB, "count"),
+    ("interceptions", _QB, "count"),
+    ("sacks_taken", _QB, "count"),
+    ("rushing_attempts", _ALL, "count"),
+    ("rushing_yards", _ALL, "yards"),
+    ("rushing_tds", _ALL, "count"),
+    ("targets", _SKILL, "count"),
+    ("receptions", _SKILL, "count"),
+    ("receiving_yards", _SKILL, "yards"),
+    ("receiving_tds", _SKILL, "count"),
+    ("fumbles_lost", _ALL, "count"),
+    ("two_point_conversions", _ALL, "count"),
+]
 # rule, condition under which a record breaks it
 RULES: dict[str, str] = {
     "comp_le_att": "comp > att",
@@ -20,6 +35,10 @@ RULES: dict[str, str] = {
     "quantiles": "not (q10 <= q50 and q50 <= q90)",
     "spread": "sd < 0 or isnan(sd)",
     "component": "position <> 'QB' and att > 0",
+    "finite": "isnan(q10) or isnan(q50) or isnan(q90) or abs(q10) = double('infinity') or abs(q50) = double('infinity') or abs(q90) = double('infinity')",
+    "inactive_zero": "p_active = 0 and (att <> 0 or comp <> 0 or tgt <> 0 or rec <> 0 or q50 <> 0)",
+    "receiver": "position = 'QB' and (tgt > 0 or rec > 0)",
+    "unique": "n_same > 1",
 }
 
 

@@ -45,22 +45,37 @@ def p9_asof_market(spark, d):
 
 
 _REC = """rec AS (SELECT player_id, position, season, week, pass_attempts AS att, completions AS comp, targets AS tgt, receptions AS rec, passing_yards / 100.0::DOUBLE AS sd,
- (passing_tds + receiving_tds) / 2.0::DOUBLE AS p_td, passing_yards * 0.5::DOUBLE AS q10, passing_yards * 1.0::DOUBLE AS q50, passing_yards * 1.5::DOUBLE - 3 * (week % 4 = 0)::INTEGER * passing_yards AS q90 FROM player_stats)"""
+ (passing_tds + receiving_tds) / 2.0::DOUBLE AS p_td, CASE WHEN pass_attempts + targets > 2 THEN 1.0::DOUBLE ELSE 0.0 END AS p_active, count(*) OVER (PARTITION BY player_id, season, week) AS n_same,
+ passing_yards * 0.5::DOUBLE AS q10, passing_yards * 1.0::DOUBLE AS q50,
+ CASE WHEN week = 9 AND passing_yards = 0 THEN 'nan'::DOUBLE ELSE passing_yards * 1.5::DOUBLE - 3 * (week % 4 = 0)::INTEGER * passing_yards END AS q90 FROM player_stats)"""
 
 
 @query(with_("player_stats", """SELECT rule, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN comp > att THEN 'comp_le_att' END, CASE WHEN rec > tgt THEN 'rec_le_tgt' END, CASE WHEN p_td NOT BETWEEN 0 AND 1 THEN 'probability' END,
- CASE WHEN NOT (q10 <= q50 AND q50 <= q90) THEN 'quantiles' END, CASE WHEN sd < 0 THEN 'spread' END, CASE WHEN position <> 'QB' AND att > 0 THEN 'component' END], lambda x: x IS NOT NULL)) AS rule FROM rec) GROUP BY rule""", _REC))
+ CASE WHEN NOT (q10 <= q50 AND q50 <= q90) THEN 'quantiles' END, CASE WHEN sd < 0 THEN 'spread' END, CASE WHEN position <> 'QB' AND att > 0 THEN 'component' END,
+ CASE WHEN NOT isfinite(q10) OR NOT isfinite(q50) OR NOT isfinite(q90) THEN 'finite' END, CASE WHEN p_active = 0 AND (att <> 0 OR comp <> 0 OR tgt <> 0 OR rec <> 0 OR q50 <> 0) THEN 'inactive_zero' END,
+ CASE WHEN position = 'QB' AND (tgt > 0 OR rec > 0) THEN 'receiver' END, CASE WHEN n_same > 1 THEN 'unique' END], lambda x: x IS NOT NULL)) AS rule FROM rec) GROUP BY rule""", _REC))
 def p17_output_invariants(spark, d):
     s = v.player_stats(spark, d)
     y = F.col("passing_yards")
+    q90 = F.when((F.col("week") == 9) & (y == 0), float("nan")).otherwise(y * 1.5 - F.when(F.col("week") % 4 == 0, 3).otherwise(0) * y)
     rec = s.select(
         "player_id", "position", "season", "week", F.col("pass_attempts").alias("att"), F.col("completions").alias("comp"), F.col("targets").alias("tgt"), F.col("receptions").alias("rec"), (y / 100).alias("sd"),
-        ((F.col("passing_tds") + F.col("receiving_tds")) / 2).alias("p_td"), (y * 0.5).alias("q10"), (y * 1.0).alias("q50"), (y * 1.5 - F.when(F.col("week") % 4 == 0, 3).otherwise(0) * y).alias("q90"),
+        ((F.col("passing_tds") + F.col("receiving_tds")) / 2).alias("p_td"), F.when(F.col("pass_attempts") + F.col("targets") > 2, 1.0).otherwise(0.0).alias("p_active"),
+        F.count("*").over(Window.partitionBy("player_id", "season", "week")).alias("n_same"), (y * 0.5).alias("q10"), (y * 1.0).alias("q50"), q90.alias("q90"),
     )
     return records.broken(rec).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{p}', '{u}')" for c, ps, u in records.COMPONENTS for p in ps) + ") t(component, position, unit)")
+# The contract's rows, written out by themselves and not from the operator's table.
+_VOCABULARY = """SELECT component, unnest(CASE who WHEN 'all' THEN ['QB', 'RB', 'WR', 'TE'] WHEN 'qb' THEN ['QB'] ELSE ['RB', 'WR', 'TE'] END) AS position, unit FROM (VALUES
+ ('active_probability', 'all', 'probability'), ('start_probability', 'qb', 'probability'), ('offensive_snap_share', 'skill', 'share'),
+ ('pass_attempts', 'qb', 'count'), ('completions', 'qb', 'count'), ('passing_yards', 'qb', 'yards'), ('passing_tds', 'qb', 'count'), ('interceptions', 'qb', 'count'), ('sacks_taken', 'qb', 'count'),
+ ('rushing_attempts', 'all', 'count'), ('rushing_yards', 'all', 'yards'), ('rushing_tds', 'all', 'count'),
+ ('targets', 'skill', 'count'), ('receptions', 'skill', 'count'), ('receiving_yards', 'skill', 'yards'), ('receiving_tds', 'skill', 'count'),
+ ('fumbles_lost', 'all', 'count'), ('two_point_conversions', 'all', 'count')) t(component, who, unit)"""
+
+
+@query(_VOCABULARY)
 def p18_components(spark, d):
     return records.component_table(spark)
 
