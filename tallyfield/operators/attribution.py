@@ -45,6 +45,9 @@ def fit_boosted_value(states: DataFrame, rounds: int = 40, depth: int = 4, rate:
     return Pipeline(stages=[VectorAssembler(inputCols=STATE, outputCol="features"), gbt]).fit(states)
 
 
+CONDITION = 1e10  # fixed value: systems beyond it are solved by least squares
+
+
 def design(plays: DataFrame, players: DataFrame, semantics: str = "oracle") -> DataFrame:
     """Triplets (drive_id, play_id, season, week, col, val): +1 offence, -1 defence, repeated
     ids add up, and a team intercept for each side. Ids outside the universe are dropped, or
@@ -87,6 +90,35 @@ def gram_blocks(triplets: DataFrame, targets: DataFrame, by: list[str] | None =
     return a.select(*by, F.col("a.col").alias("i"), F.explode(products).alias("p")).groupBy(*by, "i", F.col("p.j").alias("j")).agg(F.sum("p.v").alias("v"))
 
 
+def play_gram(valued: DataFrame, players: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """The same blocks from plays that carry their participants and dv: no row is exploded and
+    gathered again, and the sums on (i, j) are the only shuffle of plays.
+
+    Ids outside the universe are dropped from the sums, which are small, and not from the plays.
+    """
+    by = by if by is not None else ["season", "week"]
+    item = lambda c, val: F.struct(c.alias("col"), F.lit(val).alias("val"))
+    entries = F.concat(
+        F.transform("off_players", lambda p: item(F.concat(F.lit("p:"), p), 1.0)),
+        F.transform("def_players", lambda p: item(F.concat(F.lit("p:"), p), -1.0)),
+        F.array(item(F.concat(F.lit("o:"), "off_team"), 1.0), item(F.concat(F.lit("d:"), "def_team"), -1.0)),
+    )
+    x = valued.select(*by, "dv", F.array_sort(entries).alias("x"))
+    a = x.select(*by, "dv", "x", F.posexplode("x").alias("k", "a"))
+    # an id that stands twice in a play meets itself twice
+    times = lambda b: F.when(b["col"] == F.col("a.col"), 2.0).otherwise(1.0)
+    products = F.concat(
+        F.array(F.struct(F.col("a.col").alias("j"), (F.col("a.val") * F.col("a.val")).alias("v"))),
+        F.transform(F.slice("x", F.col("k") + 2, F.size("x")), lambda b: F.struct(b["col"].alias("j"), (F.col("a.val") * b["val"] * times(b)).alias("v"))),
+        F.array(F.struct(F.lit(None).cast("string").alias("j"), (F.col("a.val") * F.col("dv")).alias("v"))),
+    )
+    g = a.select(*by, F.col("a.col").alias("i"), F.explode(products).alias("p")).groupBy(*by, "i", F.col("p.j").alias("j")).agg(F.sum("p.v").alias("v"))
+    known = players.select(F.concat(F.lit("p:"), "player_id").alias("_known")).distinct()
+    for side in ("i", "j"):
+        g = g.join(known, F.col(side) == F.col("_known"), "left").where(~F.coalesce(F.col(side).startswith("p:"), F.lit(False)) | F.col("_known").isNotNull()).drop("_known")
+    return g
+
+
 def market_rows(strength: DataFrame, weight: float = 40.0) -> DataFrame:
     """Gram contributions (i, j, v) of one pseudo-play a team: [+1 offence, +1 defence]."""
     o, d, s = F.concat(F.lit("o:"), "team"), F.concat(F.lit("d:"), "team"), F.col("strength") * weight
@@ -119,11 +151,11 @@ def solve_system(sums: dict[tuple[str, str | None], float], lam: float = 120.0,
     pen = lam * np.array([factor(n) for n in names])
     mean = np.array([(prior or {}).get(n, 0.0) for n in names])
     m = a + np.diag(pen)
-    try:
-        c = np.linalg.cholesky(m)
-        beta = np.linalg.solve(c.T, np.linalg.solve(c, b + pen * mean))
-    except np.linalg.LinAlgError:
+    size = np.abs(np.linalg.eigvalsh(m)) if len(m) else np.ones(1)
+    if size.max() > CONDITION * size.min():
         beta = np.linalg.lstsq(m, b + pen * mean, rcond=None)[0]
+    else:
+        beta = np.linalg.solve(m, b + pen * mean)
     return dict(zip(names, beta.tolist()))
 
 
@@ -180,6 +212,6 @@ def weekly_update(spark, valued_new: DataFrame, players: DataFrame, block_dir: s
 
     Running a week again replaces its block, so nothing is counted twice.
     """
-    blocks = gram_blocks(design(valued_new, players), valued_new)
+    blocks = play_gram(valued_new, players)
     blocks.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("season", "week").parquet(block_dir)
     return spark.read.parquet(block_dir)

@@ -139,7 +139,7 @@ def walk_forward(states: DataFrame, players: DataFrame, warmup_weeks: int = 4, l
     the warm-up's mean. Blocks are made once and read in order of slots, so each is added once
     and the driver holds the sums, a partition of blocks and the ratings.
     """
-    from tallyfield.operators.attribution import STATE, cell_values, design, gram_blocks, market_rows, play_values, solve_system, state_bucket
+    from tallyfield.operators.attribution import STATE, cell_values, market_rows, play_gram, play_values, solve_system, state_bucket
 
     if warmup_weeks < 1 or origin_stride < 1:
         raise ValueError("warmup_weeks and origin_stride count from 1")
@@ -151,7 +151,7 @@ def walk_forward(states: DataFrame, players: DataFrame, warmup_weeks: int = 4, l
     buckets = [states.select(state_bucket(*(F.col(n + c) for c in STATE)).alias("bucket")) for n in ("", "n_")]
     mean = warm.agg(F.avg("drive_points")).first()[0]
     values = buckets[0].union(buckets[1]).where("bucket is not null").distinct().join(cell_values(warm), "bucket", "left").withColumn("value", F.coalesce("value", F.lit(mean)))
-    rows = gram_blocks(design(states, players), play_values(states, values)).orderBy("season", "week", "i", "j").toLocalIterator()
+    rows = play_gram(play_values(states, values), players).orderBy("season", "week", "i", "j").toLocalIterator()
     sums: dict[tuple[str, str | None], float] = {}
     if market is not None:
         for r in market_rows(market).collect():

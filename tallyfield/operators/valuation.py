@@ -64,35 +64,46 @@ def snake_order(spark: SparkSession, teams: int, rounds: int) -> DataFrame:
     return n.select((F.col("id") + 1).alias("pick"), (r + 1).alias("round"), F.when(r % 2 == 0, i + 1).otherwise(teams - i).alias("team"))
 
 
+def within_reach(ranked: DataFrame, picks: int, by: list[str]) -> DataFrame:
+    """Players that a draft of so many picks can take: nobody behind as many better ones of
+    their own position is ever reached, so nothing is cut that could matter."""
+    order = F.row_number().over(Window.partitionBy(*by, "position").orderBy("rank", "player_id"))
+    return ranked.withColumn("_r", order).where(F.col("_r") <= picks).drop("_r")
+
+
 def draft(pool: list[dict], slots: dict[str, int], teams: int, rounds: int) -> list[list[dict]]:
-    """Greedy snake draft of ranked players: needs first, FLEX next, then the best left.
+    """Snake draft of ranked players: a team's open slots first, then the best there is.
 
-    A draft is sequential over teams * rounds picks; it runs on the driver over a pool cut
-    to what a draft can reach.
+    Players wait in one queue a position, so a pick looks at the heads of the queues alone.
+    A draft is sequential over teams * rounds picks; it runs on the driver over what is
+    within its reach.
     """
-    free = sorted(pool, key=lambda p: (p["rank"], p["player_id"]))
-    need = [{p: n for p, n in slots.items() if p != "FLEX"} for _ in range(teams)]
-    flex = [slots.get("FLEX", 0)] * teams
-    out: list[list[dict]] = [[] for _ in range(teams)]
+    queues: dict[str, list[tuple[int, str, dict]]] = {}
+    for p in pool:
+        queues.setdefault(p["position"], []).append((p["rank"], p["player_id"], p))
+    for q in queues.values():
+        q.sort(key=lambda x: x[:2], reverse=True)
+    held: list[list[dict]] = [[] for _ in range(teams)]
+    used = [dict.fromkeys(slots, 0) for _ in range(teams)]
+
+    def slot_for(team: int, position: str) -> str | None:
+        for s in (position, "FLEX" if position in FLEX else None):
+            if s in slots and used[team][s] < slots[s]:
+                return s
+        return None
+
     for k in range(teams * rounds):
-        r, i = divmod(k, teams)
-        t = i if r % 2 == 0 else teams - 1 - i
-
-        def fits(p: dict, t: int = t) -> bool:
-            return need[t].get(p["position"], 0) > 0 or flex[t] > 0 and p["position"] in FLEX
-
-        pick = next((p for p in free if fits(p)), None)
-        if pick is not None:
-            if need[t].get(pick["position"], 0) > 0:
-                need[t][pick["position"]] -= 1
-            else:
-                flex[t] -= 1
-        elif free:
-            pick = free[0]
-        if pick is not None:
-            free.remove(pick)
-            out[t].append(pick)
-    return out
+        lap, i = divmod(k, teams)
+        team = teams - 1 - i if lap % 2 else i
+        heads = [p for p, q in queues.items() if q]
+        if not heads:
+            break
+        best = min(heads, key=lambda p: (slot_for(team, p) is None, queues[p][-1][:2]))
+        slot = slot_for(team, best)
+        if slot is not None:
+            used[team][slot] += 1
+        held[team].append(queues[best].pop()[2])
+    return held
 
 
 def lineup(roster: DataFrame, slots: dict[str, int], by: list[str]) -> DataFrame:

@@ -198,7 +198,7 @@ def q3_net_market_rows(spark, d):
 @query(with_("states", "SELECT i, round(sum(v), 6) AS v, false AS research_only FROM gram WHERE j IS NULL AND season IN (1995, 1996) GROUP BY i", CELLS, DV, TRIPLETS, GRAM))
 def q8_window_blocks(spark, d):
     """X'y of the two seasons before an in-season origin."""
-    g = attribution.gram_blocks(attribution.design(v.plays(spark, d), v.players(spark, d)), valued(spark, d))
+    g = attribution.play_gram(valued(spark, d), v.players(spark, d))
     return teams.window_blocks(g.where("j is null"), 1997, 6).groupBy("i", "research_only").agg(F.round(F.sum("v"), 6).alias("v")).select("i", "v", "research_only")
 
 
@@ -239,7 +239,7 @@ def a8_all_quarterbacks(spark, d):
 def m11_fixed_point(spark, d):
     """Ratings and the focus quarterback's credit after three rounds; Gram sums are made once."""
     p, who = v.plays(spark, d), v.players(spark, d)
-    g = attribution.gram_blocks(attribution.design(p, who), valued(spark, d), [])
+    g = attribution.play_gram(valued(spark, d), who, [])
     sums = {(r.i, r.j): r.v for r in g.groupBy("i", "j").agg(F.sum("v").alias("v")).collect()}
     focus = "p0"
     base = valued(spark, d).withColumn("_cell", attribution.state_bucket(*(F.col(c) for c in attribution.STATE))).withColumn("fold", attribution.fold_of(F.col("season"), F.col("week")))

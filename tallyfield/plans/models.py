@@ -132,26 +132,26 @@ def m4_pair_support(spark, d):
 
 @query(with_("states", "SELECT i, j, round(sum(v), 7) AS v FROM gram GROUP BY i, j", CELLS, DV, TRIPLETS, GRAM))
 def j14_gram(spark, d):
-    g = attribution.gram_blocks(attribution.design(v.plays(spark, d), v.players(spark, d)), valued(spark, d), [])
+    g = attribution.play_gram(valued(spark, d), v.players(spark, d), [])
     return g.select("i", "j", F.round("v", 7).alias("v"))
 
 
 @query(with_("states", "SELECT season, week, count(*) AS n, round(sum(v), 6) AS total FROM gram GROUP BY ALL", CELLS, DV, TRIPLETS, GRAM))
 def m9_weekly_blocks(spark, d):
-    g = attribution.gram_blocks(attribution.design(v.plays(spark, d), v.players(spark, d)), valued(spark, d))
+    g = attribution.play_gram(valued(spark, d), v.players(spark, d))
     return g.groupBy("season", "week").agg(F.count("*").alias("n"), F.round(F.sum("v"), 6).alias("total"))
 
 
 @query(with_("states", """SELECT season, week, i, j, round(v, 7) AS v FROM (SELECT season, week, i, j, sum(v) OVER (PARTITION BY i, j ORDER BY season, week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS v FROM gram WHERE i LIKE 'o:%') WHERE v IS NOT NULL""", CELLS, DV, TRIPLETS, GRAM))
 def e12_cumulative_blocks(spark, d):
-    g = attribution.gram_blocks(attribution.design(v.plays(spark, d), v.players(spark, d)), valued(spark, d)).where(F.col("i").startswith("o:"))
+    g = attribution.play_gram(valued(spark, d), v.players(spark, d)).where(F.col("i").startswith("o:"))
     return evaluation.cumulative_blocks(g).select("season", "week", "i", "j", F.round("v", 7).alias("v"))
 
 
 @query()
 def e12_all_cumulative_blocks(spark, d):
     """Sums before each slot over all (i, j): players, both sides' teams and X'y."""
-    g = attribution.gram_blocks(attribution.design(v.plays(spark, d), v.players(spark, d)), valued(spark, d))
+    g = attribution.play_gram(valued(spark, d), v.players(spark, d))
     return evaluation.cumulative_blocks(g).select("season", "week", "i", "j", F.round("v", 7).alias("v"))
 
 
@@ -164,9 +164,12 @@ def m8_market_rows(spark, d):
 
 @query()
 def m6_ratings(spark, d):
-    """Ridge ratings of players and teams from the whole log."""
-    g = attribution.gram_blocks(attribution.design(v.plays(spark, d), v.players(spark, d)), valued(spark, d), [])
-    return spark.createDataFrame(sorted(attribution.solve_ridge(g).items()), "col string, rating double")
+    """Ridge ratings of players and teams from the whole log, anchored by the market rows."""
+    g = attribution.play_gram(valued(spark, d), v.players(spark, d), [])
+    strength = v.plays(spark, d).groupBy(F.col("off_team").alias("team")).agg((F.avg("drive_points") / 10).alias("strength"))
+    both = g.unionByName(attribution.market_rows(strength))
+    position = {f"p:{r.player_id}": 2.0 if r.position == "DEF" else 1.0 for r in v.players(spark, d).collect()}
+    return spark.createDataFrame(sorted(attribution.solve_ridge(both, scale=position).items()), "col string, rating double")
 
 
 @query()
@@ -175,15 +178,10 @@ def m7_situation_ratings(spark, d):
     s = ingest.situations(valued(spark, d))
     big = s.groupBy("situation").count().where("count >= 200").select("situation")
     s = s.join(F.broadcast(big), "situation")  # at most as many rows as situations
-    key = F.concat_ws("|", "situation", "drive_id")
-    s = s.withColumn("drive_id", key)
-    t = attribution.design(s, v.players(spark, d)).withColumn("situation", F.split("drive_id", r"\|")[0])
-    g = attribution.gram_blocks(t, s, ["situation"]).persist()
-    out = []
-    for row in big.orderBy("situation").collect():
-        beta = attribution.solve_ridge(g.where(F.col("situation") == row.situation))
-        out += [(row.situation, k, b) for k, b in sorted(beta.items())]
-    g.unpersist()
+    sums: dict[str, dict] = {}
+    for r in attribution.play_gram(s, v.players(spark, d), ["situation"]).collect():  # sums, not plays
+        sums.setdefault(r.situation, {})[r.i, r.j] = r.v
+    out = [(name, k, b) for name in sorted(sums) for k, b in sorted(attribution.solve_system(sums[name]).items())]
     return spark.createDataFrame(out, "situation string, col string, rating double")
 
 

@@ -155,7 +155,7 @@ def d3_valuation_run(spark, d):
 @query()
 def d8_matchup_grades(spark, d):
     """Minus the defensive intercept of each team, for the four positions."""
-    g = attribution.gram_blocks(attribution.design(v.plays(spark, d), v.players(spark, d)), valued(spark, d), [])
+    g = attribution.play_gram(valued(spark, d), v.players(spark, d), [])
     rows = [(k[2:], -b) for k, b in sorted(attribution.solve_ridge(g).items()) if k.startswith("d:")]
     return spark.createDataFrame(rows, "team string, grade double").select("team", F.explode(F.array(*map(F.lit, ("QB", "RB", "WR", "TE")))).alias("position"), "grade")
 
@@ -173,7 +173,7 @@ def e17_grade_report(spark, d):
 @query(with_("states", "SELECT i, round(sum(v), 7) AS v FROM gram WHERE j IS NULL AND (season < 1997 OR (season = 1997 AND week <= 5)) GROUP BY i", CELLS, DV, TRIPLETS, GRAM))
 def e13_origin_sums(spark, d):
     """X'y at an origin, from the blocks of earlier slots."""
-    g = attribution.gram_blocks(attribution.design(v.plays(spark, d), v.players(spark, d)), valued(spark, d))
+    g = attribution.play_gram(valued(spark, d), v.players(spark, d))
     return g.where(AsOf(1997, 6).outcome & F.col("j").isNull()).groupBy("i").agg(F.round(F.sum("v"), 7).alias("v"))
 
 

@@ -305,7 +305,7 @@ def d4_snake_order(spark, d):
 @query()
 def d5_draft(spark, d):
     """A greedy draft of the standard pool: 12 teams, 8 rounds, on the driver."""
-    ranked = valued(spark, d).where("format = 'Half PPR'").orderBy("rank").limit(12 * 8 * 3)
+    ranked = valuation.within_reach(valued(spark, d).where("format = 'Half PPR'"), 12 * 8, ["format"])
     got = valuation.draft([r.asDict() for r in ranked.select("player_id", "position", "rank").collect()], SLOTS, 12, 8)
     return spark.createDataFrame([(t + 1, k + 1, p["player_id"], p["position"]) for t, r in enumerate(got) for k, p in enumerate(r)] or [], "team int, round int, player_id string, position string")
 

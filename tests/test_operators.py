@@ -104,6 +104,68 @@ def test_draft_fills_needs():
     assert all(sum(p["position"] == "RB" for p in t[:4]) >= 2 for t in teams)
 
 
+def test_draft_equals_a_plain_search(spark):
+    rng = np.random.default_rng(7)
+    slots, teams, rounds = {"QB": 1, "RB": 2, "WR": 1, "FLEX": 1}, 5, 7
+    for trial in range(4):
+        pool = [{"player_id": f"x{i}", "position": str(rng.choice(["QB", "RB", "WR", "TE", "K"])), "rank": int(r) + 1} for i, r in enumerate(rng.permutation(60))]
+        left, rosters = sorted(pool, key=lambda p: p["rank"]), [[] for _ in range(teams)]
+        opened = [dict(slots) for _ in range(teams)]
+        for k in range(teams * rounds):
+            t = k % teams if (k // teams) % 2 == 0 else teams - 1 - k % teams
+            where = lambda p, t=t: p["position"] if opened[t].get(p["position"]) else "FLEX" if p["position"] in ("RB", "WR", "TE") and opened[t]["FLEX"] else None
+            wanted = [p for p in left if where(p)] or left
+            if where(wanted[0]):
+                opened[t][where(wanted[0])] -= 1
+            rosters[t].append(wanted[0])
+            left.remove(wanted[0])
+        df = spark.createDataFrame([(p["player_id"], p["position"], p["rank"], 0) for p in pool], "player_id string, position string, rank int, f int")
+        near = [r.asDict() for r in valuation.within_reach(df, teams * rounds, ["f"]).select("player_id", "position", "rank").collect()]
+        assert valuation.draft(near, slots, teams, rounds) == rosters
+
+
+def test_play_gram_equals_the_triplets(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(60):
+        off = [f"p{x}" for x in rng.integers(0, 9, 3)]  # repeats, and p8 is unknown
+        dfn = [f"p{x}" for x in rng.integers(0, 9, 2)]
+        rows.append((f"d{k // 6}", k, 2020 + k % 2, 1 + k % 3, "a", "b" if k % 4 else "a", off, dfn, float(rng.normal())))
+    plays = spark.createDataFrame(rows, "drive_id string, play_id long, season int, week int, off_team string, def_team string, off_players array<string>, def_players array<string>, dv double")
+    players = spark.createDataFrame([(f"p{x}",) for x in range(8)], "player_id string")
+    for by in (None, [], ["season"]):
+        keys = ["season", "week"] if by is None else by
+        t = attribution.design(plays, players)
+        want = {tuple(r[c] for c in [*keys, "i", "j"]): r.v for r in attribution.gram_blocks(t, plays, by).collect()}
+        got = {tuple(r[c] for c in [*keys, "i", "j"]): r.v for r in attribution.play_gram(plays, players, by).collect()}
+        assert got == pytest.approx({k: x for k, x in want.items() if k in got}) and all(abs(x) < 1e-12 for k, x in want.items() if k not in got) and set(got) <= set(want) | {k for k, x in got.items() if abs(x) < 1e-12}
+
+
+def test_ratings_equal_least_squares_on_explicit_rows(spark):
+    """Market pseudo-rows, a prior mean and penalties by column against the stacked system."""
+    rng = np.random.default_rng(5)
+    cols = ["d:a", "d:b", "o:a", "o:b", "p:x", "p:y"]
+    x = rng.integers(-1, 2, (80, 6)).astype(float)
+    y = rng.normal(size=80)
+    market, strength, w = np.array([[1, 0, 1, 0, 0, 0], [0, 1, 0, 1, 0, 0]], float), np.array([0.3, -0.2]), 40.0
+    sums = {}
+    for a in range(6):
+        sums[cols[a], None] = float(x[:, a] @ y)
+        for b in range(a, 6):
+            sums[cols[a], cols[b]] = float(x[:, a] @ x[:, b])
+    s = spark.createDataFrame([("a", 0.3), ("b", -0.2)], "team string, strength double")
+    for r in attribution.market_rows(s, w).collect():
+        sums[r.i, r.j] = sums.get((r.i, r.j), 0.0) + r.v
+    scale, prior = {"p:x": 2.0}, {"p:x": 0.7}
+    got = attribution.solve_system(sums, 5.0, prior, scale)
+    pen = 5.0 * np.array([0.05, 0.05, 0.05, 0.05, 2.0, 1.0])
+    mean = np.array([0, 0, 0, 0, 0.7, 0])
+    big = np.vstack([x, np.sqrt(w) * market, np.diag(np.sqrt(pen))])
+    want = np.linalg.lstsq(big, np.concatenate([y, np.sqrt(w) * strength, np.sqrt(pen) * mean]), rcond=None)[0]
+    assert [got[c] for c in cols] == pytest.approx(want.tolist())
+    assert attribution.solve_system({("p:x", "p:x"): 1e12, ("p:y", "p:y"): 1e-6}, 1e-9)["p:x"] == 0.0
+
+
 def test_asof_guards(spark):
     h = spark.createDataFrame([(2022, 9), (2023, 1), (2023, 5), (2024, 1)], "season int, week int")
     at = AsOf(2023, 5)
