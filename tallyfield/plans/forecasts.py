@@ -8,7 +8,7 @@ import json
 from pyspark.sql import functions as F
 
 from tallyfield import views as v
-from tallyfield.operators import asof, attribution, forecast, projection, statespace, teams
+from tallyfield.operators import asof, attribution, forecast, projection, statespace, status, teams
 from tallyfield.plans.models import _BOOT, _FILTER, AT, CELL, CELLS, DV, GRAM, MAY, TRIPLETS, cells, last_state, series, states, valued
 from tallyfield.plans.relational import _POOL, _TOTALS, _VOR
 from tallyfield.plans.relational import valued as valuations
@@ -310,3 +310,38 @@ def m25_frozen_talent(spark, d):
 def q9_fixed_lag(spark, d):
     """Talent of each week from data up to two weeks later."""
     return teams.fixed_lag(series(spark, d).where("season = 2023"), 2, statespace.smoothed).select("player_id", "season", "week", "talent")
+
+
+# --- read models of the store ------------------------------------------------------------
+
+_THRESHOLDS = [("click", 5), ("view", 2), ("purchase", 60), ("error", 30), ("refund", 10)]
+_NOW = "2024-01-31 00:00:00"
+
+
+@query(with_("runs", f"""SELECT source, published, coalesce(age, -1) AS age_seconds, CASE WHEN published IS NULL THEN 'Missing' WHEN age > minutes * 60 THEN 'Stale' ELSE 'Fresh' END AS state FROM (
+SELECT source, minutes, published, CAST(floor(epoch(TIMESTAMP '{_NOW}')) - floor(epoch(published)) AS BIGINT) AS age FROM (VALUES {', '.join(f"('{n}', {m})" for n, m in _THRESHOLDS)}) t(source, minutes)
+LEFT JOIN (SELECT source, max(finished_at) AS published FROM runs WHERE state = 'done' GROUP BY source) USING (source))"""))
+def qy5_freshness(spark, d):
+    """Age of each source's last publication against its threshold."""
+    return status.freshness(v.runs(spark, d), spark.createDataFrame(_THRESHOLDS, "source string, minutes int"), _NOW)
+
+
+@query(with_("runs", "SELECT source, run_id, state, finished_at, failed FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY finished_at DESC, run_id DESC) AS r, count(*) FILTER (state = 'failed') OVER (PARTITION BY source) AS failed FROM runs WHERE state <> 'running') WHERE r = 1"))
+def qy6_ingestion_status(spark, d):
+    return status.last_runs(v.runs(spark, d))
+
+
+@query(with_("runs", "SELECT source, count(*) AS n, min(started_at) AS since, arg_min(run_id, (started_at, run_id)) AS first_run FROM runs WHERE state = 'running' GROUP BY source"))
+def qy7_running_jobs(spark, d):
+    return status.running(v.runs(spark, d))
+
+
+@query(with_("links", "SELECT tier, provider_id, player_id, confidence FROM links WHERE state = 'pending' ORDER BY tier, confidence DESC, provider_id LIMIT 25 OFFSET 25"))
+def qy8_review_queue(spark, d):
+    """The second page of the queue."""
+    return status.review_queue(v.links(spark, d), 25, 25)
+
+
+@query(with_("models", "SELECT family, count(*) AS versions, max(CASE WHEN role = 'champion' THEN version END) AS production, arg_max(version, created) AS newest, max(validated) AS last_validation FROM models GROUP BY family"))
+def qy14_model_status(spark, d):
+    return status.model_status(v.models(spark, d))

@@ -515,18 +515,6 @@ def qy4_change_log(spark, d):
     return j.select("player_id", R("before"), R("after"), R(F.coalesce("after", F.lit(0.0)) - F.coalesce("before", F.lit(0.0)), "change"))
 
 
-@query("SELECT event_type AS source, max(ts) AS last_seen, CASE WHEN TIMESTAMP '2024-01-31' - max(ts) > INTERVAL 10 MINUTE THEN 'Stale' ELSE 'Fresh' END AS state FROM events GROUP BY 1")
-def qy5_freshness(spark, d):
-    e = v.read(spark, d, "events").groupBy(F.col("event_type").alias("source")).agg(F.max("ts").alias("last_seen"))
-    return e.withColumn("state", F.when(F.expr("timestamp_ntz'2024-01-31' - last_seen > interval '10' minute"), "Stale").otherwise("Fresh"))
-
-
-@query("SELECT event_type AS source, event_id, user_id FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1")
-def qy6_latest_run(spark, d):
-    last = F.max_by(F.struct("event_id", "user_id"), F.struct("ts", "event_id"))
-    return v.read(spark, d, "events").groupBy(F.col("event_type").alias("source")).agg(last.alias("x")).select("source", "x.event_id", "x.user_id")
-
-
 @query(with_("history", """SELECT CASE WHEN grouping(week) = 1 THEN -1 ELSE week END AS week, CASE WHEN grouping(position) = 1 THEN 'ALL' ELSE position END AS position, count(*) AS n, round(avg(abs(forecast - actual)), 8) AS mae, round(sqrt(avg(pow(forecast - actual, 2))), 8) AS rmse FROM c GROUP BY GROUPING SETS ((week, position), (position), ())""", CELL))
 def qy9_scorecard(spark, d):
     g = cells(spark, d).groupingSets([["week", "position"], ["position"], []], "week", "position").agg(F.grouping("week").alias("gw"), F.grouping("position").alias("gp"), F.count("*").alias("n"), R(evaluation.mae(P(), A()), "mae"), R(evaluation.rmse(P(), A()), "rmse"))

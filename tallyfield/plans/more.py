@@ -177,16 +177,6 @@ def e13_origin_sums(spark, d):
     return g.where(AsOf(1997, 6).outcome & F.col("j").isNull()).groupBy("i").agg(F.round(F.sum("v"), 7).alias("v"))
 
 
-@query("SELECT event_type AS job, count(*) AS n, max(event_id) AS last FROM events WHERE value > 20 GROUP BY 1")
-def qy7_running_jobs(spark, d):
-    return v.read(spark, d, "events").where("value > 20").groupBy(F.col("event_type").alias("job")).agg(F.count("*").alias("n"), F.max("event_id").alias("last"))
-
-
-@query("SELECT c_custkey, c_mktsegment AS tier, c_acctbal AS confidence FROM customer WHERE c_acctbal < 0 ORDER BY c_acctbal, c_custkey LIMIT 20")
-def qy8_review_queue(spark, d):
-    return v.read(spark, d, "customer").where("c_acctbal < 0").orderBy("c_acctbal", "c_custkey").limit(20).select("c_custkey", F.col("c_mktsegment").alias("tier"), F.col("c_acctbal").alias("confidence"))
-
-
 @query(with_("raw", "SELECT season, count(*) AS raw_rows, count(*) FILTER (play_type IN ('pass', 'run') AND down IS NOT NULL) AS kept_rows, count(*) FILTER (down IS NULL) AS no_down, count(*) FILTER (play_type NOT IN ('pass', 'run')) AS other_plays FROM raw GROUP BY season"))
 def qy11_data_quality(spark, d):
     r = v.raw_pbp(spark, d)
@@ -194,12 +184,6 @@ def qy11_data_quality(spark, d):
     return r.groupBy("season").agg(F.count("*").alias("raw_rows"), n("play_type in ('pass', 'run') and down is not null").alias("kept_rows"), n("down is null").alias("no_down"), n("play_type not in ('pass', 'run')").alias("other_plays"))
 
 
-@query("SELECT family, version, pointer FROM (SELECT p_brand AS family, p_partkey AS version, p_size % 3 = 0 AS pointer, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey DESC) AS r FROM part) WHERE r = 1")
-def qy14_model_status(spark, d):
-    last = F.max_by(F.struct(F.col("p_partkey").alias("version"), (F.col("p_size") % 3 == 0).alias("pointer")), "p_partkey")
-    return v.read(spark, d, "part").groupBy(F.col("p_brand").alias("family")).agg(last.alias("x")).select("family", "x.version", "x.pointer")
-
-
 @query()
 def qy12_player_ratings(spark, d):
     """Rating, last filtered talent and variance, and weekly usage of a player, side by side."""

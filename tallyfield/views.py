@@ -161,7 +161,51 @@ def history(spark: SparkSession, d: str) -> DataFrame:
     return player_stats(spark, d).select("player_id", "position", "season", "week", F.expr(points_sql()).alias("points"))
 
 
-_ALL = {"raw": (RAW, ()), "plays": (PLAYS, ("raw",)), "states": (STATES, ("plays",)), "players": (PLAYERS, ()), "box": (BOX, ()), "player_stats": (STATS_SQL, ("box",)), "history": (HISTORY, ("player_stats",))}
+def runs(spark: SparkSession, d: str) -> DataFrame:
+    """Events as run records of sources: when they began and ended, and how."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    state = F.when(k >= 97, "running").when(k < 8, "failed").otherwise("done")
+    ends = F.col("ts") + F.expr("make_dt_interval(0, 0, 0, floor(value))")
+    return read(spark, d, "events").select(
+        F.col("event_id").alias("run_id"), F.col("event_type").alias("source"), F.col("user_id").alias("model"), F.col("ts").alias("started_at"),
+        F.when(state != "running", ends).alias("finished_at"), state.alias("state"),
+    )
+
+
+RUNS = """runs AS (SELECT event_id AS run_id, event_type AS source, user_id AS model, ts AS started_at,
+  CASE WHEN k < 97 THEN ts + to_seconds(CAST(floor(value) AS BIGINT)) END AS finished_at, CASE WHEN k >= 97 THEN 'running' WHEN k < 8 THEN 'failed' ELSE 'done' END AS state
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events))"""
+
+
+def links(spark: SparkSession, d: str) -> DataFrame:
+    """Customers as provider identities that are linked to players, some pending."""
+    c = read(spark, d, "customer")
+    return c.select(
+        F.concat(F.lit("x"), "c_custkey").alias("provider_id"), F.concat(F.lit("u"), F.col("c_custkey") % 150).alias("player_id"), F.expr("cast(1 + c_nationkey % 3 as int)").alias("tier"),
+        F.round(F.expr("(c_custkey * 37 % 1000) / 1000.0D"), 3).alias("confidence"), F.when(F.col("c_custkey") % 4 == 0, "pending").when(F.col("c_custkey") % 4 == 1, "rejected").otherwise("approved").alias("state"),
+    )
+
+
+LINKS = """links AS (SELECT 'x' || c_custkey AS provider_id, 'u' || (c_custkey % 150) AS player_id, CAST(1 + c_nationkey % 3 AS INTEGER) AS tier, round((c_custkey * 37 % 1000) / 1000.0::DOUBLE, 3) AS confidence,
+  CASE c_custkey % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'rejected' ELSE 'approved' END AS state FROM customer)"""
+
+
+def models(spark: SparkSession, d: str) -> DataFrame:
+    """Parts as model versions of families, one in production in most of them."""
+    p = read(spark, d, "part")
+    first = Window.partitionBy("p_brand").orderBy("p_retailprice", "p_partkey")
+    return p.select(
+        F.col("p_brand").alias("family"), F.concat(F.lit("v"), "p_partkey").alias("version"), F.col("p_partkey").alias("created"),
+        F.when((F.row_number().over(first) == 1) & (F.col("p_size") > 5), "champion").when(F.col("p_size") % 2 == 0, "candidate").otherwise("retired").alias("role"),
+        F.when(F.col("p_size") % 3 == 0, F.col("p_retailprice")).alias("validated"),
+    )
+
+
+MODELS = """models AS (SELECT p_brand AS family, 'v' || p_partkey AS version, p_partkey AS created,
+  CASE WHEN row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) = 1 AND p_size > 5 THEN 'champion' WHEN p_size % 2 = 0 THEN 'candidate' ELSE 'retired' END AS role,
+  CASE WHEN p_size % 3 = 0 THEN p_retailprice END AS validated FROM part)"""
+
+_ALL = {"runs": (RUNS, ()), "links": (LINKS, ()), "models": (MODELS, ()), "raw": (RAW, ()), "plays": (PLAYS, ("raw",)), "states": (STATES, ("plays",)), "players": (PLAYERS, ()), "box": (BOX, ()), "player_stats": (STATS_SQL, ("box",)), "history": (HISTORY, ("player_stats",))}
 
 
 def with_(names: str, statement: str, *more: str) -> str:

@@ -278,3 +278,34 @@ def test_vocabulary_is_the_contract(spark):
     t = records.component_table(spark).collect()
     assert len(records.COMPONENTS) == 18 and len(t) == len(set(t)) == 46
     assert json.dumps([c for c, _, _ in records.COMPONENTS]).count("_") > 15
+
+
+def test_stream_state_outlives_batches_and_replays(spark, tmp_path):
+    """Two files in two batches, the second holding rows of the first again."""
+    from tallyfield.streaming.stateful import NOISE, talent_updates
+
+    src, cp = str(tmp_path / "in"), str(tmp_path / "cp")
+    rows = [(f"u{i % 3}", i, float(i % 17)) for i in range(60)]
+    schema = "player_id string, event_id long, value double"
+    for part in (rows[:30], rows[20:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(src)
+        s = talent_updates(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src))
+        out: dict = {}
+        s.writeStream.outputMode("update").option("checkpointLocation", cp).trigger(availableNow=True).foreachBatch(lambda df, _: out.update({r.player_id: r for r in df.collect()})).start().awaitTermination()
+    for u in ("u0", "u1", "u2"):
+        mine = [x for p, _, x in rows if p == u]
+        assert (out[u].n, out[u].total) == (20, int(sum(mine)))
+        assert out[u].talent == pytest.approx(sum(mine) / 20 / (20 + NOISE)) and out[u].var == pytest.approx(1 / (1 + 20 / NOISE))
+
+
+def test_read_models_by_hand(spark):
+    from tallyfield.operators import status
+
+    runs = spark.sql("""select * from values (1, 'a', timestamp_ntz'2024-01-01 00:00:00', timestamp_ntz'2024-01-01 00:01:00', 'done'), (2, 'a', timestamp_ntz'2024-01-01 01:00:00', timestamp_ntz'2024-01-01 01:01:00', 'failed'),
+        (3, 'b', timestamp_ntz'2024-01-01 00:00:00', null, 'running') t(run_id, source, started_at, finished_at, state)""")
+    t = spark.createDataFrame([("a", 60), ("b", 60), ("c", 60)], "source string, minutes int")
+    at = lambda now: {r.source: (r.age_seconds, r.state) for r in status.freshness(runs, t, now).collect()}
+    assert at("2024-01-01 00:31:00") == {"a": (1800, "Fresh"), "b": (-1, "Missing"), "c": (-1, "Missing")}
+    assert at("2024-01-01 02:31:00")["a"] == (9000, "Stale")
+    assert [(r.source, r.run_id, r.state, r.failed) for r in status.last_runs(runs).collect()] == [("a", 2, "failed", 1)]
+    assert [(r.source, r.n, r.first_run) for r in status.running(runs).collect()] == [("b", 1, 3)]
