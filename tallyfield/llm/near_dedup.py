@@ -338,9 +338,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one = map_groups(one, ["key", "block"], _forests, "a long, b long").distinct()
     one = staged(one, "forest")
 
-    texts = docs.select(F.unhex(F.md5(text_or_empty().cast("binary"))).alias("t"), text_or_empty().alias("text"))
-    involved = nodes.join(members.select("v").distinct(), "v", "left_semi").select("t", "v")
-    texts = staged(texts.join(involved, "t").groupBy("v").agg(F.first("text").alias("text")), "texts")
+    # one copy of a text is moved: that of the node's id; others fall to keys of their own and go
+    texts = docs.select(F.unhex(F.md5(text_or_empty().cast("binary"))).alias("t"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), text_or_empty().alias("text"))
+    involved = nodes.join(members.select("v").distinct(), "v", "left_semi").select("t", F.coalesce("doc_id", F.lit(-1)).alias("id"), "v")
+    texts = staged(texts.join(involved, ["t", "id"]).groupBy("v").agg(F.first("text").alias("text")), "texts")
     links = staged(similar_pairs(one, texts), "links")
     labels = connected_components(links)
 
