@@ -195,3 +195,25 @@ def mix64(x: np.ndarray) -> np.ndarray:
 def uniform(h: np.ndarray) -> np.ndarray:
     """Top 53 bits of a hash as a number in [0, 1)."""
     return (h >> np.uint64(11)).astype(np.float64) * 2.0**-53
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", megabytes: float = 4) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about so many bytes of text, one text at least; no setting of the
+    session is touched, so plans that run later keep their own batches."""
+    n = batch.num_rows
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < n:
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + int(megabytes * 2**20), side="right")))
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of large strings one behind the other, and their n + 1 bounds."""
+    if not len(texts):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    at = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
+    return data, at - at[0]

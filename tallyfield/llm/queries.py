@@ -155,3 +155,36 @@ def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyfield.llm.repeats import remove_repeats
 
     return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfield.llm.filter_audit import filter_audit
+
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+ORACLE_SQL["op12_filter_audit"] = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         [len(w) < 50, 100 * len(list_distinct(w)) < 65 * len(w), 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 5 * length(t),
+          regexp_matches(t, '[#$%&*|]'), doc_id > min(doc_id) OVER (PARTITION BY t)] AS fails
+  FROM d LEFT JOIN (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id) USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS g, sum(toxic) AS x FROM m GROUP BY part, fails),
+f AS (SELECT unnest(range(1, 6)) AS i),
+o AS (SELECT [a.i, b.i, c.i, d.i, e.i] AS p FROM f a, f b, f c, f d, f e
+      WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT array_to_string(list_transform(p, lambda i: 'ABCDE'[i]), '') AS filter_order, f.i AS step, p[f.i] AS f, p[1:f.i - 1] AS earlier FROM o, f),
+r AS (
+  SELECT part, filter_order, step, f, n, g, x, fails[f] AS failing,
+         len(list_filter(earlier, lambda i: fails[i])) > 0 AS gone, len(list_filter(fails, lambda b: b)) = 1 AND fails[f] AS sole
+  FROM c, s),
+a AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, f,
+         CAST(coalesce(sum(n) FILTER (NOT gone AND NOT failing), 0) AS BIGINT) AS kept, CAST(coalesce(sum(n) FILTER (NOT gone AND failing), 0) AS BIGINT) AS removed,
+         CAST(coalesce(sum(n) FILTER (gone AND failing), 0) AS BIGINT) AS redundant, CAST(coalesce(sum(n) FILTER (sole), 0) AS BIGINT) AS unique_fails,
+         CAST(coalesce(sum(g) FILTER (NOT gone AND failing), 0) AS BIGINT) AS good_lost, CAST(coalesce(sum(x) FILTER (NOT gone AND failing), 0) AS BIGINT) AS toxic_lost
+  FROM r GROUP BY part, filter_order, step, f)
+SELECT * EXCLUDE (f), CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM a
+"""
