@@ -188,3 +188,10 @@ a AS (
   FROM r GROUP BY part, filter_order, step, f)
 SELECT * EXCLUDE (f), CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM a
 """
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfield.llm.periodic_runs import periodic_runs
+
+    return periodic_runs(table(spark, sf_dir, "documents"), remake=True).drop("collapsed")

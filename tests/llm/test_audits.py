@@ -1,16 +1,18 @@
 """Filter audit, run detection and substring removal against brute force."""
 
+import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
-import pytest
 
 from tallyfield.llm import filter_audit
 from tallyfield.llm.filter_audit import distinct_words, measure
+from tallyfield.llm.periodic_runs import Positions, dense_stretches, periodic_runs, runs_of
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -94,3 +96,94 @@ def test_measures_of_texts_and_of_equal_hashes():
     start, stop = filter_audit.word_bounds(filter_audit.CLASS[data], bounds)
     clash = (stop - start).astype(np.uint64) << np.uint64(60)  # words of equal length share a hash
     assert distinct_words(data, bounds, start, stop, clash)[1].tolist() == [len(set(words_of(t))) for t in texts]
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def brute_runs(w):
+    """(start, length, smallest period) by trying every period at every place."""
+    n, out = len(w), {}
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and w[j] == w[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(6, 4 * q):
+                out.setdefault((i, j + q - i), q)
+            i = j + 1
+    return sorted((i, n, q) for (i, n), q in out.items())
+
+
+def run_row(doc_id, text, remake=True):
+    w = words_of(text)
+    if remake and doc_id is not None and w and zlib.crc32(str(doc_id).encode()) % 10 == 0:
+        g = zlib.crc32(str(doc_id).encode()) // 10
+        a = g % len(w)
+        p = 1 + (len(w) - a) // (3 + g % 8)
+        w = [w[i] if i < a else w[a + (i - a) % p] for i in range(len(w))]
+    runs = sorted(brute_runs(w), key=lambda r: (r[0], r[2]))
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    best = min(runs, key=lambda r: (-(1000 * r[1] // r[2]), r), default=None)
+    for r in runs:
+        if r[1] * best[2] > best[1] * r[2] or (r[1] * best[2] == best[1] * r[2] and (r[0], r[2]) < (best[0], best[2])):
+            best = r
+    head = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+    kept = " ".join(x for i, x in enumerate(w) if i not in gone)
+    return (doc_id, len(runs), *head, sha("".join(f"{s},{n},{q}\n" for s, n, q in runs)), sha(kept), kept)
+
+
+def by_repr(rows):
+    return sorted(map(tuple, rows), key=repr)
+
+
+def test_runs_equal_brute_force():
+    rng = random.Random(1)
+    for _ in range(1500):
+        w = [rng.randrange(rng.choice([1, 2, 3, 5])) for _ in range(rng.randrange(50))]
+        if w and rng.random() < 0.5:
+            p = rng.randrange(1, 9)
+            w += [w[-1 - (p - 1 - i % p) % len(w)] for i in range(rng.randrange(60))]
+            w += [rng.randrange(3) for _ in range(rng.randrange(9))]
+        want = brute_runs(w)
+        assert sorted((i, j - i, q) for (i, j), q in runs_of(w).items()) == want
+        starts, ends = dense_stretches(np.array(w, np.int64), np.array([0, len(w)]))
+        parts = [(a + i, j - i, q) for a, b in zip(starts.tolist(), ends.tolist()) for (i, j), q in runs_of(w[a:b]).items()]
+        assert sorted(parts) == want
+
+
+def test_positions_keep_order_over_many_blocks():
+    rng = random.Random(2)
+    for places in (rng.sample(range(10**6), 5000), list(range(3000, 0, -1)), list(range(3000))):
+        s, have = Positions(places[0]), {places[0]}
+        for x in places[1:]:
+            before, after = s.add(x)
+            if len(have) < 400 or x % 50 == 0:
+                assert before == max((y for y in have if y < x), default=None)
+                assert after == min((y for y in have if y > x), default=None)
+            have.add(x)
+        assert list(s) == sorted(places) and s.size == len(places)
+
+
+def test_periodic_runs_query_on_the_small_tables(spark, sf):
+    from tallyfield.llm.queries import QUERIES
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    short = [r for r in docs if len(words_of(r.text)) < 700]
+    got = {r.doc_id: tuple(r) for r in QUERIES["op13_periodic_runs"](spark, sf).collect()}
+    assert len(got) == len(docs)
+    assert [got[r.doc_id] for r in short] == [run_row(*r)[:-1] for r in short]
+    assert sum(r[1] for r in got.values()) > 0
+
+
+def test_periodic_runs_of_odd_very_long_and_empty_tables(spark, odd, empty):
+    rows = [(r.doc_id, r.text) for r in odd.collect() if r.doc_id != 7]
+    got = [tuple(r) for r in periodic_runs(odd.withColumn("period", odd.doc_id), remake=True).collect() if r.doc_id != 7]
+    assert by_repr(got) == by_repr(run_row(*r) for r in rows)
+    assert periodic_runs(empty).count() == 0
+    long = ["x " * 150_000, " ".join(str(i % 70_000) for i in range(300_000)) + " tail", " ".join(map(str, range(200_000)))]
+    got = periodic_runs(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [tuple(r)[1:6] for r in got] == [(1, 0, 150_000, 1, 150_000_000), (1, 0, 300_000, 70_000, 4285), (0, None, None, None, None)]
+    assert got[1].collapsed == " ".join(map(str, range(70_000))) + " tail"
