@@ -195,3 +195,24 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyfield.llm.periodic_runs import periodic_runs
 
     return periodic_runs(table(spark, sf_dir, "documents"), remake=True).drop("collapsed")
+
+
+@query
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyfield.llm.relative_parse import remove_repeated_words
+
+    return remove_repeated_words(table(spark, sf_dir, "documents")).drop("kept")
+
+
+ORACLE_SQL["op11_substring_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+pos AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 49], ' ') AS s FROM pos),
+lo AS (SELECT s, min(doc_id) AS lo FROM win GROUP BY s HAVING count(*) > 1),
+hit AS (SELECT DISTINCT doc_id, i FROM win JOIN lo USING (s) WHERE doc_id > lo),
+word AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+near AS (SELECT word.doc_id, word, i, max(hit.i) OVER (PARTITION BY word.doc_id ORDER BY word.i) AS h FROM word LEFT JOIN hit USING (doc_id, i)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) FILTER (h IS NULL OR h < i - 49) AS t, count(*) FILTER (h >= i - 49) AS n_removed FROM near GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""

@@ -9,9 +9,11 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
-from tallyfield.llm import filter_audit
+from tallyfield.llm import filter_audit, relative_parse
 from tallyfield.llm.filter_audit import distinct_words, measure
+from tallyfield.llm.relative_parse import remove_repeated_words
 from tallyfield.llm.periodic_runs import Positions, dense_stretches, periodic_runs, runs_of
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -187,3 +189,86 @@ def test_periodic_runs_of_odd_very_long_and_empty_tables(spark, odd, empty):
     got = periodic_runs(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")).orderBy("doc_id").collect()
     assert [tuple(r)[1:6] for r in got] == [(1, 0, 150_000, 1, 150_000_000), (1, 0, 300_000, 70_000, 4285), (0, None, None, None, None)]
     assert got[1].collapsed == " ".join(map(str, range(70_000))) + " tail"
+
+
+def without_repeats(docs):
+    """(doc_id, n_words, n_removed, sha, kept) by asking every window of every document."""
+    rank = lambda i: (i is not None, i or 0)
+    first = {}
+    for i, text in docs:
+        w = words_of(text)
+        for k in range(len(w) - 49):
+            x = tuple(w[k : k + 50])
+            first[x] = min(first.get(x, rank(i)), rank(i))
+    out = []
+    for i, text in docs:
+        w = words_of(text)
+        gone = {k + j for k in range(len(w) - 49) if first[tuple(w[k : k + 50])] < rank(i) for j in range(50)}
+        kept = " ".join(x for j, x in enumerate(w) if j not in gone)
+        out.append((i, len(w), len(gone), sha(kept), kept))
+    return out
+
+
+def shared_corpus(rng):
+    """Documents of passages that others hold too: whole, cut, joined, changed in a word."""
+    fresh = lambda n: [f"w{rng.randrange(10**7)}" for _ in range(n)]
+    hot, long = fresh(63), fresh(400)
+    pool = [fresh(rng.randrange(45, 140)) for _ in range(12)] + [hot, long, ["a"] * 90, ["a", "b"] * 70]
+    docs = []
+    for _ in range(260):
+        w = fresh(rng.randrange(60))
+        for _ in range(rng.randrange(4)):
+            p = list(rng.choice(pool))
+            if rng.random() < 0.3:
+                p[rng.randrange(len(p))] = "changed"
+            if rng.random() < 0.3:
+                p = p[rng.randrange(20) :]
+            w += p + (fresh(rng.randrange(1, 40)) if rng.random() < 0.6 else [])
+        docs.append(" ".join(w + (hot if rng.random() < 0.5 else [])))
+    return docs + docs[:20] + [" ".join(long * 3), None, "", "  "]
+
+
+@pytest.mark.parametrize("hot, mb, together", [(2000, 8, 15_000), (3, 0.01, 5), (40, 0.002, 100)])
+def test_repeated_words_equal_brute_force(spark, monkeypatch, hot, mb, together):
+    for name, value in (("HOT", hot), ("SLICE_MB", mb), ("TOGETHER", together)):
+        monkeypatch.setattr(relative_parse, name, value)
+    rng = random.Random(9)
+    texts = shared_corpus(rng)
+    rng.shuffle(texts)
+    docs = list(enumerate(texts))
+    got = remove_repeated_words(spark.createDataFrame(docs, "doc_id long, text string").repartition(7)).collect()
+    want = without_repeats(docs)
+    assert sum(r[2] for r in want) > 10_000
+    assert by_repr(got) == by_repr(want)
+
+
+def test_repeated_words_of_odd_repeated_and_empty_tables(spark, odd, empty):
+    rows = [(r.doc_id, r.text) for r in odd.collect()]
+    passage = " ".join(f"p{i}" for i in range(60))
+    more = [(i, f"{x} {passage} {x}") for x, i in zip("abcdefg", (9, 9, 11, None, None, 12, 9))]
+    extra = odd.select("doc_id", "text").union(spark.createDataFrame(more, "doc_id long, text string"))
+    got = remove_repeated_words(extra.withColumns({"doc": extra.doc_id, "row": extra.doc_id, "spans": extra.doc_id})).collect()
+    assert by_repr(got) == by_repr(without_repeats(rows + more))
+    assert remove_repeated_words(empty).count() == 0
+
+
+def test_very_long_documents_of_one_word_and_of_copies(spark):
+    long = [f"v{i}" for i in range(120_000)]
+    docs = [(0, "x " * 60_000), (1, " ".join(long)), (2, "y " + " ".join(long[3:]) + " z"), (3, "x " * 59)]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in remove_repeated_words(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {0: (60_000, 0), 1: (120_000, 0), 2: (119_999, 119_997), 3: (59, 59)}
+
+
+def test_parsing_with_windows_of_one_hash():
+    rng = random.Random(4)
+    texts = [[rng.randrange(3) for _ in range(40)] + list(range(100, 170)) + [rng.randrange(3) for _ in range(rng.randrange(60))] for _ in range(12)]
+    codes, bounds = np.array(sum(texts, [])), np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    starts = relative_parse.window_starts(bounds)
+    for hashes in (np.zeros(len(starts), np.uint64), (codes[starts] % 5).astype(np.uint64)):
+        a, b = relative_parse.parse(codes, starts, hashes, bounds, np.arange(12))
+        gone = {i for x, y in zip(a.tolist(), b.tolist()) for i in range(x, y)}
+        want = set()
+        for t, w in enumerate(texts):
+            earlier = {tuple(u[k : k + 50]) for u in texts[:t] for k in range(len(u) - 49)}
+            want |= {int(bounds[t]) + k + j for k in range(len(w) - 49) if tuple(w[k : k + 50]) in earlier for j in range(50)}
+        assert gone == want
