@@ -131,15 +131,16 @@ def cumulative_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("v", F.sum("v").over(w)).where(F.col("v").isNotNull())
 
 
-def walk_forward(states: DataFrame, players: DataFrame, warmup_weeks: int = 4, lam: float = 120.0, market: DataFrame | None = None, origin_stride: int = 1) -> dict[tuple[int, int], dict[str, float]]:
-    """Ratings at every slot after the warm-up (every ``origin_stride``-th of them) from the
-    blocks of earlier slots alone.
+def walk_forward_ratings(states: DataFrame, players: DataFrame, warmup_weeks: int = 4, lam: float = 120.0, market: DataFrame | None = None, origin_stride: int = 1, stretch: int = 8) -> DataFrame:
+    """Ratings (season, week, col, rating) at every slot after the warm-up (every
+    ``origin_stride``-th of them), each from the blocks of earlier slots alone.
 
     Cell values are those of the warm-up's plays; a cell that the warm-up has not seen takes
-    the warm-up's mean. Blocks are made once and read in order of slots, so each is added once
-    and the driver holds the sums, a partition of blocks and the ratings.
+    the warm-up's mean. Blocks are made once and solved on the executors, ``stretch`` origins a
+    task; the driver knows the slots only.
     """
-    from tallyfield.operators.attribution import STATE, cell_values, market_rows, play_gram, play_values, solve_system, state_bucket
+    from tallyfield.operators.attribution import STATE, cell_values, market_rows, play_gram, play_values, state_bucket
+    from tallyfield.operators.solver import solve_stretches, stretches
 
     if warmup_weeks < 1 or origin_stride < 1:
         raise ValueError("warmup_weeks and origin_stride count from 1")
@@ -151,16 +152,17 @@ def walk_forward(states: DataFrame, players: DataFrame, warmup_weeks: int = 4, l
     buckets = [states.select(state_bucket(*(F.col(n + c) for c in STATE)).alias("bucket")) for n in ("", "n_")]
     mean = warm.agg(F.avg("drive_points")).first()[0]
     values = buckets[0].union(buckets[1]).where("bucket is not null").distinct().join(cell_values(warm), "bucket", "left").withColumn("value", F.coalesce("value", F.lit(mean)))
-    rows = play_gram(play_values(states, values), players).orderBy("season", "week", "i", "j").toLocalIterator()
-    sums: dict[tuple[str, str | None], float] = {}
-    if market is not None:
-        for r in market_rows(market).collect():
-            sums[r.i, r.j] = sums.get((r.i, r.j), 0.0) + r.v
-    out = {}
-    row = next(rows, None)
-    for slot in slots[warmup_weeks::origin_stride]:
-        while row is not None and (row.season, row.week) < slot:
-            sums[row.i, row.j] = sums.get((row.i, row.j), 0.0) + row.v
-            row = next(rows, None)
-        out[slot] = solve_system(sums, lam)
-    return out
+    blocks = play_gram(play_values(states, values), players)
+    if market is not None:  # pseudo-plays of the first slot, which every origin has behind it
+        first = [F.lit(x).cast("int").alias(c) for c, x in zip(("season", "week"), slots[0])]
+        blocks = blocks.unionByName(market_rows(market).select(*first, "i", "j", "v"))
+    origins = slots[warmup_weeks::origin_stride]
+    return solve_stretches(stretches(blocks, slots, origins, stretch), slots, origins, stretch, lam)
+
+
+def walk_forward(states: DataFrame, players: DataFrame, warmup_weeks: int = 4, lam: float = 120.0, market: DataFrame | None = None, origin_stride: int = 1) -> dict[tuple[int, int], dict[str, float]]:
+    """The same as {origin: {column: rating}} on the driver, which holds the ratings alone."""
+    out: dict[tuple[int, int], dict[str, float]] = {}
+    for r in walk_forward_ratings(states, players, warmup_weeks, lam, market, origin_stride).toLocalIterator():
+        out.setdefault((r.season, r.week), {})[r.col] = r.rating
+    return {k: out[k] for k in sorted(out)}

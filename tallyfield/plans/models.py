@@ -483,8 +483,7 @@ def e18_sign_flip_gate(spark, d):
 @query()
 def e12_walk_forward(spark, d):
     """Ratings at every slot after the warm-up, each from earlier blocks alone."""
-    got = evaluation.walk_forward(states(spark, d), v.players(spark, d))
-    return spark.createDataFrame([(s, w, k, b) for (s, w), beta in got.items() for k, b in sorted(beta.items())], "season int, week int, col string, rating double")
+    return evaluation.walk_forward_ratings(states(spark, d), v.players(spark, d))
 
 
 # --- read-only views ---------------------------------------------------------------------

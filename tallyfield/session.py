@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | None = None, memory: str = "8g", **extra: str) -> SparkSession:
@@ -31,3 +33,27 @@ def package_on_workers(spark: SparkSession) -> None:
     """Put this package's folder on the path of Python workers on the driver's machine; a
     cluster ships the package (``--py-files``)."""
     spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).parents[1]))
+
+
+def scratch(spark: SparkSession) -> str:
+    """URI of a new folder that driver and executors share, under ``spark.checkpoint.dir``; a
+    local session without that setting gets a temporary one, a cluster without it is refused."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("tallyfield.scratch.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        at = "file://" + tempfile.mkdtemp(prefix="tallyfield-")
+        spark.conf.set("tallyfield.scratch.dir", at)
+    return f"{at.rstrip('/')}/tallyfield/{uuid.uuid4().hex[:16]}"
+
+
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read back, and where: its lineage ends there."""
+    at = scratch(df.sparkSession)
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at), at
+
+
+def removed(spark: SparkSession, at: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -11,6 +11,7 @@ import tallyfield.plans.models  # noqa: F401
 import tallyfield.plans.more  # noqa: F401
 import tallyfield.plans.relational  # noqa: F401
 import tallyfield.plans.streams  # noqa: F401
+import tallyfield.plans.systems  # noqa: F401
 from tallyfield.registry import ORACLE, QUERIES
 
 
