@@ -147,7 +147,8 @@ def solve_system(sums: dict[tuple[str, str | None], float], lam: float = 120.0,
             b[at[i]] = v
         else:
             a[at[i], at[j]] = a[at[j], at[i]] = v
-    factor = lambda n: (scale or {}).get(n, 1.0 if n.startswith("p:") else 0.05)
+    usual = {"p:": 1.0, "x:": 10.0}  # players, pairs of players; team intercepts take 0.05
+    factor = lambda n: (scale or {}).get(n, usual.get(n[:2], 0.05))
     pen = lam * np.array([factor(n) for n in names])
     mean = np.array([(prior or {}).get(n, 0.0) for n in names])
     m = a + np.diag(pen)
@@ -199,6 +200,21 @@ def context_residual(valued: DataFrame, folds: int = 5) -> DataFrame:
     return v.join(rest, ["_cell", "fold"]).withColumn("resid", F.col("dv") - F.col("g")).drop("_cell", "g")
 
 
+def boosted_residual(valued: DataFrame, ratings: DataFrame, folds: int = 5, rounds: int = 200) -> DataFrame:
+    """dv less what a boosted surface of the state and the defenders' rating sum says of it,
+    out of fold by week; adds ``def_sum``, ``fold``, ``g`` and ``resid``.
+
+    ``ratings`` has player_id and rating. Who is on offence is no feature, so one surface
+    serves every player's credit.
+    """
+    from tallyfield.operators.boosting import out_of_fold
+    from tallyfield.session import written
+
+    x = valued.join(onfield_sums(valued, ratings).select(*PLAY, "def_sum"), PLAY).withColumn("fold", fold_of(F.col("season"), F.col("week"), folds))
+    x, _ = written(x)  # read four times: ranges, histogram, cells, rows
+    return out_of_fold(x, [*STATE, "def_sum"], "dv", "fold", folds, rounds).withColumn("resid", F.col("dv") - F.col("g"))
+
+
 def weekly_credit(residuals: DataFrame, least: int = 20) -> DataFrame:
     """Mean residual and snaps per offensive player and week; players under ``least`` go."""
     e = residuals.select("season", "week", "resid", F.explode(F.array_distinct("off_players")).alias("player_id"))

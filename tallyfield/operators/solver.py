@@ -125,6 +125,22 @@ def conjugate_gradient(gram: DataFrame, lam: float = 120.0, prior: DataFrame | N
     return Solution(ratings, n, entries, max(len(history) - 1, 0), residual, not history or history[-1] < tol, history)
 
 
+DENSE = 2000  # columns up to which a system is solved on the driver, in 32 MB
+
+
+def ridge_ratings(gram: DataFrame, lam: float = 120.0, prior: DataFrame | None = None, scale: DataFrame | None = None, dense: int = DENSE) -> DataFrame:
+    """Ratings (col, rating) of one system: a small one on the driver, others by conjugate
+    gradients, so that no more than ``dense`` squared sums are ever collected."""
+    from tallyfield.operators.attribution import solve_system
+
+    if gram.select("i").distinct().count() > dense:
+        return conjugate_gradient(gram, lam, prior, scale).ratings
+    sums = {(r.i, r.j): r.v for r in gram.groupBy("i", "j").agg(F.sum("v").alias("v")).collect()}
+    given = lambda df, name: {r["col"]: r[name] for r in df.collect()} if df is not None else None
+    beta = solve_system(sums, lam, given(prior, "mean"), given(scale, "factor"))
+    return gram.sparkSession.createDataFrame(sorted(beta.items()), "col string, rating double")
+
+
 def sparse_ridge(rows: np.ndarray, cols: np.ndarray, vals: np.ndarray, b: np.ndarray, start: np.ndarray, tol: float = 1e-13, steps: int = 5000) -> np.ndarray:
     """The same for one system inside a task: entries of one triangle with the diagonal."""
     n = len(b)

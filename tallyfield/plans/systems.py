@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyfield import views as v
-from tallyfield.operators import attribution, solver
+from tallyfield.operators import attribution, solver, teams
 from tallyfield.operators.asof import AsOf
 from tallyfield.plans.models import CELLS, DV, GRAM, TRIPLETS, valued
 from tallyfield.registry import query
+from tallyfield.session import removed, written
 from tallyfield.views import with_
 
 
@@ -50,3 +51,56 @@ def e13_origin_system(spark, d):
     """Whole X'X and X'y at an origin, from the blocks of earlier slots."""
     g = attribution.play_gram(valued(spark, d), v.players(spark, d))
     return g.where(AsOf(1997, 6).outcome).groupBy("i", "j").agg(F.round(F.sum("v"), 7).alias("v"))
+
+
+def rated(spark, d):
+    """Every player's rating from the whole log (player_id, rating)."""
+    x = solver.ridge_ratings(system(spark, d), scale=position_scale(v.players(spark, d)))
+    return x.where("col like 'p:%'").select(F.substring("col", 3, 100).alias("player_id"), "rating")
+
+
+@query()
+def m10_boosted_residual(spark, d):
+    """Play value less a boosted surface of state and defenders' ratings, five folds of weeks."""
+    r = attribution.boosted_residual(valued(spark, d), rated(spark, d))
+    return r.select("drive_id", "play_id", "fold", F.round("resid", 8).alias("resid"))
+
+
+@query()
+def a7_boosted_credit(spark, d):
+    """Weekly credit of every player with 20 plays or more from the boosted residual."""
+    r = attribution.boosted_residual(valued(spark, d), rated(spark, d))
+    return attribution.weekly_credit(r).select("player_id", "season", "week", F.round("credit", 8).alias("credit"), "snaps")
+
+
+def boosted_fixed_point(valued_plays, gram, scale, focus: str, rounds: int = 3, boosts: int = 200):
+    """Ratings, and the focus player's credit in each round, by coordinate ascent: ratings from
+    the sums with market rows and penalties by position, credit from the boosted residual with
+    those ratings on the field, and the credit as the player's prior mean of the next round."""
+    spark = valued_plays.sparkSession
+    plays, plays_at = written(valued_plays)
+    sums, sums_at = written(gram)
+
+    def solve(prior: dict[str, float]):
+        mean = spark.createDataFrame([(f"p:{k}", x) for k, x in prior.items()], "col string, mean double")
+        return solver.ridge_ratings(sums, prior=mean, scale=scale)
+
+    def credit(x) -> float:
+        who = x.where("col like 'p:%'").select(F.substring("col", 3, 100).alias("player_id"), "rating")
+        weeks = attribution.boosted_residual(plays, who, rounds=boosts).where(F.array_contains("off_players", focus)).groupBy("season", "week").agg(F.avg("resid").alias("c"))
+        return weeks.agg(F.coalesce(F.avg("c"), F.lit(0.0))).first()[0]
+
+    ratings, credits = teams.fixed_point(solve, credit, focus, rounds)
+    for at in (plays_at, sums_at):
+        removed(spark, at)
+    return ratings, credits
+
+
+@query()
+def m11_boosted_fixed_point(spark, d):
+    """Three rounds for one quarterback; ``credit`` is that of the last round."""
+    who = v.players(spark, d)
+    ratings, credits = boosted_fixed_point(valued(spark, d), system(spark, d), position_scale(who), "p0")
+    return ratings.join(who.select(F.concat(F.lit("p:"), "player_id").alias("col"), "player_id", "position"), "col", "left").select(
+        "col", "player_id", "position", F.round("rating", 9).alias("rating"), F.when(F.col("col") == "p:p0", F.lit(round(credits[-1], 9))).alias("credit")
+    )

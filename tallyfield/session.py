@@ -44,13 +44,18 @@ def scratch(spark: SparkSession) -> str:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="tallyfield-")
         spark.conf.set("tallyfield.scratch.dir", at)
-    return f"{at.rstrip('/')}/tallyfield/{uuid.uuid4().hex[:16]}"
+    at = f"{at.rstrip('/')}/tallyfield/{uuid.uuid4().hex[:16]}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    hadoop = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    hadoop.mkdirs(path)
+    hadoop.deleteOnExit(path)  # when the session's JVM ends, if not before
+    return at
 
 
 def written(df: DataFrame) -> tuple[DataFrame, str]:
     """``df`` written to the shared folder and read back, and where: its lineage ends there."""
     at = scratch(df.sparkSession)
-    df.write.parquet(at)
+    df.write.mode("overwrite").parquet(at)
     return df.sparkSession.read.schema(df.schema).parquet(at), at
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyfield import views
-from tallyfield.operators import attribution, solver
+from tallyfield.operators import attribution, boosting, solver, teams
 from tallyfield.plans import models, systems
 
 
@@ -84,3 +84,108 @@ def test_origin_system_is_what_the_ratings_are_solved_from(spark, sf):
     one = models.valued(spark, sf).where("season < 1997 or (season = 1997 and week < 6)")
     direct = sums_of(attribution.gram_blocks(attribution.design(one, views.players(spark, sf)), one, []))
     assert sums.keys() >= {k for k, x in direct.items() if x} and max(abs(sums[k] - direct[k]) for k in direct) < 1e-6
+
+
+def brute_tree(bins, n, s, least):
+    """Best single split over all features and cuts, by trying each."""
+    best = (0.0, None, None)
+    for f in range(bins.shape[1]):
+        for cut in range(int(bins[:, f].max())):
+            low = bins[:, f] <= cut
+            if n[low].sum() >= least and n[~low].sum() >= least:
+                gain = s[low].sum() ** 2 / n[low].sum() + s[~low].sum() ** 2 / n[~low].sum() - s.sum() ** 2 / n.sum()
+                if gain > best[0] + 1e-9:
+                    best = (gain, f, cut)
+    return best
+
+
+def test_a_tree_is_the_best_split():
+    rng = np.random.default_rng(1)
+    for _ in range(20):
+        bins = rng.integers(0, 6, (60, 3))
+        n, y = rng.integers(1, 9, 60), rng.normal(size=60) + (bins[:, 1] > 2)
+        s = n * y
+        got = boosting.grow(bins, n, s, 1, 1, 1.0, 20, np.ones(60, bool))
+        mean = s.sum() / n.sum()
+        _, f, cut = brute_tree(bins, n, s - n * mean, 20)
+        low = bins[:, f] <= cut
+        want = np.where(low, s[low].sum() / n[low].sum(), s[~low].sum() / n[~low].sum())
+        assert got == pytest.approx(want)
+    # the depth is used, and cells outside the training ones are predicted and not learnt
+    bins = np.stack(np.meshgrid(np.arange(4), np.arange(4)), -1).reshape(-1, 2)
+    y = ((bins[:, 0] > 1) ^ (bins[:, 1] > 1)).astype(float)
+    y[0] = 100.0
+    got = boosting.grow(bins, np.full(16, 10), 10 * y, 60, 2, 0.5, 1, np.arange(16) > 0)
+    assert got[0] == pytest.approx(0.0, abs=0.1) and got[1:] == pytest.approx(y[1:], abs=0.1)
+
+
+def test_bins_keep_order_and_bound_their_number(spark):
+    df = spark.range(5000).select((F.col("id") % 7).alias("a"), F.exp(F.col("id") / 1000).alias("b"), F.when(F.col("id") > 10, F.col("id") / 3).alias("c"), F.lit(2.0).alias("d"))
+    rows = boosting.with_bins(df, ["a", "b", "c", "d"], bins=40).collect()
+    for x, k, most in (("a", "_b0", 7), ("b", "_b1", 40), ("c", "_b2", 40), ("d", "_b3", 1)):
+        pairs = sorted((r[x], r[k]) for r in rows if r[x] is not None)
+        assert all(p[1] <= q[1] for p, q in zip(pairs, pairs[1:])) and 0.9 * most <= len({p[1] for p in pairs}) <= most
+    assert all(r["_b2"] == 0 for r in rows if r.c is None)
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    """Plays whose value steps with the defenders' sum, in a way that turns with the field."""
+    rng = np.random.default_rng(6)
+    rows = []
+    rating = {f"d{k}": float(rng.normal()) for k in range(30)}
+    for k in range(12_000):
+        on = [f"d{x}" for x in rng.choice(30, 3, replace=False)]
+        strength = sum(rating[x] for x in on)
+        down, togo, line = int(rng.integers(1, 5)), int(rng.integers(1, 20)), int(rng.integers(1, 100))
+        context = 0.3 * down - 0.02 * togo + (1.5 if strength > 1 else -0.5) * (1 if line > 50 else 0.2)
+        who = f"p{rng.integers(0, 20)}"
+        credit = 0.4 if who == "p0" else 0.0
+        rows.append((f"d{k // 8}", k, 2020, k * 17 // 12_000 + 1, down, togo, line, [who], on, context, context + credit + float(rng.normal()) * 0.3))
+    cols = "drive_id string, play_id long, season int, week int, down int, ydstogo int, yardline_100 int, off_players array<string>, def_players array<string>, context double, dv double"
+    return spark.createDataFrame(rows, cols).persist(), spark.createDataFrame(list(rating.items()), "player_id string, rating double")
+
+
+def test_a_boosted_surface_takes_out_what_a_line_leaves(planted):
+    plays, rating = planted
+    r = attribution.boosted_residual(plays, rating)
+    assert r.count() == 12_000
+    left = lambda df: df.where("off_players[0] <> 'p0'").groupBy((F.col("def_sum") > 1).alias("_s"), (F.col("yardline_100") > 50).alias("_l")).agg(F.avg("resid").alias("m")).agg(F.max(F.abs("m"))).first()[0]
+    line = teams.opponent_residual(r.drop("resid", "g").withColumn("_cell", F.col("down")), "_cell", "fold")
+    assert left(line) > 0.2 and left(r) < 0.06
+    mine = {x.player_id: x.credit for x in attribution.weekly_credit(r).groupBy("player_id").agg(F.avg("credit").alias("credit")).collect()}
+    assert 0.33 < mine["p0"] < 0.45 and all(abs(c) < 0.08 for k, c in mine.items() if k != "p0")
+
+
+def test_no_row_is_predicted_by_its_own_fold(planted):
+    plays, rating = planted
+    weeks = [r.week for r in plays.select("week").distinct().collect()]
+    fold = {w: plays.where(F.col("week") == w).select(attribution.fold_of(F.col("season"), F.col("week"))).first()[0] for w in weeks}
+    chosen = fold[weeks[0]]
+    same = [w for w in weeks if fold[w] == chosen]
+    moved = plays.withColumn("dv", F.when(F.col("week").isin(same), F.col("dv") + 1000).otherwise(F.col("dv")))
+    a = {r.play_id: r.g for r in attribution.boosted_residual(plays, rating, rounds=10).where(F.col("week").isin(same)).collect()}
+    b = {r.play_id: r.g for r in attribution.boosted_residual(moved, rating, rounds=10).where(F.col("week").isin(same)).collect()}
+    assert a == b and len(a) > 500
+
+
+def test_fixed_point_with_a_boosted_surface(spark, planted):
+    """The planted quarterback's credit comes out, becomes the prior mean, and moves the rating."""
+    plays, _ = planted
+    plays = plays.withColumns({"off_team": F.lit("a"), "def_team": F.lit("b")})
+    players = plays.select(F.explode(F.concat("off_players", "def_players")).alias("player_id")).distinct().persist()
+    gram = attribution.play_gram(plays, players, [])
+    ratings, credits = systems.boosted_fixed_point(plays, gram, None, "p0", rounds=2, boosts=60)
+    assert len(credits) == 2 and all(0.3 < c < 0.5 for c in credits)
+    x = {r.col: r.rating for r in ratings.collect()}
+    want = attribution.solve_system(sums_of(gram), prior={"p:p0": credits[0]})
+    assert x == pytest.approx(want, abs=1e-9)
+    assert x["p:p0"] == max(v for k, v in x.items() if k.startswith("p:p"))
+
+
+def test_large_systems_take_the_iterative_way(spark, sf):
+    g = systems.system(spark, sf).persist()
+    a = {r.col: r.rating for r in solver.ridge_ratings(g).collect()}
+    b = {r.col: r.rating for r in solver.ridge_ratings(g, dense=10).collect()}
+    assert a == pytest.approx(b, abs=1e-7)
+    g.unpersist()
