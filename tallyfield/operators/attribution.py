@@ -67,11 +67,31 @@ def design(plays: DataFrame, players: DataFrame, semantics: str = "oracle") -> D
     return t.groupBy(*PLAY, "season", "week", "col").agg(F.sum("val").alias("val"))
 
 
-def pair_support(plays: DataFrame, players: DataFrame, left: str = "WR", right: str = "DEF", least: int = 30) -> DataFrame:
-    """(left player, right player) pairs that meet on at least so many plays."""
-    of = lambda side, pos, name: plays.select(*PLAY, F.explode(F.array_distinct(side)).alias("player_id")).join(players.where(F.col("position") == pos).select("player_id"), "player_id").withColumnRenamed("player_id", name)
-    meets = of("off_players", left, "a").join(of("def_players", right, "b"), PLAY)
-    return meets.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+def pair_meetings(plays: DataFrame, players: DataFrame, left: str = "WR", right: str | None = None) -> DataFrame:
+    """(PLAY, a, b, n): receivers and defenders on the field together, ids that stand twice
+    counted as often. ``right`` is CB if there is any in the universe, else DEF.
+
+    """
+    if right is None:
+        right = "DEF" if players.where("position = 'CB'").isEmpty() else "CB"
+    known = players.where(F.col("position").isin(left, right)).select("player_id", "position").distinct()
+    side = lambda col, pos, name: plays.select(*PLAY, F.explode(col).alias("player_id")).join(known.where(F.col("position") == pos).select("player_id"), "player_id").groupBy(*PLAY, F.col("player_id").alias(name)).agg(F.count("*").alias(f"_n{name}"))
+    meets = side("off_players", left, "a").join(side("def_players", right, "b"), PLAY)
+    return meets.select(*PLAY, "a", "b", (F.col("_na") * F.col("_nb")).alias("n"))
+
+
+def pair_support(plays: DataFrame, players: DataFrame, left: str = "WR", right: str | None = None, least: int = 30) -> DataFrame:
+    """(left player, right player) pairs that meet at least so often."""
+    return pair_meetings(plays, players, left, right).groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+
+
+def pair_entries(plays: DataFrame, players: DataFrame, least: int = 30) -> DataFrame:
+    """(PLAY, pairs): the interaction columns of each play, x:left|right and how often, of pairs
+    with enough support. A play's pairs are few; pairs without support go before they are gathered."""
+    m = pair_meetings(plays, players)
+    enough = m.groupBy("a", "b").agg(F.sum("n").alias("_s")).where(F.col("_s") >= least).select("a", "b")
+    entry = F.struct(F.concat(F.lit("x:"), "a", F.lit("|"), "b").alias("col"), F.col("n").cast("double").alias("val"))
+    return m.join(enough, ["a", "b"]).groupBy(*PLAY).agg(F.collect_list(entry).alias("pairs"))
 
 
 def gram_blocks(triplets: DataFrame, targets: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -90,11 +110,13 @@ def gram_blocks(triplets: DataFrame, targets: DataFrame, by: list[str] | None =
     return a.select(*by, F.col("a.col").alias("i"), F.explode(products).alias("p")).groupBy(*by, "i", F.col("p.j").alias("j")).agg(F.sum("p.v").alias("v"))
 
 
-def play_gram(valued: DataFrame, players: DataFrame, by: list[str] | None = None) -> DataFrame:
+def play_gram(valued: DataFrame, players: DataFrame, by: list[str] | None = None, interactions: int = 0) -> DataFrame:
     """The same blocks from plays that carry their participants and dv: no row is exploded and
     gathered again, and the sums on (i, j) are the only shuffle of plays.
 
     Ids outside the universe are dropped from the sums, which are small, and not from the plays.
+    ``interactions``: also a column for every receiver and defender that meet so often at least;
+    their products come from the same rows and go through the same sums.
     """
     by = by if by is not None else ["season", "week"]
     item = lambda c, val: F.struct(c.alias("col"), F.lit(val).alias("val"))
@@ -103,6 +125,9 @@ def play_gram(valued: DataFrame, players: DataFrame, by: list[str] | None = None
         F.transform("def_players", lambda p: item(F.concat(F.lit("p:"), p), -1.0)),
         F.array(item(F.concat(F.lit("o:"), "off_team"), 1.0), item(F.concat(F.lit("d:"), "def_team"), -1.0)),
     )
+    if interactions:
+        valued = valued.join(pair_entries(valued, players, interactions), PLAY, "left")
+        entries = F.concat(entries, F.coalesce("pairs", F.expr("cast(array() AS array<struct<col: string, val: double>>)")))
     x = valued.select(*by, "dv", F.array_sort(entries).alias("x"))
     a = x.select(*by, "dv", "x", F.posexplode("x").alias("k", "a"))
     # an id that stands twice in a play meets itself twice

@@ -104,3 +104,25 @@ def m11_boosted_fixed_point(spark, d):
     return ratings.join(who.select(F.concat(F.lit("p:"), "player_id").alias("col"), "player_id", "position"), "col", "left").select(
         "col", "player_id", "position", F.round("rating", 9).alias("rating"), F.when(F.col("col") == "p:p0", F.lit(round(credits[-1], 9))).alias("credit")
     )
+
+
+_PAIRS = """meet AS (SELECT drive_id, play_id, a.player_id AS a, b.player_id AS b, count(*) AS n FROM
+ (SELECT drive_id, play_id, player_id FROM (SELECT drive_id, play_id, unnest(off_players) AS player_id FROM plays) JOIN players USING (player_id) WHERE position = 'WR') a JOIN
+ (SELECT drive_id, play_id, player_id FROM (SELECT drive_id, play_id, unnest(def_players) AS player_id FROM plays) JOIN players USING (player_id) WHERE position = 'DEF') b USING (drive_id, play_id) GROUP BY ALL),
+tri2 AS (SELECT drive_id, play_id, col, val FROM tri UNION ALL SELECT drive_id, play_id, 'x:' || a || '|' || b, n FROM meet WHERE (a, b) IN (SELECT (a, b) FROM meet GROUP BY a, b HAVING sum(n) >= 30)),
+gram2 AS (SELECT a.col AS i, b.col AS j, sum(a.val * b.val) AS v FROM tri2 a JOIN tri2 b USING (drive_id, play_id) WHERE a.col <= b.col GROUP BY ALL
+  UNION ALL SELECT t.col, NULL, sum(t.val * d.dv) FROM tri2 t JOIN dv d USING (drive_id, play_id) GROUP BY ALL)"""
+
+
+@query(with_("states players", "SELECT i, j, round(v, 7) AS v FROM gram2", CELLS, DV, TRIPLETS, _PAIRS))
+def m4_interaction_gram(spark, d):
+    """Gram sums with a column for each receiver and defender that met on 30 plays or more."""
+    g = attribution.play_gram(valued(spark, d), v.players(spark, d), [], interactions=30)
+    return g.select("i", "j", F.round("v", 7).alias("v"))
+
+
+@query()
+def m4_interaction_ratings(spark, d):
+    """Ratings of players, teams and pairs; pairs have ten times a player's penalty."""
+    g = attribution.play_gram(valued(spark, d), v.players(spark, d), [], interactions=30)
+    return solver.ridge_ratings(g).select("col", F.round("rating", 9).alias("rating"))

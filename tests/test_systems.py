@@ -189,3 +189,50 @@ def test_large_systems_take_the_iterative_way(spark, sf):
     b = {r.col: r.rating for r in solver.ridge_ratings(g, dense=10).collect()}
     assert a == pytest.approx(b, abs=1e-7)
     g.unpersist()
+
+
+def test_interactions_equal_a_dense_design(spark):
+    rng = np.random.default_rng(12)
+    position = {**{f"w{k}": "WR" for k in range(4)}, **{f"q{k}": "QB" for k in range(2)}, **{f"d{k}": "DEF" for k in range(4)}}
+    for cb in (False, True):
+        if cb:
+            position |= {"d0": "CB", "d1": "CB"}
+        rows = []
+        for k in range(300):
+            off = [f"w{x}" for x in rng.integers(0, 4, 2)] + [f"q{rng.integers(0, 2)}"] + (["nobody"] if k % 9 == 0 else [])
+            rows.append((f"d{k // 6}", k, 2020 + k % 2, 1, "a", "b", off, [f"d{int(x)}" for x in rng.choice(4, 2, p=[0.55, 0.3, 0.1, 0.05])], float(rng.normal())))
+        plays = spark.createDataFrame(rows, "drive_id string, play_id long, season int, week int, off_team string, def_team string, off_players array<string>, def_players array<string>, dv double")
+        players = spark.createDataFrame(list(position.items()), "player_id string, position string")
+        proxy = "CB" if cb else "DEF"
+        met = {}
+        for r in rows:
+            for a in r[6]:
+                for b in r[7]:
+                    if position.get(a) == "WR" and position[b] == proxy:
+                        met[a, b] = met.get((a, b), 0) + 1
+        kept = {p for p, n in met.items() if n >= 30}
+        assert kept and (cb or len(kept) < len(met))
+        cols = ["o:a", "d:b", *(f"p:{p}" for p in position), *(f"x:{a}|{b}" for a, b in kept)]
+        for by in ([], ["season"]):
+            want = {}
+            for r in rows:
+                x = dict.fromkeys(cols, 0.0)
+                x["o:a"], x["d:b"] = 1.0, -1.0
+                for a in r[6]:
+                    if a in position:
+                        x[f"p:{a}"] += 1
+                    for b in r[7]:
+                        if (a, b) in kept:
+                            x[f"x:{a}|{b}"] += 1
+                for b in r[7]:
+                    x[f"p:{b}"] -= 1
+                key = (r[2],) if by else ()
+                full = {i: a for i, a in x.items() if a}
+                for i, a in full.items():
+                    for j, b in [*((j, b) for j, b in full.items() if i <= j), (None, r[8])]:
+                        want[(*key, i, j)] = want.get((*key, i, j), 0.0) + a * b
+            got = {tuple(r[c] for c in [*by, "i", "j"]): r.v for r in attribution.play_gram(plays, players, by, interactions=30).collect()}
+            assert {k for k, x in got.items() if x} <= want.keys() <= got.keys()
+            assert all(got[k] == pytest.approx(want.get(k, 0.0), abs=1e-9) for k in got)
+        support = {(r.a, r.b): r.n for r in attribution.pair_support(plays, players).collect()}
+        assert support == {p: met[p] for p in kept}
