@@ -102,27 +102,3 @@ def qb_credit(residuals: DataFrame, players: DataFrame, least: int = 20) -> Data
 def remap_state(state: DataFrame, roster: DataFrame, start: dict[str, float]) -> DataFrame:
     """State of the roster's players: what was known of them, else the start values."""
     return roster.join(state, "player_id", "left").select(*roster.columns, *(F.coalesce(F.col(k), F.lit(v)).alias(k) for k, v in start.items()))
-
-
-def fixed_lag(series: DataFrame, lag: int, smooth: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Smoothed state of each week from data up to ``lag`` weeks later and no more.
-
-    A week's window is the weeks up to it plus lag; windows of all weeks are smoothed side by
-    side as players of their own. The number of copies is the weeks of a season, not of rows.
-    """
-    slot = F.dense_rank().over(_by_time())
-    s = series.withColumn("_t", slot)
-    ends = s.select("_t").distinct().select(F.col("_t").alias("_end"))
-    last = s.agg(F.max("_t")).first()[0] or 0
-    windows = s.join(F.broadcast(ends), F.col("_t") <= F.least(F.col("_end") + lag, F.lit(last)))
-    named = windows.withColumn("player_id", F.concat_ws("#", "player_id", F.col("_end").cast("string")))
-    got = smooth(named.drop("_t", "_end"))
-    at = s.select("season", "week", "_t").distinct()
-    got = got.join(F.broadcast(at), ["season", "week"]).withColumn("_p", F.split("player_id", "#"))
-    return got.where(F.col("_t") == F.col("_p")[1].cast("int")).withColumn("player_id", F.col("_p")[0]).drop("_p", "_t")
-
-
-def _by_time():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0)).orderBy("season", "week")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyfield import views as v
 from tallyfield.operators import asof, attribution, forecast, projection, statespace, status, teams
-from tallyfield.plans.models import _BOOT, _FILTER, AT, CELL, CELLS, DV, GRAM, MAY, TRIPLETS, cells, last_state, series, states, valued
+from tallyfield.plans.models import _BOOT, _FILTER, _SMOOTH, _STATES9, _rounded, AT, CELL, CELLS, DV, GRAM, MAY, TRIPLETS, back_sql, cells, last_state, series, states, valued
 from tallyfield.plans.relational import _POOL, _TOTALS, _VOR
 from tallyfield.plans.relational import valued as valuations
 from tallyfield.registry import query
@@ -306,10 +306,11 @@ def m25_frozen_talent(spark, d):
     return s.groupBy("player_id").agg(F.max_by("talent", F.struct("season", "week")).alias("talent"))
 
 
-@query()
+@query("WITH RECURSIVE " + with_("history", f"SELECT b.player_id, o.season, o.week, {_SMOOTH} FROM back b JOIN par o USING (player_id, k) WHERE b.k = b.t", _FILTER,
+       back_sql("back", f"SELECT {_STATES9}, a.player_id, a.k, t.k AS t FROM run a JOIN (SELECT player_id, k, max(k) OVER (PARTITION BY player_id) AS n FROM run WHERE k > 0) t ON a.player_id = t.player_id AND a.k = least(t.k + 2, n)", ", t", "b.k > b.t"))[5:])
 def q9_fixed_lag(spark, d):
-    """Talent of each week from data up to two weeks later."""
-    return teams.fixed_lag(series(spark, d).where("season = 2023"), 2, statespace.smoothed).select("player_id", "season", "week", "talent")
+    """Talent of each week from data up to two weeks later, over all seasons."""
+    return _rounded(statespace.fixed_lag(series(spark, d), 2))
 
 
 # --- read models of the store ------------------------------------------------------------

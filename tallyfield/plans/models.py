@@ -265,9 +265,45 @@ def m12_filter(spark, d):
     return f.select("player_id", "season", "week", r5("x0", "talent"), r5(F.col("x0") + F.col("x1") + F.col("x2"), "total"), r5("pred", "pred"), r5("var", "var"))
 
 
-@query()
+_PAIRS = [(i, j) for i in range(3) for j in range(i, 3)]
+_F3 = ["1.0::DOUBLE", "0.5::DOUBLE", "0.985::DOUBLE"]
+
+
+def back_sql(name: str, first: str, keys: str = "", stop: str = "b.k > 1") -> str:
+    """The backward pass as a recursive CTE: smoothed state (s, q) of week k from that of
+    week k + 1, with matrices written out; ``first`` gives the last weeks to start from."""
+    y = lambda n, i, j: f"{n}{min(i, j)}{max(i, j)}"
+    add = " + ".join
+    extra = {(0, 0): "", (1, 1): " + 0.0008::DOUBLE + (CASE WHEN o.ev THEN 0.004::DOUBLE ELSE 0 END)", (2, 2): " + 0.0002::DOUBLE + (CASE WHEN o.ev THEN 0.04::DOUBLE ELSE 0 END)"}
+    aged = {(i, j): f"r.p{i}{j} * {_F3[i]} * {_F3[j]}" + extra.get((i, j), "") for i, j in _PAIRS}
+    aged[0, 0] = "r.p00 / (CASE WHEN o.ev THEN 0.7::DOUBLE ELSE o.dst END)"
+    n = ", ".join(f"{e}{' + 1e-10::DOUBLE' if i == j else ''} AS n{i}{j}" for (i, j), e in aged.items())
+    d = ", ".join(f"b.s{i} - r.x{i} * {_F3[i]} AS d{i}" for i in range(3))
+    keep = ", ".join([*(f"r.x{i}" for i in range(3)), *(f"r.p{i}{j}" for i, j in _PAIRS), *(f"b.q{i}{j}" for i, j in _PAIRS)])
+    up, down = lambda i: (i + 1) % 3, lambda i: (i + 2) % 3
+    cof = ", ".join(f"{y('n', up(i), up(j))} * {y('n', down(i), down(j))} - {y('n', up(i), down(j))} * {y('n', down(i), up(j))} AS k{i}{j}" for i, j in _PAIRS)
+    every = [(i, j) for i in range(3) for j in range(3)]
+    gain = ", ".join("(" + add(f"{y('p', i, m)} * {_F3[m]} * {y('k', m, j)}" for m in range(3)) + f") / (n00 * k00 + n01 * k01 + n02 * k02) AS g{i}{j}" for i, j in every)
+    moved = ", ".join(add(f"g{i}{m} * ({y('q', m, j)} - {y('n', m, j)})" for m in range(3)) + f" AS t{i}{j}" for i, j in every)
+    out = ", ".join([*(f"x{i} + " + add(f"g{i}{m} * d{m}" for m in range(3)) for i in range(3)), *(f"p{i}{j} + " + add(f"t{i}{m} * g{j}{m}" for m in range(3)) for i, j in _PAIRS)])
+    names = ", ".join([*(f"x{i} AS s{i}" for i in range(3)), *(f"p{i}{j} AS q{i}{j}" for i, j in _PAIRS)])
+    return f"""{name} AS (SELECT {names}, * EXCLUDE ({', '.join([*(f'x{i}' for i in range(3)), *(f'p{i}{j}' for i, j in _PAIRS)])}) FROM ({first}) UNION ALL
+ SELECT {out}, player_id, k{keys} FROM (SELECT *, {moved} FROM (SELECT *, {gain} FROM (SELECT *, {cof} FROM (
+  SELECT r.player_id, r.k{keys}, {n}, {d}, {keep} FROM {name} b JOIN run r ON r.player_id = b.player_id AND r.k = b.k - 1 JOIN par o ON o.player_id = b.player_id AND o.k = b.k WHERE {stop})))))"""
+
+
+_STATES9 = ", ".join([*(f"x{i}" for i in range(3)), *(f"p{i}{j}" for i, j in _PAIRS)])
+_SMOOTH = "round(s0, 6) AS talent, round(s0 + s1 + s2, 6) AS total, round(q00, 8) AS var_talent"
+
+
+def _rounded(df):
+    return df.select("player_id", "season", "week", F.round("talent", 6).alias("talent"), F.round("total", 6).alias("total"), F.round("var_talent", 8).alias("var_talent"))
+
+
+@query("WITH RECURSIVE " + with_("history", f"SELECT b.player_id, o.season, o.week, {_SMOOTH} FROM back b JOIN par o USING (player_id, k)", _FILTER,
+       back_sql("back", f"SELECT {_STATES9}, player_id, k FROM run WHERE k > 0 QUALIFY k = max(k) OVER (PARTITION BY player_id)"))[5:])
 def m12_smoother(spark, d):
-    return statespace.smoothed(series(spark, d))
+    return _rounded(statespace.smoothed(series(spark, d)))
 
 
 def last_state(spark, d):

@@ -220,18 +220,6 @@ def test_fixed_point_settles():
     assert ratings["q"] == pytest.approx(1 / 0.6) and len(credits) == 40
 
 
-def test_fixed_lag_equals_smoothing_what_was_known(spark):
-    rng = np.random.default_rng(4)
-    rows = [(p, "WR", 2023, w, float(rng.normal(0.5, 0.2)), 20.0, True, w == 3) for p in ("a", "b") for w in range(1, 8)]
-    s = spark.createDataFrame(rows, "player_id string, position string, season int, week int, y double, snaps double, played boolean, event boolean")
-    got = {(r.player_id, r.week): r.talent for r in teams.fixed_lag(s, 2, statespace.smoothed).collect()}
-    assert len(got) == 14
-    for end in (1, 4, 7):
-        want = {(r.player_id, r.week): r.talent for r in statespace.smoothed(s.where(F.col("week") <= min(end + 2, 7))).collect()}
-        for p in ("a", "b"):
-            assert got[p, end] == pytest.approx(want[p, end])
-
-
 def test_poisson_resamples(spark):
     u = spark.createDataFrame([(i, float(i % 7)) for i in range(300)], "k long, x double")
     a, b = (forecast.iid_bootstrap(df, "x", ["k"], n=400).first() for df in (u, u.repartition(7)))
