@@ -1,9 +1,8 @@
-"""A folder of Parquet tables as the engine's store: schema versions, appends, merges by key,
-state tables, run records, registries, and the commands that change them.
+"""The engine's store: tables of fixed schemas under a commit log, state tables, models, run
+records, and the commands that change them.
 
-A table is a folder of versions; a write makes a new version and then moves the pointer file,
-so a reader sees the old table or the new one and a job that dies leaves the old one. The folder
-must be one that the driver sees as a path and that all executors share.
+Schemas widen by metadata alone (columns that old files lack read as null). Tables of weekly
+rows are partitioned by slot, so a merge of one week rewrites that week.
 """
 
 from __future__ import annotations
@@ -21,8 +20,9 @@ from pathlib import Path
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from tallyfield.operators.asof import merge_rows
+from tallyfield.sources.commits import CommitLog, Transaction
 from tallyfield.sources.sinks import canonical_hash, strict_json
 
 SCHEMA_VERSION = 2
@@ -38,77 +38,74 @@ TABLES: dict[str, list[str]] = {
     "links": ["provider_id string, player_id string, confidence double, state string, decided_at timestamp"],
     "runs": ["run_id string, command string, state string, started_at timestamp, seconds double, detail string"],
     "models": ["family string, version string, role string, config string, created_at timestamp"],
+    "configs": ["family string, version string, config string, created_at timestamp"],
+    "blocks": ["season int, week int, situation string, i string, j string, v double"],
+    "ratings": ["season int, week int, situation string, col string, rating double"],
+    "filter_state": ["player_id string, position string, season int, week int, x0 double, x1 double, x2 double, p00 double, p01 double, p02 double, p11 double, p12 double, p22 double, games int"],
+    "grades": ["season int, week int, situation string, team string, position string, grade double"],
 }
+PARTITIONS: dict[str, list[str]] = {
+    "player_stats": ["season"], "overrides": ["season"], "benchmarks": ["season"],
+    "trajectory": ["season", "week"], "blocks": ["season", "week"], "ratings": ["season", "week"], "filter_state": ["season", "week"], "grades": ["season", "week"],
+}
 
 
 class Store:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.removeprefix("file://").rstrip("/")
-
-    def _path(self, *parts: str) -> Path:
-        return Path(self.root, *parts)
+        self.spark, self.log = spark, CommitLog(spark, root)
 
     # --- schema and metadata --------------------------------------------------------------
 
     def init(self) -> int:
         """Make the store or bring it to the current schema; a second call changes nothing."""
-        have = self.meta("schema_version")
-        for name, versions in TABLES.items():
-            want = self.spark.createDataFrame([], versions[-1])
-            if not self._path(name, "CURRENT").exists():
-                self.write(name, want)
-                continue
-            old = self.read(name)
-            missing = [f for f in want.schema if f.name not in old.columns]
-            if missing:
-                self.write(name, old.select("*", *(F.lit(None).cast(f.dataType).alias(f.name) for f in missing)).select(*want.columns))
-        if have != str(SCHEMA_VERSION):
-            self.set_meta("schema_version", str(SCHEMA_VERSION))
+
+        def work(tx: Transaction) -> None:
+            for name, versions in TABLES.items():
+                want = StructType.fromDDL(versions[-1])
+                if name in tx.tables():
+                    old = tx.schema(name)
+                    want = StructType(old.fields + [f for f in want if f.name not in old.names])
+                tx.define(name, want, PARTITIONS.get(name))
+            if tx.meta("schema_version") != str(SCHEMA_VERSION):
+                tx.set_meta("schema_version", str(SCHEMA_VERSION))
+
+        self.log.transact(work)
         return SCHEMA_VERSION
 
     def meta(self, key: str) -> str | None:
-        p = self._path("meta.json")
-        return json.loads(p.read_text()).get(key) if p.exists() else None
+        return self.log.begin().meta(key)
 
     def set_meta(self, key: str, value: str) -> None:
-        p = self._path("meta.json")
-        have = json.loads(p.read_text()) if p.exists() else {}
-        write_json(p, {**have, key: value})
+        self.log.transact(lambda tx: tx.set_meta(key, value))
 
     # --- tables ---------------------------------------------------------------------------
 
-    def read(self, name: str, where: str | None = None) -> DataFrame:
-        """Scan of a table (the SQL table scan of other stores), with an optional predicate."""
-        version = self._path(name, "CURRENT").read_text()
-        df = self.spark.read.parquet(f"file://{self._path(name, version)}")
+    def read(self, name: str, where: str | None = None, parts: list[tuple] | None = None) -> DataFrame:
+        """Scan of a table (the SQL table scan of other stores), with an optional predicate and
+        of some partitions only."""
+        df = self.log.begin().read(name, parts)
         return df.where(where) if where else df
 
     def write(self, name: str, df: DataFrame) -> None:
-        version = f"v-{time.time_ns()}-{uuid.uuid4().hex[:6]}"
-        df.write.parquet(f"file://{self._path(name, version)}")
-        current = self._path(name, "CURRENT")
-        part = current.with_suffix(".new")
-        part.write_text(version)
-        os.replace(part, current)
+        self.log.transact(lambda tx: tx.write(name, df))
 
     def append(self, name: str, df: DataFrame) -> None:
-        self.write(name, self.read(name).unionByName(df))
+        self.log.transact(lambda tx: tx.append(name, df))
 
-    def merge(self, name: str, df: DataFrame, keys: list[str]) -> None:
-        self.write(name, merge_rows(self.read(name), df.select(*self.read(name).columns), keys))
+    def merge(self, name: str, df: DataFrame, keys: list[str], order: str | None = None) -> None:
+        self.log.transact(lambda tx: tx.merge(name, df, keys, order))
 
     # --- state of the filter --------------------------------------------------------------
 
     def save_state(self, state: DataFrame, season: int, week: int) -> None:
-        at = f"file://{self._path('state', f'season={season}', f'week={week}')}"
-        state.write.mode("overwrite").parquet(at)
+        """Hand-over of any state table after a slot, with the columns it has."""
+        self.write(f"state-{season}-{week}", state)
 
     def load_state(self, season: int, week: int, start: dict[str, float]) -> DataFrame | None:
         """State after a slot, or None; a two-part state of old gets its third part."""
-        at = self._path("state", f"season={season}", f"week={week}")
-        if not at.exists():
-            return None
-        return migrate_state(self.spark.read.parquet(f"file://{at}"), start)
+        tx = self.log.begin()
+        name = f"state-{season}-{week}"
+        return migrate_state(tx.read(name), start) if name in tx.tables() else None
 
     # --- commands -------------------------------------------------------------------------
 
@@ -130,17 +127,21 @@ class Store:
         return out
 
     def daily_update(self, load: Callable[[int], tuple[DataFrame, DataFrame]], seasons: list[int]) -> dict[int, str]:
-        """Players and weekly points of each season; a season that fails is noted and skipped."""
+        """Players and weekly points of each season, together; a season that fails is noted and
+        skipped."""
         log = get_logger("daily_update")
 
+        def season(tx: Transaction, players: DataFrame, stats: DataFrame) -> None:
+            tx.merge("players", players, ["player_id"])
+            known = stats.join(tx.read("players").select("player_id"), "player_id", "left_semi")
+            tx.merge("player_stats", known, ["player_id", "season", "week"])
+
         def work() -> dict[int, str]:
             out = {}
             for s in seasons:
                 try:
                     players, stats = load(s)
-                    self.merge("players", players, ["player_id"])
-                    known = stats.join(self.read("players").select("player_id"), "player_id", "left_semi")
-                    self.merge("player_stats", known, ["player_id", "season", "week"])
+                    self.log.transact(lambda tx, p=players, x=stats: season(tx, p, x))
                     out[s] = "ok"
                 except Exception as e:  # noqa: BLE001  one season must not stop the others
                     log.warning("season %s: %s", s, e)
@@ -157,26 +158,100 @@ class Store:
             bad = broken(p).limit(1).collect()
             if bad:
                 raise ValueError(f"projection breaks {bad[0].asDict()}")
-            at = f"file://{self._path('projections', f'version={version}')}"
-            p.write.mode("errorifexists").parquet(at)
-            return self.spark.read.parquet(at).count()
+            name = f"projections-{version}"
+
+            def once(tx: Transaction) -> int:
+                if name in tx.tables():
+                    raise ValueError(f"version {version} is written")
+                tx.write(name, p)
+                return tx.read(name).count()
+
+            return self.log.transact(once)
 
         return self.run("projection_run", work)
 
+    # --- models ---------------------------------------------------------------------------
+
     def model_rebuild(self, family: str, fit: Callable[[], dict]) -> str:
-        """Fit, and enter the model as a candidate under the hash of its parameters."""
+        """Fit, and enter the model under the hash of its parameters: a new version as candidate;
+        one that is there keeps its role."""
 
         def work() -> str:
             config = strict_json(fit())
             version = hashlib.sha256(config.encode()).hexdigest()[:12]
-            self._enter_model(family, version, "candidate", config)
+            self._enter_model(family, version, config)
             return version
 
         return self.run("model_rebuild", work)
 
-    def _enter_model(self, family: str, version: str, role: str, config: str) -> None:
-        row = self.spark.createDataFrame([(family, version, role, config, None)], TABLES["models"][-1]).withColumn("created_at", F.current_timestamp())
-        self.merge("models", row, ["family", "version"])
+    def _enter_model(self, family: str, version: str, config: str) -> None:
+        def work(tx: Transaction) -> None:
+            if not tx.read("models").where((F.col("family") == family) & (F.col("version") == version)).isEmpty():
+                return
+            row = self.spark.createDataFrame([(family, version, "candidate", config, None)], TABLES["models"][-1])
+            tx.append("models", row.withColumn("created_at", F.current_timestamp()))
+
+        self.log.transact(work)
+
+    def save_model(self, family: str, model) -> str:
+        """Write a fitted pipeline under a hash of what it does (parameters and fitted numbers of
+        its stages), and enter it as a candidate if it is new."""
+        version = hashlib.sha256(strict_json(_content(model)).encode()).hexdigest()[:12]
+        at = self.log.files.uri(f"_models/{family}/{version}")
+        if not self.log.files.exists(f"_models/{family}/{version}/metadata"):
+            model.write().overwrite().save(at)
+        self._enter_model(family, version, strict_json({"path": f"_models/{family}/{version}"}))
+        return version
+
+    def load_model(self, family: str, version: str | None = None):
+        """A written pipeline: that of a version, or the one in production."""
+        from pyspark.ml import PipelineModel
+
+        version = version or self.production(family)
+        if version is None or not self.log.files.exists(f"_models/{family}/{version}/metadata"):
+            raise ValueError(f"no model of {family} in production" if version is None else f"{family} {version} is not written")
+        return PipelineModel.load(self.log.files.uri(f"_models/{family}/{version}"))
+
+    def production(self, family: str) -> str | None:
+        got = self.read("models").where((F.col("family") == family) & (F.col("role") == "champion")).select("version").collect()
+        return got[0].version if got else None
+
+    def promote(self, family: str, version: str) -> None:
+        """Make a candidate the champion; the champion of before becomes the previous one."""
+        self._promote(family, version, ["candidate"])
+
+    def _promote(self, family: str, version: str, roles: list[str]) -> None:
+        def work(tx: Transaction) -> None:
+            m = tx.read("models").where(F.col("family") == family)
+            if m.where((F.col("version") == version) & F.col("role").isin(roles)).isEmpty():
+                raise ValueError(f"{version} is no {' or '.join(roles)} of {family}")
+            role = F.when(F.col("version") == version, "champion").when(F.col("role") == "champion", "previous").when(F.col("role") == "previous", "retired").otherwise(F.col("role"))
+            tx.merge("models", m.withColumn("role", role), ["family", "version"])
+
+        self.log.transact(work)
+
+    def rollback(self, family: str) -> str:
+        """Bring back the champion of before; refused where there is none."""
+        last = self.read("models").where((F.col("family") == family) & (F.col("role") == "previous")).select("version").collect()
+        if not last:
+            raise ValueError(f"{family} has no previous version")
+        self._promote(family, last[0].version, ["previous"])
+        return last[0].version
+
+    def set_model_config(self, family: str, config: dict) -> str:
+        """Enter a configuration, in a table of its own; the same one again changes nothing."""
+        text = strict_json(config)
+        version = hashlib.sha256(text.encode()).hexdigest()[:12]
+
+        def work(tx: Transaction) -> None:
+            if tx.read("configs").where((F.col("family") == family) & (F.col("version") == version)).isEmpty():
+                row = self.spark.createDataFrame([(family, version, text, None)], TABLES["configs"][-1])
+                tx.append("configs", row.withColumn("created_at", F.current_timestamp()))
+
+        self.log.transact(work)
+        return version
+
+    # --- profiles, imports, links ---------------------------------------------------------
 
     def set_scoring_profile(self, name: str, weights: list[tuple[str, float]], offset: float = 0.0) -> str:
         """Enter a profile by name; a weight list that isn't affine is refused."""
@@ -194,45 +269,48 @@ class Store:
         return self._import(csv, "benchmarks", "provider string, player_id string, season int, week int, projected double")
 
     def _import(self, csv: str, name: str, schema: str) -> int:
+        """Rows of a file that the table doesn't have yet, nor twice; returns how many there were."""
         rows = self.spark.read.option("header", True).option("mode", "FAILFAST").schema(schema).csv(csv)
-        n = rows.count()
-        self.append(name, rows.withColumn("observed_at", F.current_timestamp()))
-        return n
+        rows = rows.select(*rows.columns).distinct()
+
+        def work(tx: Transaction) -> int:
+            old = tx.read(name)
+            new = rows.alias("n").join(old.alias("o"), [F.col(f"n.{c}").eqNullSafe(F.col(f"o.{c}")) for c in rows.columns], "left_anti")
+            new = new.withColumn("observed_at", F.current_timestamp())
+            n = new.count()
+            if n:
+                tx.append(name, new)
+            return n
+
+        return self.log.transact(work)
 
     def decide_link(self, provider_id: str, player_id: str, approve: bool) -> None:
         """Approve or reject an identity link; one that isn't pending is refused."""
-        link = self.read("links").where((F.col("provider_id") == provider_id) & (F.col("player_id") == player_id) & (F.col("state") == "pending"))
-        if link.isEmpty():
-            raise ValueError(f"no pending link of {provider_id} to {player_id}")
-        self.merge("links", link.withColumn("state", F.lit("approved" if approve else "rejected")).withColumn("decided_at", F.current_timestamp()), ["provider_id", "player_id"])
-
-    def promote(self, family: str, version: str) -> None:
-        """Make a candidate the champion; the champion of before becomes the previous one."""
-        m = self.read("models").where(F.col("family") == family)
-        if m.where((F.col("version") == version) & (F.col("role") != "champion")).isEmpty():
-            raise ValueError(f"{version} is no candidate of {family}")
-        role = F.when(F.col("version") == version, "champion").when(F.col("role") == "champion", "previous").when(F.col("role") == "previous", "retired").otherwise(F.col("role"))
-        self.merge("models", m.withColumn("role", role), ["family", "version"])
 
-    def rollback(self, family: str) -> str:
-        """Bring back the champion of before; refused where there is none."""
-        m = self.read("models").where(F.col("family") == family)
-        last = m.where("role = 'previous'").orderBy(F.col("created_at").desc()).limit(1).collect()
-        if not last:
-            raise ValueError(f"{family} has no previous version")
-        self.promote(family, last[0].version)
-        return last[0].version
+        def work(tx: Transaction) -> None:
+            link = tx.read("links").where((F.col("provider_id") == provider_id) & (F.col("player_id") == player_id) & (F.col("state") == "pending"))
+            if link.isEmpty():
+                raise ValueError(f"no pending link of {provider_id} to {player_id}")
+            tx.merge("links", link.withColumn("state", F.lit("approved" if approve else "rejected")).withColumn("decided_at", F.current_timestamp()), ["provider_id", "player_id"])
 
-    def set_model_config(self, family: str, config: dict) -> str:
-        text = strict_json(config)
-        version = hashlib.sha256(text.encode()).hexdigest()[:12]
-        self._enter_model(family, version, "config", text)
-        return version
+        self.log.transact(work)
 
     def evaluation_run(self, verdict: Callable[[], DataFrame]) -> str:
         return self.run("evaluation_run", lambda: verdict().first().verdict)
 
 
+def _content(model) -> dict:
+    """What a fitted pipeline is, without the names that change from fit to fit."""
+    out = []
+    for s in model.stages:
+        told = {p.name: s.getOrDefault(p) for p in s.params if s.isDefined(p)}
+        told = {k: v if isinstance(v, int | float | str | bool | list) or v is None else str(v) for k, v in told.items() if s.uid not in str(v)}
+        fitted = s.toDebugString.split("\n", 1)[-1] if hasattr(s, "toDebugString") else str(getattr(s, "coefficients", "")) + str(getattr(s, "intercept", ""))
+        weights = [float(x) for x in getattr(s, "treeWeights", [])]
+        out.append({"stage": type(s).__name__, "params": told, "fitted": fitted, "weights": weights})
+    return {"stages": out}
+
+
 def migrate_state(state: DataFrame, start: dict[str, float]) -> DataFrame:
     """A state without some of its parts gets their start values."""
     return state.select("*", *(F.lit(v).alias(k) for k, v in start.items() if k not in state.columns))

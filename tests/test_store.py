@@ -76,7 +76,23 @@ def test_models_are_promoted_and_rolled_back(store):
         store.promote("value", one)
     with pytest.raises(ValueError):
         store.model_rebuild("value", lambda: {"a": math.nan})
-    assert store.set_model_config("value", {"x": 1}) in roles()
+    config = store.set_model_config("value", {"x": 1})
+    assert store.set_model_config("value", {"x": 1}) == config not in roles() and store.read("configs").count() == 1
+    with pytest.raises(ValueError, match="no candidate"):
+        store.promote("value", config)
+
+
+def test_a_rebuild_keeps_the_role_of_a_version_that_is_there(store):
+    one = store.model_rebuild("value", lambda: {"a": 1.0})
+    two = store.model_rebuild("value", lambda: {"a": 2.0})
+    store.promote("value", one)
+    store.promote("value", two)
+    for a in (1.0, 2.0, 2.0):
+        store.model_rebuild("value", lambda a=a: {"a": a})
+    assert {r.version: r.role for r in store.read("models").collect()} == {one: "previous", two: "champion"}
+    assert store.production("value") == two and store.production("other") is None
+    with pytest.raises(ValueError, match="no candidate"):
+        store.promote("value", one)  # comes back by rollback only
 
 
 def test_profiles_imports_and_links(spark, store, tmp_path):
@@ -91,6 +107,7 @@ def test_profiles_imports_and_links(spark, store, tmp_path):
     with pytest.raises(Exception):
         store.import_benchmark(f"file://{tmp_path}/b.csv")
     (tmp_path / "b.csv").write_text("provider,player_id,season,week,projected\np,a,2023,1,7.5\n")
+    assert store.import_overrides(f"file://{tmp_path}/o.csv") == 0 and store.read("overrides").count() == 1  # the same file again
     assert store.import_benchmark(f"file://{tmp_path}/b.csv") == 1 and store.read("benchmarks").first().observed_at is not None
     store.append("links", spark.createDataFrame([("x", "a", 0.5, "pending", None), ("x", "b", 0.4, "pending", None)], st.TABLES["links"][0]))
     store.decide_link("x", "a", True)
