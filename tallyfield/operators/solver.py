@@ -10,7 +10,6 @@ the blocks of its own, and each solve starts from the last one's solution.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -187,6 +186,49 @@ def stretches(blocks: DataFrame, slots: list[tuple[int, int]], origins: list[tup
     return own.unionByName(base)
 
 
+class Entries:
+    """Sums (i, j, v) that came to a task, as numbers: columns in byte order."""
+
+    def __init__(self, t: pa.Table) -> None:
+        i, j = t["i"].combine_chunks().dictionary_encode(), t["j"].combine_chunks()
+        names = np.array(i.dictionary.to_pylist(), object)
+        order = np.argsort(names)
+        rank = np.empty(len(names), np.int64)
+        rank[order] = np.arange(len(names))
+        self.names, self.v = names[order], t["v"].to_numpy()
+        self.row = rank[i.indices.to_numpy(zero_copy_only=False)]
+        self.right = ~j.is_valid().to_numpy(zero_copy_only=False)
+        place = {x: k for k, x in enumerate(self.names)}
+        self.col = np.array([place[x] if x is not None else -1 for x in j.to_pylist()], np.int64)
+        self.factor = np.array([next((f for k, f in PENALTY.items() if x.startswith(k)), TEAM) for x in self.names])
+
+    def solve(self, use: np.ndarray, lam: float, start: np.ndarray) -> np.ndarray:
+        """Ridge of the sums in ``use``; columns that they don't know come out as 0."""
+        n = len(self.names)
+        e, right = use & ~self.right, use & self.right
+        pair, inverse = np.unique(self.row[e] * n + self.col[e], return_inverse=True)
+        own = np.arange(n)
+        rows, cols = np.concatenate((pair // n, own)), np.concatenate((pair % n, own))
+        vals = np.concatenate((np.bincount(inverse, self.v[e], len(pair)), lam * self.factor))
+        return sparse_ridge(rows, cols, vals, np.bincount(self.row[right], self.v[right], n), start)
+
+
+def solve_by(gram: DataFrame, keys: list[str], lam: float) -> DataFrame:
+    """Ratings (keys, col, rating) of one system per key, each in a task; a task holds the
+    sums of its system, not its plays."""
+    package_on_workers(gram.sparkSession)
+    kinds = {f.name: f.dataType.simpleString() for f in gram.schema if f.name in keys}
+
+    def solve(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
+        e = Entries(t)
+        beta = e.solve(np.ones(len(e.v), bool), lam, np.zeros(len(e.names)))
+        given = [pa.array([k.as_py()] * len(beta), k.type) for k in key]
+        return pa.table([*given, pa.array(e.names.tolist(), pa.string()), pa.array(beta)], [*keys, "col", "rating"])
+
+    sums = gram.groupBy(*keys, "i", "j").agg(F.sum("v").alias("v"))
+    return sums.groupBy(*keys).applyInArrow(solve, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", col string, rating double")
+
+
 def solve_stretches(dealt: DataFrame, slots: list[tuple[int, int]], origins: list[tuple[int, int]], size: int, lam: float) -> DataFrame:
     """Ratings (season, week, col, rating) at every origin, each stretch in a task of its own.
 
@@ -197,32 +239,16 @@ def solve_stretches(dealt: DataFrame, slots: list[tuple[int, int]], origins: lis
     number = {s: k for k, s in enumerate(slots)}
 
     def solve(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        i, j = t["i"].combine_chunks().dictionary_encode(), t["j"].combine_chunks()
-        slot, v = t["slot"].to_numpy(), t["v"].to_numpy()
-        names = np.array(i.dictionary.to_pylist(), object)
-        order = np.argsort(names)
-        rank = np.empty(len(names), np.int64)
-        rank[order] = np.arange(len(names))
-        names = names[order]
-        a = rank[i.indices.to_numpy(zero_copy_only=False)]
-        entry = j.is_valid().to_numpy(zero_copy_only=False)
-        place = {x: k for k, x in enumerate(names)}
-        c = np.array([place[x] if x is not None else -1 for x in j.to_pylist()])
-        factor = np.array([next((f for k, f in PENALTY.items() if x.startswith(k)), TEAM) for x in names])
-        beta = np.zeros(len(names))
-        out: list[Iterator] = []
+        e, slot = Entries(t), t["slot"].to_numpy()
+        beta = np.zeros(len(e.names))
+        out: list[tuple] = []
         stretch = key[0].as_py()
         for origin in origins[stretch * size : (stretch + 1) * size]:
             use = slot < number[origin]
-            e, right = use & entry, use & ~entry
-            known = np.zeros(len(names), bool)
-            known[a[use]] = True
-            pair, inverse = np.unique(a[e] * len(names) + c[e], return_inverse=True)
-            vals = np.bincount(inverse, v[e], len(pair))
-            own = np.arange(len(names))
-            rows, cols = np.concatenate((pair // len(names), own)), np.concatenate((pair % len(names), own))
-            beta = sparse_ridge(rows, cols, np.concatenate((vals, lam * factor)), np.bincount(a[right], v[right], len(names)), beta)
-            out.append((np.full(known.sum(), origin[0]), np.full(known.sum(), origin[1]), names[known], beta[known]))
+            beta = e.solve(use, lam, beta)
+            known = np.zeros(len(e.names), bool)
+            known[e.row[use]] = True
+            out.append((np.full(known.sum(), origin[0]), np.full(known.sum(), origin[1]), e.names[known], beta[known]))
         parts = [np.concatenate(x) for x in zip(*out)]
         return pa.table([pa.array(x, k) for x, k in zip(parts, (pa.int32(), pa.int32(), pa.string(), pa.float64()))], ["season", "week", "col", "rating"])
 
