@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfield.operators.asof import AsOf
@@ -57,12 +57,12 @@ def priors(feeder: DataFrame, slope: float, intercept: float, age: str | None =
     return feeder.select("player_id", "position", "is_rookie", "feeder_sv", mean.alias("prior_mean"), (sd * sd).alias("prior_var"), sd.alias("prior_sd"))
 
 
-def washout(spark, obs_var: float, games: tuple[int, ...] = (1, 2, 4, 6, 8, 12)) -> DataFrame:
-    """Weight of the prior after so many games, a row per position and number of games."""
-    rows = [(p, sd, g) for p, sd in PRIOR_SD.items() for g in games]
-    df = spark.createDataFrame(rows, "position string, prior_sd double, games int")
+def washout(noise: DataFrame, games: tuple[int, ...] = (1, 2, 4, 6, 8, 12)) -> DataFrame:
+    """Weight of the prior after so many games, a row per position of ``noise`` (position,
+    obs_var a game) and number of games."""
+    df = noise.withColumn("prior_sd", lookup(F.col("position"), PRIOR_SD, OTHER_SD)).select("*", F.explode(F.array(*map(F.lit, games))).alias("games"))
     inverse = 1 / (F.col("prior_sd") * F.col("prior_sd"))
-    return df.withColumn("weight", inverse / (inverse + F.col("games") / F.lit(obs_var)))
+    return df.withColumn("weight", inverse / (inverse + F.col("games") / F.col("obs_var")))
 
 
 def volume(stats: DataFrame, at: AsOf, k: float = 8.0, overrides: dict[str, dict[str, float]] | None = None) -> DataFrame:
@@ -81,15 +81,41 @@ def volume(stats: DataFrame, at: AsOf, k: float = 8.0, overrides: dict[str, dict
     return out
 
 
-def shrunk_rate(events: str, exposure: str, by: str = "position") -> tuple[Column, Column]:
-    """Gamma-Poisson shrinkage: rate and prior exposure k from four sums of the group."""
-    w = Window.partitionBy(by)
-    n, total, expo = F.count("*").over(w), F.sum(events).over(w), F.sum(exposure).over(w)
-    mean = total / expo
-    spread = F.sum(F.pow(F.col(events) / F.col(exposure) - mean, 2) * F.col(exposure)).over(w)
-    between = F.greatest((spread - (n - 1) * mean) / (expo - F.sum(F.pow(exposure, F.lit(2))).over(w) / expo), F.lit(1e-9))
-    prior = mean / between
-    return (F.col(events) + prior * mean) / (F.col(exposure) + prior), prior
+class DegeneratePool(ValueError):
+    """Players of a position don't differ in a driver by more than chance."""
+
+
+def volume_pools(usage: DataFrame, drivers: list[str] = VOLUME) -> DataFrame:
+    """Gamma-Poisson pools (position, driver, n, mean, between, k) of players' usage.
+
+    ``usage`` has player_id, position, games (exposure) and the drivers' totals over them.
+    Four sums a pool: players, exposure, events, and squared events over exposure. ``k`` is the
+    prior's weight in games, by moments; null where players differ by no more than chance.
+    """
+    pairs = F.array(*(F.struct(F.lit(d).alias("driver"), F.coalesce(F.col(d), F.lit(0)).cast("double").alias("y")) for d in drivers))
+    long = usage.where(F.col("games") > 0).select("position", F.col("games").cast("double").alias("g"), F.explode(pairs).alias("e")).select("position", "g", "e.driver", "e.y")
+    sums = long.groupBy("position", "driver").agg(F.count("*").alias("n"), F.sum("g").alias("g"), F.sum("y").alias("y"), F.sum(F.col("y") * F.col("y") / F.col("g")).alias("q"))
+    mean = F.col("y") / F.col("g")
+    between = (F.col("q") - F.col("y") * F.col("y") / F.col("g")) / F.col("g") - mean * F.col("n") / F.col("g")
+    pools = sums.select("position", "driver", "n", mean.alias("mean"), between.alias("between"))
+    return pools.withColumn("k", F.when(F.col("between") > 0, F.col("mean") / F.col("between")))
+
+
+def expected_volume(usage: DataFrame, pools: DataFrame, drivers: list[str] = VOLUME, degenerate: str = "raise") -> DataFrame:
+    """Usage a game of every player with exposure: the pool's mean and the player's own, weighted
+    by k and by games.
+
+    A pool without k is a ``DegeneratePool``; with ``degenerate="mean"`` its players take the
+    pool's mean instead. Pools are a row a position and driver.
+    """
+    if degenerate not in ("raise", "mean"):
+        raise ValueError(f"degenerate={degenerate}")
+    if degenerate == "raise" and (bad := pools.where("k is null").limit(1).collect()):
+        raise DegeneratePool(f"{bad[0].driver} of {bad[0].position}")
+    wide = pools.groupBy("position").agg(*(F.max(F.when(F.col("driver") == d, F.struct("mean", "k"))).alias(f"_{d}") for d in drivers))
+    j = usage.where(F.col("games") > 0).join(wide, "position")
+    own = lambda d: (F.coalesce(F.col(d), F.lit(0)) + F.col(f"_{d}.k") * F.col(f"_{d}.mean")) / (F.col("games") + F.col(f"_{d}.k"))
+    return j.select("player_id", "position", "games", *(F.coalesce(own(d), F.col(f"_{d}.mean")).alias(d) for d in drivers))
 
 
 def rate_sums(frame: DataFrame, features: list[str] = FEATURES) -> DataFrame:

@@ -57,11 +57,12 @@ def tiers(valued: DataFrame, max_gap: float = 0.10, by: Iterable[str] = ()) -> D
     return df.withColumn("tier", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0)) + 1).drop("_cut")
 
 
-def snake_order(spark: SparkSession, teams: int, rounds: int) -> DataFrame:
-    """(pick, round, team) of a snake draft, all from 1."""
-    n = spark.range(teams * rounds)
-    r, i = F.expr(f"id div {teams}"), F.col("id") % teams
-    return n.select((F.col("id") + 1).alias("pick"), (r + 1).alias("round"), F.when(r % 2 == 0, i + 1).otherwise(teams - i).alias("team"))
+def snake_order(leagues: DataFrame, rounds: int) -> DataFrame:
+    """(pick, round, team) of a snake draft, all from 1, for every row of ``leagues``, which has
+    ``teams``; its other columns stay."""
+    n = leagues.withColumn("_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("teams") * rounds - 1)))
+    r, i = F.expr("_id div teams"), F.col("_id") % F.col("teams")
+    return n.select(*leagues.columns, (F.col("_id") + 1).alias("pick"), (r + 1).alias("round"), F.when(r % 2 == 0, i + 1).otherwise(F.col("teams") - i).alias("team"))
 
 
 def within_reach(ranked: DataFrame, picks: int, by: list[str]) -> DataFrame:

@@ -281,10 +281,11 @@ def _content(rules: dict[str, float]) -> str:
     return hashlib.sha256(json.dumps(rules, sort_keys=True).encode()).hexdigest()[:16]
 
 
-@query("SELECT * FROM (VALUES ('House', 'custom'), " + ", ".join(f"('{n}', '{_content(r)}')" for n, r in v.PROFILES.items()) + ") t(name, content)")
+@query("SELECT DISTINCT c_mktsegment AS name, 'custom' AS content FROM customer UNION ALL SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{_content(r)}')" for n, r in v.PROFILES.items()) + ") t(name, content)")
 def k9_preset_formats(spark, d):
-    """Presets are entered by name over what a stale one said; other formats stay."""
-    old = spark.createDataFrame([("House", "custom"), ("Full PPR", "stale")], "name string, content string")
+    """Presets are entered by name over what a stale one said; the customers' formats stay."""
+    own = v.read(spark, d, "customer").select(F.col("c_mktsegment").alias("name"), F.lit("custom").alias("content")).distinct()
+    old = own.unionByName(spark.createDataFrame([("Full PPR", "stale")], "name string, content string"))
     new = spark.createDataFrame([(n, _content(r)) for n, r in v.PROFILES.items()], "name string, content string")
     return asof.merge_rows(asof.merge_rows(old, new, ["name"]), new, ["name"])
 

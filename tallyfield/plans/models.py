@@ -327,6 +327,13 @@ def m14_changepoints(spark, d):
 
 # --- projection --------------------------------------------------------------------------
 
+
+def usage(spark, d):
+    """Active weeks and usage before the origin: the season to date and the two before."""
+    known = v.player_stats(spark, d).where(AT.outcome & (F.col("season") >= AT.season - 2))
+    return known.groupBy("player_id", "position").agg(F.count_distinct("season", "week").alias("games"), *(F.sum(c).alias(c) for c in projection.VOLUME))
+
+
 FEEDER = """feeder AS (SELECT player_id, position, CAST(substr(player_id, 2) AS BIGINT) % 5 = 0 AS is_rookie, sum(targets) / 100.0::DOUBLE AS feeder_sv, CAST(20 + CAST(substr(player_id, 2) AS BIGINT) % 15 AS INTEGER) AS age, CAST(CAST(substr(player_id, 2) AS BIGINT) % 8 AS INTEGER) AS draft FROM player_stats WHERE season = 2022 GROUP BY ALL),
 rat AS (SELECT player_id, avg(points) AS rating FROM history WHERE season = 2023 GROUP BY player_id)"""
 
@@ -359,9 +366,12 @@ def m17_priors(spark, d):
     return projection.priors(feeder(spark, d), 0.25, 0.5, "age", "draft").select("player_id", "position", R("prior_mean"), "prior_sd")
 
 
-@query("""SELECT position, g AS games, round((1 / (sd * sd)) / (1 / (sd * sd) + g / 0.02::DOUBLE), 8) AS weight FROM (VALUES ('QB', 0.16::DOUBLE), ('RB', 0.07), ('WR', 0.08), ('TE', 0.06), ('DEF', 0.07)) p(position, sd), (VALUES (1), (2), (4), (6), (8), (12)) q(g)""")
+@query(with_("history", """SELECT position, g AS games, round((1 / (sd * sd)) / (1 / (sd * sd) + g / r), 8) AS weight FROM (SELECT position, CASE position WHEN 'QB' THEN 0.16::DOUBLE WHEN 'RB' THEN 0.07 WHEN 'WR' THEN 0.08 ELSE 0.06 END AS sd, var_samp(points / 20) AS r
+FROM history WHERE season = 2022 GROUP BY position), (VALUES (1), (2), (4), (6), (8), (12)) q(g)"""))
 def m18_washout(spark, d):
-    return projection.washout(spark, 0.02).select("position", "games", R("weight"))
+    """How fast a prior gives way, with the noise of a game as the season before shows it."""
+    noise = v.history(spark, d).where("season = 2022").groupBy("position").agg(F.var_samp(F.col("points") / 20).alias("obs_var"))
+    return projection.washout(noise).select("position", "games", R("weight"))
 
 
 _VOL = f"""agg AS (SELECT player_id, position, season, count(DISTINCT week) AS games, {', '.join(f'sum({c}) / count(DISTINCT week)::DOUBLE AS {c}' for c in projection.VOLUME)} FROM player_stats WHERE {MAY} AND season < 2023 GROUP BY ALL),
@@ -374,6 +384,26 @@ def m19_volume(spark, d):
     return projection.volume(v.player_stats(spark, d), AT).select("player_id", "position", "games", *(R(c) for c in projection.VOLUME))
 
 
+_Q4 = f"""us AS (SELECT player_id, position, count(DISTINCT (season, week))::DOUBLE AS g, {', '.join(f'sum({c})::DOUBLE AS {c}' for c in projection.VOLUME)} FROM player_stats WHERE {MAY} AND season >= 2021 GROUP BY ALL),
+lg AS (SELECT player_id, position, g, driver, y FROM us UNPIVOT (y FOR driver IN ({', '.join(projection.VOLUME)}))),
+pl AS (SELECT position, driver, count(*) AS n, sum(y) / sum(g) AS mean, (sum(y * y / g) - sum(y) * sum(y) / sum(g)) / sum(g) - sum(y) / sum(g) * count(*) / sum(g) AS between_ FROM lg GROUP BY ALL)"""
+
+
+@query(with_("player_stats", "SELECT position, driver, n, round(mean, 8) AS mean, round(between_, 8) AS \"between\", CASE WHEN between_ > 0 THEN round(mean / between_, 6) END AS k FROM pl", _Q4))
+def q4_volume_pools(spark, d):
+    """Strength of the shrinkage of each position and driver, in games."""
+    p = projection.volume_pools(usage(spark, d))
+    return p.select("position", "driver", "n", R("mean"), R("between"), F.round("k", 6).alias("k"))
+
+
+@query(with_("player_stats", "SELECT l.player_id, l.position, l.driver, round(CASE WHEN between_ > 0 THEN (y + mean / between_ * mean) / (g + mean / between_) ELSE mean END, 8) AS expected FROM lg l JOIN pl USING (position, driver)", _Q4))
+def q4_expected_volume(spark, d):
+    """Posterior usage a game of every player with exposure; pools without spread give their mean."""
+    u = usage(spark, d)
+    e = projection.expected_volume(u, projection.volume_pools(u), degenerate="mean")
+    return e.unpivot(["player_id", "position"], projection.VOLUME, "driver", "expected").withColumn("expected", F.round("expected", 8))
+
+
 @query(with_("history", "SELECT position, count(*) AS n, round(regr_slope(points, rating), 8) AS slope, round(regr_intercept(points, rating), 8) AS intercept FROM history JOIN rat USING (player_id) WHERE season = 2022 GROUP BY position HAVING count(*) >= 10 AND max(rating) > min(rating)", FEEDER))
 def m23_points_map(spark, d):
     f = v.history(spark, d).where("season = 2022").join(ratings(spark, d), "player_id")
@@ -453,9 +483,12 @@ def e4_crps(spark, d):
     return cells(spark, d).groupBy("position").agg(F.round(F.avg(evaluation.crps(A(), P(), S())), 5).alias("crps"))
 
 
-@query(f"SELECT p, round({normal.ppf_sql('p')}, 8) AS z FROM (SELECT id / 1000.0::DOUBLE AS p FROM range(1, 1000) t(id))")
+@query(with_("history", f"SELECT player_id, season, week, round({normal.ppf_sql('p')}, 8) AS z FROM (SELECT *, (row_number() OVER (PARTITION BY position, season ORDER BY points, player_id, week) - 0.5::DOUBLE) / count(*) OVER (PARTITION BY position, season) AS p FROM history)"))
 def f_normal_quantile(spark, d):
-    return spark.range(1, 1000).select((F.col("id") / 1000).alias("p")).select("p", R(normal.ppf_column(F.col("p")), "z"))
+    """Normal scores of points within position and season."""
+    w = Window.partitionBy("position", "season")
+    p = (F.row_number().over(w.orderBy("points", "player_id", "week")) - 0.5) / F.count("*").over(w)
+    return v.history(spark, d).withColumn("p", p).select("player_id", "season", "week", R(normal.ppf_column(F.col("p")), "z"))
 
 
 def ranked_cells(spark, d):

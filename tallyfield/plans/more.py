@@ -75,9 +75,11 @@ _VOCABULARY = """SELECT component, unnest(CASE who WHEN 'all' THEN ['QB', 'RB',
  ('fumbles_lost', 'all', 'count'), ('two_point_conversions', 'all', 'count')) t(component, who, unit)"""
 
 
-@query(_VOCABULARY)
+@query(with_("player_stats", f"SELECT vc.*, coalesce(n, 0) AS n_players FROM ({_VOCABULARY}) vc LEFT JOIN (SELECT position, count(DISTINCT player_id) AS n FROM player_stats GROUP BY 1) USING (position)"))
 def p18_components(spark, d):
-    return records.component_table(spark)
+    """Which components a position may have, and how many players of it there are."""
+    have = v.player_stats(spark, d).groupBy("position").agg(F.count_distinct("player_id").alias("n_players"))
+    return records.component_table(spark).join(have, "position", "left").na.fill(0, ["n_players"])
 
 
 @query("SELECT c_nationkey AS k, min(c_custkey) AS first FROM customer GROUP BY 1")

@@ -297,9 +297,11 @@ def d2_tiers(spark, d):
     return valuation.tiers(valued(spark, d), by=["format"]).select("format", "player_id", "rank", "tier")
 
 
-@query("SELECT id + 1 AS pick, id // 12 + 1 AS round, CASE WHEN (id // 12) % 2 = 0 THEN id % 12 + 1 ELSE 12 - id % 12 END AS team FROM range(180) t(id)")
+@query(with_("plays", "SELECT season, id + 1 AS pick, id // n + 1 AS round, CASE WHEN (id // n) % 2 = 0 THEN id % n + 1 ELSE n - id % n END AS team FROM (SELECT season, n, unnest(range(n * 15)) AS id FROM (SELECT season, count(DISTINCT off_team) AS n FROM plays GROUP BY 1))"))
 def d4_snake_order(spark, d):
-    return valuation.snake_order(spark, 12, 15)
+    """A draft of 15 rounds for the teams of each season."""
+    leagues = v.plays(spark, d).groupBy("season").agg(F.count_distinct("off_team").alias("teams"))
+    return valuation.snake_order(leagues, 15).select("season", "pick", "round", "team")
 
 
 @query()

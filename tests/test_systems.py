@@ -236,3 +236,40 @@ def test_interactions_equal_a_dense_design(spark):
             assert all(got[k] == pytest.approx(want.get(k, 0.0), abs=1e-9) for k in got)
         support = {(r.a, r.b): r.n for r in attribution.pair_support(plays, players).collect()}
         assert support == {p: met[p] for p in kept}
+
+
+def test_volume_pools_by_hand(spark):
+    from tallyfield.operators import projection
+
+    rng = np.random.default_rng(5)
+    rows, want = [], {}
+    for pos, rate in (("QB", (20.0, 6.0)), ("WR", (4.0, 2.0))):
+        y, g = [], []
+        for i in range(40):
+            games = int(rng.integers(0, 17))
+            total = int(rng.poisson(max(rng.normal(*rate), 0.1) * games)) if games else 0
+            rows.append((f"{pos}{i}", pos, games, total, 3 * games, None))
+            if games:
+                y.append(total), g.append(games)
+        y, g = np.array(y, float), np.array(g, float)
+        mean = y.sum() / g.sum()
+        s2 = (g * (y / g - mean) ** 2).sum() / g.sum()
+        tau = s2 - mean * len(g) / g.sum()
+        want[pos] = (mean, tau, mean / tau)
+    usage = spark.createDataFrame(rows, "player_id string, position string, games int, pass_attempts int, rush_attempts int, targets int")
+    pools = projection.volume_pools(usage)
+    got = {(r.position, r.driver): r for r in pools.collect()}
+    for pos, (mean, tau, k) in want.items():
+        r = got[pos, "pass_attempts"]
+        assert (r["mean"], r.between, r.k) == pytest.approx((mean, tau, k))
+        assert got[pos, "rush_attempts"].k is None and got[pos, "targets"].k is None  # all alike
+    with pytest.raises(projection.DegeneratePool):
+        projection.expected_volume(usage, pools)
+    e = {r.player_id: r for r in projection.expected_volume(usage, pools, degenerate="mean").collect()}
+    assert e.keys() == {r[0] for r in rows if r[2]}
+    for who, pos, games, total, *_ in rows:
+        if games:
+            mean, _, k = want[pos]
+            assert e[who].pass_attempts == pytest.approx((total + k * mean) / (games + k)) and e[who].rush_attempts == pytest.approx(3.0) and e[who].targets == 0
+    one = projection.volume_pools(usage.where("position = 'QB'"), ["pass_attempts"])
+    assert projection.expected_volume(usage.where("position = 'QB'"), one, ["pass_attempts"]).count() > 30
