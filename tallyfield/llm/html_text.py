@@ -13,9 +13,13 @@ beside what holds it, belong to it.
 
 Elements that never hold an article's text (menus, forms, scripts, page headers and footers,
 adverts, notices, comments) are not measured: by their tag, or by a token of their class, id or
-role whose last word, but for words like "box" or "list", is one of ``NOISE``. One that holds
+role whose last word, but for words like "box" or "list", is one of ``NOISE``. Words of
+``FURNITURE`` (a menu, a search) may name what a text is about: such a part goes if a third of it
+is links or it has no paragraph of ``PARAGRAPH`` characters. An element that holds
 a main element, an article or a first heading is a frame round the page and stays, unless
-it is about comments; where nothing else has text, what holds the densest node stays.
+it is about comments, and so does a form with more plain text than all the rest; where nothing
+else has text, what holds the densest node stays. Of articles side by side all are taken, but for
+such as are mostly links.
 
 Nulls and odd input: a null or empty page, and a page without text, give an empty string;
 unclosed and stray tags follow HTML's rules for implied ends; a very long or deep page is read
@@ -68,11 +72,14 @@ ENDS: dict[str, tuple[frozenset[str], frozenset[str]]] = {
 }
 # Last words of a class, id or role token that mark a part of the page as no article text.
 NOISE = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu menubar "
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner "
     "breadcrumb breadcrumbs sidebar footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe "
-    "subscription signup login search share sharing social related recommended recommendations pagination pager toolbar widget "
+    "subscription signup related recommended recommendations pagination pager widget "
     "widgets complementary contentinfo".split()
 )
+# Words that name furniture of a page or what a part of the text is about: the text decides.
+FURNITURE = frozenset("nav navbar navigation menu menubar login search share sharing social toolbar".split())
+PARAGRAPH = 60  # characters of a paragraph that furniture doesn't have
 COMMENTS = frozenset("comment comments commentlist disqus respond reply replies".split())
 HEADS = frozenset({"header", "masthead", "banner"})
 # Words that may follow those in a token, and words that make a token speak of something else.
@@ -92,7 +99,7 @@ class Node:
 
 
 def token_kind(token: str, in_article: bool) -> str:
-    """"comments" or "noise" if a class token says so, else an empty string."""
+    """"comments", "noise" or "furniture" if a class token says so, else an empty string."""
     words = [w.lower() for w in SPLIT.split(token) if w]
     if not words or words[0] in ABOUT:
         return ""
@@ -100,12 +107,14 @@ def token_kind(token: str, in_article: bool) -> str:
         words.pop()
     if words[-1] in COMMENTS:
         return "comments"
+    if words[-1] in FURNITURE:
+        return "furniture"
     return "noise" if words[-1] in NOISE or not in_article and words[-1] in HEADS else ""
 
 
 def noise_kind(tag: str, attrs: str, in_article: bool) -> str:
     """Why an element is no article text: "never", "frame" (if it may be one round the page),
-    "comments", or an empty string if it is."""
+    "comments", "furniture" (if its text is like that), or an empty string if it is."""
     if tag in DROP:
         return "frame" if tag in FRAMING else "never"
     if tag == "header" and not in_article:
@@ -123,6 +132,8 @@ def noise_kind(tag: str, attrs: str, in_article: bool) -> str:
                 return "comments"
             if "noise" in kinds and tag != "article":
                 return "frame"
+            if "furniture" in kinds and tag != "article":
+                return "furniture"
     return ""
 
 
@@ -192,9 +203,57 @@ def parse(page: str) -> Node:
                 up.holds = True
                 up = up.parent
         stack.append(node)
+    settle(root)
     return root
 
 
+def text_of(node: Node) -> tuple[int, int, int]:
+    """Characters below a node, those in links, and those of its longest paragraph or run of
+    text outside links, without what is dropped."""
+    chars = links = longest = 0
+    todo = [(node, False)]
+    while todo:
+        n, link = todo.pop()
+        here = 0
+        for x in n.items:
+            if isinstance(x, str):
+                here += len(" ".join(x.split()))
+            elif not dropped(x):
+                todo.append((x, link or x.tag == "a"))
+                if x.tag in FORMAT and x.tag != "a":
+                    here += sum(len(" ".join(y.split())) for y in x.items if isinstance(y, str))
+        chars += sum(len(" ".join(x.split())) for x in n.items if isinstance(x, str))
+        if link:
+            links += sum(len(" ".join(x.split())) for x in n.items if isinstance(x, str))
+        else:
+            longest = max(longest, here)
+    return chars, links, longest
+
+
+def settle(root: Node) -> None:
+    """Decide what may be furniture by its text (it has many links or no real paragraph), and
+    open a form that holds more plain text than all the rest of the page."""
+    order, forms, todo = [], [], [root]
+    while todo:
+        n = todo.pop()
+        if n.noise == "furniture":
+            order.append(n)
+        if n.tag in ("form", "fieldset") and n.noise == "frame" and not n.holds:
+            forms.append(n)
+        todo.extend(reversed([x for x in n.items if not isinstance(x, str) and x.noise not in ("never", "comments")]))
+    for n in reversed(order):  # inner ones first
+        n.noise = ""
+        chars, links, longest = text_of(n)
+        if longest < PARAGRAPH or 3 * links > chars:
+            n.noise = "frame"
+    if forms:
+        chars, links, _ = text_of(root)
+        for n in forms:
+            mine, my_links, longest = text_of(n)
+            if mine - my_links > chars - links and longest >= PARAGRAPH:
+                n.noise = ""
+
+
 def dropped(node: Node) -> bool:
     return bool(node.noise) and not (node.noise == "frame" and node.holds)
 
@@ -288,7 +347,7 @@ def main_nodes(root: Node) -> list[Node]:
     shared = path_of(marked[0])
     for n in marked[1:]:
         shared = [a for a, b in zip(shared, path_of(n)) if a is b]
-    chosen = [widened(n) for n in (marked if shared[-1] is root else [shared[-1]])]
+    chosen = with_siblings([widened(n) for n in (marked if shared[-1] is root else [shared[-1]])])
     # headings before a chosen subtree, beside it or beside what holds it
     taken = {id(n) for n in chosen}
     heads: set[int] = set()
@@ -310,6 +369,16 @@ def main_nodes(root: Node) -> list[Node]:
     return out
 
 
+def with_siblings(chosen: list[Node]) -> list[Node]:
+    """A page of several articles has them side by side: those beside a chosen one too, but
+    for such as are mostly links."""
+    out = list(chosen)
+    for n in chosen:
+        if n.tag == "article" and n.parent is not None:
+            out += [x for x in kept_children(n.parent) if x.tag == "article" and x.chars and 2 * x.link_chars <= x.chars and not any(x is y for y in out)]
+    return out
+
+
 def open_densest(root: Node) -> None:
     """Where all text is in elements that don't count: let in those round the densest node of
     them, but for what never holds text."""

@@ -487,3 +487,31 @@ def test_pages_without_text(spark):
     got = extract_pages(d).collect()
     assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, len("\n\n".join(WANT))), (1, 0), (2, 5), (2, 5), (3, 4)]
     assert all(r.n_chars == len(r.text) for r in got) and extract_pages(d.where("false")).collect() == []
+
+
+def ordinary(about, n=3):
+    return "".join(f"<p>Ordinary sentence number {i} about {about}, long enough to be a paragraph of an article and not a label.</p>" for i in range(n))
+
+
+def test_a_form_round_an_article_and_a_line_outside():
+    t = main_text(f'<body><form id="aspnetForm"><div>{ordinary("forms")}</div></form><div class="bottom">Copyright 2020 Somebody</div></body>')
+    assert t.count("about forms") == 3
+    t = main_text(f'<body><div>{ordinary("text", 4)}</div><form><p>Leave your address here and we will write to you about nothing at all.</p><input></form></body>')
+    assert t.count("about text") == 4 and "address" not in t
+
+
+@pytest.mark.parametrize("tag", ['<section class="share">', '<section id="methods-search">', '<div class="section-social">', '<div class="menu">'])
+def test_parts_named_like_furniture(tag):
+    end = tag[1:].split()[0]
+    around = lambda inner: f"<body><article><h1>T</h1>{ordinary('one', 4)}{tag}{inner}</{end}>{ordinary('two', 2)}</article></body>"
+    t = main_text(around(ordinary("inner", 1)))
+    assert "about inner" in t and t.count("about one") == 4 and t.count("about two") == 2
+    t = main_text(around('<a href="/a">Share it on A</a> <a href="/b">Share it on B</a> or <b>copy</b>'))
+    assert "Share it" not in t and "copy" not in t and t.count("about two") == 2
+
+
+def test_articles_side_by_side_are_all_taken():
+    cards = "".join(f'<article><a href="/{i}">Another story that one could read next, number {i} of many</a></article>' for i in range(4))
+    t = main_text(f"<body><article><h2>A</h2>{ordinary('first', 5)}</article><article><h2>B</h2>{ordinary('second', 1)}</article>{cards}</body>")
+    assert t.count("about first") == 5 and t.count("about second") == 1 and "Another story" not in t
+    assert t.index("about first") < t.index("about second")
