@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyfield import views as v
-from tallyfield.operators import attribution, solver, teams
+from tallyfield.operators import attribution, evaluation, forecast, solver, teams, verdict
 from tallyfield.operators.asof import AsOf
-from tallyfield.plans.models import CELLS, DV, GRAM, TRIPLETS, valued
+from tallyfield.plans.models import CELLS, DV, GRAM, TRIPLETS, states, valued
 from tallyfield.registry import query
 from tallyfield.session import removed, written
 from tallyfield.views import with_
@@ -126,3 +126,48 @@ def m4_interaction_ratings(spark, d):
     """Ratings of players, teams and pairs; pairs have ten times a player's penalty."""
     g = attribution.play_gram(valued(spark, d), v.players(spark, d), [], interactions=30)
     return solver.ridge_ratings(g).select("col", F.round("rating", 9).alias("rating"))
+
+
+def play_points(spark, d):
+    """Realised points of the plays' own players: a tenth of the yards on the field, six for
+    being there at a touchdown."""
+    s = states(spark, d).select("season", "week", F.explode(F.array_distinct("off_players")).alias("player_id"), (F.col("yards") / 10 + F.when(F.col("terminal") & (F.col("drive_points") == 7), 6).otherwise(0)).alias("p"))
+    return s.groupBy("player_id", "season", "week").agg(F.sum("p").alias("points"))
+
+
+def origin_ratings(spark, d):
+    """Players' ratings at every origin (season, week, player_id, rating)."""
+    x, _ = written(evaluation.walk_forward_ratings(states(spark, d), v.players(spark, d)))
+    return x.where("col like 'p:%'").select("season", "week", F.substring("col", 3, 100).alias("player_id"), "rating")
+
+
+@query()
+def e19_fitted_verdict(spark, d):
+    """Ratings solved at every origin, forecasts by the frozen map, three baselines, two
+    horizons, 10,000 week-clustered draws, noise floors and the verdict."""
+    history, _ = written(play_points(spark, d))
+    return verdict.run_verdict(origin_ratings(spark, d), history, v.players(spark, d))
+
+
+@query()
+def e14_fitted_forecasts(spark, d):
+    """Weekly forecasts of all origins from solved ratings."""
+    r, who = origin_ratings(spark, d), v.players(spark, d)
+    f = forecast.weekly_points(r.join(who.select("player_id", "position"), "player_id"), verdict.frozen_map(r, play_points(spark, d), who))
+    return f.select("season", "week", "player_id", "position", F.round("forecast", 6).alias("forecast"))
+
+
+@query()
+def qy12_fitted_ratings(spark, d):
+    """A player's rating with its metadata, last weekly credit, the net strength of its team and
+    the grade of its team's defence."""
+    who = v.players(spark, d)
+    x = solver.ridge_ratings(system(spark, d), scale=position_scale(who))
+    x, _ = written(x)
+    mine = x.where("col like 'p:%'").select(F.substring("col", 3, 100).alias("player_id"), "rating")
+    side = lambda p, name: x.where(F.col("col").startswith(p)).select(F.substring("col", 3, 100).alias("team"), F.col("rating").alias(name))
+    team = side("o:", "_o").join(side("d:", "_d"), "team").select("team", (F.col("_o") - F.col("_d")).alias("net_strength"), (-F.col("_d")).alias("defence_grade"))
+    credit = attribution.weekly_credit(attribution.context_residual(valued(spark, d)))
+    last = credit.groupBy("player_id").agg(F.max_by(F.struct("credit", "snaps"), F.struct("season", "week")).alias("l"), F.avg("credit").alias("mean_credit"))
+    j = who.join(mine, "player_id").join(team, "team", "left").join(last, "player_id", "left")
+    return j.select("player_id", "position", "team", F.round("rating", 9).alias("rating"), F.round("l.credit", 9).alias("last_credit"), F.col("l.snaps").alias("last_snaps"), F.round("mean_credit", 9).alias("mean_credit"), F.round("net_strength", 9).alias("net_strength"), F.round("defence_grade", 9).alias("defence_grade"))
