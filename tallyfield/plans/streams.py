@@ -8,7 +8,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from tallyfield import views as v
+from tallyfield.plans.models import _FILTER, series
 from tallyfield.registry import query
+from tallyfield.session import scratch
+from tallyfield.streaming.corrections import filtered_stream, last_word, run_to_end
 from tallyfield.streaming.stateful import talent_updates
 from tallyfield.streaming.weekly import windowed_counts
 
@@ -48,3 +51,21 @@ def st_player_talent(spark, d):
     q.awaitTermination()
     last = spark.table(name).groupBy("player_id").agg(F.max_by(F.struct("n", "total", "last_event", "var", "talent"), "n").alias("x"))
     return last.select("player_id", "x.n", "x.total", "x.last_event", F.round("x.var", 8).alias("var"), F.round("x.talent", 6).alias("talent"))
+
+
+_NO_LOOK = _FILTER.replace("coalesce(avg(y) FILTER (k <= 3), 0)::DOUBLE AS x0", "0.0::DOUBLE AS x0")
+
+
+@query("WITH RECURSIVE " + v.with_("history", "SELECT r.player_id, o.season, o.week, round(x0, 6) AS talent, round(x0 + x1 + x2, 6) AS total, round(var, 7) AS var FROM run r JOIN par o USING (player_id, k)", _NO_LOOK)[5:])
+def st_corrected_filter(spark, d):
+    """Weeks that arrive latest first, some wrong before they are corrected: the last word on each
+    week is the batch filter's."""
+    s = series(spark, d).withColumn("snaps", F.col("snaps").cast("double"))
+    weeks = s.select("player_id", "position", "season", "week", "y", "snaps", "event", F.lit(2).cast("long").alias("revision"))
+    wrong = weeks.where("week % 3 = 0").withColumns({"y": F.lit(5.0), "revision": F.lit(1).cast("long")})
+    at = scratch(spark)
+    for order, part in enumerate((weeks.where("season = 2024"), wrong, weeks.where("season < 2024 and week > 5"), weeks.where("season < 2024 and week <= 5"))):
+        part.write.parquet(f"{at}/in/part={order}")
+    stream = spark.readStream.schema(weeks.schema).option("maxFilesPerTrigger", 8).option("recursiveFileLookup", True).parquet(f"{at}/in")
+    told = last_word(run_to_end(filtered_stream(stream), f"{at}/out", f"{at}/checkpoint"))
+    return told.select("player_id", "season", "week", F.round("x0", 6).alias("talent"), F.round(F.col("x0") + F.col("x1") + F.col("x2"), 6).alias("total"), F.round("var", 7).alias("var"))
