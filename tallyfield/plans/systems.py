@@ -9,7 +9,8 @@ from tallyfield.operators import attribution, evaluation, forecast, solver, team
 from tallyfield.operators.asof import AsOf
 from tallyfield.plans.models import CELLS, DV, GRAM, TRIPLETS, states, valued
 from tallyfield.registry import query
-from tallyfield.session import removed, written
+from tallyfield.session import removed, scratch, written
+from tallyfield.sources import snapshots
 from tallyfield.views import with_
 
 
@@ -171,3 +172,12 @@ def qy12_fitted_ratings(spark, d):
     last = credit.groupBy("player_id").agg(F.max_by(F.struct("credit", "snaps"), F.struct("season", "week")).alias("l"), F.avg("credit").alias("mean_credit"))
     j = who.join(mine, "player_id").join(team, "team", "left").join(last, "player_id", "left")
     return j.select("player_id", "position", "team", F.round("rating", 9).alias("rating"), F.round("l.credit", 9).alias("last_credit"), F.col("l.snaps").alias("last_snaps"), F.round("mean_credit", 9).alias("mean_credit"), F.round("net_strength", 9).alias("net_strength"), F.round("defence_grade", 9).alias("defence_grade"))
+
+
+@query(with_("raw", "SELECT season, count(*) AS n, sum(yards) AS yards, count(DISTINCT drive_id) AS drives FROM raw WHERE season IN (1996, 1998) GROUP BY season"))
+def s8_snapshot_scan(spark, d):
+    """The raw log as a snapshot by season, checked, and two of its seasons scanned."""
+    at = scratch(spark)
+    snapshots.write(v.raw_pbp(spark, d).withColumn("yards", F.col("yards").cast("int")), f"{at}/plays")
+    s = snapshots.source(spark, at, "plays", [1996, 1998])
+    return s.groupBy("season").agg(F.count("*").alias("n"), F.sum("yards").alias("yards"), F.count_distinct("drive_id").alias("drives"))
