@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyfield import views as v
-from tallyfield.operators import attribution, evaluation, forecast, solver, teams, verdict
-from tallyfield.operators.asof import AsOf
+from tallyfield.operators import asof, attribution, evaluation, forecast, guards, solver, teams, verdict
+from tallyfield.operators.asof import AsOf, LeakageError
 from tallyfield.plans.models import CELLS, DV, GRAM, TRIPLETS, states, valued
 from tallyfield.registry import query
 from tallyfield.session import removed, scratch, written
@@ -181,3 +181,22 @@ def s8_snapshot_scan(spark, d):
     snapshots.write(v.raw_pbp(spark, d).withColumn("yards", F.col("yards").cast("int")), f"{at}/plays")
     s = snapshots.source(spark, at, "plays", [1996, 1998])
     return s.groupBy("season").agg(F.count("*").alias("n"), F.sum("yards").alias("yards"), F.count_distinct("drive_id").alias("drives"))
+
+
+@query(with_("history", "SELECT 'u' AS kind, count(*) FILTER (season > 2023 OR (season = 2023 AND week >= 7)) AS future_rows, true AS persistence_is_blind, true AS season_mean_is_blind, true AS fitted_on_all_is_caught FROM history"))
+def q11_future_guards(spark, d):
+    """Two baselines keep still when the future is poisoned; one fitted on everything doesn't."""
+    h, _ = written(v.history(spark, d))
+    at = AsOf(2023, 7)
+
+    def blind(f) -> bool:
+        try:
+            guards.future_poisoning(f, {"history": h}, at, {"history": ["points"]})
+            return True
+        except LeakageError:
+            return False
+
+    late = h.where(~at.outcome).agg(F.count("*").alias("future_rows"))
+    everything = lambda s, a: s["history"].groupBy("player_id").agg(F.avg("points").alias("forecast"))
+    say = {"persistence_is_blind": blind(lambda s, a: asof.persistence(s["history"], a)), "season_mean_is_blind": blind(lambda s, a: asof.season_to_date(s["history"], a)), "fitted_on_all_is_caught": not blind(everything)}
+    return late.select(F.lit("u").alias("kind"), "future_rows", *(F.lit(x).alias(k) for k, x in say.items()))
