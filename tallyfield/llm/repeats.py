@@ -10,8 +10,8 @@ and one 64-bit digest of their bytes are taken as equal (with the key, 128 bits)
 batch before the shuffle, then under the key, all but the first are covered without being
 sorted. Only keys with units of different digests go on, as bytes of the units.
 
-Sorting. Units of a key that share the hash of some window are chained into strings, in
-document order, and suffix arrays of many such strings are built together by linear grouping
+Sorting. Units of a key that share the hash of some window are cut to the stretch of windows
+whose hash occurs again and chained into strings, in document order, and suffix arrays of many such strings are built together by linear grouping
 (``suffix_groups``). Among suffixes that start windows, equal windows stand next to each
 other, and their bytes are compared. All but the first of a run are repeats. Strings
 over ``CHAIN`` bytes (one string takes as many steps as it has groups) are instead split by
@@ -44,7 +44,7 @@ LENGTH = 100
 GRAM = 32
 NEAR = (LENGTH - GRAM) // 2
 CHAIN = 4096  # longest string that suffix sorting takes
-TOGETHER = 1 << 20  # bytes of strings sorted at a time
+TOGETHER = 1 << 19  # bytes of strings sorted at a time
 BLOCK = 8  # bytes of a symbol behind the anchor
 _SEED = np.arange(1, 300, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 TABLE = mix64(_SEED[:256])
@@ -240,9 +240,9 @@ def repeated_windows(data: np.ndarray, unit_at: np.ndarray, windows: np.ndarray,
         chain = new
     inside = np.zeros(len(unit_at), bool)
     inside[link_a] = inside[link_b] = True
+    twin = np.zeros(len(at), bool)
+    twin[o[:-1][same]] = twin[o[1:][same]] = True
     length = windows + LENGTH - 1
-    chain_bytes = np.bincount(chain[inside], weights=length[inside] + 1, minlength=len(unit_at)).astype(np.int64)
-    long = inside & (chain_bytes[chain] > CHAIN)
     # the anchor of a unit: the first place from its last window on with the key's gram
     g = mix64(gram_hashes(data, (GRAM,))[GRAM])
     hit = np.flatnonzero(g == np.repeat(key.view(np.uint64), length)[: len(g)])
@@ -251,7 +251,19 @@ def repeated_windows(data: np.ndarray, unit_at: np.ndarray, windows: np.ndarray,
     anchor = np.zeros(len(unit_at), np.int64)
     of, at_first = np.unique(of[good], return_index=True)
     anchor[of] = hit[good][at_first] - unit_at[of]
-    out = [_by_window(data, at[long[unit]], chain[unit][long[unit]], h[long[unit]])]
+    # of a unit only the stretch from its first to its last window with a twin is sorted
+    twins = np.flatnonzero(twin)
+    lead = np.flatnonzero(np.concatenate(([True], unit[twins][1:] != unit[twins][:-1])))
+    mine = unit[twins[lead]]
+    cut_off = np.zeros(len(unit_at), np.int64)
+    cut_off[mine] = (at - unit_at[unit])[twins[lead]]
+    windows = windows.copy()
+    windows[mine] = at[twins[np.append(lead[1:], len(twins)) - 1]] - at[twins[lead]] + 1
+    unit_at, anchor, length = unit_at + cut_off, anchor - cut_off, windows + LENGTH - 1
+    chain_bytes = np.bincount(chain[inside], weights=length[inside] + 1, minlength=len(unit_at)).astype(np.int64)
+    long = inside & (chain_bytes[chain] > CHAIN)
+    split = long[unit] & twin
+    out = [_by_window(data, at[split], chain[unit][split], h[split])]
     todo = np.flatnonzero(inside & ~long)
     todo = todo[np.lexsort((todo, chain[todo], chain_bytes[chain[todo]]))]  # strings of like length together
     head = np.flatnonzero(np.concatenate(([True], chain[todo][1:] != chain[todo][:-1]))) if len(todo) else none

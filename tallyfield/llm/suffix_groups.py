@@ -46,7 +46,7 @@ def suffix_arrays(symbols: np.ndarray, lens: np.ndarray) -> np.ndarray:
     text[body] = np.asarray(symbols, np.int64) + 1
     sid = np.repeat(np.arange(n_strings), size)
 
-    order = np.argsort(sid * (int(text.max()) + 1) + text, kind="stable")
+    order = np.argsort(sid * (int(text.max()) + 1) + text)  # the order within a group is free
     order = order.astype(np.int32)
     place = np.empty(total, np.int32)
     place[order] = np.arange(total, dtype=np.int32)
