@@ -124,6 +124,39 @@ def skill_report(cells: DataFrame) -> DataFrame:
     return g.withColumn("skill", skill(F.col("mae"), F.col("baseline_mae"))).select(F.when(F.col("_all") == 1, "ALL").otherwise(F.col("position")).alias("position"), "n", "mae", "rmse", "bias", "margin", "skill")
 
 
+def scorecard(cells: DataFrame, scales: DataFrame, level: float = 0.8) -> DataFrame:
+    """Scores by week and position, by week, by position and over all (null week or position).
+
+    ``cells``: week, position, forecast, sd, p_active and actual, which is null for an inactive
+    player. Errors, ranks and coverage are of active players; the Brier score is of all.
+    ``rank_accuracy`` is (1 + rank correlation) / 2 within a week and position, averaged;
+    ``pb_mae`` the mean over positions of the error over the position's scale. A score that
+    can't be had is null. All rows come from one sum a week and position.
+    """
+    active = F.col("actual").isNotNull()
+    e = F.col("forecast") - F.col("actual")
+    half = F.col("sd") * ppf((1 + level) / 2)
+    by = ["week", "position"]
+    base = cells.groupBy(*by).agg(
+        F.count("*").alias("n"), F.count("actual").alias("m"), F.sum(F.abs(e)).alias("ae"), F.sum(e * e).alias("se"),
+        F.sum(F.pow(F.col("p_active") - active.cast("int"), 2)).alias("br"), F.sum((F.abs(e) <= half).cast("int")).alias("cov"),
+    )
+    rounded = cells.where(active).withColumn("forecast", F.round("forecast", 6))  # ties don't hang on the order of a sum
+    ranks = spearman(rounded, "forecast", "actual", by).select(*by, ((1 + F.col("spearman")) / 2).alias("rank"))
+    base = base.join(ranks, by, "left").join(F.broadcast(scales), "position", "left")  # a row a position
+    add = lambda g: g.agg(F.sum("n").alias("n"), F.sum("m").alias("m"), F.sum("ae").alias("ae"), F.sum("se").alias("se"), F.sum("br").alias("br"), F.sum("cov").alias("cov"), F.avg("rank").alias("rank"))
+    scaled = lambda df, keys: df.groupBy(*keys, "position").agg((F.sum("ae") / F.sum("m") / F.first("scale")).alias("x")).groupBy(*keys).agg(F.avg("x").alias("pb"))
+    null = {"week": F.lit(None).cast("int"), "position": F.lit(None).cast("string")}
+    out = None
+    for keys in (by, ["week"], ["position"], []):
+        pb = scaled(base, keys)
+        one = add(base.groupBy(*keys)).join(pb, keys) if keys else add(base.groupBy()).crossJoin(F.broadcast(pb))  # one row each
+        one = one.withColumns({k: c for k, c in null.items() if k not in keys}).select(*by, "n", "m", "ae", "se", "br", "cov", "rank", "pb")
+        out = one if out is None else out.unionByName(one)
+    m = F.when(F.col("m") > 0, F.col("m"))
+    return out.select("week", "position", "n", F.col("pb").alias("pb_mae"), (F.col("ae") / m).alias("mae"), F.sqrt(F.col("se") / m).alias("rmse"), F.col("rank").alias("rank_accuracy"), (F.col("br") / F.col("n")).alias("brier_active"), (F.col("cov") / m).alias("interval_coverage"))
+
+
 def cumulative_blocks(blocks: DataFrame) -> DataFrame:
     """Gram sums over strictly earlier slots, at every slot: (season, week, i, j, v)."""
     slot = F.col("season") * 100 + F.col("week")

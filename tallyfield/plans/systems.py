@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyfield import views as v
+from tallyfield.functions.normal import ppf
 from tallyfield.operators import asof, attribution, evaluation, forecast, guards, solver, teams, verdict
 from tallyfield.operators.asof import AsOf, LeakageError
+from tallyfield.plans.forecasts import _PB, _SIZES
 from tallyfield.plans.models import CELLS, DV, GRAM, TRIPLETS, states, valued
 from tallyfield.registry import query
 from tallyfield.session import removed, scratch, written
@@ -200,3 +202,31 @@ def q11_future_guards(spark, d):
     everything = lambda s, a: s["history"].groupBy("player_id").agg(F.avg("points").alias("forecast"))
     say = {"persistence_is_blind": blind(lambda s, a: asof.persistence(s["history"], a)), "season_mean_is_blind": blind(lambda s, a: asof.season_to_date(s["history"], a)), "fitted_on_all_is_caught": not blind(everything)}
     return late.select(F.lit("u").alias("kind"), "future_rows", *(F.lit(x).alias(k) for k, x in say.items()))
+
+
+_CARD = f"""sl AS (SELECT DISTINCT season, week FROM history), f AS (SELECT player_id, any_value(position) AS position, avg(points) AS forecast, stddev_samp(points) AS sd, count(DISTINCT week)::DOUBLE / (SELECT count(*) FROM sl WHERE season = 2022) AS p_active FROM history WHERE season = 2022 GROUP BY player_id),
+g AS (SELECT f.*, s.week, h.points AS actual FROM f CROSS JOIN (SELECT week FROM sl WHERE season = 2023) s LEFT JOIN history h ON h.player_id = f.player_id AND h.season = 2023 AND h.week = s.week WHERE f.sd > 0),
+rk2 AS (SELECT week, position, (1 + coalesce(corr(rp, ra), 0)) / 2 AS rk, count(*) AS k FROM (SELECT *, rank() OVER (PARTITION BY week, position ORDER BY forecast) + (count(*) OVER (PARTITION BY week, position, forecast) - 1) / 2.0 AS rp, rank() OVER (PARTITION BY week, position ORDER BY actual) + (count(*) OVER (PARTITION BY week, position, actual) - 1) / 2.0 AS ra
+ FROM (SELECT * REPLACE (round(forecast, 6) AS forecast) FROM g WHERE actual IS NOT NULL)) GROUP BY ALL),
+b AS (SELECT g.week, g.position, count(*) AS n, count(actual) AS m, sum(abs(forecast - actual)) AS ae, sum(pow(forecast - actual, 2)) AS se, sum(pow(p_active - CASE WHEN actual IS NULL THEN 0 ELSE 1 END, 2)) AS br,
+  sum(CASE WHEN abs(forecast - actual) <= {ppf(0.9)!r}::DOUBLE * sd THEN 1 ELSE 0 END) FILTER (actual IS NOT NULL) AS cov, any_value(CASE WHEN k >= 2 THEN rk END) AS rk FROM g LEFT JOIN rk2 USING (week, position) GROUP BY g.week, g.position),
+q AS (SELECT week, position, sum(ae) / sum(m) / any_value(scale) AS x, 1 AS lv FROM b JOIN sc USING (position) GROUP BY week, position UNION ALL SELECT NULL, position, sum(ae) / sum(m) / any_value(scale), 2 FROM b JOIN sc USING (position) GROUP BY position)"""
+
+
+@query(with_("history", """SELECT r.week, r.position, n, round(pb, 7) AS pb_mae, round(ae / m, 7) AS mae, round(sqrt(se / m), 7) AS rmse, round(rk, 7) AS rank_accuracy, round(br / n, 7) AS brier_active, round(cov::DOUBLE / m, 7) AS interval_coverage FROM (
+ SELECT CASE WHEN grouping(week) = 0 THEN week END AS week, CASE WHEN grouping(position) = 0 THEN position END AS position, grouping(week) AS gw, CAST(sum(n) AS BIGINT) AS n, sum(m) AS m, sum(ae) AS ae, sum(se) AS se, sum(br) AS br, sum(cov) AS cov, avg(rk) AS rk
+ FROM b GROUP BY GROUPING SETS ((week, position), (week), (position), ())) r JOIN (
+ SELECT week, position, x AS pb FROM q UNION ALL SELECT week, NULL, avg(x) FROM q WHERE lv = 1 GROUP BY week UNION ALL SELECT NULL, NULL, avg(x) FROM q WHERE lv = 2) p ON r.week IS NOT DISTINCT FROM p.week AND r.position IS NOT DISTINCT FROM p.position""", _PB, _CARD))
+def qy9_full_scorecard(spark, d):
+    """Position-balanced and plain errors, rank accuracy, Brier score of being active and coverage
+    of the 80 % interval, of last season's mean as the forecast."""
+    h = v.history(spark, d)
+    slots = h.where("season = 2022").agg(F.count_distinct("week").alias("_w"))
+    f = h.where("season = 2022").groupBy("player_id").agg(F.first("position").alias("position"), F.avg("points").alias("forecast"), F.stddev_samp("points").alias("sd"), F.count_distinct("week").alias("_k"))
+    f = f.where("sd > 0").crossJoin(F.broadcast(slots)).withColumn("p_active", F.col("_k") / F.col("_w"))  # one row
+    weeks = h.where("season = 2023").agg(F.sort_array(F.collect_set("week")).alias("_weeks"))
+    grid = f.crossJoin(F.broadcast(weeks)).withColumn("week", F.explode("_weeks"))  # one row, a season's weeks
+    real = h.where("season = 2023").select("player_id", "week", F.col("points").alias("actual"))
+    cells = grid.join(real, ["player_id", "week"], "left")
+    card = evaluation.scorecard(cells, forecast.position_scales(h.where("season = 2022"), _SIZES))
+    return card.select("week", "position", "n", *(F.round(c, 7).alias(c) for c in ("pb_mae", "mae", "rmse", "rank_accuracy", "brier_active", "interval_coverage")))
