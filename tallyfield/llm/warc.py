@@ -27,7 +27,7 @@ import hashlib
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ from tallyfield.llm.common import fresh_dir, open_fs, small_batches, task, text_
 
 FILE_BYTES = 64 << 20
 SPLIT_BYTES = 8 << 20
-HEADER_BYTES = 64 << 10  # longest plain header that is looked for
+AHEAD_BYTES = 64 << 10  # read behind a split; longer headers are read on until they end
 PLAIN_MARK = b"WARC/1."
 GZIP_MARK = b"\x1f\x8b\x08\x04"
 GZIP_EXTRA = struct.Struct("<HccHQ")  # XLEN, the two letters of the subfield, its size, member length
@@ -128,16 +128,22 @@ def write_archives(pages: DataFrame, at: str, least_bytes: int = 0, compress: bo
     return [r.asDict() for r in sorted(rows)]
 
 
-def plain_candidates(data: bytes, offset: int, stop: int) -> Iterator[tuple[int, int]]:
+def plain_candidates(data: bytes, offset: int, stop: int, more: Callable[[int], bytes] | None = None) -> Iterator[tuple[int, int]]:
+    """Record starts and the places behind their records; ``more`` reads on from an offset where
+    a header doesn't end in ``data`` (a record's own end is the latest place where it can)."""
     at = data.find(PLAIN_MARK)
     while 0 <= at and offset + at < stop:
-        end = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
+        end = data.find(b"\r\n\r\n", at)
+        while end < 0 and more is not None and (extra := more(offset + len(data))):
+            seen = max(at, len(data) - 3)
+            data += extra
+            end = data.find(b"\r\n\r\n", seen)
         if end >= 0 and (m := re.search(rb"\r\nContent-Length:[ \t]*(\d{1,18})", data[at : end + 2], re.I)):
             yield offset + at, offset + end + 4 + int(m[1]) + 4
         at = data.find(PLAIN_MARK, at + 1)
 
 
-def gzip_candidates(data: bytes, offset: int, stop: int) -> Iterator[tuple[int, int]]:
+def gzip_candidates(data: bytes, offset: int, stop: int, more: object = None) -> Iterator[tuple[int, int]]:
     at = data.find(GZIP_MARK)
     while 0 <= at and offset + at < stop:
         if at + 10 + GZIP_EXTRA.size <= len(data):
@@ -190,7 +196,7 @@ SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type s
 def read_archives(spark: SparkSession, files: list[dict], with_payload: bool = False, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """Records of the archives; ``files`` holds file and bytes of each."""
     schema = SCHEMA + (", url string, payload binary" if with_payload else "")
-    splits = [(f["file"], f["bytes"], a) for f in files for a in range(0, f["bytes"], split_bytes)]
+    splits = sum(-(-f["bytes"] // split_bytes) for f in files)
     if not splits:
         return spark.createDataFrame([], schema)
 
@@ -199,9 +205,10 @@ def read_archives(spark: SparkSession, files: list[dict], with_payload: bool = F
             for file, size, a in zip(*(c.to_pylist() for c in batch.columns)):
                 system, path = open_fs(file)
                 with system.open_input_file(path) as f:
-                    data = f.read_at(min(split_bytes + HEADER_BYTES, size - a), a)
-                find = gzip_candidates if file.endswith(".gz") else plain_candidates
-                pairs = [(s, e) for s, e in find(data, a, min(a + split_bytes, size)) if s < e <= size]
+                    data = f.read_at(min(split_bytes + AHEAD_BYTES, size - a), a)
+                    find = gzip_candidates if file.endswith(".gz") else plain_candidates
+                    more = lambda b, f=f, size=size: f.read_at(min(AHEAD_BYTES, size - b), b) if b < size else b""
+                    pairs = [(s, e) for s, e in find(data, a, min(a + split_bytes, size), more) if s < e <= size]
                 s, e = zip(*pairs) if pairs else ((), ())
                 yield pa.RecordBatch.from_arrays([pa.array([file] * len(s), pa.string()), pa.array([size] * len(s), pa.int64()), pa.array(s, pa.int64()), pa.array(e, pa.int64())], ["file", "size", "start", "next"])
 
@@ -231,10 +238,12 @@ def read_archives(spark: SparkSession, files: list[dict], with_payload: bool = F
                     rows, held = [], 0
             yield pa.RecordBatch.from_pylist(rows, arrow)
 
-    found = spark.createDataFrame(splits, "file string, bytes long, start long").repartition(len(splits)).mapInArrow(task(scan), "file string, size long, start long, next long")
+    each = spark.createDataFrame([(f["file"], f["bytes"]) for f in files if f["bytes"]], "file string, bytes long")
+    each = each.select("file", "bytes", F.explode(F.expr(f"sequence(0L, bytes - 1, {split_bytes}L)")).alias("start"))
+    found = each.repartition(splits).mapInArrow(task(scan), "file string, size long, start long, next long")
     # numbers of partitions by bytes: rows are few and small, what they point at is not
     kept = found.repartition(len(files), "file").groupBy("file").applyInArrow(chain, "file string, start long, next long")
-    kept = kept.repartition(len(splits), "file", F.expr(f"start div {split_bytes}")).sortWithinPartitions("file", "start")
+    kept = kept.repartition(splits, "file", F.expr(f"start div {split_bytes}")).sortWithinPartitions("file", "start")
     return kept.mapInArrow(task(parse), schema)
 
 

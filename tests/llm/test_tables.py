@@ -158,3 +158,17 @@ def test_large_archives_are_split(spark, tmp_path):
 def test_sizes_count_words(odd):
     for r in document_sizes(odd).join(odd.select("doc_id", "text").distinct(), "doc_id").collect():
         assert r.size == len(WORDS.findall(r.text or ""))
+
+
+def test_plain_records_with_headers_longer_than_what_is_read_ahead(spark, tmp_path):
+    from tallyfield.llm import warc
+
+    long = "http://a.example/" + "q" * 70_000
+    rows = [(i, (long if i % 2 else "http://b.example/") + str(i), f"<p>{i}</p>" + "WARC/1.1\r\n" * (i == 3)) for i in range(7)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    for compress in (False, True):
+        (tmp_path / str(compress)).mkdir()
+        files = warc.write_archives(pages, f"file://{tmp_path}/{compress}", compress=compress)
+        for split in (1000, 80_000, 1 << 20):
+            got = warc.read_archives(spark, files, with_payload=True, split_bytes=split).orderBy("page_id").collect()
+            assert [(r.page_id, r.url, r.payload.decode()) for r in got] == rows
