@@ -11,11 +11,13 @@ batch before the shuffle, then under the key, all but the first are covered with
 sorted. Only keys with units of different digests go on, as bytes of the units.
 
 Sorting. Units of a key that share the hash of some window are cut to the stretch of windows
-whose hash occurs again and chained into strings, in document order, and suffix arrays of many such strings are built together by linear grouping
-(``suffix_groups``). Among suffixes that start windows, equal windows stand next to each
-other, and their bytes are compared. All but the first of a run are repeats. Strings
-over ``CHAIN`` bytes (one string takes as many steps as it has groups) are instead split by
-window: windows are sorted by hash and compared byte by byte, which is as exact.
+whose hash occurs again and chained, in document order. A stretch with the bytes of an earlier
+one of its chain (compared byte by byte) is a repeat as it stands; the others make a string, and
+suffix arrays of many such strings are built together by linear grouping (``suffix_groups``).
+Among suffixes that start windows, equal windows stand next to each other, and their bytes are
+compared. All but the first of a run are repeats. Strings over ``CHAIN`` bytes (one string
+takes as many steps as it has groups) are instead split by window: windows are sorted by hash
+and compared byte by byte, which is as exact.
 
 Covered spans meet their documents by row and are cut out.
 
@@ -260,10 +262,16 @@ def repeated_windows(data: np.ndarray, unit_at: np.ndarray, windows: np.ndarray,
     windows = windows.copy()
     windows[mine] = at[twins[np.append(lead[1:], len(twins)) - 1]] - at[twins[lead]] + 1
     unit_at, anchor, length = unit_at + cut_off, anchor - cut_off, windows + LENGTH - 1
+    # stretches of a chain with the same bytes are sorted once
+    again = _same_stretches(data, np.flatnonzero(inside), unit_at, length, chain)
+    inside[again] = False
+    left = np.bincount(chain[inside], minlength=len(unit_at))
+    inside &= left[chain] > 1  # no two windows of one unit are equal
+    copies = np.repeat(unit_at[again] - (np.cumsum(windows[again]) - windows[again]), windows[again]) + np.arange(int(windows[again].sum()))
     chain_bytes = np.bincount(chain[inside], weights=length[inside] + 1, minlength=len(unit_at)).astype(np.int64)
     long = inside & (chain_bytes[chain] > CHAIN)
     split = long[unit] & twin
-    out = [_by_window(data, at[split], chain[unit][split], h[split])]
+    out = [copies, _by_window(data, at[split], chain[unit][split], h[split])]
     todo = np.flatnonzero(inside & ~long)
     todo = todo[np.lexsort((todo, chain[todo], chain_bytes[chain[todo]]))]  # strings of like length together
     head = np.flatnonzero(np.concatenate(([True], chain[todo][1:] != chain[todo][:-1]))) if len(todo) else none
@@ -280,6 +288,31 @@ def repeated_windows(data: np.ndarray, unit_at: np.ndarray, windows: np.ndarray,
     return np.concatenate(out)
 
 
+def _same_stretches(data: np.ndarray, units: np.ndarray, start: np.ndarray, length: np.ndarray, chain: np.ndarray) -> np.ndarray:
+    """Units whose bytes are those of an earlier unit of their chain: found by a hash, compared
+    byte by byte."""
+    if not len(units):
+        return units
+    powers = np.full(len(data) + 1, STEP[12])
+    powers[0] = 1
+    powers = np.multiply.accumulate(powers)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(TABLE[data] * powers[:-1], out=sums[1:])
+    s, n = start[units], length[units]
+    h = (sums[s + n] - sums[s]) * powers[len(data) - s]
+    o = np.lexsort((units, h, n, chain[units]))
+    x = (chain[units][o], n[o], h[o])
+    new = np.concatenate(([True], np.any([a[1:] != a[:-1] for a in x], axis=0)))
+    lead = o[np.flatnonzero(new)[np.cumsum(new) - 1]][~new]
+    o = o[~new]
+    if not len(o):
+        return units[:0]
+    ends = np.cumsum(n[o])
+    off = np.arange(int(ends[-1])) - np.repeat(ends - n[o], n[o])
+    unlike = data[np.repeat(s[o], n[o]) + off] != data[np.repeat(s[lead], n[o]) + off]
+    return np.sort(units[o[np.add.reduceat(unlike, ends - n[o]) == 0]])
+
+
 def _rows_equal(view: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     out = np.empty(len(a), bool)
     for i in range(0, len(a), 50_000):
