@@ -185,25 +185,6 @@ def solve_system(sums: dict[tuple[str, str | None], float], lam: float = 120.0,
     return dict(zip(names, beta.tolist()))
 
 
-def conjugate_gradient(m: np.ndarray, b: np.ndarray, tol: float = 1e-10, steps: int = 1000) -> tuple[np.ndarray, int, float]:
-    """Jacobi-preconditioned conjugate gradient: solution, steps and relative residual."""
-    x = np.zeros_like(b)
-    r = b - m @ x
-    d = 1.0 / np.diag(m)
-    z = d * r
-    p, rz, norm = z.copy(), r @ z, max(np.linalg.norm(b), 1e-300)
-    for k in range(steps):
-        if np.linalg.norm(r) / norm < tol:
-            return x, k, float(np.linalg.norm(r) / norm)
-        q = m @ p
-        a = rz / (p @ q)
-        x, r = x + a * p, r - a * q
-        z = d * r
-        rz, old = r @ z, rz
-        p = z + (rz / old) * p
-    return x, steps, float(np.linalg.norm(r) / norm)
-
-
 def onfield_sums(plays: DataFrame, ratings: DataFrame) -> DataFrame:
     """off_sum and def_sum of ratings on the field; unrated players count 0."""
     side = lambda col, name: plays.select(*PLAY, F.explode(col).alias("player_id")).join(ratings.select("player_id", "rating"), "player_id", "left").groupBy(*PLAY).agg(F.sum(F.coalesce("rating", F.lit(0.0))).alias(name))

@@ -81,6 +81,13 @@ def ndcg(df: DataFrame, pred: str, actual: str, k: int, by: list[str], key: str)
     return r.groupBy(*by).agg(gain("_p").alias("dcg"), gain("_a").alias("idcg")).select(*by, F.when(F.col("idcg") == 0, 0.0).otherwise(F.col("dcg") / F.col("idcg")).alias("ndcg"))
 
 
+def top_with_ties(df: DataFrame, value: str, n: int) -> DataFrame:
+    """Rows whose rank by ``value``, from the greatest, is at most n, ties included: those at or
+    above the n-th value, which a top-n of each partition finds. Fewer than n rows are all in."""
+    least = df.select(value).where(F.col(value).isNotNull()).orderBy(F.col(value).desc()).limit(n).agg(F.min(value).alias("_least"))
+    return df.crossJoin(F.broadcast(least)).where(F.col(value) >= F.col("_least")).drop("_least")  # one row
+
+
 def strictly_earlier_sd(df: DataFrame, error: str, slot: str, by: list[str], least: int = 20) -> DataFrame:
     """Spread of the errors of earlier slots only, null under ``least`` of them."""
     w = Window.partitionBy(*by).orderBy(slot).rangeBetween(Window.unboundedPreceding, -1)

@@ -78,7 +78,7 @@ SELECT player_id, rank() OVER (ORDER BY last_p DESC) AS a, rank() OVER (ORDER BY
 def t5_union_pool(spark, d):
     """Everyone in the top 20 of any source, ties included."""
     h = v.history(spark, d)
-    top = lambda f: f.withColumn("r", F.rank().over(Window.partitionBy(F.lit(0)).orderBy(F.round("forecast", 8).desc()))).where("r <= 20").select("player_id")
+    top = lambda f: evaluation.top_with_ties(f.withColumn("forecast", F.round("forecast", 8)), "forecast", 20).select("player_id")
     at = AsOf(2023, 7)
     return top(asof.persistence(h, at)).union(top(asof.season_to_date(h, at).select("player_id", "forecast"))).distinct()
 

@@ -210,8 +210,6 @@ def test_gram_equals_dense_product_and_adds_up(spark):
     pen = 5.0 * np.array([1.0 if n.startswith("p:") else 0.05 for n in names])
     m = a + np.diag(pen)
     assert np.linalg.norm(m @ np.array([beta[n] for n in names]) - b) / np.linalg.norm(b) < 1e-9
-    cg, _, res = attribution.conjugate_gradient(m, b)
-    assert res < 1e-9 and np.allclose(cg, [beta[n] for n in names], atol=1e-6)
 
 
 def test_all_cumulative_blocks_by_brute_force(spark, sf):
