@@ -104,8 +104,8 @@ def m11_boosted_fixed_point(spark, d):
     """Three rounds for one quarterback; ``credit`` is that of the last round."""
     who = v.players(spark, d)
     ratings, credits = boosted_fixed_point(valued(spark, d), system(spark, d), position_scale(who), "p0")
-    return ratings.join(who.select(F.concat(F.lit("p:"), "player_id").alias("col"), "player_id", "position"), "col", "left").select(
-        "col", "player_id", "position", F.round("rating", 9).alias("rating"), F.when(F.col("col") == "p:p0", F.lit(round(credits[-1], 9))).alias("credit")
+    return ratings.join(who.select(F.concat(F.lit("p:"), "player_id").alias("col"), "position"), "col", "left").select(
+        "col", F.coalesce("position", F.lit("TEAM")).alias("position"), F.round("rating", 9).alias("rating"), F.when(F.col("col") == "p:p0", F.lit(round(credits[-1], 9))).alias("credit")
     )
 
 
