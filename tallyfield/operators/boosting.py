@@ -4,7 +4,7 @@ Squared loss asks of the data only how many rows a cell of bins holds and what t
 add up to. Features are binned once (at most ``BINS`` values each, edges at quantiles of a
 histogram), rows become cells in one aggregation, and trees are grown on the cells, each
 fold's model in a task of its own. The number of cells is bounded by the bins, not by the
-rows. Predictions are per cell and fold, and meet the rows by an equi-join on them.
+rows; a task holds some thirty bytes of each. Predictions are per cell and fold, and meet the rows by an equi-join on them.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tallyfield.session import package_on_workers
 
 BINS = 255
+CHUNK = 1 << 16  # cells in one array step
 FINE = 4096  # equal parts of a feature's range, in which its quantiles are looked for
 
 
@@ -55,69 +56,97 @@ def grow(bins: np.ndarray, n: np.ndarray, s: np.ndarray, rounds: int, depth: int
     """Predictions of all cells by trees grown on those in ``train``.
 
     ``bins`` has a column a feature, ``n`` and ``s`` count rows and add up targets. A node is
-    split where the squared error falls most, leaving ``least`` rows on both sides.
+    split where the squared error falls most, leaving ``least`` rows on both sides. Cells are
+    gone through in stretches of CHUNK, so beside a few numbers a cell nothing is held.
     """
-    b, n_t, s_t = bins[train].astype(np.int64), n[train].astype(float), s[train].astype(float)
-    total = n_t.sum()
+    n = np.where(train, n, 0.0)
+    total = n.sum()
     if not total:
         return np.zeros(len(n))
     size, features = int(bins.max()) + 1, bins.shape[1]
-    pred, pred_t = np.full(len(n), s_t.sum() / total), np.full(len(n_t), s_t.sum() / total)
-    every = bins.astype(np.int64)
+    columns = [np.ascontiguousarray(bins[:, f]) for f in range(features)]
+    pred = np.full(len(n), np.where(train, s, 0.0).sum() / total)
+    rest = np.where(train, s, 0.0) - n * pred
+    node = np.zeros(len(n), np.uint8 if depth < 8 else np.int32)
+    parts = [slice(k, k + CHUNK) for k in range(0, len(n), CHUNK)]
+
+    def moved(part: slice, feature: np.ndarray, at: np.ndarray) -> np.ndarray:
+        k = node[part]
+        right = np.zeros(len(k), bool)
+        for f in np.unique(feature[feature >= 0]):
+            right |= columns[f][part] > np.where(feature == f, at, size)[k]
+        node[part] = 2 * k + right
+        return node[part]
+
     for _ in range(rounds):
-        rest = s_t - n_t * pred_t
-        node, node_all, nodes = np.zeros(len(n_t), np.int64), np.zeros(len(n), np.int64), 1
+        node[:], nodes, split = 0, 1, None
         for _ in range(depth):
+            count, value = np.zeros((features, nodes * size)), np.zeros((features, nodes * size))
+            for part in parts:
+                k = moved(part, *split) if split else node[part]
+                first = k.astype(np.intp) * size
+                for f in range(features):
+                    place = first + columns[f][part]
+                    count[f] += np.bincount(place, n[part], nodes * size)
+                    value[f] += np.bincount(place, rest[part], nodes * size)
+            count, value = (x.reshape(features, nodes, size).cumsum(2) for x in (count, value))
             best = np.zeros(nodes)
             feature, at = np.full(nodes, -1), np.zeros(nodes, np.int64)
+            leaf_n, leaf_s = (np.stack((x[0, :, -1], np.zeros(nodes)), 1) for x in (count, value))
             for f in range(features):
-                place = node * size + b[:, f]
-                count = np.bincount(place, n_t, nodes * size).reshape(nodes, size).cumsum(1)
-                value = np.bincount(place, rest, nodes * size).reshape(nodes, size).cumsum(1)
-                c, v = count[:, -1:], value[:, -1:]
-                right = c - count
-                ok = (count >= max(least, 1)) & (right >= max(least, 1))
-                gain = np.where(ok, value**2 / np.where(ok, count, 1) + (v - value) ** 2 / np.where(ok, right, 1) - v**2 / np.maximum(c, 1), 0)
-                j = gain.argmax(1)
-                g = gain[np.arange(nodes), j]
+                c, v = count[f][:, -1:], value[f][:, -1:]
+                right = c - count[f]
+                ok = (count[f] >= max(least, 1)) & (right >= max(least, 1))
+                gain = np.where(ok, value[f] ** 2 / np.where(ok, count[f], 1) + (v - value[f]) ** 2 / np.where(ok, right, 1) - v**2 / np.maximum(c, 1), 0)
+                j, every = gain.argmax(1), np.arange(nodes)
+                g = gain[every, j]
                 better = g > best + 1e-12 * np.abs(v[:, 0])
                 best, feature, at = np.where(better, g, best), np.where(better, f, feature), np.where(better, j, at)
+                for leaf, x in ((leaf_n, count[f]), (leaf_s, value[f])):
+                    leaf[better] = np.stack((x[every, j], x[:, -1] - x[every, j]), 1)[better]
+            split = (feature, at)
+            nodes *= 2
             if (feature < 0).all():
                 break
-            for ids, x in ((node, b), (node_all, every)):
-                f = feature[ids]
-                ids += ids + ((f >= 0) & (x[np.arange(len(ids)), f] > at[ids]))
-            nodes *= 2
-        count, value = np.bincount(node, n_t, nodes), np.bincount(node, rest, nodes)
-        leaf = rate * np.divide(value, count, out=np.zeros(nodes), where=count > 0)
-        pred += leaf[node_all]
-        pred_t += leaf[node]
+        leaf = rate * np.divide(leaf_s, leaf_n, out=np.zeros_like(leaf_s), where=leaf_n > 0).ravel()
+        for part in parts:
+            step = leaf[moved(part, *split)]
+            pred[part] += step
+            rest[part] -= n[part] * step
     return pred
 
 
 def out_of_fold(df: DataFrame, features: list[str], target: str, fold: str, folds: int, rounds: int = 200, depth: int = 3, rate: float = 0.1, least: int = 150) -> DataFrame:
     """Add ``g``: the prediction of a model that saw no row of the same fold.
 
-    One aggregation makes the cells; they go to every fold's task, which grows on the other
-    folds' cells and predicts its own.
+    One aggregation makes the cells, with counts and sums of each fold side by side; a model's
+    task gets a row a cell, the sums of the other folds, and predicts the cells of its own.
     """
     package_on_workers(df.sparkSession)
     names = [f"_b{k}" for k in range(len(features))]
-    binned = with_bins(df, features)
-    cells = binned.groupBy(F.col(fold).cast("int").alias("_fold"), *names).agg(F.count(target).alias("n"), F.sum(F.col(target).cast("double")).alias("s"))
-    dealt = cells.select(F.explode(F.sequence(F.lit(0), F.lit(folds - 1))).alias("_model"), "*")
+    binned = with_bins(df, features).withColumn("_fold", F.col(fold).cast("int"))
+    y = F.col(target).cast("double")
+    here = lambda k, x: F.when(F.col("_fold") == k, x)
+    each = range(folds)
+    cells = binned.groupBy(*names).agg(
+        *(F.count(here(k, F.lit(1))).alias(f"_r{k}") for k in each), *(F.count(here(k, y)).cast("double").alias(f"_n{k}") for k in each), *(F.coalesce(F.sum(here(k, y)), F.lit(0.0)).alias(f"_s{k}") for k in each)
+    )
+    zero = F.lit(0.0)  # the own fold is left out of the sum, not taken off it
+    others = lambda x, m: sum((F.col(f"{x}{k}") for k in each if k != m), zero)
+    models = F.array(*(F.struct(F.lit(m).alias("_model"), (F.col(f"_r{m}") > 0).alias("own"), others("_n", m).alias("n"), others("_s", m).alias("s")) for m in each))
+    dealt = cells.select(*names, F.explode(models).alias("m")).select(*names, "m.*").repartition(folds * 16, "_model")  # so that no two models meet in a task
 
     def fit(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        mine = t["_fold"].to_numpy() == key[0].as_py()
-        if not mine.any():
-            return pa.table({c: pa.array([], k) for c, k in (("_fold", pa.int32()), *((c, pa.int16()) for c in names), ("g", pa.float64()))})
         order = np.lexsort([t[c].to_numpy() for c in names])  # one order whatever the shuffle did
-        t, mine = t.take(pa.array(order)), mine[order]
-        bins = np.stack([t[c].to_numpy() for c in names], axis=1)
-        g = grow(bins, t["n"].to_numpy(), t["s"].fill_null(0.0).to_numpy() if t["s"].null_count else t["s"].to_numpy(), rounds, depth, rate, least, ~mine)
-        own = t.filter(pa.array(mine)).select(["_fold", *names])
-        return own.append_column("g", pa.array(g[mine]))
+        bins = np.stack([t[c].to_numpy()[order] for c in names]).astype(np.uint8 if BINS <= 256 else np.int16).T
+        own, n, s = (t[c].to_numpy()[order] for c in ("own", "n", "s"))
+        del t, order
+        if not own.any():
+            return pa.table([pa.array([], k) for k in (pa.int32(), *(pa.int16() for _ in names), pa.float64())], ["_fold", *names, "g"])
+        g = grow(bins, n, s, rounds, depth, rate, least, n > 0)[own]
+        mine = (pa.array(bins[own, k].astype(np.int16)) for k in range(len(names)))
+        return pa.table([pa.array(np.full(len(g), key[0].as_py(), np.int32)), *mine, pa.array(g)], ["_fold", *names, "g"])
 
     schema = "_fold int, " + ", ".join(f"{c} short" for c in names) + ", g double"
     scored = dealt.groupBy("_model").applyInArrow(fit, schema)
-    return binned.withColumn("_fold", F.col(fold).cast("int")).join(scored, ["_fold", *names]).drop("_fold", *names)
+    return binned.join(scored, ["_fold", *names]).drop("_fold", *names)

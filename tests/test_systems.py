@@ -273,3 +273,24 @@ def test_volume_pools_by_hand(spark):
             assert e[who].pass_attempts == pytest.approx((total + k * mean) / (games + k)) and e[who].rush_attempts == pytest.approx(3.0) and e[who].targets == 0
     one = projection.volume_pools(usage.where("position = 'QB'"), ["pass_attempts"])
     assert projection.expected_volume(usage.where("position = 'QB'"), one, ["pass_attempts"]).count() > 30
+
+
+def test_growing_holds_few_bytes_a_cell():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    bins = rng.integers(0, 200, (300_000, 4)).astype(np.uint8)
+    n, s = rng.integers(1, 5, len(bins)).astype(float), rng.normal(size=len(bins))
+    tracemalloc.start()
+    boosting.grow(bins, n, s, 2, 3, 0.1, 100, n > 1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 * len(bins)
+
+
+def test_models_do_not_meet_in_a_task(spark, planted):
+    plays, rating = planted
+    r = attribution.boosted_residual(plays, rating, rounds=1)
+    assert "REPARTITION_BY_NUM" in r._jdf.queryExecution().executedPlan().toString()  # not put together by size
+    at = spark.range(5).select(F.col("id").cast("int").alias("m")).repartition(80, "m").select(F.spark_partition_id().alias("p"))
+    assert len({x.p for x in at.collect()}) == 5
