@@ -36,13 +36,23 @@ def play_values(states: DataFrame, values: DataFrame) -> DataFrame:
 
 
 def fit_boosted_value(states: DataFrame, rounds: int = 40, depth: int = 4, rate: float = 0.08, least: int = 120):
-    """Value surface by boosted trees; returns a fitted pipeline with column ``prediction``."""
+    """Value surface by boosted trees; returns a fitted pipeline with column ``prediction``.
+
+    Plays of one state are one row with their mean and their number as weight: squared loss asks
+    for no more, so a tree's pass is over states and not over plays. ``least`` counts plays.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.regression import GBTRegressor
 
-    gbt = GBTRegressor(featuresCol="features", labelCol="drive_points", maxIter=rounds, maxDepth=depth, stepSize=rate, minInstancesPerNode=least, seed=0)
-    return Pipeline(stages=[VectorAssembler(inputCols=STATE, outputCol="features"), gbt]).fit(states)
+    from tallyfield.session import removed, written
+
+    cells, at = written(states.groupBy(*STATE).agg(F.avg("drive_points").alias("drive_points"), F.count("drive_points").cast("double").alias("plays")))
+    share = min(least / max(cells.agg(F.sum("plays")).first()[0] or 0.0, 1.0), 0.499)
+    gbt = GBTRegressor(featuresCol="features", labelCol="drive_points", weightCol="plays", maxIter=rounds, maxDepth=depth, stepSize=rate, minInstancesPerNode=1, minWeightFractionPerNode=share, seed=0)
+    model = Pipeline(stages=[VectorAssembler(inputCols=STATE, outputCol="features"), gbt]).fit(cells.coalesce(1 + cells.count() // 50_000))
+    removed(states.sparkSession, at)
+    return model
 
 
 CONDITION = 1e10  # fixed value: systems beyond it are solved by least squares

@@ -411,3 +411,12 @@ def test_stream_equals_batch(spark, sf):
     e = views.read(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     batch = windowed_counts(e).select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.col("total").cast("long"))
     assert sorted(batch.collect()) == sorted(st_windowed_counts(spark, sf).collect())
+
+
+def test_boosted_values_see_states_and_not_plays(spark, sf):
+    s = models.states(spark, sf).persist()
+    one, three = attribution.fit_boosted_value(s, rounds=3, least=20), attribution.fit_boosted_value(s.union(s).union(s), rounds=3, least=60)
+    assert one.stages[-1].getWeightCol() == "plays"
+    p = lambda m: {(r.down, r.ydstogo, r.yardline_100): r.prediction for r in m.transform(s).select("down", "ydstogo", "yardline_100", "prediction").collect()}
+    assert p(one) == pytest.approx(p(three))
+    s.unpersist()
