@@ -11,6 +11,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfield.operators import gram
+from tallyfield.session import package_on_workers
+
 PLAY = ["drive_id", "play_id"]
 STATE = ["down", "ydstogo", "yardline_100"]
 
@@ -27,8 +30,8 @@ def cell_values(states: DataFrame) -> DataFrame:
 
 def play_values(states: DataFrame, values: DataFrame) -> DataFrame:
     """Add v0, v1 and dv = V(next) - V(state); the last play of a drive takes its result."""
-    here = values.select(F.col("bucket").alias("b0"), F.col("value").alias("v0"))
-    then = values.select(F.col("bucket").alias("b1"), F.col("value").alias("vn"))
+    here = F.broadcast(values.select(F.col("bucket").alias("b0"), F.col("value").alias("v0")))  # a row a bucket; plays stay where they are
+    then = F.broadcast(values.select(F.col("bucket").alias("b1"), F.col("value").alias("vn")))
     s = states.withColumn("b0", state_bucket(*(F.col(c) for c in STATE))).withColumn("b1", state_bucket(*(F.col(f"n_{c}") for c in STATE)))
     s = s.join(here, "b0", "left").join(then, "b1", "left")
     s = s.withColumn("v1", F.when(F.col("terminal"), F.col("terminal_value").cast("double")).otherwise(F.coalesce("vn", "v0")))
@@ -121,33 +124,26 @@ def gram_blocks(triplets: DataFrame, targets: DataFrame, by: list[str] | None =
 
 
 def play_gram(valued: DataFrame, players: DataFrame, by: list[str] | None = None, interactions: int = 0) -> DataFrame:
-    """The same blocks from plays that carry their participants and dv: no row is exploded and
-    gathered again, and the sums on (i, j) are the only shuffle of plays.
+    """The same blocks from plays that carry their participants and dv: a task multiplies the
+    entries of its plays out and adds them up (``gram``), so that sums on (i, j) are shuffled
+    and no products. Null ids make no entry.
 
     Ids outside the universe are dropped from the sums, which are small, and not from the plays.
     ``interactions``: also a column for every receiver and defender that meet so often at least;
     their products come from the same rows and go through the same sums.
     """
     by = by if by is not None else ["season", "week"]
-    item = lambda c, val: F.struct(c.alias("col"), F.lit(val).alias("val"))
-    entries = F.concat(
-        F.transform("off_players", lambda p: item(F.concat(F.lit("p:"), p), 1.0)),
-        F.transform("def_players", lambda p: item(F.concat(F.lit("p:"), p), -1.0)),
-        F.array(item(F.concat(F.lit("o:"), "off_team"), 1.0), item(F.concat(F.lit("d:"), "def_team"), -1.0)),
-    )
+    package_on_workers(valued.sparkSession)
+    pairs = F.expr("cast(array() AS array<struct<col: string, val: double>>)")
     if interactions:
         valued = valued.join(pair_entries(valued, players, interactions), PLAY, "left")
-        entries = F.concat(entries, F.coalesce("pairs", F.expr("cast(array() AS array<struct<col: string, val: double>>)")))
-    x = valued.select(*by, "dv", F.array_sort(entries).alias("x"))
-    a = x.select(*by, "dv", "x", F.posexplode("x").alias("k", "a"))
-    # an id that stands twice in a play meets itself twice
-    times = lambda b: F.when(b["col"] == F.col("a.col"), 2.0).otherwise(1.0)
-    products = F.concat(
-        F.array(F.struct(F.col("a.col").alias("j"), (F.col("a.val") * F.col("a.val")).alias("v"))),
-        F.transform(F.slice("x", F.col("k") + 2, F.size("x")), lambda b: F.struct(b["col"].alias("j"), (F.col("a.val") * b["val"] * times(b)).alias("v"))),
-        F.array(F.struct(F.lit(None).cast("string").alias("j"), (F.col("a.val") * F.col("dv")).alias("v"))),
-    )
-    g = a.select(*by, F.col("a.col").alias("i"), F.explode(products).alias("p")).groupBy(*by, "i", F.col("p.j").alias("j")).agg(F.sum("p.v").alias("v"))
+        pairs = F.coalesce("pairs", pairs)
+    x = valued.select(*by, F.col("dv").cast("double").alias("dv"), "off_players", "def_players", F.col("off_team").cast("string").alias("off_team"), F.col("def_team").cast("string").alias("def_team"), pairs.alias("pairs"))
+    if {"season", "week"} <= set(by):  # a week's sums in few tasks, each of which has few weeks
+        x = x.repartition(*by, (F.abs(F.xxhash64("off_players", "def_players")) % 4))
+    kinds = {f.name: f.dataType.simpleString() for f in valued.schema}
+    part = x.mapInArrow(lambda batches: gram.added_up(batches, by), ", ".join([*(f"{k} {kinds[k]}" for k in by), "i string", "j string", "v double"]))
+    g = part.groupBy(*by, "i", "j").agg(F.sum("v").alias("v"))
     known = players.select(F.concat(F.lit("p:"), "player_id").alias("_known")).distinct()
     for side in ("i", "j"):
         g = g.join(known, F.col(side) == F.col("_known"), "left").where(~F.coalesce(F.col(side).startswith("p:"), F.lit(False)) | F.col("_known").isNotNull()).drop("_known")
@@ -201,6 +197,23 @@ def onfield_sums(plays: DataFrame, ratings: DataFrame) -> DataFrame:
     return plays.select(*PLAY).join(side("off_players", "off_sum"), PLAY, "left").join(side("def_players", "def_sum"), PLAY, "left").na.fill(0.0, ["off_sum", "def_sum"])
 
 
+IN_PLACE = 2000  # ratings up to which a play looks its own up, so that it need not be shuffled
+
+
+def with_def_sum(plays: DataFrame, ratings: DataFrame) -> DataFrame:
+    """Add ``def_sum``: the ratings of the defenders on the field, the unrated counting 0. Few
+    ratings go to the plays; many meet them by joins (``onfield_sums``)."""
+    few = ratings.select("player_id", F.col("rating").cast("double").alias("rating")).where("player_id is not null").limit(IN_PLACE + 1).collect()
+    if len(few) > IN_PLACE:
+        return plays.join(onfield_sums(plays, ratings).select(*PLAY, "def_sum"), PLAY)
+    known: dict[str, float] = {}
+    for r in few:
+        known[r.player_id] = known.get(r.player_id, 0.0) + (r.rating or 0.0)
+    one = plays.sparkSession.createDataFrame([(known,)], "_known map<string, double>")
+    total = F.aggregate("def_players", F.lit(0.0), lambda a, p: a + F.coalesce(F.col("_known")[p], F.lit(0.0)))
+    return plays.crossJoin(F.broadcast(one)).withColumn("def_sum", F.coalesce(total, F.lit(0.0))).drop("_known")
+
+
 def fold_of(season: Column, week: Column, folds: int = 5) -> Column:
     """Fold of a week: all its plays together."""
     key = F.concat_ws("|", season.cast("string"), week.cast("string"))
@@ -213,7 +226,7 @@ def context_residual(valued: DataFrame, folds: int = 5) -> DataFrame:
     part = v.groupBy("_cell", "fold").agg(F.sum("dv").alias("s"), F.count("dv").alias("n"))
     cell = part.groupBy("_cell").agg(F.sum("s").alias("cs"), F.sum("n").alias("cn"))
     rest = part.join(cell, "_cell").select("_cell", "fold", F.when(F.col("cn") > F.col("n"), (F.col("cs") - F.col("s")) / (F.col("cn") - F.col("n"))).otherwise(0.0).alias("g"))
-    return v.join(rest, ["_cell", "fold"]).withColumn("resid", F.col("dv") - F.col("g")).drop("_cell", "g")
+    return v.join(F.broadcast(rest), ["_cell", "fold"]).withColumn("resid", F.col("dv") - F.col("g")).drop("_cell", "g")
 
 
 def boosted_residual(valued: DataFrame, ratings: DataFrame, folds: int = 5, rounds: int = 200) -> DataFrame:
@@ -226,7 +239,7 @@ def boosted_residual(valued: DataFrame, ratings: DataFrame, folds: int = 5, roun
     from tallyfield.operators.boosting import out_of_fold
     from tallyfield.session import written
 
-    x = valued.join(onfield_sums(valued, ratings).select(*PLAY, "def_sum"), PLAY).withColumn("fold", fold_of(F.col("season"), F.col("week"), folds))
+    x = with_def_sum(valued, ratings).withColumn("fold", fold_of(F.col("season"), F.col("week"), folds))
     x, _ = written(x)  # read four times: ranges, histogram, cells, rows
     return out_of_fold(x, [*STATE, "def_sum"], "dv", "fold", folds, rounds).withColumn("resid", F.col("dv") - F.col("g"))
 

@@ -179,19 +179,26 @@ def walk_forward_ratings(states: DataFrame, players: DataFrame, warmup_weeks: in
     the warm-up's mean. Blocks are made once and solved on the executors, ``stretch`` origins a
     task; the driver knows the slots only.
     """
-    from tallyfield.operators.attribution import STATE, cell_values, market_rows, play_gram, play_values, state_bucket
+    from tallyfield.operators.attribution import STATE, market_rows, play_gram, play_values, state_bucket
     from tallyfield.operators.solver import solve_stretches, stretches
+    from tallyfield.session import removed, written
 
     if warmup_weeks < 1 or origin_stride < 1:
         raise ValueError("warmup_weeks and origin_stride count from 1")
-    slots = sorted((r.season, r.week) for r in states.select("season", "week").distinct().collect())
+    at = lambda n: state_bucket(*(F.col(n + c) for c in STATE)).alias("bucket")
+    none = F.lit(None).cast("double").alias("p")
+    seen = F.explode(F.array(F.struct(at(""), F.col("drive_points").cast("double").alias("p")), F.struct(at("n_"), none))).alias("e")
+    # counts and sums of a slot and bucket: slots, buckets and the warm-up's means come from one pass
+    seen, seen_at = written(states.select("season", "week", seen).groupBy("season", "week", "e.bucket").agg(F.sum("e.p").alias("p"), F.count("e.p").alias("n")))
+    slots = sorted((r.season, r.week) for r in seen.select("season", "week").distinct().collect())
     if len(slots) <= warmup_weeks:
+        removed(states.sparkSession, seen_at)
         raise ValueError(f"{len(slots)} slots leave no origin after a warm-up of {warmup_weeks}")
     season, week = slots[warmup_weeks]
-    warm = states.where((F.col("season") < season) | ((F.col("season") == season) & (F.col("week") < week)))
-    buckets = [states.select(state_bucket(*(F.col(n + c) for c in STATE)).alias("bucket")) for n in ("", "n_")]
-    mean = warm.agg(F.avg("drive_points")).first()[0]
-    values = buckets[0].union(buckets[1]).where("bucket is not null").distinct().join(cell_values(warm), "bucket", "left").withColumn("value", F.coalesce("value", F.lit(mean)))
+    warm = seen.where((F.col("season") < season) | ((F.col("season") == season) & (F.col("week") < week)))
+    mean = warm.agg(F.sum("p") / F.sum("n")).first()[0]
+    known = warm.groupBy("bucket").agg((F.sum("p") / F.sum("n")).alias("value"))
+    values = seen.where("bucket is not null").select("bucket").distinct().join(known, "bucket", "left").withColumn("value", F.coalesce("value", F.lit(mean)))
     blocks = play_gram(play_values(states, values), players)
     if market is not None:  # pseudo-plays of the first slot, which every origin has behind it
         first = [F.lit(x).cast("int").alias(c) for c, x in zip(("season", "week"), slots[0])]

@@ -132,9 +132,13 @@ def ridge_ratings(gram: DataFrame, lam: float = 120.0, prior: DataFrame | None =
     gradients, so that no more than ``dense`` squared sums are ever collected."""
     from tallyfield.operators.attribution import solve_system
 
+    gram, at = written(gram.groupBy("i", "j").agg(F.sum("v").alias("v")))  # read twice
     if gram.select("i").distinct().count() > dense:
-        return conjugate_gradient(gram, lam, prior, scale).ratings
-    sums = {(r.i, r.j): r.v for r in gram.groupBy("i", "j").agg(F.sum("v").alias("v")).collect()}
+        ratings = conjugate_gradient(gram, lam, prior, scale).ratings
+        removed(gram.sparkSession, at)
+        return ratings
+    sums = {(r.i, r.j): r.v for r in gram.collect()}
+    removed(gram.sparkSession, at)
     given = lambda df, name: {r["col"]: r[name] for r in df.collect()} if df is not None else None
     beta = solve_system(sums, lam, given(prior, "mean"), given(scale, "factor"))
     return gram.sparkSession.createDataFrame(sorted(beta.items()), "col string, rating double")

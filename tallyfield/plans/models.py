@@ -176,7 +176,7 @@ def m6_ratings(spark, d):
 def m7_situation_ratings(spark, d):
     """One system a situation, those under 200 plays left out."""
     s = ingest.situations(valued(spark, d))
-    big = s.groupBy("situation").count().where("count >= 200").select("situation")
+    big = ingest.situations(v.plays(spark, d)).groupBy("situation").count().where("count >= 200").select("situation")
     s = s.join(F.broadcast(big), "situation")  # at most as many rows as situations
     sums: dict[str, dict] = {}
     for r in attribution.play_gram(s, v.players(spark, d), ["situation"]).collect():  # sums, not plays

@@ -39,7 +39,7 @@ _MARKET = """market AS (SELECT off_team AS team, avg(drive_points) / 10 AS s FRO
 @query(with_("states", "SELECT col, round(sum(b), 4) AS b FROM (SELECT i AS col, v AS b FROM gram WHERE j IS NULL UNION ALL SELECT unnest(['o:' || team, 'd:' || team]), 40 * s FROM market) GROUP BY col", CELLS, DV, TRIPLETS, GRAM, _MARKET))
 def q10_normal_equations(spark, d):
     """The solution put back: A times the ratings must be X'y, which SQL can say."""
-    g = system(spark, d)
+    g, _ = written(system(spark, d))  # read twice
     scale = position_scale(v.players(spark, d))
     x = solver.conjugate_gradient(g, scale=scale, tol=1e-12).ratings
     a = g.where("j is not null")

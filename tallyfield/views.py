@@ -22,13 +22,16 @@ def raw_pbp(spark: SparkSession, d: str) -> DataFrame:
     li = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate")
     o = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     c = read(spark, d, "customer").select("c_custkey", "c_nationkey")
-    in_drive = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
-    p = li.withColumn("play_id", F.row_number().over(in_drive).cast("long")).join(o, F.col("l_orderkey") == F.col("o_orderkey")).join(c, F.col("o_custkey") == F.col("c_custkey"))
+    in_drive = Window.partitionBy("drive_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    # an order is a drive: orders and line items meet on the drive's id, by which plays are windowed later too, and are dealt once
+    drive = lambda k: F.concat(F.lit("g"), F.expr(f"{k} div 8"), F.lit("_"), (F.col(k) % 8).cast("string"))
+    o = o.join(c, F.col("o_custkey") == F.col("c_custkey")).withColumn("_drive", drive("o_orderkey"))
+    p = li.withColumn("drive_id", drive("l_orderkey")).withColumn("play_id", F.row_number().over(in_drive).cast("long")).join(o, F.col("drive_id") == F.col("_drive"))
     game = F.concat(F.lit("g"), F.expr("o_orderkey div 8"))
     s = lambda x: F.expr(f"cast({x} as string)")
     return p.select(
         game.alias("game_id"),
-        F.concat_ws("_", game, (F.col("o_orderkey") % 8).cast("string")).alias("drive_id"),
+        "drive_id",
         "play_id",
         F.year("o_orderdate").alias("season"),
         F.month("o_orderdate").alias("week"),

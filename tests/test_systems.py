@@ -294,3 +294,62 @@ def test_models_do_not_meet_in_a_task(spark, planted):
     assert "REPARTITION_BY_NUM" in r._jdf.queryExecution().executedPlan().toString()  # not put together by size
     at = spark.range(5).select(F.col("id").cast("int").alias("m")).repartition(80, "m").select(F.spark_partition_id().alias("p"))
     assert len({x.p for x in at.collect()}) == 5
+
+
+def _exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count(" Exchange ")
+
+
+def test_gram_shuffles_sums_and_no_products(spark, sf, monkeypatch):
+    from tallyfield.operators import gram
+
+    valued = models.valued(spark, sf).persist()
+    g = attribution.play_gram(valued, views.players(spark, sf), [])
+    assert "Generate" not in g._jdf.queryExecution().executedPlan().toString()
+    want = sums_of(attribution.gram_blocks(attribution.design(valued, views.players(spark, sf)), valued, []))
+    got = sums_of(g)
+    assert got.keys() == want.keys() and got == pytest.approx(want, abs=1e-7)
+    valued.unpersist()
+    # a task that may hold only few sums tells them in parts; ids that stand twice, null ids and targets
+    import pyarrow as pa
+
+    rows = [{"week": k % 3, "dv": None if k % 5 == 0 else float(k), "off_players": ["a", "a", None], "def_players": [f"b{k % 7}", "a"], "off_team": "x", "def_team": None, "pairs": [{"col": "x:a|b", "val": 2.0}]} for k in range(90)]
+    kinds = pa.schema([("week", pa.int32()), ("dv", pa.float64()), ("off_players", pa.list_(pa.string())), ("def_players", pa.list_(pa.string())), ("off_team", pa.string()), ("def_team", pa.string()), ("pairs", pa.list_(pa.struct([("col", pa.string()), ("val", pa.float64())])))])
+    want = {}
+    for r in rows:
+        e = [("p:a", 2.0 - 1.0), ("p:" + r["def_players"][0], -1.0), ("o:x", 1.0), ("x:a|b", 2.0)]
+        for i, x in e:
+            for j, y in e:
+                if i <= j:
+                    want[r["week"], i, j] = want.get((r["week"], i, j), 0.0) + x * y
+            want[r["week"], i, None] = want.get((r["week"], i, None), 0.0) + x * (r["dv"] or 0.0)
+    for held in (gram.HELD, 5):
+        monkeypatch.setattr(gram, "HELD", held)
+        monkeypatch.setattr(gram, "ROWS", 7)
+        got = {}
+        for t in gram.added_up(pa.Table.from_pylist(rows, kinds).to_batches(20), ["week"]):
+            for r in t.to_pylist():
+                got[r["week"], r["i"], r["j"]] = got.get((r["week"], r["i"], r["j"]), 0.0) + (r["v"] or 0.0)
+        assert got == pytest.approx(want)
+
+
+def test_plays_are_dealt_once(spark, sf):
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert _exchanges(models.states(spark, sf)) <= 4  # customers, orders by customer and by drive, line items by drive
+        # values of states go to the plays (the buckets' own pass and sums are the rest)
+        assert "SortMergeJoin [b0" not in models.valued(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        rating = views.players(spark, sf).select("player_id", F.lit(1.0).alias("rating"))
+        p = views.plays(spark, sf)
+        assert _exchanges(attribution.with_def_sum(p, rating)) == _exchanges(p)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_def_sum_in_place_is_that_of_the_joins(spark, planted, monkeypatch):
+    plays, rating = planted
+    few = {r.play_id: r.def_sum for r in attribution.with_def_sum(plays, rating.where("player_id <> 'd3'")).collect()}
+    monkeypatch.setattr(attribution, "IN_PLACE", 3)
+    many = {r.play_id: r.def_sum for r in attribution.with_def_sum(plays, rating.where("player_id <> 'd3'")).collect()}
+    assert len(few) == 12_000 and few == pytest.approx(many)
