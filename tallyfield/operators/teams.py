@@ -86,7 +86,7 @@ def opponent_residual(valued: DataFrame, cell: str, folds: str, penalty: float =
     n = F.col("n")
     slope = (F.col("sxy") - F.col("sx") * F.col("sy") / n) / (F.col("sxx") - F.col("sx") * F.col("sx") / n + penalty)
     p = p.select("_c", "_f", F.when(n > 0, F.col("sx") / n).otherwise(0.0).alias("_mx"), F.when(n > 0, F.col("sy") / n).otherwise(0.0).alias("_my"), F.when(n > 1, slope).otherwise(0.0).alias("_b"))
-    j = valued.join(p, (valued[cell] == p._c) & (valued[folds] == p._f))
+    j = valued.join(F.broadcast(p), (valued[cell] == p._c) & (valued[folds] == p._f))  # a row a cell and fold
     return j.withColumn("resid", y - F.col("_my") - F.col("_b") * (x - F.col("_mx"))).drop("_c", "_f", "_mx", "_my", "_b")
 
 

@@ -13,6 +13,7 @@ from tallyfield.plans.models import _BOOT, _FILTER, _SMOOTH, _STATES9, _rounded,
 from tallyfield.plans.relational import _POOL, _TOTALS, _VOR
 from tallyfield.plans.relational import valued as valuations
 from tallyfield.registry import query
+from tallyfield.session import removed, written
 from tallyfield.views import with_
 
 R = lambda c, name=None: F.round(c, 7).alias(name or c)
@@ -218,7 +219,7 @@ def _bucket_sql() -> str:
 
 
 def residuals(spark, d):
-    p = valued(spark, d).join(attribution.onfield_sums(v.plays(spark, d), rated(spark, d)).select("drive_id", "play_id", "def_sum"), ["drive_id", "play_id"])
+    p = attribution.with_def_sum(valued(spark, d), rated(spark, d))
     p = p.withColumn("_cell", attribution.state_bucket(*(F.col(c) for c in attribution.STATE))).withColumn("fold", attribution.fold_of(F.col("season"), F.col("week")))
     return teams.opponent_residual(p, "_cell", "fold")
 
@@ -238,20 +239,22 @@ def a8_all_quarterbacks(spark, d):
 @query()
 def m11_fixed_point(spark, d):
     """Ratings and the focus quarterback's credit after three rounds; Gram sums are made once."""
-    p, who = v.plays(spark, d), v.players(spark, d)
-    g = attribution.play_gram(valued(spark, d), who, [])
+    who = v.players(spark, d)
+    plays, at = written(valued(spark, d))
+    g = attribution.play_gram(plays, who, [])
     sums = {(r.i, r.j): r.v for r in g.groupBy("i", "j").agg(F.sum("v").alias("v")).collect()}
     focus = "p0"
-    base = valued(spark, d).withColumn("_cell", attribution.state_bucket(*(F.col(c) for c in attribution.STATE))).withColumn("fold", attribution.fold_of(F.col("season"), F.col("week")))
+    base = plays.withColumn("_cell", attribution.state_bucket(*(F.col(c) for c in attribution.STATE))).withColumn("fold", attribution.fold_of(F.col("season"), F.col("week")))
 
     def credit(beta: dict[str, float]) -> float:
         r = spark.createDataFrame([(k[2:], b) for k, b in beta.items() if k.startswith("p:")], "player_id string, rating double")
-        j = base.join(attribution.onfield_sums(p, r).select("drive_id", "play_id", "def_sum"), ["drive_id", "play_id"])
+        j = attribution.with_def_sum(base, r)
         mine = teams.opponent_residual(j, "_cell", "fold").where(F.array_contains("off_players", focus))
         weeks = mine.groupBy("season", "week").agg(F.avg("resid").alias("c"))
         return weeks.agg(F.coalesce(F.avg("c"), F.lit(0.0))).first()[0]
 
     ratings, credits = teams.fixed_point(lambda prior: attribution.solve_system(sums, prior={f"p:{k}": x for k, x in prior.items()}), credit, focus)
+    removed(spark, at)
     return spark.createDataFrame([(k, b, credits[-1] if k == f"p:{focus}" else None) for k, b in sorted(ratings.items())], "col string, rating double, credit double")
 
 
