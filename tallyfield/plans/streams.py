@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tallyfield import views as v
 from tallyfield.plans.models import _FILTER, series
 from tallyfield.registry import query
-from tallyfield.session import scratch
+from tallyfield.session import removed, scratch, written
 from tallyfield.streaming.corrections import filtered_stream, last_word, run_to_end
 from tallyfield.streaming.stateful import talent_updates
 from tallyfield.streaming.weekly import windowed_counts
@@ -62,10 +62,14 @@ def st_corrected_filter(spark, d):
     week is the batch filter's."""
     s = series(spark, d).withColumn("snaps", F.col("snaps").cast("double"))
     weeks = s.select("player_id", "position", "season", "week", "y", "snaps", "event", F.lit(2).cast("long").alias("revision"))
+    weeks, weeks_at = written(weeks)  # read five times
     wrong = weeks.where("week % 3 = 0").withColumns({"y": F.lit(5.0), "revision": F.lit(1).cast("long")})
     at = scratch(spark)
     for order, part in enumerate((weeks.where("season = 2024"), wrong, weeks.where("season < 2024 and week > 5"), weeks.where("season < 2024 and week <= 5"))):
         part.write.parquet(f"{at}/in/part={order}")
-    stream = spark.readStream.schema(weeks.schema).option("maxFilesPerTrigger", 8).option("recursiveFileLookup", True).parquet(f"{at}/in")
+    removed(spark, weeks_at)
+    files = len(spark.read.schema(weeks.schema).option("recursiveFileLookup", True).parquet(f"{at}/in").inputFiles())
+    at_once = max(8, -(-files // 4))  # some four batches, however many files there are
+    stream = spark.readStream.schema(weeks.schema).option("maxFilesPerTrigger", at_once).option("recursiveFileLookup", True).parquet(f"{at}/in")
     told = last_word(run_to_end(filtered_stream(stream), f"{at}/out", f"{at}/checkpoint"))
     return told.select("player_id", "season", "week", F.round("x0", 6).alias("talent"), F.round(F.col("x0") + F.col("x1") + F.col("x2"), 6).alias("total"), F.round("var", 7).alias("var"))

@@ -1,6 +1,6 @@
 """The talent filter over a stream in which weeks come late, twice or corrected.
 
-A player's weeks are kept as map state, and beside each the filter's state after it. A row of
+A player's weeks are kept as one value, and beside each the filter's state after it. A row of
 a newer revision replaces its week; the filter then runs again from the state before the
 earliest week that changed, and every week from there on is told anew. So the last word on a
 week is that of the batch filter, in whatever order its rows came.
@@ -8,10 +8,10 @@ week is that of the batch filter, in whatever order its rows came.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -20,6 +20,7 @@ from tallyfield.session import package_on_workers
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 OUT = "player_id string, season int, week int, version long, " + ", ".join(f"{k} double" for k in STATE[:-1]) + ", games int, pred double, var double"
+TOLD = Row("player_id", "season", "week", "version", *STATE, "pred", "var")
 START = (0.0, 0.0, 0.0, START_VAR[0], 0.0, 0.0, START_VAR[1], 0.0, START_VAR[2], 99)
 
 
@@ -41,37 +42,47 @@ def one_week(s: tuple, y: float | None, snaps: float, event: bool, p: Params) ->
     return (*(x + g * (y - pred) for x, g in zip(m, k)), *c, games + 1, pred, var)
 
 
+WEEKS = {"slot": "int", "position": "string", "y": "double", "snaps": "double", "event": "boolean", "revision": "long"}
+
+
 class WeeklyFilter(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.weeks = handle.getMapState("weeks", "slot int", "position string, y double, snaps double, event boolean, revision long")
-        self.states = handle.getMapState("states", "slot int", ", ".join(f"{k} double" for k in STATE[:-1]) + ", games int")
-        self.told = handle.getValueState("told", "n long")
+    """A player's weeks and the states after them are one value, an array a column, so a player
+    costs a batch one read and one write however many weeks it has."""
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        columns = [f"{k} array<{t}>" for k, t in WEEKS.items()]
+        self.kept = handle.getValueState("kept", ", ".join([*columns, "states array<double>", "games array<int>", "told long"]))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: N802, N803
+        weeks, states, told = {}, {}, 0
+        if (kept := self.kept.get()) is not None:
+            *columns, flat, games, told = kept
+            weeks = {w[0]: tuple(w) for w in zip(*columns)}
+            n = len(START) - 1
+            states = {slot: (*flat[k * n : (k + 1) * n], games[k]) for k, slot in enumerate(columns[0])}
         first = None
-        for r in pd.concat(list(rows)).itertuples():
-            slot = int(r.season) * 100 + int(r.week)
-            have = self.weeks.getValue((slot,)) if self.weeks.containsKey((slot,)) else None
-            if have is not None and have[4] >= r.revision:
+        for r in rows:
+            slot = r.season * 100 + r.week
+            if slot in weeks and weeks[slot][5] >= r.revision:
                 continue  # a replay, or older than what is known
-            y = None if r.y is None or pd.isna(r.y) else float(r.y)
-            self.weeks.updateValue((slot,), (r.position, y, float(r.snaps), bool(r.event), int(r.revision)))
+            y = None if r.y is None or math.isnan(r.y) else r.y
+            weeks[slot] = (slot, r.position, y, r.snaps, r.event, r.revision)
             first = slot if first is None else min(first, slot)
         if first is None:
             return
-        slots = sorted(int(k[0]) for k in self.weeks.keys())
-        before = [s for s in slots if s < first]
-        state = tuple(self.states.getValue((before[-1],))) if before else START
-        version = (self.told.get()[0] if self.told.exists() else 0) + 1
-        self.told.update((version,))
+        slots = sorted(weeks)
+        state = states[max(s for s in slots if s < first)] if slots[0] < first else START
         out = []
-        for slot in slots[len(before) :]:
-            position, y, snaps, event, _ = self.weeks.getValue((slot,))
+        for slot in slots:
+            if slot < first:
+                continue
+            _, position, y, snaps, event, _ = weeks[slot]
             got = one_week(state, y, snaps, event, Params.of(position))
-            state = got[:10]
-            self.states.updateValue((slot,), state)
-            out.append((key[0], slot // 100, slot % 100, version, *got))
-        yield pd.DataFrame(out, columns=["player_id", "season", "week", "version", *STATE, "pred", "var"])
+            states[slot] = state = got[:10]
+            out.append(TOLD(key[0], slot // 100, slot % 100, told + 1, *got))
+        columns = [list(c) for c in zip(*(weeks[s] for s in slots))]
+        self.kept.update((*columns, [float(x) for s in slots for x in states[s][:-1]], [states[s][-1] for s in slots], told + 1))
+        yield from out
 
     def close(self) -> None:
         pass
@@ -81,9 +92,9 @@ def filtered_stream(weeks: DataFrame) -> DataFrame:
     """(player_id, position, season, week, y, snaps, event, revision) in; a row for every week whose
     state changed, with a version that grows, so the row of the highest version counts."""
     package_on_workers(weeks.sparkSession)
-    weeks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)  # map state needs it
+    weeks.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)  # the operator needs it
     rows = weeks.select("player_id", "position", F.col("season").cast("int").alias("season"), F.col("week").cast("int").alias("week"), F.col("y").cast("double").alias("y"), F.col("snaps").cast("double").alias("snaps"), F.coalesce("event", F.lit(False)).alias("event"), F.col("revision").cast("long").alias("revision"))
-    return rows.groupBy("player_id").transformWithStateInPandas(WeeklyFilter(), OUT, "Update", "None")
+    return rows.groupBy("player_id").transformWithState(WeeklyFilter(), OUT, "Update", "None")
 
 
 def last_word(told: DataFrame) -> DataFrame:

@@ -42,3 +42,37 @@ def test_any_order_gives_the_batch_result(spark, tmp_path, seed):
         g = got[r.player_id, r.season, r.week]
         for c in [*statespace.STATE, "pred", "var"]:
             assert g[c] == pytest.approx(r[c], abs=1e-10), c
+
+
+def test_a_batch_costs_a_player_one_read_and_one_write():
+    from pyspark.sql import Row
+
+    from tallyfield.streaming.corrections import WeeklyFilter
+
+    calls = []
+
+    class Value:
+        held = None
+
+        def get(self):
+            calls.append("get")
+            return self.held
+
+        def update(self, value):
+            calls.append("update")
+            self.held = value
+
+    class Handle:
+        def getValueState(self, name, schema):  # noqa: N802
+            return Value()
+
+    f = WeeklyFilter()
+    f.init(Handle())
+    rows = [Row(player_id="x", position="QB", season=2022, week=w, y=0.1 * w, snaps=20.0, event=False, revision=1) for w in range(1, 31)]
+    late = list(f.handleInputRows(("x",), iter(rows[5:]), None)) + list(f.handleInputRows(("x",), iter(rows[:5]), None))
+    assert calls == ["get", "update"] * 2 and len(late) == 25 + 30
+    once = list(f.handleInputRows(("x",), iter(rows), None))
+    assert once == [] and calls[-1] == "get"  # replays
+    g = WeeklyFilter()
+    g.init(Handle())
+    assert [r[4:] for r in g.handleInputRows(("x",), iter(rows), None)] == [r[4:] for r in late[25:]]
