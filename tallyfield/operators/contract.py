@@ -52,9 +52,10 @@ def violations(states: DataFrame, players: DataFrame, teams: DataFrame | None =
     return out
 
 
-def drive_islands(plays: DataFrame, order: str) -> DataFrame:
-    """Runs of equal drive ids in file order, as first and last row and length."""
-    w = Window.partitionBy("game_id").orderBy(order)
+def drive_islands(plays: DataFrame, order: str, by: list | None = None) -> DataFrame:
+    """Runs of equal drive ids in file order, as first and last row and length. ``by``: columns
+    that give the order of ``order`` where that was numbered by them, so that plays are sorted once."""
+    w = Window.partitionBy("game_id").orderBy(*(by or [order]))
     new = F.when(F.lag("drive_id").over(w).eqNullSafe(F.col("drive_id")), 0).otherwise(1)
     marked = plays.withColumn("_new", new).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return marked.groupBy("game_id", "island", "drive_id").agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))

@@ -190,13 +190,19 @@ def p19_degraded_columns(spark, d):
     return long.withColumn("degraded", F.col("n_filled") == 0)
 
 
+ISLAND_ROWS = 200_000  # plays of a task
+
+
 @query(with_("raw", """SELECT game_id, drive_id, min(r) AS first, max(r) AS last, count(*) AS n FROM (
   SELECT *, sum(new) OVER (PARTITION BY game_id ORDER BY r) AS island FROM (
     SELECT *, CASE WHEN lag(drive_id) OVER (PARTITION BY game_id ORDER BY r) = drive_id THEN 0 ELSE 1 END AS new FROM (
       SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY play_id % 3, play_id, drive_id) AS r FROM raw))) GROUP BY game_id, island, drive_id"""))
 def p24_drive_islands(spark, d):
-    w = Window.partitionBy("game_id").orderBy(F.expr("play_id % 3"), "play_id", "drive_id")
-    return contract.drive_islands(v.raw_pbp(spark, d).withColumn("row", F.row_number().over(w)), "row").drop("island")
+    by = ["third", "play_id", "drive_id"]
+    tasks = 1 + v.read(spark, d, "lineitem").count() // ISLAND_ROWS  # more plays are more tasks, not larger ones
+    p = v.raw_pbp(spark, d).select("game_id", "drive_id", "play_id").repartition(tasks, "game_id").withColumn("third", F.expr("play_id % 3"))
+    p = p.withColumn("row", F.row_number().over(Window.partitionBy("game_id").orderBy(*by)))
+    return contract.drive_islands(p, "row", by).drop("island")
 
 
 @query(with_("raw", "SELECT drive_id, play_id, len(list_filter(string_split(offense_players, ';'), lambda x: x <> '')) AS n_off FROM raw WHERE play_type IN ('pass', 'run') AND down IS NOT NULL"))

@@ -420,3 +420,15 @@ def test_boosted_values_see_states_and_not_plays(spark, sf):
     p = lambda m: {(r.down, r.ydstogo, r.yardline_100): r.prediction for r in m.transform(s).select("down", "ydstogo", "yardline_100", "prediction").collect()}
     assert p(one) == pytest.approx(p(three))
     s.unpersist()
+
+
+def test_drive_islands_sort_plays_once_in_tasks_of_a_size(spark, sf, monkeypatch):
+    from tallyfield.plans import relational
+
+    monkeypatch.setattr(relational, "ISLAND_ROWS", 1000)
+    got = relational.p24_drive_islands(spark, sf)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [game_id") == 1
+    n = views.read(spark, sf, "lineitem").count()
+    assert f", {1 + n // 1000}), REPARTITION_BY_NUM" in plan
+    assert got.agg(F.sum("n")).first()[0] == n
