@@ -138,9 +138,10 @@ def play_gram(valued: DataFrame, players: DataFrame, by: list[str] | None = None
     if interactions:
         valued = valued.join(pair_entries(valued, players, interactions), PLAY, "left")
         pairs = F.coalesce("pairs", pairs)
-    x = valued.select(*by, F.col("dv").cast("double").alias("dv"), "off_players", "def_players", F.col("off_team").cast("string").alias("off_team"), F.col("def_team").cast("string").alias("def_team"), pairs.alias("pairs"))
-    if {"season", "week"} <= set(by):  # a week's sums in few tasks, each of which has few weeks
-        x = x.repartition(*by, (F.abs(F.xxhash64("off_players", "def_players")) % 4))
+    x = valued.select(*by, *PLAY, F.col("dv").cast("double").alias("dv"), "off_players", "def_players", F.col("off_team").cast("string").alias("off_team"), F.col("def_team").cast("string").alias("def_team"), pairs.alias("pairs"))
+    if {"season", "week"} <= set(by):  # a week's sums in one task, and in one order, so that runs agree to the last bit
+        x = x.repartition(*by).sortWithinPartitions(*by, *PLAY)
+    x = x.drop(*PLAY)
     kinds = {f.name: f.dataType.simpleString() for f in valued.schema}
     part = x.mapInArrow(lambda batches: gram.added_up(batches, by), ", ".join([*(f"{k} {kinds[k]}" for k in by), "i string", "j string", "v double"]))
     g = part.groupBy(*by, "i", "j").agg(F.sum("v").alias("v"))
