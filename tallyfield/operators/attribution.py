@@ -80,31 +80,32 @@ def design(plays: DataFrame, players: DataFrame, semantics: str = "oracle") -> D
     return t.groupBy(*PLAY, "season", "week", "col").agg(F.sum("val").alias("val"))
 
 
-def pair_meetings(plays: DataFrame, players: DataFrame, left: str = "WR", right: str | None = None) -> DataFrame:
-    """(PLAY, a, b, n): receivers and defenders on the field together, ids that stand twice
-    counted as often. ``right`` is CB if there is any in the universe, else DEF.
-
-    """
+def _pair_positions(players: DataFrame, left: str, right: str | None) -> tuple[DataFrame, DataFrame]:
+    """Players of both positions; ``right`` is CB if there is any in the universe, else DEF."""
     if right is None:
         right = "DEF" if players.where("position = 'CB'").isEmpty() else "CB"
-    known = players.where(F.col("position").isin(left, right)).select("player_id", "position").distinct()
-    side = lambda col, pos, name: plays.select(*PLAY, F.explode(col).alias("player_id")).join(known.where(F.col("position") == pos).select("player_id"), "player_id").groupBy(*PLAY, F.col("player_id").alias(name)).agg(F.count("*").alias(f"_n{name}"))
-    meets = side("off_players", left, "a").join(side("def_players", right, "b"), PLAY)
-    return meets.select(*PLAY, "a", "b", (F.col("_na") * F.col("_nb")).alias("n"))
+    return tuple(players.where(F.col("position") == pos).select(F.col("player_id").alias(name)).distinct() for pos, name in ((left, "a"), (right, "b")))
+
+
+def pair_meetings(plays: DataFrame, players: DataFrame, left: str = "WR", right: str | None = None) -> DataFrame:
+    """(PLAY, a, b), a row a meeting: receivers and defenders on the field together, ids that
+    stand twice as often. A play's ids meet where the play is, and only the universe is joined."""
+    a, b = _pair_positions(players, left, right)
+    one = plays.select(*PLAY, "def_players", F.explode("off_players").alias("a")).join(a, "a")
+    return one.select(*PLAY, "a", F.explode("def_players").alias("b")).join(b, "b").select(*PLAY, "a", "b")
 
 
 def pair_support(plays: DataFrame, players: DataFrame, left: str = "WR", right: str | None = None, least: int = 30) -> DataFrame:
     """(left player, right player) pairs that meet at least so often."""
-    return pair_meetings(plays, players, left, right).groupBy("a", "b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    return pair_meetings(plays, players, left, right).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
-def pair_entries(plays: DataFrame, players: DataFrame, least: int = 30) -> DataFrame:
+def pair_entries(plays: DataFrame, players: DataFrame, enough: DataFrame) -> DataFrame:
     """(PLAY, pairs): the interaction columns of each play, x:left|right and how often, of pairs
     with enough support. A play's pairs are few; pairs without support go before they are gathered."""
-    m = pair_meetings(plays, players)
-    enough = m.groupBy("a", "b").agg(F.sum("n").alias("_s")).where(F.col("_s") >= least).select("a", "b")
+    m = pair_meetings(plays, players).join(enough.select("a", "b"), ["a", "b"]).groupBy(*PLAY, "a", "b").agg(F.count("*").alias("n"))
     entry = F.struct(F.concat(F.lit("x:"), "a", F.lit("|"), "b").alias("col"), F.col("n").cast("double").alias("val"))
-    return m.join(enough, ["a", "b"]).groupBy(*PLAY).agg(F.collect_list(entry).alias("pairs"))
+    return m.groupBy(*PLAY).agg(F.collect_list(entry).alias("pairs"))
 
 
 def gram_blocks(triplets: DataFrame, targets: DataFrame, by: list[str] | None = None) -> DataFrame:
@@ -123,27 +124,37 @@ def gram_blocks(triplets: DataFrame, targets: DataFrame, by: list[str] | None =
     return a.select(*by, F.col("a.col").alias("i"), F.explode(products).alias("p")).groupBy(*by, "i", F.col("p.j").alias("j")).agg(F.sum("p.v").alias("v"))
 
 
-def play_gram(valued: DataFrame, players: DataFrame, by: list[str] | None = None, interactions: int = 0) -> DataFrame:
+PAIRS = 100_000  # pairs with a column up to which a task knows them all, so that plays need not be shuffled
+
+
+def play_gram(valued: DataFrame, players: DataFrame, by: list[str] | None = None, interactions: int = 0, plays: DataFrame | None = None) -> DataFrame:
     """The same blocks from plays that carry their participants and dv: a task multiplies the
     entries of its plays out and adds them up (``gram``), so that sums on (i, j) are shuffled
     and no products. Null ids make no entry.
 
     Ids outside the universe are dropped from the sums, which are small, and not from the plays.
     ``interactions``: also a column for every receiver and defender that meet so often at least;
-    their products come from the same rows and go through the same sums.
+    their products come from the same rows and go through the same sums. Up to ``PAIRS`` such
+    pairs go to the tasks, more are joined to the plays. ``plays``: the same plays without their
+    values, in which meetings are counted with less work.
     """
     by = by if by is not None else ["season", "week"]
     package_on_workers(valued.sparkSession)
     pairs = F.expr("cast(array() AS array<struct<col: string, val: double>>)")
+    met: list[tuple[str, str]] = []
     if interactions:
-        valued = valued.join(pair_entries(valued, players, interactions), PLAY, "left")
-        pairs = F.coalesce("pairs", pairs)
+        enough = pair_support(plays if plays is not None else valued, players, least=interactions).select("a", "b")
+        met = [(r.a, r.b) for r in enough.limit(PAIRS + 1).collect()]  # counted once
+        if len(met) > PAIRS:
+            met = []
+            valued = valued.join(pair_entries(valued, players, enough), PLAY, "left")
+            pairs = F.coalesce("pairs", pairs)
     x = valued.select(*by, *PLAY, F.col("dv").cast("double").alias("dv"), "off_players", "def_players", F.col("off_team").cast("string").alias("off_team"), F.col("def_team").cast("string").alias("def_team"), pairs.alias("pairs"))
     if {"season", "week"} <= set(by):  # a week's sums in one task, and in one order, so that runs agree to the last bit
         x = x.repartition(*by).sortWithinPartitions(*by, *PLAY)
     x = x.drop(*PLAY)
     kinds = {f.name: f.dataType.simpleString() for f in valued.schema}
-    part = x.mapInArrow(lambda batches: gram.added_up(batches, by), ", ".join([*(f"{k} {kinds[k]}" for k in by), "i string", "j string", "v double"]))
+    part = x.mapInArrow(lambda batches: gram.added_up(batches, by, met), ", ".join([*(f"{k} {kinds[k]}" for k in by), "i string", "j string", "v double"]))
     g = part.groupBy(*by, "i", "j").agg(F.sum("v").alias("v"))
     known = players.select(F.concat(F.lit("p:"), "player_id").alias("_known")).distinct()
     for side in ("i", "j"):

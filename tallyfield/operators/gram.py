@@ -27,7 +27,42 @@ class Names:
         return np.array([self.at.setdefault(x, len(self.at)) for x in values], np.int64)
 
 
-def _entries(batch: pa.RecordBatch, columns: Names) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+class Pairs:
+    """Pairs of players (left, right) that have a column of their own, as numbers."""
+
+    def __init__(self, pairs: Iterable[tuple[str, str]]) -> None:
+        pairs = list(pairs)
+        self.left, self.right = ({x: k for k, x in enumerate(sorted({p[side] for p in pairs}))} for side in (0, 1))
+        code = np.array([self.left[a] * len(self.right) + self.right[b] for a, b in pairs], np.int64)
+        order = np.argsort(code)
+        self.code, self.names = code[order], [f"x:{pairs[k][0]}|{pairs[k][1]}" for k in order]
+
+    @staticmethod
+    def _side(x: pa.Array, known: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+        """(row, number) of the ids that are known, by row."""
+        row = np.repeat(np.arange(len(x)), x.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+        e = x.flatten().dictionary_encode()
+        number = np.array([*(known.get(k, -1) for k in e.dictionary.to_pylist()), -1], np.int64)  # the last one is for nulls
+        number = number[e.indices.fill_null(len(number) - 1).to_numpy(zero_copy_only=False)]
+        return row[number >= 0], number[number >= 0]
+
+    def met(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place in ``names``) of every meeting, a row for each time that ids stand twice."""
+        (row, a), (other, b) = self._side(batch["off_players"], self.left), self._side(batch["def_players"], self.right)
+        have = np.bincount(other, minlength=batch.num_rows)
+        first = np.cumsum(have) - have
+        n = have[row]
+        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        code = np.repeat(a, n) * len(self.right) + b[np.repeat(first[row], n) + within]
+        row = np.repeat(row, n)
+        if not len(self.code):
+            return row[:0], code[:0]
+        at = np.minimum(np.searchsorted(self.code, code), len(self.code) - 1)
+        kept = self.code[at] == code
+        return row[kept], at[kept]
+
+
+def _entries(batch: pa.RecordBatch, columns: Names, met: Pairs | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, column number, value) of every entry, by row."""
     parts = []
     for field, prefix, sign in (("off_players", "p:", 1.0), ("def_players", "p:", -1.0), ("off_team", "o:", 1.0), ("def_team", "d:", -1.0), ("pairs", "", 0.0)):
@@ -45,15 +80,19 @@ def _entries(batch: pa.RecordBatch, columns: Names) -> tuple[np.ndarray, np.ndar
         e = x.drop_null().dictionary_encode()
         number = columns.of([prefix + k for k in e.dictionary.to_pylist()])
         parts.append((row[known], number[e.indices.to_numpy(zero_copy_only=False)] if len(e) else np.zeros(0, np.int64), value[known]))
+    if met:
+        row, at = met.met(batch)
+        here, at = np.unique(at, return_inverse=True)
+        parts.append((row, columns.of([met.names[k] for k in here])[at], np.ones(len(row))))
     row, col, val = (np.concatenate(p) for p in zip(*parts))
     order = np.argsort(row, kind="stable")
     return row[order], col[order], val[order]
 
 
-def _products(batch: pa.RecordBatch, by: list[str], columns: Names, groups: Names) -> pa.Table:
+def _products(batch: pa.RecordBatch, by: list[str], columns: Names, groups: Names, met: Pairs | None = None) -> pa.Table:
     """(key, v): the batch's sums of products, keyed by the numbers of group and both columns."""
-    row, col, val = _entries(batch, columns)
-    group = groups.of(list(zip(*(batch[k].to_pylist() for k in by))) if by else [()] * batch.num_rows) << (2 * BITS)
+    row, col, val = _entries(batch, columns, met)
+    group = (groups.of(list(zip(*(batch[k].to_pylist() for k in by)))) if by else np.repeat(groups.of([()]), batch.num_rows)) << (2 * BITS)
     have = np.bincount(row, minlength=batch.num_rows)
     place = np.arange(len(row)) - np.repeat(np.cumsum(have) - have, have)
     after = np.repeat(have, have) - 1 - place  # entries of the same play that follow
@@ -72,10 +111,12 @@ def _summed(t: pa.Table) -> pa.Table:
     return t.group_by("key", use_threads=False).aggregate([("v", "sum")]).select(["key", "v_sum"]).rename_columns(["key", "v"])
 
 
-def added_up(batches: Iterable[pa.RecordBatch], by: list[str]) -> Iterator[pa.RecordBatch]:
+def added_up(batches: Iterable[pa.RecordBatch], by: list[str], pairs: Iterable[tuple[str, str]] = ()) -> Iterator[pa.RecordBatch]:
     """(by, i, j, v) with i <= j, j null for X'y, from (by, dv, off_players, def_players,
-    off_team, def_team, pairs); a sum can come in several parts."""
+    off_team, def_team, pairs); a sum can come in several parts. ``pairs``: offensive and
+    defensive players with a column for their meetings, beside those that a play brings."""
     columns, groups, held, kinds = Names(), Names(), [], None
+    met = Pairs(pairs) if pairs else None
 
     def told() -> Iterator[pa.RecordBatch]:
         if not held:
@@ -104,7 +145,7 @@ def added_up(batches: Iterable[pa.RecordBatch], by: list[str]) -> Iterator[pa.Re
             if len(columns.at) > 1 << (BITS - 1) or len(groups.at) > 1 << (BITS - 1):
                 yield from told()
                 columns, groups = Names(), Names()
-            held.append(_products(batch.slice(k, ROWS), by, columns, groups))
+            held.append(_products(batch.slice(k, ROWS), by, columns, groups, met))
         if sum(map(len, held)) > 2 * HELD:
             held[:] = [_summed(pa.concat_tables(held))]
             if len(held[0]) > HELD:

@@ -120,14 +120,14 @@ gram2 AS (SELECT a.col AS i, b.col AS j, sum(a.val * b.val) AS v FROM tri2 a JOI
 @query(with_("states players", "SELECT i, j, round(v, 7) AS v FROM gram2", CELLS, DV, TRIPLETS, _PAIRS))
 def m4_interaction_gram(spark, d):
     """Gram sums with a column for each receiver and defender that met on 30 plays or more."""
-    g = attribution.play_gram(valued(spark, d), v.players(spark, d), [], interactions=30)
+    g = attribution.play_gram(valued(spark, d), v.players(spark, d), [], interactions=30, plays=v.plays(spark, d))
     return g.select("i", "j", F.round("v", 7).alias("v"))
 
 
 @query()
 def m4_interaction_ratings(spark, d):
     """Ratings of players, teams and pairs; pairs have ten times a player's penalty."""
-    g = attribution.play_gram(valued(spark, d), v.players(spark, d), [], interactions=30)
+    g = attribution.play_gram(valued(spark, d), v.players(spark, d), [], interactions=30, plays=v.plays(spark, d))
     return solver.ridge_ratings(g).select("col", F.round("rating", 9).alias("rating"))
 
 

@@ -300,6 +300,20 @@ def _exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count(" Exchange ")
 
 
+def test_interactions_meet_where_the_plays_are(spark, sf, monkeypatch):
+    """A column for pairs asks for no shuffle of plays; many pairs are joined and give the same."""
+    valued, who = models.valued(spark, sf).persist(), views.players(spark, sf)
+    few = attribution.play_gram(valued, who, [], interactions=3)
+    assert _exchanges(few) == _exchanges(attribution.play_gram(valued, who, []))
+    got = sums_of(few)
+    assert any(i.startswith("x:") for i, _ in got)
+    monkeypatch.setattr(attribution, "PAIRS", 3)
+    many = sums_of(attribution.play_gram(valued, who, [], interactions=3))
+    assert many.keys() == got.keys() and many == pytest.approx(got, abs=1e-7)
+    assert sums_of(attribution.play_gram(valued, who, [], interactions=10**9)) == pytest.approx(sums_of(attribution.play_gram(valued, who, [])), abs=1e-7)
+    valued.unpersist()
+
+
 def test_gram_shuffles_sums_and_no_products(spark, sf, monkeypatch):
     from tallyfield.operators import gram
 
