@@ -28,6 +28,17 @@ def cell_values(states: DataFrame) -> DataFrame:
     return states.groupBy(b.alias("bucket")).agg(F.avg("drive_points").alias("value"), F.count("*").alias("n"))
 
 
+def cell_and_team_values(states: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``cell_values`` and the mean drive points of each offence (team, strength) from one pass over
+    the plays: the sums of a cell and team, which are few, are written and read twice."""
+    from tallyfield.session import written
+
+    b = state_bucket(F.col("down"), F.col("ydstogo"), F.col("yardline_100"))
+    sums, _ = written(states.groupBy(b.alias("bucket"), F.col("off_team").alias("team")).agg(F.sum("drive_points").alias("p"), F.count("drive_points").alias("known"), F.count("*").alias("n")))
+    mean = F.try_divide(F.sum("p"), F.sum("known"))
+    return sums.groupBy("bucket").agg(mean.alias("value"), F.sum("n").alias("n")), sums.groupBy("team").agg(mean.alias("strength"))
+
+
 def play_values(states: DataFrame, values: DataFrame) -> DataFrame:
     """Add v0, v1 and dv = V(next) - V(state); the last play of a drive takes its result."""
     here = F.broadcast(values.select(F.col("bucket").alias("b0"), F.col("value").alias("v0")))  # a row a bucket; plays stay where they are
@@ -91,8 +102,9 @@ def pair_meetings(plays: DataFrame, players: DataFrame, left: str = "WR", right:
     """(PLAY, a, b), a row a meeting: receivers and defenders on the field together, ids that
     stand twice as often. A play's ids meet where the play is, and only the universe is joined."""
     a, b = _pair_positions(players, left, right)
-    one = plays.select(*PLAY, "def_players", F.explode("off_players").alias("a")).join(a, "a")
-    return one.select(*PLAY, "a", F.explode("def_players").alias("b")).join(b, "b").select(*PLAY, "a", "b")
+    # outer, as a plain one makes every list twice: a filter on its size goes before the plays are made
+    one = plays.select(*PLAY, "def_players", F.explode_outer("off_players").alias("a")).join(a, "a")
+    return one.select(*PLAY, "a", F.explode_outer("def_players").alias("b")).join(b, "b").select(*PLAY, "a", "b")
 
 
 def pair_support(plays: DataFrame, players: DataFrame, left: str = "WR", right: str | None = None, least: int = 30) -> DataFrame:

@@ -26,6 +26,14 @@ def valued(spark, d):
     return attribution.play_values(s, attribution.cell_values(s))
 
 
+def system(spark, d):
+    """Gram sums of the whole log with the market rows of the teams."""
+    s = states(spark, d)
+    values, strength = attribution.cell_and_team_values(s)
+    g = attribution.play_gram(attribution.play_values(s, values), v.players(spark, d), [])
+    return g.unionByName(attribution.market_rows(strength.withColumn("strength", F.col("strength") / 10)))
+
+
 # --- baselines ---------------------------------------------------------------------------
 
 
@@ -165,9 +173,7 @@ def m8_market_rows(spark, d):
 @query()
 def m6_ratings(spark, d):
     """Ridge ratings of players and teams from the whole log, anchored by the market rows."""
-    g = attribution.play_gram(valued(spark, d), v.players(spark, d), [])
-    strength = v.plays(spark, d).groupBy(F.col("off_team").alias("team")).agg((F.avg("drive_points") / 10).alias("strength"))
-    both = g.unionByName(attribution.market_rows(strength))
+    both = system(spark, d)
     position = {f"p:{r.player_id}": 2.0 if r.position == "DEF" else 1.0 for r in v.players(spark, d).collect()}
     return spark.createDataFrame(sorted(attribution.solve_ridge(both, scale=position).items()), "col string, rating double")
 

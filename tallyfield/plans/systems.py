@@ -9,20 +9,13 @@ from tallyfield.functions.normal import ppf
 from tallyfield.operators import asof, attribution, evaluation, forecast, guards, solver, teams, verdict
 from tallyfield.operators.asof import AsOf, LeakageError
 from tallyfield.plans.forecasts import _PB, _SIZES
-from tallyfield.plans.models import CELLS, DV, GRAM, TRIPLETS, states, valued
+from tallyfield.plans.models import CELLS, DV, GRAM, TRIPLETS, states, system, valued
 from tallyfield.registry import query
 from tallyfield.session import removed, scratch, written
 from tallyfield.sources import snapshots
 from tallyfield.views import with_
 
 
-def system(spark, d):
-    """Gram sums of the whole log with the market rows of the teams."""
-    g = attribution.play_gram(valued(spark, d), v.players(spark, d), [])
-    strength = v.plays(spark, d).groupBy(F.col("off_team").alias("team")).agg((F.avg("drive_points") / 10).alias("strength"))
-    return g.unionByName(attribution.market_rows(strength))
-
-
 def position_scale(players):
     return players.select(F.concat(F.lit("p:"), "player_id").alias("col"), F.when(F.col("position") == "DEF", 2.0).otherwise(1.0).alias("factor"))
 

@@ -296,10 +296,33 @@ def test_models_do_not_meet_in_a_task(spark, planted):
     assert len({x.p for x in at.collect()}) == 5
 
 
+def _scans(df, name):
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return sum(name in str(plan.collectLeaves().apply(k).relation().location().rootPaths()) for k in range(plan.collectLeaves().size()) if plan.collectLeaves().apply(k).nodeName().startswith("LogicalRelation"))
+
+
 def _exchanges(df):
     return df._jdf.queryExecution().executedPlan().toString().count(" Exchange ")
 
 
+def test_cells_and_teams_come_from_one_pass(spark, sf):
+    """Means are those of two passes, and the system's plan reads the line items once."""
+    s = models.states(spark, sf)
+    values, strength = attribution.cell_and_team_values(s)
+    assert sorted(map(tuple, values.collect())) == sorted(map(tuple, attribution.cell_values(s).collect()))
+    want = s.groupBy("off_team").agg(F.avg("drive_points")).collect()
+    assert {r.team: r.strength for r in strength.collect()} == {r[0]: r[1] for r in want} and len(want) == 25
+    assert _scans(systems.system(spark, sf), "lineitem.parquet") == 1
+
+
+def test_lists_of_ids_leave_blanks_out(spark):
+    from tallyfield.operators import ingest
+
+    given = ["a;b", "", " ", ";", "a;;b", ";a", "a;", "a; ;b", " a;b ", None, "a", "a;\t;b", "a;\n", "\n", "  ;b", "a;  "]
+    got = spark.createDataFrame(list(enumerate(given)), "k int, ids string").orderBy("k").select(ingest.split_ids(F.col("ids")).alias("x")).collect()
+    assert [r.x for r in got] == [[x for x in (ids or "").split(";") if x.strip(" ")] for ids in given]
+
+
 def test_interactions_meet_where_the_plays_are(spark, sf, monkeypatch):
     """A column for pairs asks for no shuffle of plays; many pairs are joined and give the same."""
     valued, who = models.valued(spark, sf).persist(), views.players(spark, sf)
