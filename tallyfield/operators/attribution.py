@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfield.operators import gram
+from tallyfield.operators import gram, state_sums
 from tallyfield.session import package_on_workers
 
 PLAY = ["drive_id", "play_id"]
@@ -167,13 +167,52 @@ def play_gram(valued: DataFrame, players: DataFrame, by: list[str] | None = None
     x = x.drop(*PLAY)
     kinds = {f.name: f.dataType.simpleString() for f in valued.schema}
     part = x.mapInArrow(lambda batches: gram.added_up(batches, by, met), ", ".join([*(f"{k} {kinds[k]}" for k in by), "i string", "j string", "v double"]))
-    g = part.groupBy(*by, "i", "j").agg(F.sum("v").alias("v"))
+    return _of_universe(part.groupBy(*by, "i", "j").agg(F.sum("v").alias("v")), players)
+
+
+def _of_universe(g: DataFrame, players: DataFrame) -> DataFrame:
+    """Sums without those of players that the universe does not have."""
     known = players.select(F.concat(F.lit("p:"), "player_id").alias("_known")).distinct()
     for side in ("i", "j"):
         g = g.join(known, F.col(side) == F.col("_known"), "left").where(~F.coalesce(F.col(side).startswith("p:"), F.lit(False)) | F.col("_known").isNotNull()).drop("_known")
     return g
 
 
+def state_gram(states: DataFrame, players: DataFrame, by: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``play_gram`` of plays valued by the means of their own cells (``cell_values``,
+    ``play_values``), and the mean drive points of each offence (team, strength), from one pass
+    over the states.
+
+    The values are not known yet while plays are multiplied out; how often a column meets a cell
+    is counted instead (``state_sums``). These sums, whose number doesn't grow with the plays, are
+    written and read for the values, the teams and the blocks. Drive points must not be null, and a
+    drive ends with its points.
+    """
+    from tallyfield.session import batches_by_rows, written
+
+    by = by if by is not None else ["season", "week"]
+    package_on_workers(states.sparkSession)
+    here, then = (state_bucket(*(F.col(n + c) for c in STATE)) for n in ("", "n_"))
+    team = lambda c: F.col(c).cast("string").alias(c)
+    x = states.select(
+        *by, "off_players", "def_players", team("off_team"), team("def_team"),
+        here.alias("here"), F.when(here.isNotNull() & ~F.col("terminal"), F.coalesce(then, here)).alias("then"), F.col("drive_points").cast("double").alias("points"),
+    )
+    if {"season", "week"} <= set(by):  # a week's sums in one task
+        x = x.repartition(*by)
+    kinds = {f.name: f.dataType.simpleString() for f in states.schema}
+    with batches_by_rows(states.sparkSession):
+        sums, _ = written(x.mapInArrow(lambda batches: state_sums.added_up(batches, by), ", ".join([*(f"{k} {kinds[k]}" for k in by), state_sums.SUMS])))
+    points = sums.where("i is null").select(F.col("j").alias("team"), F.explode(F.arrays_zip("cells", "weights", "plays")).alias("c")).select("team", "c.*")
+    mean = F.try_divide(F.sum("weights"), F.sum("plays"))
+    values = points.groupBy(F.col("cells").alias("cell")).agg(mean.alias("value")).where("cell is not null")
+    met = sums.where("i is not null and j is null").select(*by, "i", F.explode(F.arrays_zip("cells", "weights")).alias("c")).select(*by, "i", F.col("c.cells").alias("cell"), "c.weights")
+    met = met.join(F.broadcast(values), "cell").select(*by, "i", F.struct("cell", (F.col("weights") * F.col("value")).alias("v")).alias("c"))  # a row a cell
+    rest = met.groupBy(*by, "i").agg(F.aggregate(F.sort_array(F.collect_list("c")), F.lit(0.0), lambda a, c: a + c["v"]).alias("v"))  # in one order
+    parts = sums.where("i is not null").select(*by, "i", "j", "v").unionByName(rest.withColumn("j", F.lit(None).cast("string")))
+    return _of_universe(parts.groupBy(*by, "i", "j").agg(F.sum("v").alias("v")), players), points.groupBy("team").agg(mean.alias("strength"))
+
+
 def market_rows(strength: DataFrame, weight: float = 40.0) -> DataFrame:
     """Gram contributions (i, j, v) of one pseudo-play a team: [+1 offence, +1 defence]."""
     o, d, s = F.concat(F.lit("o:"), "team"), F.concat(F.lit("d:"), "team"), F.col("strength") * weight

@@ -9,9 +9,9 @@ from tallyfield.schemas import STATS
 
 
 
-def drive_window():
+def drive_window(drive: str = "drive_id"):
     """Plays of a drive in order."""
-    return Window.partitionBy("drive_id").orderBy("play_id")
+    return Window.partitionBy(drive).orderBy("play_id")
 
 
 DRIVE_POINTS = {"Touchdown": 7, "Field goal": 3}
@@ -34,29 +34,38 @@ def drive_points(result: Column, semantics: str = "oracle") -> Column:
 def split_ids(ids: Column) -> Column:
     """A ';' list as an array without blanks; null gives an empty one."""
     parts = F.split(ids, ";")
-    blank = ids.rlike("(^|;) *(;|$)")  # else there is nothing to filter, which is slow
-    return F.coalesce(F.when(blank, F.filter(parts, lambda x: F.trim(x) != "")).otherwise(parts), F.array().cast("array<string>"))
+    # else there is nothing to filter, which is slow
+    odd = ids.contains(" ") | ids.contains(";;") | ids.startswith(";") | ids.endswith(";") | (ids == "")
+    return F.coalesce(F.when(odd, F.filter(parts, lambda x: F.trim(x) != "")).otherwise(parts), F.array().cast("array<string>"))
 
 
-def build_plays(raw: DataFrame, participation: DataFrame | None = None, semantics: str = "oracle") -> DataFrame:
-    """Contract plays; participants from their own frame by (game_id, play_id) if given."""
+def build_plays(raw: DataFrame, participation: DataFrame | None = None, semantics: str = "oracle", next_by: str | None = None) -> DataFrame:
+    """Contract plays; participants from their own frame by (game_id, play_id) if given.
+    ``next_by``: also the state after each play (``with_next_state``), drives told apart by that column."""
     p = modelled(raw)
     if participation is not None:
         part = participation.select("game_id", F.col("play_id").cast("long").alias("play_id"), "offense_players", "defense_players")
         p = p.drop("offense_players", "defense_players").withColumn("play_id", F.col("play_id").cast("long")).join(part, ["game_id", "play_id"], "left")
     p = p.withColumn("drive_points", drive_points(F.col("result"), semantics))
+    if next_by:  # before ids are lists, which are slow to sort
+        p = with_next_state(p, next_by)
     return p.select(
         "game_id", "drive_id", "play_id", "season", "week", "off_team", "def_team", "down", "ydstogo", "yardline_100", "yards", "play_type", "clock", "drive_points",
         split_ids(F.col("offense_players")).alias("off_players"), split_ids(F.col("defense_players")).alias("def_players"),
+        *(NEXT if next_by else ()),
     )
 
 
-def with_next_state(plays: DataFrame) -> DataFrame:
-    """State after each play within its drive; null and ``terminal`` on the last one."""
-    last = F.lead("play_id").over(drive_window()).isNull()
+NEXT = ["n_down", "n_ydstogo", "n_yardline_100", "terminal", "terminal_value"]
+
+
+def with_next_state(plays: DataFrame, drive: str = "drive_id") -> DataFrame:
+    """State after each play within its drive; null and ``terminal`` on the last one. ``drive``:
+    the column that tells drives apart."""
+    last = F.lead("play_id").over(drive_window(drive)).isNull()
     return plays.withColumns(
         {
-            **{f"n_{c}": F.lead(c).over(drive_window()) for c in ("down", "ydstogo", "yardline_100")},
+            **{f"n_{c}": F.lead(c).over(drive_window(drive)) for c in ("down", "ydstogo", "yardline_100")},
             "terminal": last,
             "terminal_value": F.when(last, F.col("drive_points")),
         }

@@ -18,7 +18,7 @@ R = lambda c, name=None: F.round(c, 8).alias(name or c)
 
 
 def states(spark, d):
-    return ingest.with_next_state(v.plays(spark, d))
+    return v.states(spark, d)
 
 
 def valued(spark, d):
@@ -26,6 +26,11 @@ def valued(spark, d):
     return attribution.play_values(s, attribution.cell_values(s))
 
 
+def gram_of_states(spark, d, by=None):
+    """Gram blocks of the whole log, each play valued by the means of the cells."""
+    return attribution.state_gram(states(spark, d), v.players(spark, d), by)[0]
+
+
 def system(spark, d):
     """Gram sums of the whole log with the market rows of the teams."""
     s = states(spark, d)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyfield import views as v
 from tallyfield.operators import asof, attribution, evaluation, ingest, records, valuation
 from tallyfield.operators.asof import AsOf
-from tallyfield.plans.models import CELLS, DV, GRAM, TRIPLETS, series, valued
+from tallyfield.plans.models import CELLS, DV, GRAM, TRIPLETS, gram_of_states, series, valued
 from tallyfield.plans.relational import _POOL, _TOTALS, _VOR, pool
 from tallyfield.registry import query
 from tallyfield.sources import tables
@@ -157,7 +157,7 @@ def d3_valuation_run(spark, d):
 @query()
 def d8_matchup_grades(spark, d):
     """Minus the defensive intercept of each team, for the four positions."""
-    g = attribution.play_gram(valued(spark, d), v.players(spark, d), [])
+    g = gram_of_states(spark, d, [])
     rows = [(k[2:], -b) for k, b in sorted(attribution.solve_ridge(g).items()) if k.startswith("d:")]
     return spark.createDataFrame(rows, "team string, grade double").select("team", F.explode(F.array(*map(F.lit, ("QB", "RB", "WR", "TE")))).alias("position"), "grade")
 

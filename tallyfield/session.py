@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,3 +64,20 @@ def written(df: DataFrame) -> tuple[DataFrame, str]:
 def removed(spark: SparkSession, at: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def batches_by_rows(spark: SparkSession) -> Iterator[None]:
+    """Inside, Arrow batches to Python end by their number of rows alone, if that is limited. Spark
+    also measures a batch's bytes after each row, which costs more than to write a row of few
+    short values; for such rows only."""
+    size, rows = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(rows)) <= 0:
+        yield
+        return
+    before = spark.conf.get(size, None)
+    spark.conf.set(size, str(2**31 - 1))
+    try:
+        yield
+    finally:
+        spark.conf.set(size, before) if before is not None else spark.conf.unset(size)

@@ -17,21 +17,24 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def raw_pbp(spark: SparkSession, d: str) -> DataFrame:
-    """Play-by-play as a provider would give it, before any filter."""
+def raw_pbp(spark: SparkSession, d: str, keyed: bool = False) -> DataFrame:
+    """Play-by-play as a provider would give it, before any filter. ``keyed``: dealt by the drive's
+    number, kept as ``drive_key``, which is moved and sorted with less work than its id."""
     li = read(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate")
     o = read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate")
     c = read(spark, d, "customer").select("c_custkey", "c_nationkey")
-    in_drive = Window.partitionBy("drive_id").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
-    # an order is a drive: orders and line items meet on the drive's id, by which plays are windowed later too, and are dealt once
+    in_drive = Window.partitionBy("_play").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    # an order is a drive: orders and line items meet on the drive's id or number, by which plays are windowed later too, and are dealt once
     drive = lambda k: F.concat(F.lit("g"), F.expr(f"{k} div 8"), F.lit("_"), (F.col(k) % 8).cast("string"))
-    o = o.join(c, F.col("o_custkey") == F.col("c_custkey")).withColumn("_drive", drive("o_orderkey"))
-    p = li.withColumn("drive_id", drive("l_orderkey")).withColumn("play_id", F.row_number().over(in_drive).cast("long")).join(o, F.col("drive_id") == F.col("_drive"))
+    key = F.col if keyed else drive
+    o = o.join(c, F.col("o_custkey") == F.col("c_custkey")).withColumn("_drive", key("o_orderkey"))
+    p = li.withColumn("_play", key("l_orderkey")).withColumn("play_id", F.row_number().over(in_drive).cast("long")).join(o, F.col("_play") == F.col("_drive"))
     game = F.concat(F.lit("g"), F.expr("o_orderkey div 8"))
     s = lambda x: F.expr(f"cast({x} as string)")
     return p.select(
+        *([F.col("_drive").alias("drive_key")] if keyed else []),
         game.alias("game_id"),
-        "drive_id",
+        drive("o_orderkey").alias("drive_id") if keyed else F.col("_drive").alias("drive_id"),
         "play_id",
         F.year("o_orderdate").alias("season"),
         F.month("o_orderdate").alias("week"),
@@ -72,6 +75,13 @@ def plays(spark: SparkSession, d: str) -> DataFrame:
     return build_plays(raw_pbp(spark, d))
 
 
+def states(spark: SparkSession, d: str) -> DataFrame:
+    """The same plays with the state after each, dealt once, by the drive's number."""
+    from tallyfield.operators.ingest import build_plays
+
+    return build_plays(raw_pbp(spark, d, keyed=True), next_by="drive_key")
+
+
 PLAYS = """plays AS (
   SELECT game_id, drive_id, play_id, season, week, off_team, def_team, down, ydstogo, yardline_100, yards, play_type, clock,
          CASE result WHEN 'Touchdown' THEN 7 WHEN 'Field goal' THEN 3 ELSE 0 END AS drive_points,
