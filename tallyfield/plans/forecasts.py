@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyfield import views as v
 from tallyfield.operators import asof, attribution, forecast, projection, statespace, status, teams
-from tallyfield.plans.models import _BOOT, _FILTER, _SMOOTH, _STATES9, _rounded, AT, CELL, CELLS, DV, GRAM, MAY, TRIPLETS, back_sql, cells, last_state, series, states, valued
+from tallyfield.plans.models import _BOOT, _FILTER, _SMOOTH, _STATES9, _rounded, AT, CELL, CELLS, DV, GRAM, MAY, TRIPLETS, back_sql, cells, gram_of_states, last_state, series, states, valued
 from tallyfield.plans.relational import _POOL, _TOTALS, _VOR
 from tallyfield.plans.relational import valued as valuations
 from tallyfield.registry import query
@@ -199,7 +199,7 @@ def q3_net_market_rows(spark, d):
 @query(with_("states", "SELECT i, round(sum(v), 6) AS v, false AS research_only FROM gram WHERE j IS NULL AND season IN (1995, 1996) GROUP BY i", CELLS, DV, TRIPLETS, GRAM))
 def q8_window_blocks(spark, d):
     """X'y of the two seasons before an in-season origin."""
-    g = attribution.play_gram(valued(spark, d), v.players(spark, d))
+    g = gram_of_states(spark, d)
     return teams.window_blocks(g.where("j is null"), 1997, 6).groupBy("i", "research_only").agg(F.round(F.sum("v"), 6).alias("v")).select("i", "v", "research_only")
 
 

@@ -145,26 +145,26 @@ def m4_pair_support(spark, d):
 
 @query(with_("states", "SELECT i, j, round(sum(v), 7) AS v FROM gram GROUP BY i, j", CELLS, DV, TRIPLETS, GRAM))
 def j14_gram(spark, d):
-    g = attribution.play_gram(valued(spark, d), v.players(spark, d), [])
+    g = gram_of_states(spark, d, [])
     return g.select("i", "j", F.round("v", 7).alias("v"))
 
 
 @query(with_("states", "SELECT season, week, count(*) AS n, round(sum(v), 6) AS total FROM gram GROUP BY ALL", CELLS, DV, TRIPLETS, GRAM))
 def m9_weekly_blocks(spark, d):
-    g = attribution.play_gram(valued(spark, d), v.players(spark, d))
+    g = gram_of_states(spark, d)
     return g.groupBy("season", "week").agg(F.count("*").alias("n"), F.round(F.sum("v"), 6).alias("total"))
 
 
 @query(with_("states", """SELECT season, week, i, j, round(v, 7) AS v FROM (SELECT season, week, i, j, sum(v) OVER (PARTITION BY i, j ORDER BY season, week ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS v FROM gram WHERE i LIKE 'o:%') WHERE v IS NOT NULL""", CELLS, DV, TRIPLETS, GRAM))
 def e12_cumulative_blocks(spark, d):
-    g = attribution.play_gram(valued(spark, d), v.players(spark, d)).where(F.col("i").startswith("o:"))
+    g = gram_of_states(spark, d).where(F.col("i").startswith("o:"))
     return evaluation.cumulative_blocks(g).select("season", "week", "i", "j", F.round("v", 7).alias("v"))
 
 
 @query()
 def e12_all_cumulative_blocks(spark, d):
     """Sums before each slot over all (i, j): players, both sides' teams and X'y."""
-    g = attribution.play_gram(valued(spark, d), v.players(spark, d))
+    g = gram_of_states(spark, d)
     return evaluation.cumulative_blocks(g).select("season", "week", "i", "j", F.round("v", 7).alias("v"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyfield import views as v
 from tallyfield.operators import asof, attribution, evaluation, ingest, records, valuation
 from tallyfield.operators.asof import AsOf
-from tallyfield.plans.models import CELLS, DV, GRAM, TRIPLETS, gram_of_states, series, valued
+from tallyfield.plans.models import CELLS, DV, GRAM, TRIPLETS, gram_of_states, series
 from tallyfield.plans.relational import _POOL, _TOTALS, _VOR, pool
 from tallyfield.registry import query
 from tallyfield.sources import tables
@@ -175,7 +175,7 @@ def e17_grade_report(spark, d):
 @query(with_("states", "SELECT i, round(sum(v), 7) AS v FROM gram WHERE j IS NULL AND (season < 1997 OR (season = 1997 AND week <= 5)) GROUP BY i", CELLS, DV, TRIPLETS, GRAM))
 def e13_origin_sums(spark, d):
     """X'y at an origin, from the blocks of earlier slots."""
-    g = attribution.play_gram(valued(spark, d), v.players(spark, d))
+    g = gram_of_states(spark, d)
     return g.where(AsOf(1997, 6).outcome & F.col("j").isNull()).groupBy("i").agg(F.round(F.sum("v"), 7).alias("v"))
 
 

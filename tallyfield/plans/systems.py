@@ -9,7 +9,7 @@ from tallyfield.functions.normal import ppf
 from tallyfield.operators import asof, attribution, evaluation, forecast, guards, solver, teams, verdict
 from tallyfield.operators.asof import AsOf, LeakageError
 from tallyfield.plans.forecasts import _PB, _SIZES
-from tallyfield.plans.models import CELLS, DV, GRAM, TRIPLETS, states, system, valued
+from tallyfield.plans.models import CELLS, DV, GRAM, TRIPLETS, gram_of_states, states, system, valued
 from tallyfield.registry import query
 from tallyfield.session import removed, scratch, written
 from tallyfield.sources import snapshots
@@ -45,7 +45,7 @@ def q10_normal_equations(spark, d):
 @query(with_("states", "SELECT i, j, round(sum(v), 7) AS v FROM gram WHERE season < 1997 OR (season = 1997 AND week <= 5) GROUP BY i, j", CELLS, DV, TRIPLETS, GRAM))
 def e13_origin_system(spark, d):
     """Whole X'X and X'y at an origin, from the blocks of earlier slots."""
-    g = attribution.play_gram(valued(spark, d), v.players(spark, d))
+    g = gram_of_states(spark, d)
     return g.where(AsOf(1997, 6).outcome).groupBy("i", "j").agg(F.round(F.sum("v"), 7).alias("v"))
 
 

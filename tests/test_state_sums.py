@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfield import views
 from tallyfield.operators import attribution, ingest, state_sums
-from tallyfield.plans import more
+from tallyfield.plans import models, more
 from tallyfield.session import batches_by_rows
 
 PLAYS = "drive_id string, play_id long, season int, week int, off_team string, def_team string, down int, ydstogo int, yardline_100 int, drive_points int, off_players array<string>, def_players array<string>"
@@ -73,7 +73,7 @@ def test_lists_without_blanks(spark):
     assert [r.y for r in df.select(ingest.split_ids(F.col("x")).alias("y")).collect()] == want
 
 
-@pytest.mark.parametrize("query", [more.d8_matchup_grades])
+@pytest.mark.parametrize("query", [more.d8_matchup_grades, models.e12_all_cumulative_blocks])
 def test_line_items_are_read_once(spark, sf, monkeypatch, query):
     read, tables = views.read, []
     monkeypatch.setattr(views, "read", lambda s, d, name: tables.append(name) or read(s, d, name))
